@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import exact_dedup, mixing, sharding
+from docquarry.llm import decontam, exact_dedup, html_extract, mixing, sharding, token_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op5_token_codes": token_codes.op5_token_codes,
+        "op6_decontamination": decontam.op6_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
 
