@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontam, exact_dedup, html_extract, mixing, sharding, token_codes
+from docquarry.llm import decontam, exact_dedup, html_extract, mixing, quality, sharding, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_codes": token_codes.op5_token_codes,
         "op6_decontamination": decontam.op6_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_quality": quality.op9_quality,
         "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
