@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontam, exact_dedup, html_extract, mixing, quality, sharding, token_codes, toxicity
+from docquarry.llm import decontam, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op5_token_codes": token_codes.op5_token_codes,
         "op6_decontamination": decontam.op6_decontamination,
