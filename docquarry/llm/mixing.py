@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         F.when((F.col("slot") == F.col("n_slots") - 1) & (F.col("slot") >= F.col("whole_slots")), F.col("last_words")).otherwise(F.lit(block).cast("long")).alias("words"),
     )
     # Place each document in its source: prefix sums inside small chunks, then over the chunks' totals.
-    n_chunks = max(1, sum(r[2] for r in rows) // 20_000)
+    n_chunks = max(1, int(sum(r[2] for r in rows) ** 0.5))
     named = counted.join(F.broadcast(sources.select("sid", F.col("source").alias("__s"))), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     named = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
     totals = named.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
