@@ -128,6 +128,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int =
 def block_links(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links between queries and members (doc, component, sorted keys) that join components, found from the
     counts of common keys of each query with all members at once."""
+    if not members:
+        return []
     links, root = [], {}
 
     def find(x: int) -> int:
@@ -137,7 +139,7 @@ def block_links(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[
         return x
 
     size = np.array([len(k) for _, _, k in members])
-    keys = np.concatenate([k for _, _, k in members]) if members else np.zeros(0, np.uint64)
+    keys = np.concatenate([k for _, _, k in members])
     owner = np.repeat(np.arange(len(members)), size)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
@@ -218,7 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     deeper = F.when(F.col("c") > hot, F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / hot)))).otherwise(F.lit(0))
     order = Window.partitionBy("h", "deeper").orderBy("key", "doc")
     ordered = mixed.withColumn("deeper", deeper)
-    nexts = F.filter(F.array(*[F.struct(F.lead("doc", j).over(order).alias("doc"), F.lead("component", j).over(order).alias("component")) for j in range(1, neighbours + 1)]), lambda x: x["doc"].isNotNull() & (x["component"] != F.col("component")))
+    ordered = ordered.withColumns({f"next{j}": F.lead(F.struct("doc", "component"), j).over(order) for j in range(1, neighbours + 1)})
+    nexts = F.filter(F.array(*[f"next{j}" for j in range(1, neighbours + 1)]), lambda x: x["component"] != F.col("component"))
     near = ordered.select("doc", F.explode(nexts).alias("x")).select(F.least("doc", "x.doc").alias("hub"), F.greatest("doc", "x.doc").alias("doc")).distinct()
     links = saved(links.unionByName(_confirmed(near, sets, percent)), "links")
     parts = components(links)
