@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontam, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, token_codes, toxicity
+from docquarry.llm import decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, sharding, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_token_codes": token_codes.op5_token_codes,
         "op6_decontamination": decontam.op6_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
