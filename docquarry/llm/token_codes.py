@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,8 @@ class Block:
 
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Between a letter and an ASCII sign the tokenizer always cuts.
+_SIGN = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")
 
 
@@ -162,17 +165,24 @@ class Encoder:
         """All ids, and where each text's begin (and the last's end)."""
         if len(self.known) > self.most:
             self.clear()
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        special = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)))
+        signed = pc.replace_substring_regex(texts, _SIGN, r"\1 \2")
+        split = pc.split_pattern(pc.if_else(special, texts, signed) if pc.any(special).as_py() else signed, " ")
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn([w for w in words if w not in self.known])
-        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        at, size = self.at[own][index], self.size[own][index]
-        end = np.cumsum(size)
+        own = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            self._learn([words[i] for i in new])
+            own[new] = np.fromiter((self.known[words[i]] for i in new), np.int64, len(new))
+        at, size = self.at[own].astype(np.int32)[index], self.size[own].astype(np.int32)[index]
+        end = np.cumsum(size, dtype=np.int32)
         total = int(end[-1]) if len(end) else 0
-        ids = self.pool[np.repeat(at - (end - size), size) + np.arange(total)]
-        return ids, np.concatenate([[0], end])[bounds - bounds[0]]
+        source = np.repeat(at - (end - size), size)
+        source += np.arange(total, dtype=np.int32)
+        return self.pool[source], np.concatenate([[0], end])[bounds - bounds[0]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
