@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry import ports
 from docquarry.functions import ids, text as T
 from docquarry.operators import concepts, evidence, metrics, search, segment, state
+from docquarry.plans import flows
 from docquarry.session import new_path, table
 from docquarry.sources.store import Store
 from docquarry.streaming import streams
@@ -714,3 +716,31 @@ def event_replay(spark, sf_dir):
 def event_history(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("h"))
     return e.select("user_id", F.size("h").alias("n"), F.array_join(F.transform("h", lambda x: x["event_type"]), ",").alias("history"))
+
+
+# ---- flows
+
+VOCABULARY = ["idiot", "licensed", "the", "que", "der"]
+
+
+def _ingested(spark, sf_dir):
+    store = Store(spark, new_path(spark, "flow-store"))
+    changes = flows.ingest(store, flows.corpus_markdown(table(spark, sf_dir, "documents")), ports.FakeEmbedder(), ports.FakeTagger(VOCABULARY))
+    return store, changes
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1)
+SELECT 'doc-' || doc_id AS document_ref, 'new' AS change, n FROM k""")
+def ingest_flow(spark, sf_dir):
+    """Ingest all documents into an empty store: the changes by document."""
+    store, changes = _ingested(spark, sf_dir)
+    named = changes.join(store.read("chunks").select(F.col("chunk_id").alias("entity_key"), "document_ref"), "entity_key")
+    return named.groupBy("document_ref", "change").agg(F.count("*").alias("n"))
+
+
+@query()
+def retrieval_flow(spark, sf_dir):
+    """Ingest, then the bounded context of one question."""
+    store, _ = _ingested(spark, sf_dir)
+    question = "Licensed under the Apache License"
+    return flows.retrieve(store, question, ports.FakeEmbedder()([question])[0])
