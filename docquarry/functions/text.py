@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space, with the separators U+001C to U+001F.
 WS = r"(?U)[\s\x1c-\x1f]"
@@ -138,10 +138,21 @@ def is_safe_document_ref(c: Column) -> Column:
     return F.coalesce((F.length(c) > 0) & (strip(c) == c) & (nfc(c) == c) & ~c.rlike(_CONTROL) & ~c.rlike(r"[/\\:]") & ~c.isin(".", ".."), F.lit(False))
 
 
-def is_safe_image_ref(c: Column) -> Column:
-    """A relative POSIX path in its plain spelling, without .. or scheme."""
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_only(s: pd.Series) -> pd.Series:
+    """The array's texts that are in NFC."""
+    return s.map(lambda xs: [x for x in xs if x is not None and unicodedata.is_normalized("NFC", x)], na_action="ignore")
+
+
+def is_plain_image_ref(c: Column) -> Column:
+    """As ``is_safe_image_ref``, but for the normal form: usable inside lambdas."""
     bad = c.rlike(_CONTROL) | c.contains("\\") | c.startswith("/") | c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | c.rlike(r"(^|/)\.\.(/|$)") | c.rlike(r"(^|/)\.(/|$)|//|/$")
-    return F.coalesce((F.length(c) > 0) & (strip(c) == c) & (nfc(c) == c) & ~bad, F.lit(False))
+    return F.coalesce((F.length(c) > 0) & (strip(c) == c) & ~bad, F.lit(False))
+
+
+def is_safe_image_ref(c: Column) -> Column:
+    """A relative POSIX path in its plain spelling and NFC, without .. or scheme."""
+    return is_plain_image_ref(c) & F.coalesce(nfc(c) == c, F.lit(False))
 
 
 def is_safe_artifact_ref(c: Column) -> Column:

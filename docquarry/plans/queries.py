@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import ids, text as T
-from docquarry.operators import concepts, evidence, metrics, search, segment, state
+from docquarry.operators import concepts, evidence, metrics, records, search, segment, state
 from docquarry.plans import flows
 from docquarry.session import new_path, table
 from docquarry.sources.store import Store
@@ -744,3 +744,160 @@ def retrieval_flow(spark, sf_dir):
     store, _ = _ingested(spark, sf_dir)
     question = "Licensed under the Apache License"
     return flows.retrieve(store, question, ports.FakeEmbedder()([question])[0])
+
+
+# ---- records
+
+
+def _index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chunks; returned lines carry tags."""
+    d = table(spark, sf_dir, "documents")
+    none = F.expr("cast(array() as array<string>)")
+    return d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("document_ref"), F.lit("s1").alias("source_version"), F.col("text").alias("search_text"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("int")).alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.col("lang").alias("heading"), none.alias("heading_path"), F.array("lang").alias("tags"), "doc_id")
+
+
+@query("SELECT 'c' || doc_id AS chunk_id, 'knowledge://' || source || '/c' || doc_id AS source_ref, sha256(text) AS content_hash, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 ELSE -1 END AS page_start, -1 AS page_end, lang AS heading, lang AS tags FROM documents")
+def knowledge_rows(spark, sf_dir):
+    return records.knowledge(_index_chunks(spark, sf_dir)).select("chunk_id", "source_ref", "content_hash", "page_start", "page_end", F.array_join("heading_path", "/").alias("heading"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT 'c' || doc_id AS chunk_id, 'document_ref' AS field FROM documents WHERE source <> 'src0' UNION ALL SELECT 'c' || doc_id, 'heading' FROM documents WHERE lang <> 'en'")
+def scope_violations(spark, sf_dir):
+    return records.scope_violations(_index_chunks(spark, sf_dir), "chunk_id", {"document_ref": "src0", "heading": "en"})
+
+
+@query("SELECT event_id, user_id AS record_id FROM events WHERE event_type = 'error' OR event_type = 'view' OR user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def allowed_events(spark, sf_dir):
+    e = _outbox(spark, sf_dir).withColumn("collection", F.when(F.col("run_id") == "view", "concept_catalog").otherwise("document_chunks"))
+    allowed = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("chunk_id"))
+    return records.allowed_events(e, allowed).select("event_id", "record_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def appended_duplicates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return records.appended(e, e.where("event_type IN ('click', 'view')"))[1]
+
+
+@query("SELECT doc_id, 'images/' || doc_id || '.png' AS refs, 'image unavailable' AS errors FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'images/' || doc_id || '.png,b.png', '' FROM documents WHERE doc_id % 2 = 1")
+def safe_images(spark, sf_dir):
+    good = F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    refs = F.when(F.col("doc_id") % 2 == 0, F.array(good, F.lit("../up.png"), good)).otherwise(F.array(good, F.lit("b.png")))
+    x = records.safe_images(table(spark, sf_dir, "documents").select("doc_id", refs.alias("refs")), "refs")
+    return x.select("doc_id", F.array_join("refs", ",").alias("refs"), F.array_join("image_errors", ",").alias("errors"))
+
+
+@query("SELECT doc_id, lang = 'en' AS web, lang = 'de' AS image FROM documents")
+def intents(spark, sf_dir):
+    q = F.when(F.col("lang") == "en", F.lit("Please SEARCH the web for it")).when(F.col("lang") == "de", F.lit("Show me the Figure of it")).when(F.col("lang") == "fr", F.lit("webs of search, figures shown")).otherwise(F.lit("tra web?? no: tratra mạng; image only"))
+    q = F.when(F.col("lang") == "es", F.lit("an image only; the websearch is")).otherwise(q)
+    return table(spark, sf_dir, "documents").select("doc_id", records.wants_web(q).alias("web"), records.wants_image(q).alias("image"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber)")
+def attached_images(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    x = li.withColumn("image_refs", F.when(F.col("l_returnflag") == "A", F.array(F.lit("a.png"))).otherwise(F.expr("cast(array() as array<string>)")))
+    selected = li.where("l_returnflag = 'R'").select(F.lit(0).alias("q"), F.col("l_orderkey").alias("chunk_id"), F.struct("l_orderkey", "l_linenumber").alias("paragraph_ref"))
+    paras = x.select(F.lit(0).alias("q"), F.col("l_orderkey").alias("chunk_id"), F.struct("l_orderkey", "l_linenumber").alias("paragraph_ref"), "image_refs", "l_orderkey", "l_linenumber", "l_partkey")
+    return records.attached_images(selected, paras, ["q"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT user_id, event_type AS chunk_id, min(event_id) AS rank FROM events GROUP BY ALL")
+def best_ranks(spark, sf_dir):
+    hits = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("chunk_id"), F.col("event_id").alias("rank"))
+    return records.best_ranks(hits, ["user_id"])
+
+
+@query("SELECT l_orderkey AS chunk_id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def relations_in_scope(spark, sf_dir):
+    hits = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("chunk_id"))
+    inside, _ = records.in_hit_chunks(facts(spark, sf_dir), hits)
+    return inside.groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH f AS (SELECT user_id, event_type, min(event_id) AS r FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY r) AS sources FROM f GROUP BY 1")
+def distinct_sources(spark, sf_dir):
+    hits = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("source_ref"), F.col("event_id").alias("rank"))
+    return records.distinct_sources(hits, ["user_id"]).select("user_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query("WITH p AS (SELECT user_id, (event_id % 5)::VARCHAR AS page, min(event_id) AS r FROM events GROUP BY ALL) SELECT user_id, string_agg(page, ',' ORDER BY r) AS pages FROM p GROUP BY 1")
+def collected_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "events").select("user_id", "event_id", F.array((F.col("event_id") % 5).cast("string")).alias("pages"))
+    return records.collected_pages(p, ["user_id"], ["event_id"]).select("user_id", F.array_join("pages", ",").alias("pages"))
+
+
+@query("SELECT doc_id, 'see [2] and [1] in ' || lang AS answer FROM documents")
+def answer_relabelled(spark, sf_dir):
+    a = F.concat(F.lit("see chunk-1:p10 and chunk-1:p1 in "), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", records.relabelled(a, ["chunk-1:p1", "chunk-1:p10"]).alias("answer"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS chunk_id, l_linenumber, 'p' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS alias FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
+SELECT chunk_id, alias, l_orderkey || '-' || l_linenumber AS paragraph_id FROM (SELECT *, chunk_id AS l_orderkey FROM a) WHERE alias IN ('p1', 'p2')""")
+def restored_aliases(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ordinal"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("paragraph_id")).distinct()
+    known = records.aliases(p)
+    answers = known.where("alias IN ('p1', 'p2')").select("chunk_id", "alias")
+    return records.restored_aliases(answers, known)[0].select("chunk_id", "alias", "paragraph_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, 'missing' AS side FROM lineitem WHERE l_returnflag = 'R'")
+def relation_differences(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return records.relation_differences(li.select("l_orderkey", "l_linenumber"), li.where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber"))
+
+
+@query("""WITH r AS (SELECT user_id AS d, min(event_id) AS run, arg_min(event_type, event_id) AS t FROM events GROUP BY 1),
+q AS (SELECT run AS run_id, d AS document_ref FROM r UNION ALL SELECT max(event_id) + 1000000, user_id FROM events GROUP BY user_id)
+SELECT q.run_id, CASE WHEN k.run IS NOT NULL AND k.t = 'error' THEN 'resumed' WHEN k.run IS NOT NULL THEN 'same' WHEN a.t IN ('view', 'click') THEN 'busy' WHEN a.run IS NOT NULL THEN 'busy' ELSE 'started' END AS outcome
+FROM q LEFT JOIN r k ON k.run = q.run_id LEFT JOIN r a ON a.d = q.document_ref""")
+def run_start(spark, sf_dir):
+    """Known runs are asked for again, and a further run of each document is refused in the same batch."""
+    e = table(spark, sf_dir, "events")
+    first = e.groupBy(F.col("user_id").alias("document_ref")).agg(F.min("event_id").alias("run_id"), F.min_by("event_type", "event_id").alias("t"), F.max("event_id").alias("last"))
+    runs = first.select("run_id", "document_ref", F.lit("s1").alias("source_version"), F.when(F.col("t").isin("view", "click"), "processing").when(F.col("t") == "error", "failed").otherwise("ready").alias("status"))
+    asked = runs.select("run_id", "document_ref", "source_version").unionByName(first.select((F.col("last") + 1000000).alias("run_id"), "document_ref", F.lit("s1").alias("source_version")))
+    return records.started(asked, runs).select("run_id", "outcome")
+
+
+@query("SELECT doc_id AS document_ref, 'v' || quality AS previous_version FROM labels WHERE quality <> toxic")
+def previous_versions(spark, sf_dir):
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_ref"), F.concat(F.lit("v"), F.col("quality").cast("string")).alias("active_version"), F.concat(F.lit("v"), F.col("toxic").cast("string")).alias("source_version"))
+    return records.previous_versions(l.select("document_ref", "active_version"), l.select("document_ref", "source_version"))
+
+
+@query("SELECT event_id AS token FROM events WHERE ts + INTERVAL 1 HOUR * 24 > TIMESTAMP '2024-01-30 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 256")
+def live_candidates(spark, sf_dir):
+    now = F.to_timestamp(F.lit("2024-01-30 00:00:00"))
+    saved_sets = table(spark, sf_dir, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("saved_at"), F.lit(86400).alias("ttl_seconds")).where(F.col("saved_at") <= now)
+    return records.live_candidates(saved_sets, now).select("token")
+
+
+@query("""SELECT conv_id, md5('Use the following evidence records as the complete source:' || chr(10) || string_agg('- evidence_id: e' || turn || chr(10) || '  citation_label: [' || turn + 1 || ']' || chr(10) || '  source_type: document' || chr(10) || '  source: ' || role || chr(10) || '  scope: chunk=c' || conv_id || ', page=' || turn || chr(10) || '  image_refs: none' || chr(10) || '  text: ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1""")
+def rendered_evidence(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    null = F.lit(None).cast("string")
+    rows = c.select("conv_id", "turn", F.concat(F.lit("e"), F.col("turn").cast("string")).alias("evidence_id"), F.lit("document").alias("kind"), F.col("role").alias("source"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chunk"), null.alias("paragraph"), F.col("turn").alias("page"), null.alias("url"), "text")
+    return records.rendered_evidence(rows, ["conv_id"], "turn").select("conv_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT source AS document_ref, substr(sha256(string_agg('p' || doc_id, chr(10) ORDER BY doc_id)), 1, 16) AS bundle FROM documents GROUP BY 1")
+def evidence_bundle(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("document_ref")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("p"), x.cast("string"))).alias("refs"))
+    return d.select("document_ref", ids.bundle_ref(F.col("refs")).alias("bundle"))
+
+
+@query("SELECT doc_id, 'concept::' || sha256(lang) AS record_id, 'embed-' || sha256(concat_ws(chr(10), 'm', source, lang)) AS embed_key, sha256('{\"a\":\"' || lang || '\",\"b\":' || doc_id || ',\"c\":null}') AS input_hash FROM documents")
+def record_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    payload = F.struct(F.col("lang").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("string").alias("c"))
+    return d.select("doc_id", ids.concept_record_id(F.col("lang")).alias("record_id"), ids.embedding_key(F.lit("m"), F.col("source"), F.col("lang")).alias("embed_key"), ids.input_hash(payload).alias("input_hash"))
+
+
+@query()
+def vector_event_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    body = F.to_json(F.struct(F.col("label").alias("label"), F.col("vec_id").alias("record_id")))
+    return e.select("vec_id", ids.vector_event_id(F.lit("upsert-"), body, F.col("embedding")).alias("event_id"))
