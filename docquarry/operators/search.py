@@ -95,8 +95,10 @@ def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
         if len(block) == MAX_QUERIES:
             out = search(block) if out is None else out.unionByName(search(block))
             block = []
-    if block or out is None:
+    if block:
         out = search(block) if out is None else out.unionByName(search(block))
+    if out is None:
+        out = index.sparkSession.createDataFrame([], f"{query_key} long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
