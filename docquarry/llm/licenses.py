@@ -110,3 +110,22 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     per = scan(docs).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("license").alias("n_licenses"), F.max("share").alias("best_share"), F.min("word").alias("first_word"))
     return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_licenses", F.lit(0).cast("long")).alias("n_licenses"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"), F.coalesce("first_word", F.lit(-1)).alias("first_word"))
+
+
+_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
+SQL = {
+    "op4_license_scan": rf"""
+WITH t(license, text) AS (VALUES {_VALUES}),
+tw AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
+own AS (SELECT license, len(w) - 4 AS n, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw WHERE len(w) >= 5)),
+size AS (SELECT license, n, count(DISTINCT g) AS own FROM own GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+m AS (SELECT doc_id, license, n, g, unnest(range(greatest(0, pos - n + 1), pos + 1)) AS word FROM g JOIN own USING (g)),
+x AS (SELECT doc_id, license, word, count(DISTINCT g) / any_value(size.own) AS share FROM m JOIN size USING (license) GROUP BY ALL HAVING count(DISTINCT g) / any_value(size.own) >= 0.8),
+f AS (SELECT *, coalesce(word - lag(word) OVER w >= (SELECT max(n) + 4 FROM size), true)::INT AS fresh FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY word, license)),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY word, license) AS place FROM f),
+k AS (SELECT * FROM p QUALIFY share = max(share) OVER (PARTITION BY doc_id, place)),
+r AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n_licenses, max(share) AS best_share, min(word) AS first_word FROM k GROUP BY 1)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0) AS n_licenses, coalesce(best_share, 0.0)::DOUBLE AS best_share, coalesce(first_word, -1) AS first_word FROM documents LEFT JOIN r USING (doc_id)"""
+}

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(exact_dedup.SQL)
+    return near_dedup.SQL | licenses.SQL | decontam.SQL | exact_dedup.SQL
