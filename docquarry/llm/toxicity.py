@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.labelled import fold, training_ids
-from docquarry.llm.textkeys import ALNUM, keyed, slices
+from docquarry.llm.textkeys import ALNUM, keyed, mix64, shingle_keys, slices
 from docquarry.session import table
 
 PREFIXES = (4, 5, 6, 7)
@@ -123,7 +123,7 @@ def _segments(docs: list[tuple[list[list[int]], list[bool]]], length: int = 256)
     return np.array(fid, np.int64), np.array(row, np.int64), np.array(col, np.int64), np.array(ys), np.array(lens)
 
 
-def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, int], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> Crf:
+def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, int], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Crf:
     """Adam on the mean log-likelihood of the token labels, forward-backward over all rows at once."""
     fid, row, col, y, lens = _segments(docs)
     n, length = y.shape
@@ -138,11 +138,11 @@ def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, i
         for b in (0, 1):
             seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum()
     for t in range(1, rounds + 1):
-        u = np.full((n, length), p[nf])
-        np.add.at(u, (row, col), p[fid])
-        e = np.exp(np.clip(u, -30, 30))
+        u = np.bincount(row * length + col, p[fid], n * length).reshape(n, length) + p[nf]
+        e = np.exp(np.clip(u, -30, 30)).astype(np.float32)
+        del u
         step = np.exp(p[nf + 1 :].reshape(2, 2))
-        alpha = np.empty((length, n, 2))
+        alpha = np.empty((length, n, 2), np.float32)
         alpha[0] = np.stack([np.ones(n), math.exp(-4.0) * e[:, 0]], 1)
         alpha[0] /= alpha[0].sum(1, keepdims=True)
         for i in range(1, length):
@@ -150,7 +150,7 @@ def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, i
             x[:, 1] *= e[:, i]
             alpha[i] = x / x.sum(1, keepdims=True)
         beta = np.ones((n, 2))
-        marginal = np.zeros((n, length))
+        marginal = np.zeros((n, length), np.float32)
         moved = np.zeros((2, 2))
         for i in range(length - 1, -1, -1):
             both = alpha[i] * beta
@@ -191,13 +191,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def candidates(toxic: list[list[list[str]]], clean: list[list[list[str]]], most: int, least_docs: int = 5) -> list[str]:
+def candidates(toxic: list[list[bytes]], clean: list[list[bytes]], most: int, least_docs: int = 5) -> list[str]:
     """Features that toxic documents show far more often, by the likelihood ratio of document counts."""
-    a = Counter(f for doc in toxic for f in {f for fs in doc for f in fs})
-    a = {f: n for f, n in a.items() if n >= least_docs}
+    words = Counter(w for doc in toxic for w in set(doc))
+    bound: Counter[str] = Counter()  # from above: a feature's documents are no more than its words' documents
+    for w, n in words.items():
+        for f in word_features(w):
+            bound[f] += n
+    a: Counter[str] = Counter()
+    some = {f for f, n in bound.items() if n >= least_docs}
+    del bound, words
+    for doc in toxic:
+        a.update({f for w in set(doc) for f in word_features(w)} & some)
+    a = Counter({f: n for f, n in a.items() if n >= least_docs})
     b: Counter[str] = Counter()
     for doc in clean:
-        b.update({f for fs in doc for f in fs if f in a})
+        b.update({f for w in set(doc) for f in word_features(w) if f in a})
     nt, nc = len(toxic), len(clean)
     found = []
     for f, x in a.items():
@@ -210,32 +219,52 @@ def candidates(toxic: list[list[list[str]]], clean: list[list[list[str]]], most:
     return [f for _, f in sorted(found)[:most]]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 1200, most_clean: int = 2400, most_features: int = 3000) -> Crf:
+def without_copies(texts: list[str]) -> list[str]:
+    """The texts but those that look like copies of an earlier one (a pair of least 3-word shingle keys is
+    equal), so that one document with many copies is not taken for many. Only the training sample is cut."""
+    seen: set[tuple[int, ...]] = set()
+    out = []
+    for t in texts:
+        _, _, _, words, _ = keyed([t], ALNUM)
+        keys = shingle_keys(words, min(3, len(words))) if len(words) else words
+        if not len(keys):
+            continue
+        low = [int(mix64(keys + np.uint64(i)).min()) for i in range(6)]
+        own = {(i, low[i], low[i + 1]) for i in (0, 2, 4)}
+        if not own & seen:
+            out.append(t)
+        seen |= own
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 1500, most_clean: int = 2000, most_features: int = 3000) -> Crf:
     ids, total = training_ids(labels, label, {1: most_toxic, 0: most_clean})
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text")).orderBy("y", F.xxhash64("text")).collect()
-    texts = {c: [r["text"] for r in rows if r["y"] == c] for c in (0, 1)}
+    texts = {c: without_copies([r["text"] for r in rows if r["y"] == c]) for c in (0, 1)}
     share = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
     if not texts[0] or not texts[1]:
         out = Crf({}, np.zeros(0), 0.0, np.zeros((2, 2)), constant=share)
         out.prepare()
         return out
-    memo: dict[bytes, list[str]] = {}
+    own: dict[bytes, bytes] = {}
 
-    def tokens(t: str) -> list[list[str]]:
-        words = t.encode().translate(ALNUM).split()
-        for w in words:
-            if w not in memo:
-                memo[w] = word_features(w)
-        return [memo[w] for w in words]
+    def tokens(t: str) -> list[bytes]:
+        return [own.setdefault(w, w) for w in t.encode().translate(ALNUM).split()]
 
-    toxic, clean = [tokens(t) for t in texts[1]], [tokens(t) for t in texts[0]]
+    toxic, clean = [tokens(t) for t in texts.pop(1)], [tokens(t) for t in texts.pop(0)]
+    del rows, own
     names = {f: i for i, f in enumerate(candidates(toxic, clean, most_features))}
-    memo.clear()
+    memo: dict[bytes, list[int]] = {}
+    none: list[int] = []
 
-    def coded(doc: list[list[str]]) -> list[list[int]]:
-        return [[names[f] for f in fs if f in names] for fs in doc]
+    def coded(doc: list[bytes]) -> list[list[int]]:
+        for w in set(doc):
+            if w not in memo:
+                memo[w] = [names[f] for f in word_features(w) if f in names] or none
+        return [memo[w] for w in doc]
 
     toxic, clean = [coded(d) for d in toxic], [coded(d) for d in clean]
+    memo.clear()
     model = fit_field([(d, [bool(fs) for fs in d]) for d in toxic] + [(d, [False] * len(d)) for d in clean], names)
     model.prepare()
     x, y = [], []
