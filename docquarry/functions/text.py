@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -83,15 +83,37 @@ def lines(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.expr("cast(array() as array<string>)")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+@F.pandas_udf(StringType())
+def _concept_key(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: " ".join(unicodedata.normalize("NFC", x).split()).casefold(), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _identity_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold(), na_action="ignore")
+
+
+def _plain_key(c: Column) -> Column:
+    """The key of an ASCII text, in the JVM."""
+    return F.lower(F.trim(F.regexp_replace(c, r"[\x09-\x0d\x1c-\x20]+", " ")))
+
+
 def concept_key(c: Column) -> Column:
     """Key of a concept label: NFC, white space collapsed, case folded; null for a blank label."""
-    key = casefold(collapse(nfc(c)))
+    key = F.coalesce(_concept_key(F.when(~c.rlike(_ASCII), c)), _plain_key(c))
     return F.when(F.length(key) > 0, key)
 
 
+def with_key(df: DataFrame, column: str, key: str, rule) -> DataFrame:
+    """df with ``key`` = rule(column), computed once for each distinct value and joined back: labels repeat,
+    and their rules run in Python."""
+    known = df.select(F.col(column).alias("__value")).distinct().select("__value", rule(F.col("__value")).alias(key))
+    return df.join(known, F.col(column) == F.col("__value"), "left").drop("__value")
+
+
 def identity_text(c: Column) -> Column:
     """Key of a paragraph: NFKC, white space collapsed, case folded."""
-    return casefold(collapse(nfkc(c)))
+    return F.coalesce(_identity_text(F.when(~c.rlike(_ASCII), c)), _plain_key(c))
 
 
 def choice_key(c: Column) -> Column:

@@ -43,8 +43,8 @@ def document_catalog(facts: DataFrame, scope: list[str], examples: int = 3, orde
     Usage counts distinct paragraphs, however many roles they have. The canonical label is the least by
     (folded, value). Examples are the first ``examples`` paragraphs in order.
     """
-    keyed = facts.withColumn("normalized_label", T.concept_key(F.col("concept"))).where(F.col("normalized_label").isNotNull())
-    names = keyed.groupBy(*scope, "normalized_label").agg(F.min(F.struct(T.casefold(F.col("concept")).alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"))
+    keyed = T.with_key(T.with_key(facts, "concept", "normalized_label", T.concept_key), "concept", "__folded", T.casefold).where(F.col("normalized_label").isNotNull())
+    names = keyed.groupBy(*scope, "normalized_label").agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"))
     distinct = keyed.groupBy(*scope, "normalized_label", *order).agg(F.min("header").alias("header"), F.min("excerpt").alias("excerpt"))
     rank = F.row_number().over(Window.partitionBy(*scope, "normalized_label").orderBy(*order))
     usage = distinct.withColumn("r", rank).groupBy(*scope, "normalized_label").agg(
@@ -89,7 +89,7 @@ def inventory(facts: DataFrame) -> DataFrame:
 
 def deduplicated_candidates(candidates: DataFrame, scope: list[str]) -> DataFrame:
     """Of candidates (scope, label, rank, score) with equal keys the best by (rank, -score)."""
-    keyed = candidates.withColumn("key", T.concept_key(F.col("label"))).where(F.col("key").isNotNull())
+    keyed = T.with_key(candidates, "label", "key", T.concept_key).where(F.col("key").isNotNull())
     best = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "label"))
     return keyed.groupBy(*scope, "key").agg(best.alias("b")).select(*scope, "key", "b.rank", (-F.col("b.minus")).alias("score"), "b.label")
 
@@ -106,8 +106,8 @@ def ranked_candidates(candidates: DataFrame, query: Column, limit: int, scope: l
 
 def traversal(selected: DataFrame, facts: DataFrame) -> DataFrame:
     """For each selected (selection, concept, role, parents: array of chunks): its paragraphs, sorted."""
-    s = selected.select("selection", T.concept_key(F.col("concept")).alias("key"), "role", "parents")
-    f = facts.select(T.concept_key(F.col("concept")).alias("key"), "role", "paragraph_id", "chunk_id")
+    s = T.with_key(selected, "concept", "key", T.concept_key).select("selection", "key", "role", "parents")
+    f = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role", "paragraph_id", "chunk_id")
     met = f.join(s, ["key", "role"]).where(F.array_contains("parents", F.col("chunk_id")))
     return s.select("selection").join(met.groupBy("selection").agg(F.array_sort(F.collect_set("paragraph_id")).alias("paragraph_refs")), "selection", "left")
 
