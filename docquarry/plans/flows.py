@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import concepts, evidence, search, segment, state
+from docquarry.operators import answers, concepts, evidence, search, segment, state
 from docquarry.session import saved
 from docquarry.sources.store import Store
 
@@ -23,11 +23,12 @@ def segmented(documents: DataFrame, heading_level: int = 2) -> tuple[DataFrame,
     return chunks, paras
 
 
-def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger, model: str = "profile-1", index_version: str = "v1", run_id: str = "run") -> DataFrame:
+def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, model: str = "profile-1", index_version: str = "v1", run_id: str = "run") -> DataFrame:
     """Bring the store up to date with ``documents``: all rows of the documents named are replaced.
 
     Chunks, paragraphs, relations, the concept catalog, vector states and the vector index are committed
-    at once; only new and changed chunks are embedded. Returns the changes (entity_key, change).
+    at once; only new and changed chunks are embedded. Without a tagger, chunks are indexed without tags.
+    Returns the changes (entity_key, change).
     """
     spark = documents.sparkSession
     known = set(store.tables())
@@ -38,7 +39,8 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     chunks, paras = segmented(documents)
     chunks, paras = saved(chunks, "chunks"), saved(paras, "paragraphs")
     scope = documents.select("document_ref").distinct()
-    tags = saved(ports.tag(paras, "text", tagger).select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept")).withColumn("role", F.lit("mention")), "relations")
+    labelled = ports.tag(paras, "text", tagger) if tagger else paras.withColumn("labels", F.expr("cast(array() as array<string>)"))
+    tags = saved(labelled.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept")).withColumn("role", F.lit("mention")), "relations")
     facts = tags.join(chunks.select("chunk_id", F.col("heading").alias("header")), "chunk_id").withColumn("excerpt", F.substring("text", 1, 160))
     observed = saved(concepts.document_catalog(facts, ["document_ref", "source_version"]), "observations")
 
@@ -89,13 +91,12 @@ def retrieve(store: Store, question: str, vector: list[float], hits: int = 10, p
     return labelled.select("place", "paragraph_id", "chunk_id", "header", "text", "labels", "fused_score", "evidence_id").orderBy("place")
 
 
-def rendered_context(context: DataFrame) -> str:
+def rendered_context(context: DataFrame, question: str) -> str:
     """The context as Markdown for a prompt; it is bounded by ``retrieve``'s limits."""
-    parts = []
-    for r in context.collect():
-        labels = "; ".join(r["labels"]) or "none"
-        parts.append(f"## [{r['place']}] {r['header']}\n\n{r['text']}\n\nConcepts and roles: {labels}")
-    return "\n\n".join(parts)
+    none = F.expr("cast(array() as array<string>)")
+    paras = context.select(F.lit(0).alias("query_id"), "place", F.col("chunk_id").alias("source"), "header", none.alias("nested"), none.alias("pages"), "labels", none.alias("image_refs"), "text")
+    row = answers.answer_context(question, paras).first()
+    return row["markdown"] if row else ""
 
 
 def answer(context: DataFrame, generate, question: str) -> tuple[str, list[str]]:
@@ -106,7 +107,7 @@ def answer(context: DataFrame, generate, question: str) -> tuple[str, list[str]]
     spark: SparkSession = context.sparkSession
     rows = context.select("place", "evidence_id").collect()
     known = {f"[{r['place']}]": r["evidence_id"] for r in rows}
-    text, labels = generate(question, rendered_context(context))
+    text, labels = generate(question, rendered_context(context, question))
     if set(labels) - set(known):
         raise ValueError(f"citations of unknown evidence: {sorted(set(labels) - set(known))}")
     one = spark.createDataFrame([(text, list(labels))], "answer string, labels array<string>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import ids, text as T
-from docquarry.operators import concepts, evidence, metrics, records, search, segment, state
+from docquarry.operators import answers, concepts, evidence, metrics, records, search, segment, state
 from docquarry.plans import flows
 from docquarry.session import new_path, table
 from docquarry.sources.store import Store
@@ -901,3 +901,82 @@ def vector_event_ids(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     body = F.to_json(F.struct(F.col("label").alias("label"), F.col("vec_id").alias("record_id")))
     return e.select("vec_id", ids.vector_event_id(F.lit("upsert-"), body, F.col("embedding")).alias("event_id"))
+
+
+# ---- bundles and answers
+
+
+@query("""WITH h AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events WHERE event_type <> 'error'),
+b AS (SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY rank) AS refs, count(*) AS n FROM h GROUP BY 1), f AS (SELECT user_id, event_type, min(rank) AS r FROM h GROUP BY ALL), i AS (SELECT user_id, string_agg(event_type, ',' ORDER BY r) AS images FROM f GROUP BY 1)
+SELECT c_custkey AS query_id, CASE WHEN refs IS NULL THEN 'no matching evidence' ELSE 'ready' END AS status, coalesce(md5(refs), md5('')) AS refs_md5, coalesce(images, '') AS images FROM customer LEFT JOIN b ON b.user_id = c_custkey LEFT JOIN i ON i.user_id = c_custkey""")
+def evidence_bundles(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    hits = e.select(F.col("user_id").alias("query_id"), rank.alias("rank"), F.col("event_id").cast("string").alias("chunk_ref"), F.lit("v1").alias("version"), F.col("props").alias("text"), F.array("event_type").alias("image_refs"))
+    b = answers.evidence_bundles(hits, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")))
+    return b.select("query_id", "status", F.md5(F.array_join("selected_refs", ",")).alias("refs_md5"), F.array_join("image_refs", ",").alias("images"))
+
+
+@query("""WITH h AS (SELECT user_id, count(*) AS hits, greatest(0.0, least(1.0, max(value / 100))) AS confidence, '0' AS hp FROM events GROUP BY 1), p AS (SELECT user_id, (event_id % 3)::VARCHAR AS page, min(event_id) AS r FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY ALL),
+g AS (SELECT user_id, string_agg(page, ',' ORDER BY r) AS pages FROM p GROUP BY 1), n AS (SELECT user_id, count(*) AS paragraphs FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1)
+SELECT c_custkey AS query_id, coalesce(hits, 0) AS hits, coalesce(paragraphs, 0) AS paragraphs, round(confidence, 6) AS confidence, coalesce(pages, hp, '') AS pages, CASE WHEN hits IS NULL THEN 'no_hits' WHEN paragraphs IS NULL THEN 'no_context' ELSE 'ready' END AS status
+FROM customer LEFT JOIN h ON h.user_id = c_custkey LEFT JOIN g ON g.user_id = c_custkey LEFT JOIN n ON n.user_id = c_custkey""")
+def document_searches(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("query_id", F.col("user_id"))
+    null = F.lit(None).cast("double")
+    hits = e.select("query_id", F.col("event_id").alias("rank"), null.alias("fused_score"), (F.col("value") / 100).alias("semantic_score"), null.alias("keyword_score"), F.array(F.lit("0")).alias("pages"))
+    paras = e.where("event_type = 'view' AND user_id % 2 = 0").select("query_id", F.col("event_id").alias("place"), F.array((F.col("event_id") % 3).cast("string")).alias("pages"))
+    d = answers.document_searches(hits, paras, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")))
+    return d.select("query_id", "hits", "paragraphs", F.round("confidence", 6).alias("confidence"), F.array_join("pages", ",").alias("pages"), "status")
+
+
+@query("""SELECT conv_id AS query_id, md5('# Retrieval Context' || chr(10) || chr(10) || '## User question' || chr(10) || chr(10) || 'Why?' || chr(10) || chr(10) || '## Concept-role map' || chr(10) || chr(10) || '## Source paragraphs' || chr(10) || chr(10) ||
+string_agg('### [' || (turn + 1) || ']' || chr(10) || chr(10) || '- Source: conv' || chr(10) || '- Parent header: ' || role || chr(10) || '- Pages: ' || turn || chr(10) || '- Concepts and roles: ' || role || chr(10) || '- Images: none' || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY 1""")
+def answer_context(spark, sf_dir):
+    none = F.expr("cast(array() as array<string>)")
+    p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.lit("conv").alias("source"), F.col("role").alias("header"), none.alias("nested"), F.array(F.col("turn").cast("string")).alias("pages"), F.array("role").alias("labels"), none.alias("image_refs"), "text")
+    return answers.answer_context("Why?", p).select("query_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("""WITH o AS (SELECT user_id, floor(value)::BIGINT AS id, min(event_id) AS pos FROM events WHERE event_type = 'click' OR (event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')) GROUP BY ALL)
+SELECT o.user_id AS run_id, o.id AS evidence_id, o.pos, d.source, CASE WHEN d.lang = 'en' THEN 'i' || d.doc_id ELSE '' END AS images FROM o JOIN documents d ON d.doc_id = o.id""")
+def cited_sources(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.floor("value").alias("evidence_id"), "event_type", F.lit("[1]").alias("label"))
+    d = table(spark, sf_dir, "documents")
+    used_ids = e.select("run_id", "evidence_id").distinct()
+    ev = used_ids.join(d.select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_ref"), F.lit(None).cast("string").alias("url"), F.array(F.concat(F.lit("i"), F.col("doc_id").cast("string"))).alias("image_refs"), "lang"), "evidence_id")
+    shown = ev.where("lang = 'en'").select("run_id", "evidence_id")
+    out = answers.cited_sources(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ev.drop("lang"), shown)
+    return out.select("run_id", "evidence_id", "pos", "source", F.array_join("image_refs", ",").alias("images"))
+
+
+@query(_CATALOG + """, g AS (SELECT normalized_label, min(canonical_label) AS c FROM catalog GROUP BY 1), e AS (SELECT DISTINCT normalized_label, header, excerpt FROM r WHERE r <= 3),
+x AS (SELECT *, row_number() OVER (PARTITION BY normalized_label ORDER BY header, excerpt) AS k FROM e), s AS (SELECT normalized_label, string_agg(header || ': ' || excerpt, chr(10) ORDER BY k) AS t FROM x WHERE k <= 3 GROUP BY 1)
+SELECT 'concept::' || sha256(normalized_label) AS record_id, c || chr(10) || t AS search_text, sha256(c || chr(10) || t) AS input_hash FROM g JOIN s USING (normalized_label)""")
+def concept_records(spark, sf_dir):
+    return answers.concept_records(concepts.global_catalog(_observations(spark, sf_dir)), "profile-1", "v1").select("record_id", "search_text", "input_hash")
+
+
+@query("WITH l AS (SELECT user_id AS run_id, arg_max(event_type, event_id) AS t, max(event_id) AS s FROM events GROUP BY 1) SELECT run_id, s + 1 AS sequence, 'run_failed' AS type FROM l WHERE t NOT IN ('error', 'purchase')")
+def run_cancel(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "run_failed").when(F.col("event_type") == "purchase", "run_completed").otherwise(F.col("event_type"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence"), kind.alias("type"))
+    return answers.cancelled(log, log).select("run_id", "sequence", "type")
+
+
+@query()
+def budget_fold(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    return answers.admitted_calls(calls, "user_id", "event_id", {"view": 3, "click": 2}, 300)
+
+
+@query("SELECT DISTINCT tag FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT p_type FROM part) ORDER BY 1")
+def tag_catalog(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return answers.tag_catalog(d.select(F.col("lang").alias("tag")), d.select(F.col("source").alias("tag")), table(spark, sf_dir, "part").select(F.col("p_type").alias("tag")))
+
+
+@query("SELECT source, count(*) FILTER (quality = 1) AS durable, count(*) FILTER (quality = 0) AS left, sum(CASE WHEN quality = 1 THEN 2 ELSE 0 END)::BIGINT AS paragraphs, sum(CASE WHEN quality = 1 THEN toxic ELSE 0 END)::BIGINT AS failed, count(*) FILTER (quality = 0) = 0 AS complete FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def checkpoint_report(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return answers.checkpoint_report(x.select("source", (F.col("quality") == 1).alias("durable"), F.lit(2).cast("long").alias("paragraphs"), F.col("toxic").cast("long").alias("failed")), ["source"])
