@@ -73,8 +73,7 @@ def is_blank(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between white space."""
-    t = collapse(c)
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    return F.regexp_count(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def lines(c: Column) -> Column:

@@ -1,9 +1,12 @@
-"""Distances between array columns, in double, in the JVM."""
+"""Distances between array columns in double: in the JVM, or by Arrow batches against one query."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 
@@ -33,3 +36,31 @@ def is_vector(a: Column) -> Column:
 
 
 DISTANCES = {"cosine": cosine_distance, "l2sq": squared_l2}
+
+
+def distances_to(query: list[float], metric: str = "cosine"):
+    """A function of an array<double> column: the distance of each vector to ``query``, a batch at a time.
+
+    A null vector has a null distance; one of another dimension than the query's is an error.
+    """
+    if metric not in DISTANCES:
+        raise ValueError(f"metric must be one of {sorted(DISTANCES)}")
+    q = np.asarray(query, np.float64)
+
+    @F.arrow_udf(DoubleType())
+    def distance(v: pa.Array) -> pa.Array:
+        known = v.drop_null()
+        sizes = known.value_lengths().to_numpy(zero_copy_only=False)
+        if (sizes != len(q)).any():
+            raise ValueError(f"vectors must have {len(q)} dimensions")
+        x = known.flatten().to_numpy(zero_copy_only=False).reshape(len(known), len(q))
+        if metric == "l2sq":
+            d = ((x - q) ** 2).sum(1)
+        else:
+            n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+            d = 1 - np.clip(np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0), -1, 1)
+        out = np.full(len(v), np.nan)
+        out[~np.asarray(v.is_null())] = d
+        return pa.array(out, pa.float64(), mask=np.asarray(v.is_null()))
+
+    return distance

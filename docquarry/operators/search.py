@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import terms
-from docquarry.functions.vectors import DISTANCES, dot, norm
+from docquarry.functions.vectors import distances_to, dot, norm
 
 MAX_QUERIES = 4096
 
 
 def matches(filters: dict[str, Any]) -> Column:
-    """All of key = value; an absent (null) key matches only a null value."""
+    """All of key = value, as plain comparisons that scans can push down; an absent (null) key matches only
+    a null value."""
     for key, value in filters.items():
         if not isinstance(key, str) or not key.strip():
             raise ValueError("filter keys must be non-blank strings")
@@ -25,7 +26,7 @@ def matches(filters: dict[str, Any]) -> Column:
             raise ValueError("filter values must be finite scalars")
     out = F.lit(True)
     for key, value in filters.items():
-        out = out & (F.col(key).isNull() if value is None else F.coalesce(F.col(key) == F.lit(value), F.lit(False)))
+        out = out & (F.col(key).isNull() if value is None else F.col(key) == F.lit(value))
     return out
 
 
@@ -42,9 +43,11 @@ def browse(records: DataFrame, key: str, offset: int, limit: int, filters: dict[
 
 
 def vector_topk(index: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine", filters: dict[str, Any] | None = None) -> DataFrame:
-    """The k nearest rows by (distance, key): a filtered scan, then TakeOrderedAndProject."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    distance = DISTANCES[metric](F.col(vector), q)
+    """The k nearest rows by (distance, key): a filtered scan, distances by batch, TakeOrderedAndProject.
+
+    Vectors of another dimension than the query's are errors (see ``vectors.is_vector`` for checks).
+    """
+    distance = distances_to(query, metric)(F.col(vector).cast("array<double>"))
     return index.where(matches(filters or {})).withColumn("distance", distance).orderBy("distance", key).limit(max(0, k))
 
 
