@@ -30,7 +30,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = saved(links.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        edges = saved(_small_star(saved(_large_star(edges), "large-star")), "small-star")
+        edges = saved(_small_star(_large_star(edges)), "stars")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 40)), F.lit(0))).first()
         if now == mark:
             break

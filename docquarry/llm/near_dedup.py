@@ -99,7 +99,7 @@ def _keys(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), "<u8")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int = 2000) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int = 250) -> DataFrame:
     """Of pairs (hub, doc), those whose sets are similar, as links (a, b). A hub's set is sent once for
     ``per_salt`` partners, which may go to different tasks."""
 
@@ -217,6 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     parts = components(links)
 
     mixed = saved(_labelled(regions.drop("pivot"), parts), "mixed")
+    if mixed.isEmpty():
+        return _assigned(rows, classes, parts)
     deeper = F.when(F.col("c") > hot, F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / hot)))).otherwise(F.lit(0))
     order = Window.partitionBy("h", "deeper").orderBy("key", "doc")
     ordered = mixed.withColumn("deeper", deeper)
@@ -227,9 +229,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     parts = components(links)
 
     mixed = saved(_labelled(mixed.drop("component"), parts), "mixed")
+    if mixed.isEmpty():
+        return _assigned(rows, classes, parts)
     rest = saved(_rest(mixed.select("h", "doc", "component"), sets, percent, block).distinct(), "rest")
-    parts = components(links.unionByName(rest))
+    if rest.isEmpty():
+        return _assigned(rows, classes, parts)
+    return _assigned(rows, classes, components(links.unionByName(rest)))
 
+
+def _assigned(rows: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every row with the component of its class. Classes of over a thousandth of the rows are joined by
+    broadcast, so that no task holds a hot one."""
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     total = rows.count()
     hot_classes = F.broadcast(named.where(F.col("n") * 1000 > total).drop("n"))  # a thousand rows at most
