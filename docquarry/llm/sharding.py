@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from docquarry.session import saved, table
 
@@ -34,17 +37,18 @@ def _measured(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _range_of(splitters: list[tuple[int, str]]) -> Column:
-    """The number of splitters at or before (__hash, __key), as a balanced tree of comparisons."""
-    h, k = F.col("__hash"), F.col("__key")
-
-    def walk(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        a, b = splitters[mid]
-        return F.when((h < a) | ((h == a) & (k < b)), walk(lo, mid)).otherwise(walk(mid + 1, hi))
-
-    return walk(0, len(splitters))
+    """The number of splitters at or before (__hash, __key): a binary search over a batch of rows."""
+    cuts = np.array([h for h, _ in splitters], np.int64)
+
+    @F.pandas_udf(IntegerType())
+    def place(h: pd.Series, k: pd.Series) -> pd.Series:
+        own = h.to_numpy(np.int64)
+        low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+        for i in np.flatnonzero(low < high):  # a splitter inside a group of equal texts
+            low[i] = bisect.bisect_right(splitters, (int(own[i]), k.iat[i]))
+        return pd.Series(low.astype(np.int32))
+
+    return place(F.col("__hash"), F.col("__key"))
 
 
 def _quantiles(sample: list[tuple[int, str]], parts: int) -> list[tuple[int, str]]:
