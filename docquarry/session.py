@@ -46,9 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/docquarry-{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -58,14 +62,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables that ``saved`` wrote, once nothing reads them any more."""
-    root = f"{shared_dir(spark)}/docquarry-"
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/docquarry-" in folder.toString() and root.removeprefix("file://").lstrip("/") in folder.toString():
-                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def clear_saved(spark: SparkSession) -> None:
+    """Delete all that this application saved, once no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
