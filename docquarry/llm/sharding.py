@@ -30,6 +30,7 @@ def _measured(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.drop(*[c for c in OUTPUT if c in df.columns and c not in (text, key)]).withColumns(
         {
             "__size": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1,
+            "__crc": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")),
             "__hash": F.xxhash64(F.col(text)),
             "__key": F.coalesce(F.col(key).cast("string"), F.lit("")),
         }
@@ -123,7 +124,7 @@ def shard(df: DataFrame, n_shards: int = 16, text: str = "text", key: str = "doc
     return out.select(
         *keep,
         F.col("__size").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.col("__crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         (F.col("__n") - F.col("__first")).alias("slot"),
