@@ -47,11 +47,10 @@ def document_catalog(facts: DataFrame, scope: list[str], examples: int = 3, orde
     names = keyed.groupBy(*scope, "normalized_label").agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"))
     distinct = keyed.groupBy(*scope, "normalized_label", *order).agg(F.min("header").alias("header"), F.min("excerpt").alias("excerpt"))
     rank = F.row_number().over(Window.partitionBy(*scope, "normalized_label").orderBy(*order))
-    usage = distinct.withColumn("r", rank).groupBy(*scope, "normalized_label").agg(
-        F.countDistinct("paragraph_id").alias("usage_count"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "header", "excerpt")))), lambda x: F.struct(x["header"].alias("header"), x["excerpt"].alias("excerpt"))).alias("examples"),
-    )
-    return names.join(usage, [*scope, "normalized_label"])
+    usage = keyed.groupBy(*scope, "normalized_label").agg(F.countDistinct("paragraph_id").alias("usage_count"))
+    first = distinct.withColumn("r", rank).where(F.col("r") <= examples)  # limited before the shuffle
+    shown = first.groupBy(*scope, "normalized_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "header", "excerpt"))), lambda x: F.struct(x["header"].alias("header"), x["excerpt"].alias("excerpt"))).alias("examples"))
+    return names.join(usage, [*scope, "normalized_label"]).join(shown, [*scope, "normalized_label"])
 
 
 def global_catalog(observations: DataFrame, examples: int = 3) -> DataFrame:
@@ -77,14 +76,15 @@ def catalog_version(catalog: DataFrame) -> DataFrame:
     return rows.select(F.sha2(F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")), 256).alias("catalog_version"))
 
 
-def inventory(facts: DataFrame) -> DataFrame:
-    """concept, first_seq, roles (role, paragraphs), parents (chunk, rank) from relations of retrieved chunks
+def inventory(facts: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """scope, concept, first_seq, roles (role, paragraphs), parents (chunk, rank) from relations of retrieved chunks
     (seq, paragraph_id, concept, role, chunk_id, chunk_rank): concepts keep the order of first sight."""
-    roles = facts.groupBy("concept", "role").agg(F.countDistinct("paragraph_id").alias("n"))
-    roles = roles.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("role", "n"))).alias("roles"))
-    parents = facts.select("concept", "chunk_rank", "chunk_id").distinct().groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("chunk_rank", "chunk_id"))).alias("parents"))
-    first = facts.groupBy("concept").agg(F.min("seq").alias("first_seq"))
-    return first.join(roles, "concept").join(parents, "concept")
+    by = [*(scope or []), "concept"]
+    roles = facts.groupBy(*by, "role").agg(F.countDistinct("paragraph_id").alias("n"))
+    roles = roles.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("role", "n"))).alias("roles"))
+    parents = facts.select(*by, "chunk_rank", "chunk_id").distinct().groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chunk_rank", "chunk_id"))).alias("parents"))
+    first = facts.groupBy(*by).agg(F.min("seq").alias("first_seq"))
+    return first.join(roles, by).join(parents, by)
 
 
 def deduplicated_candidates(candidates: DataFrame, scope: list[str]) -> DataFrame:

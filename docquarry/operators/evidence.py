@@ -28,11 +28,13 @@ def with_labels(paras: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def limited(paras: DataFrame, scope: list[str], order: list[str], most: int, most_words: int, text: str = "text") -> DataFrame:
-    """The first rows of each scope: at most ``most``, stopping at the first that would pass ``most_words``."""
-    upto = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = paras.withColumn("words", T.word_count(F.col(text)))
-    x = x.withColumns({"running_words": F.sum("words").over(upto), "place": F.count("*").over(upto)})
-    return x.where((F.col("running_words") <= most_words) & (F.col("place") <= most))
+    """The first rows of each scope: at most ``most``, stopping at the first that would pass ``most_words``.
+
+    The count comes first: its limit is applied before the shuffle, so that a scope's sums see ``most`` rows.
+    """
+    by = Window.partitionBy(*scope).orderBy(*order)
+    x = paras.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).withColumn("words", T.word_count(F.col(text)))
+    return x.withColumn("running_words", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("running_words") <= most_words)
 
 
 def first_too_long(paras: DataFrame, scope: list[str], order: list[str], most_words: int, text: str = "text") -> DataFrame:
@@ -123,13 +125,15 @@ def merged_choices(paras: DataFrame, scope: list[str], order: str) -> DataFrame:
     """Paragraphs with equal text (by choice key) as one choice: the first ref, the last non-empty scalars,
     lists merged in order without repeats, numbered by first place."""
     x = paras.withColumn("choice", T.choice_key(F.col("text")))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("paragraph_ref").alias("ref"), F.col("source").alias("source"), F.col("text").alias("text"), F.col("pages").alias("pages"))))
 
-    def last(field: str) -> Column:
-        return F.element_at(F.filter(F.transform("rows", lambda r: r[field]), lambda v: v.isNotNull() & (v != "")), -1)
+    def last(c: str) -> Column:
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(order))).alias(c)
 
-    merged = x.groupBy(*scope, "choice").agg(rows.alias("rows"))
-    merged = merged.withColumns({"first": F.col("rows")[0]["o"], "paragraph_ref": F.col("rows")[0]["ref"], "source": last("source"), "text": last("text"), "pages": F.array_distinct(F.flatten(F.transform("rows", lambda r: r["pages"])))})
+    # Aggregates that combine before the shuffle: many copies of a text are no long list anywhere.
+    merged = x.groupBy(*scope, "choice").agg(F.min(order).alias("first"), F.min_by("paragraph_ref", order).alias("paragraph_ref"), last("source"), last("text"))
+    seen = x.select(*scope, "choice", F.col(order).alias("__o"), F.posexplode("pages").alias("__i", "__p")).groupBy(*scope, "choice", "__p").agg(F.min(F.struct("__o", "__i")).alias("__first"))
+    pages = seen.groupBy(*scope, "choice").agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", "__p"))), lambda v: v["__p"]).alias("pages"))
+    merged = merged.join(pages, [*scope, "choice"], "left").withColumn("pages", F.coalesce("pages", F.expr("cast(array() as array<string>)")))
     return merged.withColumn("key", F.row_number().over(Window.partitionBy(*scope).orderBy("first")).cast("string")).select(*scope, "key", "paragraph_ref", "source", "text", "pages")
 
 

@@ -94,9 +94,11 @@ def reserve(requests: DataFrame, ledger: DataFrame, key: list[str], now: Column,
     l = ledger.select(*key, F.col("status").alias("__status"), F.col("updated_at").alias("__at"))
     x = requests.join(l, key, "left")
     stale = (F.col("__status") == "processing") & (now - F.col("__at") >= F.expr(f"INTERVAL {timeout_minutes} MINUTES"))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("request_id")) == 1
+    least = requests.groupBy(*key).agg(F.min("request_id").alias("__first"))  # a hot key costs a row a task
+    x = x.join(least, key, "left")
+    first = F.col("request_id") == F.col("__first")
     outcome = F.when(F.col("__status") == "ready", "ready").when((F.col("__status") == "processing") & ~stale, "busy").when(first, "reserved").otherwise("shared")
-    return x.withColumns({"outcome": outcome, "recovered": F.coalesce(stale, F.lit(False)) & first}).drop("__status", "__at")
+    return x.withColumns({"outcome": outcome, "recovered": F.coalesce(stale, F.lit(False)) & first}).drop("__status", "__at", "__first")
 
 
 def collisions(rows: DataFrame, digest: str = "sha256", others: tuple[str, ...] = ("md5", "byte_length")) -> DataFrame:

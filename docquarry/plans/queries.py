@@ -262,13 +262,12 @@ def catalog_version(spark, sf_dir):
     return concepts.catalog_version(concepts.global_catalog(_observations(spark, sf_dir)))
 
 
-@query(f"""WITH {_FACTS}, r AS (SELECT concept, role, count(DISTINCT paragraph_id) AS n FROM facts GROUP BY ALL)
-SELECT concept, string_agg(role || ':' || n, ',' ORDER BY role) AS roles, (SELECT count(DISTINCT chunk_id) FROM facts f WHERE f.concept = r.concept) AS n_parents,
-(SELECT min(chunk_id * 10 + ordinal) FROM facts f WHERE f.concept = r.concept) AS first_seq FROM r GROUP BY concept""")
+@query(f"""WITH {_FACTS}, r AS (SELECT document_ref, concept, role, count(DISTINCT paragraph_id) AS n FROM facts GROUP BY ALL), k AS (SELECT document_ref, concept, string_agg(role || ':' || n, ',' ORDER BY role) AS roles FROM r GROUP BY ALL),
+p AS (SELECT document_ref, concept, count(DISTINCT chunk_id) AS n_parents, min(chunk_id * 10 + ordinal) AS first_seq FROM facts GROUP BY ALL) SELECT document_ref, concept, roles, n_parents, first_seq FROM k JOIN p USING (document_ref, concept)""")
 def concept_inventory(spark, sf_dir):
     f = facts(spark, sf_dir).withColumns({"seq": F.col("chunk_id") * 10 + F.col("ordinal"), "chunk_rank": F.col("chunk_id")})
-    i = concepts.inventory(f)
-    return i.select("concept", F.array_join(F.transform("roles", lambda r: F.concat_ws(":", r["role"], r["n"].cast("string"))), ",").alias("roles"), F.size("parents").alias("n_parents"), "first_seq")
+    i = concepts.inventory(f, ["document_ref"])
+    return i.select("document_ref", "concept", F.array_join(F.transform("roles", lambda r: F.concat_ws(":", r["role"], r["n"].cast("string"))), ",").alias("roles"), F.size("parents").alias("n_parents"), "first_seq")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +293,9 @@ def candidate_ranking(spark, sf_dir):
 SELECT s.selection || '/' || s.role AS selection, string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id) AS paragraph_refs FROM s JOIN facts f ON lower(f.concept) = s.key AND f.role = s.role AND list_contains(s.parents, f.chunk_id) GROUP BY 1""")
 def paragraph_traversal(spark, sf_dir):
     f = facts(spark, sf_dir)
-    chosen = f.groupBy(F.lower("concept").alias("concept"), "role").agg(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, 50).alias("parents"))
+    pairs = f.select(F.lower("concept").alias("concept"), "role", "chunk_id").distinct()
+    place = F.row_number().over(Window.partitionBy("concept", "role").orderBy("chunk_id"))
+    chosen = pairs.withColumn("place", place).where("place <= 50").groupBy("concept", "role").agg(F.collect_list("chunk_id").alias("parents"))
     chosen = chosen.withColumn("selection", F.concat_ws("/", "concept", "role"))
     return concepts.traversal(chosen, f).select("selection", F.array_join("paragraph_refs", ",").alias("paragraph_refs"))
 
@@ -883,10 +884,10 @@ def rendered_evidence(spark, sf_dir):
     return records.rendered_evidence(rows, ["conv_id"], "turn").select("conv_id", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT source AS document_ref, substr(sha256(string_agg('p' || doc_id, chr(10) ORDER BY doc_id)), 1, 16) AS bundle FROM documents GROUP BY 1")
+@query("SELECT conv_id, substr(sha256(string_agg('p' || turn, chr(10) ORDER BY turn)), 1, 16) AS bundle FROM conversations GROUP BY 1")
 def evidence_bundle(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("document_ref")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("p"), x.cast("string"))).alias("refs"))
-    return d.select("document_ref", ids.bundle_ref(F.col("refs")).alias("bundle"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.concat(F.lit("p"), x.cast("string"))).alias("refs"))
+    return c.select("conv_id", ids.bundle_ref(F.col("refs")).alias("bundle"))
 
 
 @query("SELECT doc_id, 'concept::' || sha256(lang) AS record_id, 'embed-' || sha256(concat_ws(chr(10), 'm', source, lang)) AS embed_key, sha256('{\"a\":\"' || lang || '\",\"b\":' || doc_id || ',\"c\":null}') AS input_hash FROM documents")
