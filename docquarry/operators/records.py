@@ -78,16 +78,16 @@ def safe_images(rows: DataFrame, refs: str, known: DataFrame | None = None) -> D
 
     known: the references that exist (column ref); without it every safe one counts.
     """
-    x = rows.withColumn("__n", F.monotonically_increasing_id()) if known is not None else rows
-    safe = F.array_distinct(F.filter(T.nfc_only(F.col(refs)), T.is_plain_image_ref))
+    x, good = rows, T.is_plain_image_ref
     if known is not None:
-        x = x.withColumn("__r", F.explode_outer(F.col(refs))).join(known.select(F.col("ref").alias("__r"), F.lit(True).alias("__k")).distinct(), "__r", "left")
-        per = x.groupBy("__n").agg(F.collect_set(F.when(F.col("__k"), F.col("__r"))).alias("__found"))
-        x = rows.withColumn("__n", F.monotonically_increasing_id()).join(per, "__n")
-        safe = F.array_distinct(F.filter(T.nfc_only(F.col(refs)), lambda r: T.is_plain_image_ref(r) & F.array_contains("__found", r)))
-    x = x.withColumn("__safe", safe)
+        k = known.select(F.col("ref").alias("__r"), F.lit(True).alias("__k")).distinct()
+        lists = rows.select(refs).distinct()  # looked up once for each distinct list
+        found = lists.withColumn("__r", F.explode(refs)).join(k, "__r").groupBy(refs).agg(F.collect_set("__r").alias("__found"))
+        x = rows.join(found, refs, "left").withColumn("__found", F.coalesce("__found", F.expr("cast(array() as array<string>)")))
+        good = lambda r: T.is_plain_image_ref(r) & F.array_contains("__found", r)
+    x = x.withColumn("__safe", F.array_distinct(F.filter(T.nfc_only(F.col(refs)), good)))
     errors = F.when(F.size("__safe") < F.size(F.array_distinct(refs)), F.array(F.lit("image unavailable"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return x.withColumns({"image_errors": errors}).withColumn(refs, F.col("__safe")).drop("__safe", "__n", "__found")
+    return x.withColumn("image_errors", errors).withColumn(refs, F.col("__safe")).drop("__safe", "__found")
 
 
 def wants_web(question: Column) -> Column:
