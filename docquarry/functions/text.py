@@ -198,8 +198,10 @@ def is_image_media_type(c: Column) -> Column:
     return is_media_type(c) & F.lower(c).startswith("image/")
 
 
-# Names of secrets, and the mark that replaces them.
+# Names of secrets, how they are assigned, bearer tokens, and the mark that replaces them.
 SECRET_NAMES = "api[_-]?key|secret|token|authorization|cookie|password|credential"
+ASSIGNMENT = rf"(?i)({SECRET_NAMES})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;]+"
+BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+"
 REDACTED = "[REDACTED]"
 
 
@@ -207,8 +209,8 @@ def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
     """Mask assignments to names of secrets, bearer tokens, and the given secrets, longest first."""
     for s in sorted((s for s in secrets if s), key=len, reverse=True):
         c = F.replace(c, F.lit(s), F.lit(REDACTED))
-    c = F.regexp_replace(c, rf"(?i)({SECRET_NAMES})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;]+", rf"$1$2{REDACTED}")
-    return F.regexp_replace(c, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", f"Bearer {REDACTED}")
+    c = F.regexp_replace(c, ASSIGNMENT, f"$1$2{REDACTED}")
+    return F.regexp_replace(c, BEARER, f"Bearer {REDACTED}")
 
 
 def is_secret_name(c: Column) -> Column:

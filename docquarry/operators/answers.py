@@ -58,6 +58,7 @@ def answer_context(question: str, paras: DataFrame, roles: DataFrame | None = No
         full = F.concat(F.lit(f"- {name}: "), F.array_join(values, joint))
         return F.when(F.size(values) > 0, full) if always is None else F.when(F.size(values) > 0, full).otherwise(F.lit(f"- {name}: {always}"))
 
+    # The lines' wording is fixed.
     number = F.row_number().over(Window.partitionBy(scope).orderBy("place"))
     block = F.concat_ws(
         "\n", F.concat(F.lit("### ["), F.col("__n").cast("string"), F.lit("]")), F.lit(""), F.concat(F.lit("- Source: "), "source"), F.concat(F.lit("- Parent header: "), "header"), line("Nested heading", F.col("nested"), "; "), line("Pages", F.col("pages"), "–"),

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 
+# How a question asks for the web, and the nouns and verbs by which it asks for a picture.
+WEB_REQUEST = r"(?U)\b(?:tra(?:\s+cứu)?|tìm(?:\s+kiếm)?|search(?:\s+the)?)\s+(?:(?:trên|on)\s+)?(?:w?web|internet|mạng)\b"
+PICTURE_NOUN = r"(?U)\b(?:figure|image|diagram|illustration)\b"
+PICTURE_VERB = r"(?U)\b(?:include|show|display|attach|provide)\b"
+
 #: Keys that a record's own columns have in an index; metadata must not use them.
 RESERVED = ("chunk_id", "document_ref", "source_version", "embedding_profile", "access_scope")
 
@@ -92,13 +97,13 @@ def safe_images(rows: DataFrame, refs: str, known: DataFrame | None = None) -> D
 
 def wants_web(question: Column) -> Column:
     """The question asks for a web search, in English or Vietnamese."""
-    return T.casefold(question).rlike(r"(?U)\b(?:tra(?:\s+cứu)?|tìm(?:\s+kiếm)?|search(?:\s+the)?)\s+(?:(?:trên|on)\s+)?(?:w?web|internet|mạng)\b")
+    return T.casefold(question).rlike(WEB_REQUEST)
 
 
 def wants_image(question: Column) -> Column:
     """The question asks to show a picture: a noun and a verb for it."""
     q = T.casefold(question)
-    return q.rlike(r"(?U)\b(?:figure|image|diagram|illustration)\b") & q.rlike(r"(?U)\b(?:include|show|display|attach|provide)\b")
+    return q.rlike(PICTURE_NOUN) & q.rlike(PICTURE_VERB)
 
 
 def attached_images(selected: DataFrame, paras: DataFrame, scope: list[str], chunk: str = "chunk_id", ref: str = "paragraph_ref") -> DataFrame:
@@ -209,6 +214,7 @@ def live_candidates(saved: DataFrame, now: Column, capacity: int = 256) -> DataF
 
 def rendered_roles(question: str, inventory: DataFrame) -> DataFrame:
     """One Markdown text that lists the inventory (a bounded result of retrieval) for role selection."""
+    # The lines' wording is fixed.
     roles = F.transform("roles", lambda r: F.concat(F.lit("- Available role: "), r["role"], F.lit(" — "), r["n"].cast("string"), F.lit(" paragraphs")))
     parents = F.concat(F.lit("- Parent chunks: "), F.array_join(F.transform("parents", lambda p: F.concat(p["chunk_id"].cast("string"), F.lit(" (rank "), p["chunk_rank"].cast("string"), F.lit(")"))), ", "))
     block = F.concat_ws("\n", F.concat(F.lit("### Concept: "), F.col("concept")), F.lit(""), F.array_join(roles, "\n"), parents, F.lit(""))
@@ -222,6 +228,7 @@ def rendered_evidence(rows: DataFrame, scope: list[str], order: str) -> DataFram
     part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), F.col(c).cast("string")))
     inside = F.concat_ws(", ", part("chunk", "chunk"), part("paragraph", "paragraph"), part("page", "page"), part("url", "url"))
     n = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
+    # The lines' wording is fixed.
     body = F.concat_ws(
         "\n", F.concat(F.lit("- evidence_id: "), F.col("evidence_id")), F.concat(F.lit("  citation_label: ["), F.col("__n").cast("string"), F.lit("]")), F.concat(F.lit("  source_type: "), F.col("kind")),
         F.concat(F.lit("  source: "), F.coalesce("source", "url", F.lit("unknown source"))), F.concat(F.lit("  scope: "), F.when(inside != "", inside).otherwise(F.lit("unspecified"))), F.lit("  image_refs: none"), F.concat(F.lit("  text: "), F.col("text")),
