@@ -918,15 +918,16 @@ def evidence_bundles(spark, sf_dir):
     return b.select("query_id", "status", F.md5(F.array_join("selected_refs", ",")).alias("refs_md5"), F.array_join("image_refs", ",").alias("images"))
 
 
-@query("""WITH h AS (SELECT user_id, count(*) AS hits, greatest(0.0, least(1.0, max(value / 100))) AS confidence, '0' AS hp FROM events GROUP BY 1), p AS (SELECT user_id, (event_id % 3)::VARCHAR AS page, min(event_id) AS r FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY ALL),
-g AS (SELECT user_id, string_agg(page, ',' ORDER BY r) AS pages FROM p GROUP BY 1), n AS (SELECT user_id, count(*) AS paragraphs FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1)
+@query("""WITH h AS (SELECT user_id, count(*) AS hits, greatest(0.0, least(1.0, max(value / 100))) AS confidence, '0' AS hp FROM events GROUP BY 1), p AS (SELECT user_id, (event_id % 3)::VARCHAR AS page, min(event_id) AS r FROM events WHERE event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY ALL),
+g AS (SELECT user_id, string_agg(page, ',' ORDER BY r) AS pages FROM p GROUP BY 1), n AS (SELECT user_id, count(*) AS paragraphs FROM events WHERE event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1)
 SELECT c_custkey AS query_id, coalesce(hits, 0) AS hits, coalesce(paragraphs, 0) AS paragraphs, round(confidence, 6) AS confidence, coalesce(pages, hp, '') AS pages, CASE WHEN hits IS NULL THEN 'no_hits' WHEN paragraphs IS NULL THEN 'no_context' ELSE 'ready' END AS status
 FROM customer LEFT JOIN h ON h.user_id = c_custkey LEFT JOIN g ON g.user_id = c_custkey LEFT JOIN n ON n.user_id = c_custkey""")
 def document_searches(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("query_id", F.col("user_id"))
     null = F.lit(None).cast("double")
     hits = e.select("query_id", F.col("event_id").alias("rank"), null.alias("fused_score"), (F.col("value") / 100).alias("semantic_score"), null.alias("keyword_score"), F.array(F.lit("0")).alias("pages"))
-    paras = e.where("event_type = 'view' AND user_id % 2 = 0").select("query_id", F.col("event_id").alias("place"), F.array((F.col("event_id") % 3).cast("string")).alias("pages"))
+    told = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("query_id"))
+    paras = e.where("event_type = 'view'").join(told, "query_id", "left_semi").select("query_id", F.col("event_id").alias("place"), F.array((F.col("event_id") % 3).cast("string")).alias("pages"))
     d = answers.document_searches(hits, paras, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")))
     return d.select("query_id", "hits", "paragraphs", F.round("confidence", 6).alias("confidence"), F.array_join("pages", ",").alias("pages"), "status")
 
