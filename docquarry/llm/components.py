@@ -25,17 +25,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node with an edge down has one, and it leads to a node that has none."""
+    down = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    long = down.join(down.select(F.col("a").alias("b")), "b", "left_semi")
+    return down.where("n > 1").select("a").unionByName(long.select("a")).isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component: the least node reachable, for every node of links (a long, b long)."""
-    edges = saved(links.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    mark = None
+    """node, component: the least node reachable, for every node of links (a long, b long).
+
+    Both steps keep what is connected, and lead down; so once the edges are stars, each centre is the least
+    node of its component.
+    """
+    edges = links.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct()
     for _ in range(most_rounds):
         edges = saved(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 40)), F.lit(0))).first()
-        if now == mark:
+        if _are_stars(edges):
             break
-        mark = now
     else:
         raise RuntimeError("components have not settled")
-    # Every edge now leads from a node to the least of its component.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
