@@ -290,7 +290,7 @@ class Tagger:
             return [model.constant] * len(texts), [[] for _ in texts]
         buf, begin, end, keys, bounds = keyed(texts, ALNUM)
         own, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.score_of) > 1_000_000:
+        if len(self.score_of) > 300_000:
             self.score_of.clear()
         known = self.score_of
         emission = np.full(len(own), np.nan)
