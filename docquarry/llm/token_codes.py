@@ -129,7 +129,22 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.size, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Forget words seen in one batch only, and beyond half of the limit the rarer ones."""
+        n = len(self.known)
+        keep = np.flatnonzero(self.seen[:n] > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[: self.most // 2]])
+        words, at, size, seen = list(self.known), self.at[keep], self.size[keep], self.seen[keep]
+        old, end = self.pool, np.cumsum(size)
+        self.clear()
+        self.used = int(end[-1]) if len(end) else 0
+        self.pool = np.concatenate([old[np.repeat(at - (end - size), size) + np.arange(self.used)], np.zeros(1 << 20, "<u4")])
+        self.known = {words[i]: j for j, i in enumerate(keep.tolist())}
+        room = np.zeros(max(1 << 16, len(keep)), np.int64)
+        self.at, self.size, self.seen = (np.concatenate([x, room]) for x in (end - size, size, seen // 2))
 
     def _direct(self, word: str) -> list[int]:
         out: list[int] = []
@@ -156,7 +171,7 @@ class Encoder:
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         if i == len(self.at):
-            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+            self.at, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.seen))
         self.pool[self.used : self.used + n] = ids
         self.at[i], self.size[i], self.known[word] = self.used, n, i
         self.used += n
@@ -164,7 +179,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the last's end)."""
         if len(self.known) > self.most:
-            self.clear()
+            self._shrink()
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         special = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)))
         signed = pc.replace_substring_regex(texts, _SIGN, r"\1 \2")
@@ -177,6 +192,7 @@ class Encoder:
         if len(new):
             self._learn([words[i] for i in new])
             own[new] = np.fromiter((self.known[words[i]] for i in new), np.int64, len(new))
+        self.seen[own] += 1
         at, size = self.at[own].astype(np.int32)[index], self.size[own].astype(np.int32)[index]
         end = np.cumsum(size, dtype=np.int32)
         total = int(end[-1]) if len(end) else 0
