@@ -104,12 +104,17 @@ def ranked_candidates(candidates: DataFrame, query: Column, limit: int, scope: l
     return x.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("q")
 
 
+def traversal_rows(selected: DataFrame, facts: DataFrame) -> DataFrame:
+    """For each selected (selection, concept, role, chunk_id: a row for each parent chunk): its paragraphs, once each."""
+    s = T.with_key(selected, "concept", "key", T.concept_key).select("selection", "key", "role", "chunk_id").distinct()
+    f = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role", "paragraph_id", "chunk_id")
+    return f.join(s, ["key", "role", "chunk_id"]).select("selection", "paragraph_id").distinct()
+
+
 def traversal(selected: DataFrame, facts: DataFrame) -> DataFrame:
     """For each selected (selection, concept, role, parents: array of chunks): its paragraphs, sorted."""
-    s = T.with_key(selected, "concept", "key", T.concept_key).select("selection", "key", "role", "parents")
-    f = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role", "paragraph_id", "chunk_id")
-    met = f.join(s, ["key", "role"]).where(F.array_contains("parents", F.col("chunk_id")))
-    return s.select("selection").join(met.groupBy("selection").agg(F.array_sort(F.collect_set("paragraph_id")).alias("paragraph_refs")), "selection", "left")
+    met = traversal_rows(selected.select("selection", "concept", "role", F.explode("parents").alias("chunk_id")), facts)
+    return selected.select("selection").join(met.groupBy("selection").agg(F.array_sort(F.collect_set("paragraph_id")).alias("paragraph_refs")), "selection", "left")
 
 
 def index_tags(paras: DataFrame, facts: DataFrame, chunk: str = "chunk_id") -> DataFrame:

@@ -293,11 +293,9 @@ def candidate_ranking(spark, sf_dir):
 SELECT s.selection || '/' || s.role AS selection, string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id) AS paragraph_refs FROM s JOIN facts f ON lower(f.concept) = s.key AND f.role = s.role AND list_contains(s.parents, f.chunk_id) GROUP BY 1""")
 def paragraph_traversal(spark, sf_dir):
     f = facts(spark, sf_dir)
-    pairs = f.select(F.lower("concept").alias("concept"), "role", "chunk_id").distinct()
-    place = F.row_number().over(Window.partitionBy("concept", "role").orderBy("chunk_id"))
-    chosen = pairs.withColumn("place", place).where("place <= 50").groupBy("concept", "role").agg(F.collect_list("chunk_id").alias("parents"))
-    chosen = chosen.withColumn("selection", F.concat_ws("/", "concept", "role"))
-    return concepts.traversal(chosen, f).select("selection", F.array_join("paragraph_refs", ",").alias("paragraph_refs"))
+    parents = f.select(F.concat_ws("/", F.lower("concept"), "role").alias("selection"), F.lower("concept").alias("concept"), "role", "chunk_id").distinct()
+    met = concepts.traversal_rows(parents, f).groupBy("selection").agg(F.array_sort(F.collect_list("paragraph_id")).alias("paragraph_refs"))
+    return met.select("selection", F.array_join("paragraph_refs", ",").alias("paragraph_refs"))
 
 
 @query(f"WITH {_FACTS} SELECT DISTINCT concept, lower(concept) AS folded FROM facts")
