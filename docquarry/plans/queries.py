@@ -635,9 +635,9 @@ def report_violations(spark, sf_dir):
 @query("SELECT doc_id, 'api_key=[REDACTED], Password : [REDACTED]; Bearer [REDACTED] by [REDACTED]! ' || lang AS redacted FROM documents")
 def secret_redaction(spark, sf_dir):
     t = F.concat(F.lit("api_key=abc"), F.col("doc_id").cast("string"), F.lit(", Password : hunter2; bearer a.b-c by "), F.col("source"), F.lit("! "), F.col("lang"))
-    d = table(spark, sf_dir, "documents")
-    named = tuple(r[0] for r in d.select("source").distinct().limit(1000).collect())
-    return d.select("doc_id", T.redact(t, named).alias("redacted"))
+    # Each row masks its own source: the only name it can hold.
+    own = F.replace(t, F.col("source"), F.lit(T.REDACTED))
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact(own).alias("redacted"))
 
 
 @query("""WITH r AS (SELECT doc_id, unnest(['doc-' || doc_id, ' doc', 'a/b', 'a:b', '..', 'img/x.png', '../x.png', '/abs.png', 'http://x/y.png', 'a//b', 'CON.txt', 'dir/nul', 'ok/file.v1', 'end.']) AS ref FROM documents)

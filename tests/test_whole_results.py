@@ -16,3 +16,11 @@ def test_traversal_takes_every_parent_chunk(spark):
     assert max(map(len, chunks.values())) > 50
     got = {r.selection: r.paragraph_refs for r in QUERIES["paragraph_traversal"](spark, SMALL).collect()}
     assert got == {selection: ",".join(sorted(refs)) for selection, refs in wanted.items()}
+
+
+def test_redaction_masks_every_source(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", f"site-{i}.example", 6) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.redacted for r in QUERIES["secret_redaction"](spark, str(tmp_path)).collect()]
+    assert len(got) == 1500
+    assert set(got) == {"api_key=[REDACTED], Password : [REDACTED]; Bearer [REDACTED] by [REDACTED]! en"}
