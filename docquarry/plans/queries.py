@@ -652,7 +652,7 @@ def safe_references(spark, sf_dir):
 
 @query(r"SELECT doc_id, replace(lower(trim(regexp_replace('  ' || source || '  ' || text, '\s+', ' ', 'g'))), 'ß', 'ss')[1:60] AS key FROM documents")
 def concept_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(T.concept_key(F.concat(F.lit("  "), "source", F.lit("  "), "text")), 1, 60).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.concept_key(F.concat(F.lit("  "), "source", F.lit("  "), "text")).alias("key"))
 
 
 # ---- streams

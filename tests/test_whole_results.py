@@ -1,5 +1,7 @@
 """Queries return their whole results, compared with figures counted without their SQL."""
 
+import unicodedata
+
 import duckdb
 
 from docquarry.plans.queries import QUERIES
@@ -24,3 +26,10 @@ def test_redaction_masks_every_source(spark, tmp_path):
     got = [r.redacted for r in QUERIES["secret_redaction"](spark, str(tmp_path)).collect()]
     assert len(got) == 1500
     assert set(got) == {"api_key=[REDACTED], Password : [REDACTED]; Bearer [REDACTED] by [REDACTED]! en"}
+
+
+def test_concept_keys_are_whole(spark):
+    docs = duckdb.execute(f"SELECT doc_id, source, text FROM '{SMALL}/documents.parquet'").fetchall()
+    wanted = {d: " ".join(unicodedata.normalize("NFC", f"{source} {text}").split()).casefold() for d, source, text in docs}
+    assert max(map(len, wanted.values())) > 60
+    assert {r.doc_id: r.key for r in QUERIES["concept_keys"](spark, SMALL).collect()} == wanted
