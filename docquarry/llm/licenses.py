@@ -70,8 +70,8 @@ def _bands(shingles: Column, bands: int) -> Column:
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: float = 0.8, bands: int = 9, text: str = "text", key: str = "doc_id", most_templates: int = 200) -> DataFrame:
-    """doc_id, license, word (where the window begins), share: the windows that hold most of a notice
-    at their place, if that is enough."""
+    """doc_id, license, word (where the window begins), share: the windows that hold enough of a notice,
+    without those whose notice overlaps in words with that of a better one that is kept."""
     notices = NOTICES if notices is None else notices
     if len(notices) > most_templates:
         raise ValueError(f"over {most_templates} templates")
@@ -84,24 +84,33 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: f
     if not rows:
         return docs.select(F.col(key).alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("word"), F.lit(1.0).alias("share")).limit(0)
     all_known = F.array(*[F.lit(x) for x in known])
-    hashed = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h")).where(F.arrays_overlap("h", all_known))
+    hashed = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row")).where(F.arrays_overlap("h", all_known))
     # Places that hold a template's shingle, then the windows over them, for each length of template.
     places = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(all_known, x), i)), lambda i: i.isNotNull())
     found = hashed.withColumn("places", places)
-    starts = found.select("doc_id", "h", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), "places")
+    starts = found.select("doc_id", "row", "h", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), "places")
     begin = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - F.col("n") + 1), p))))
-    windows = starts.select("doc_id", "n", "h", F.explode(begin).alias("word")).select("doc_id", "n", "word", F.slice("h", F.col("word") + 1, F.col("n")).alias("window"))
+    windows = starts.select("doc_id", "row", "n", "h", F.explode(begin).alias("word")).select("doc_id", "row", "n", "word", F.slice("h", F.col("word") + 1, F.col("n")).alias("window"))
     # A window that the text's end cuts short is banded as it is.
-    banded = windows.select("doc_id", "n", "word", "window", F.explode(_bands(F.col("window"), bands)).alias("x")).select("doc_id", "n", "word", "window", "x.*")
+    banded = windows.select("doc_id", "row", "n", "word", "window", F.explode(_bands(F.col("window"), bands)).alias("x")).select("doc_id", "row", "n", "word", "window", "x.*")
     wanted = F.broadcast(templates.select("license", "own", "n", F.explode(_bands(F.col("own"), bands)).alias("x")).select("license", "own", "n", "x.*"))
     met = banded.join(wanted, ["n", "band", "value"])
     held = F.size(F.array_intersect("window", "own")) / F.size(F.array_distinct("own"))
-    matches = met.select("doc_id", "license", "word", held.alias("share")).where(F.col("share") >= share).distinct()
-    # Windows that begin within a template's length of each other are one place; its best matches count.
-    order, reach = Window.partitionBy("doc_id").orderBy("word", "license"), max(sizes) + SHINGLE - 1
-    fresh = F.coalesce((F.col("word") - F.lag("word").over(order) >= reach).cast("int"), F.lit(1))
-    placed = matches.withColumn("fresh", fresh).withColumn("place", F.sum("fresh").over(order))
-    best = placed.withColumn("best", F.max("share").over(Window.partitionBy("doc_id", "place"))).where("share = best")
+    # The words of the notice that a window holds: from its first shingle found to its last.
+    at = F.filter(F.transform("window", lambda x, i: F.when(F.array_contains("own", x), i)), lambda i: i.isNotNull())
+    enough = met.withColumn("share", held).where(F.col("share") >= share).withColumn("at", at)
+    matches = enough.select("doc_id", "row", "license", "word", "share", (F.col("word") + F.array_min("at")).alias("first"), (F.col("word") + F.array_max("at") + SHINGLE).alias("end")).distinct()
+    # Runs of overlapping matches; in each, from the best down, what overlaps a better kept one is left out.
+    order = Window.partitionBy("doc_id", "row").orderBy("first", "end", "word", "license", "share")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = matches.withColumn("fresh", F.coalesce((F.col("first") >= before).cast("int"), F.lit(1))).withColumn("place", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = placed.groupBy("doc_id", "row", "place").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("less"), "word", "license", "first", "end", "share"))).alias("m"))
+
+    def beaten(kept: Column, x: Column) -> Column:
+        return F.exists(kept, lambda k: (k["share"] > x["share"]) & (k["first"] < x["end"]) & (x["first"] < k["end"]))
+
+    kept = F.aggregate("m", F.slice("m", 1, 0), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    best = runs.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.license", "k.word", "k.share").distinct()
     return best.select("doc_id", "license", "word", "share")
 
 
