@@ -7,8 +7,10 @@ share of the template's shingles that the window holds. A window with a share of
 similarity of 2/3 or more to its template, so it collides in some band with probability
 1 - (1/3)^bands > 0.9999 for 9 bands, and surely if it holds the whole template.
 
-Windows that hold no shingle of any template have similarity 0 and are not banded; this leaves out no
-match. Templates are a parameter of at most ``most_templates`` notices, which bounds what is broadcast.
+Windows that hold too few shingles of the templates of their length for any share of 0.8 are not banded;
+this leaves out no match. Templates are a parameter of at most ``most_templates`` notices, which bounds
+what is broadcast. SPDX lines name licenses by identifier, as some are shorter than a shingle; those of the
+templates' licenses count, with "-only", "-or-later" and "+" left off.
 
 Defined results: a null or empty text, or one of fewer words than a shingle, has no license; rows that
 repeat a doc_id with other texts get the union; an empty table gives no rows.
@@ -16,9 +18,12 @@ repeat a doc_id with other texts get the union; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.license_texts import TEXTS, WORDINGS
 from docquarry.session import table
 
 # License notices by SPDX identifier.
@@ -40,7 +45,12 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# What the query scans for.
+TEMPLATES = NOTICES + TEXTS + WORDINGS
+
 SHINGLE = 5
+SPDX_TAG, SPDX_ID = r"(?i)SPDX-License-Identifier:", r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+SPDX_EXPRESSION = rf"^\s*(\(*{SPDX_ID}\)*(?:\s+(?:OR|AND|WITH)\s+\(*{SPDX_ID}\)*)*)"
 
 
 def words_of(text: Column) -> Column:
@@ -79,17 +89,22 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: f
     templates = spark.createDataFrame(notices, "license string, text string").select("license", shingles_of(words_of(F.col("text"))).alias("own"))
     templates = templates.where(F.size("own") > 0).withColumn("n", F.size("own"))
     rows = templates.collect()
-    known = sorted({x for r in rows for x in r["own"]})
-    sizes = sorted({r["n"] for r in rows})
     if not rows:
         return docs.select(F.col(key).alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("word"), F.lit(1.0).alias("share")).limit(0)
-    all_known = F.array(*[F.lit(x) for x in known])
-    hashed = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row")).where(F.arrays_overlap("h", all_known))
-    # Places that hold a template's shingle, then the windows over them, for each length of template.
-    places = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(all_known, x), i)), lambda i: i.isNotNull())
-    found = hashed.withColumn("places", places)
-    starts = found.select("doc_id", "row", "h", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), "places")
-    begin = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - F.col("n") + 1), p))))
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(r["n"], []).append(set(r["own"]))
+
+    def among(values: set) -> str:
+        return ", ".join(f"{x}L" for x in sorted(values))
+
+    all_known = among({x for r in rows for x in r["own"]})
+    hashed = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row")).where(F.expr(f"exists(h, x -> x in ({all_known}))"))
+    # Places that hold a template's shingle; for each length of template, the windows with enough of them.
+    hits = F.expr(f"filter(transform(h, (x, i) -> struct(i as i, x as x)), e -> e.x in ({all_known}))")
+    spots = [F.struct(F.lit(n).alias("n"), F.lit(min(math.ceil(share * len(o) - 1e-9) for o in owns)).alias("need"), F.expr(f"transform(filter(hits, e -> e.x in ({among(set().union(*owns))})), e -> e.i)").alias("p")) for n, owns in sorted(by_size.items())]
+    starts = hashed.withColumn("hits", hits).select("doc_id", "row", "h", F.explode(F.array(*spots)).alias("s")).select("doc_id", "row", "h", "s.*").where("size(p) >= need")
+    begin = F.expr("array_distinct(flatten(transform(filter(sequence(1, size(p) - need + 1), i -> p[i + need - 2] - p[i - 1] < n), i -> sequence(greatest(0, p[i + need - 2] - n + 1), p[i - 1]))))")
     windows = starts.select("doc_id", "row", "n", "h", F.explode(begin).alias("word")).select("doc_id", "row", "n", "word", F.slice("h", F.col("word") + 1, F.col("n")).alias("window"))
     # A window that the text's end cuts short is banded as it is.
     banded = windows.select("doc_id", "row", "n", "word", "window", F.explode(_bands(F.col("window"), bands)).alias("x")).select("doc_id", "row", "n", "word", "window", "x.*")
@@ -111,13 +126,26 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: f
 
     kept = F.aggregate("m", F.slice("m", 1, 0), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     best = runs.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.license", "k.word", "k.share").distinct()
-    return best.select("doc_id", "license", "word", "share")
+    return best.select("doc_id", "license", "word", "share").unionByName(_spdx(docs, sorted({n for n, _ in notices}), text, key))
+
+
+def _spdx(docs: DataFrame, licenses: list[str], text: str, key: str) -> DataFrame:
+    """The licenses that SPDX lines name, with the word at which the line begins."""
+    parts = docs.where(F.col(text).rlike(SPDX_TAG)).select(F.col(key).alias("doc_id"), F.split(text, SPDX_TAG).alias("parts"))
+    sized = parts.withColumn("sizes", F.transform("parts", lambda p: F.size(words_of(p))))
+    tags = sized.select("doc_id", "sizes", F.posexplode("parts").alias("k", "part")).where("k > 0")
+    word = F.expr("aggregate(slice(sizes, 1, k), 0, (a, x) -> a + x) + 3 * (k - 1)")
+    ids = F.regexp_extract_all(F.regexp_extract("part", SPDX_EXPRESSION, 1), F.lit(f"({SPDX_ID})"), F.lit(1))
+    named = tags.select("doc_id", word.alias("word"), F.explode(ids).alias("id"))
+    found = named.withColumn("id", F.regexp_replace(F.lower("id"), r"(?:-only|-or-later|\+)?\.*$", ""))
+    known = docs.sparkSession.createDataFrame([(n.lower(), n) for n in licenses], "id string, license string")
+    return found.join(F.broadcast(known), "id").select("doc_id", "license", "word", F.lit(1.0).alias("share")).distinct()
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: the licenses it names (sorted, comma-joined) and the windows that match."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    per = scan(docs).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("license").alias("n_licenses"), F.max("share").alias("best_share"), F.min("word").alias("first_word"))
+    per = scan(docs, TEMPLATES).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("license").alias("n_licenses"), F.max("share").alias("best_share"), F.min("word").alias("first_word"))
     return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_licenses", F.lit(0).cast("long")).alias("n_licenses"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"), F.coalesce("first_word", F.lit(-1)).alias("first_word"))
 
 
