@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass: a block inside a boilerplate container, or
-made of links, is bad; one inside the article, or with enough stop words or length, is good; short ones
+made of links outside the article, is bad; one inside it, or with enough stop words or length, is good; short ones
 stay open. Second pass: open blocks take the label of the nearest decided neighbours; where these differ
 or there are none, the block is good only inside the article.
 
@@ -149,7 +149,7 @@ def main_text(page: str | None, low: int = 70, high: int = 200, stop_share: floa
     has_article = any(article and not bad for _, _, bad, article, _ in found)
     label: list[str] = []
     for text, links, bad, article, _ in found:
-        if bad or links > link_share * len(text):
+        if bad or (links > link_share * len(text) and not article):
             label.append("bad")
         elif has_article and not article:
             label.append("bad")
