@@ -13,6 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as ``select`` reads them: dots and signs stay parts of a name."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words [^\x20\x09-\x0D]+ of the lower-cased text.
 SPACED = bytes(32 if b == 32 or 9 <= b <= 13 else _LOWER[b] for b in range(256))
