@@ -1,23 +1,26 @@
 """Near-duplicate groups by MinHash and an LSH forest.
 
-1. Every text becomes its set of distinct shingles; equal sets are one class, stood for by its least
-   doc_id, so that copies cost one row each and no pairs. MinHash gives each class ``trees`` sequences of
-   ``depth`` values.
-2. Forest: in each tree the classes are ordered by their sequence; a region is a run that agrees in the
-   first ``least_depth`` values. Regions of one class end here.
-3. Links, in rounds that look only where different components still meet: (a) each class with the least
-   class of its regions; (b) neighbours in the order of each tree, where a region of over ``hot`` classes
-   is cut deeper, down to whole sequences; (c) what is left: in regions that still hold several
-   components, all members but those of the largest component are compared with every member, in blocks of
-   ``block`` sets, so no region is too large and no candidate is dropped.
-   Every link is confirmed on the full sets. A task gives links only where they join components.
+1. Every text becomes its set of distinct shingles; equal sets are one class, so that copies cost one row each
+   and no pairs. MinHash gives each class ``trees`` sequences of ``depth`` values.
+2. Forest: for each tree the classes are dealt out and sorted by their sequence, over all tasks, so that a group
+   of any size is many ranges. A region is a run that agrees in the first ``least_depth`` values. Inside a region
+   depth follows the data: each class has as candidates the first class of the deepest run in which it is not
+   the first itself, and its neighbours in the order, which share the longest common prefix with it: in a region
+   of up to ``neighbours`` + 1 classes all others, in a larger one the next.
+3. Links: (a) each class with the candidate of the longest prefix over all trees; (b) candidates that lie in
+   different components: all in small regions, in larger ones again those of the longest prefix; (c) what the
+   orders leave open, that is classes of larger regions that still hold several components, by an exact join
+   on their rarest shingles (see ``_rest``). Every link is confirmed on the full sets.
 4. Components of the links (see ``components``), then back to the documents.
 
-A pair of similarity 0.85 shares a region in some tree with probability 1 - (1 - 0.85^3)^16 > 0.9999997.
+A pair of similarity 0.85 shares a region in some tree with probability 1 - (1 - 0.85^3)^16 > 0.9999997, and is
+then compared or already connected: no region is too large, and no candidate is dropped.
 
 Defined results: null, empty and blank texts have no shingles, n_shingles 0 and no links; a text of fewer
-words than a shingle is one shingle; rows that repeat a text are linked; a row without doc_id is linked
-with nothing: its component_id is null and it is kept; an empty table gives no rows.
+words than a shingle is one shingle; rows that repeat a text are linked; rows that repeat a doc_id with other
+texts are linked each by its own text; a row without doc_id is linked with nothing: its component_id is null
+and it is kept; an empty table gives no rows. Only the id and the text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components
-from docquarry.llm.textkeys import SPACED, keyed, mix64, shingle_keys, slices
+from docquarry.llm.skewed import joined
+from docquarry.llm.textkeys import SPACED, keyed, mix64, quoted, shingle_keys, slices
 from docquarry.session import saved, table
 
 SHINGLE = 5
@@ -47,6 +51,10 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.nda
     return out
 
 
+def _digest(keys: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None
+
+
 class MinHash:
     def __init__(self, n: int, seed: int = 1):
         self.a = mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
@@ -64,23 +72,104 @@ def _signatures(docs: DataFrame, trees: int, depth: int, shingle: int) -> DataFr
         minhash = MinHash(trees * depth)
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist(), shingle)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digest = [_digest(s) for s in sets]
             sig = [minhash(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int, most_broadcast: int = 500_000) -> DataFrame:
-    """doc_id, keys (sorted little-endian u64) of the documents named by ids."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, most_broadcast: int = 500_000) -> DataFrame:
+    """node, keys (sorted little-endian u64) of the classes ``wanted`` (node, rep, digest), read from the rows of
+    their ids; a class comes as often as its id and text are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "keys"])
-
-    few = ids.count() <= most_broadcast  # eight bytes each
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, keys binary")
+            digest = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), part.column("doc_id")], names=["digest", "keys", "rep"])
+
+    few = wanted.count() <= most_broadcast  # 24 bytes each
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    some = docs.join(sent(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(run, "digest binary, keys binary, rep long")
+    return some.join(sent(wanted), ["rep", "digest"]).select("node", "keys")
+
+
+def _forest(signatures: DataFrame, classes: int, trees: int, depth: int, least: int, neighbours: int, rows_per_range: int) -> DataFrame:
+    """The trees' sorted orders: h (region), node, parent, up (prefix shared with it), next (a list), along (prefix
+    shared with the first of it) and small (whether the region has no others than these), for each class and tree
+    that has neighbours."""
+    spark, size, edge = signatures.sparkSession, 4 * depth, neighbours + 1
+    keys = F.array(*[F.substring("sig", t * size + 1, size) for t in range(trees)])
+    rows = signatures.select("node", F.posexplode(keys).alias("tree", "key")).select(F.lit(0).alias("border"), "tree", "key", "node", F.xxhash64("tree", F.substring("key", 1, 4 * least)).alias("h"))
+    ranges = max(spark.sparkContext.defaultParallelism, classes * trees // rows_per_range)
+    found = "h long, node long, parent long, up int, next array<long>, along int, small boolean"
+    more = [("border", pa.string()), ("tree", pa.int32()), ("key", pa.binary())]
+
+    def walk(rows: pa.Table, inside: bool) -> pa.RecordBatch:
+        """``inside``: these rows are a piece of the order, which goes on before and behind them."""
+        n = rows.num_rows
+        values = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(n, depth)
+        node, h, tree, border = (rows.column(c).to_numpy() for c in ("node", "h", "tree", "border"))
+        same = (values[1:] == values[:-1]) & ((tree[1:] == tree[:-1]) & (border[1:] == border[:-1]))[:, None]
+        lcp = np.zeros(n + 1, np.int64)  # with the row before; 0 at both ends
+        lcp[1:n] = np.where(same.all(1), depth, np.argmin(same, 1))
+        at, head = np.arange(n), np.zeros(n, np.int64)
+        for d in range(least, depth + 1):
+            first = np.maximum.accumulate(np.where(lcp[:n] < d, at, 0))
+            head = np.where(lcp[:n] == d, first, head)
+        begin = np.flatnonzero(lcp[:n] < least)
+        count = np.diff([*begin, n])
+        region, size = np.repeat(np.arange(len(begin)), count), np.repeat(count, count)
+        small = (size <= edge) & (region > 0) & (region < len(begin) - 1) & inside
+        some = np.flatnonzero(size > 1)
+        behind = np.repeat(begin + count, count) - at - 1
+        width = np.where(small, behind, np.minimum(behind, 1))[some]
+        places = np.repeat(some - np.cumsum(width) + width, width) + np.arange(int(width.sum())) + 1
+        out = {
+            "h": pa.array(h[some], pa.int64()),
+            "node": pa.array(node[some], pa.int64()),
+            "parent": pa.array(node[head[some]], pa.int64(), mask=lcp[:n][some] < least),
+            "up": pa.array(lcp[:n][some], pa.int32()),
+            "next": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(node[places], pa.int64())),
+            "along": pa.array(lcp[1:][some], pa.int32()),
+            "small": pa.array(small[some]),
+        }
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The piece's rows, and then its first and last ones as they came, for the borders."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        out = walk(rows, True)
+        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for _, t in more)], names=[*out.schema.names, *(n for n, _ in more)])
+        for side, ends in (("first", rows.slice(0, edge)), ("last", rows.slice(max(0, rows.num_rows - edge)))):
+            for part in ends.combine_chunks().to_batches():
+                n = part.num_rows
+                made = {"h": part.column("h"), "node": part.column("node"), "border": pa.array([side] * n), "tree": part.column("tree"), "key": part.column("key")}
+                yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(n, f.type)) for f in [*out.schema, *(pa.field(*m) for m in more)]], names=[*out.schema.names, *(m for m, _ in more)])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield walk(pa.Table.from_batches(held).combine_chunks(), False)
+
+    order = ["tree", "key", "node"]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(inner, f"{found}, border string, tree int, key binary")
+    dealt = saved(dealt.withColumn("piece", F.spark_partition_id()), "orders")
+    # The last rows of each piece and the first of the next one that has rows meet at a border of their own.
+    ends = dealt.where("border IS NOT NULL")
+    pieces = sorted(r[0] for r in ends.select("piece").distinct().collect())  # one number for each piece
+    places = spark.createDataFrame(list(zip(pieces, range(len(pieces)), strict=True)), "piece int, place int")
+    ends = ends.join(F.broadcast(places), "piece").select((F.col("place") - (F.col("border") == "first").cast("int")).alias("border"), *order, "h")
+    ends = ends.repartition("border").sortWithinPartitions("border", *order).mapInArrow(across, found)
+    names = [c.split()[0] for c in found.split(", ")]
+    return dealt.where("border IS NULL").select(*names).unionByName(ends)
 
 
 def _similar(common: np.ndarray, a: int | np.ndarray, b: int | np.ndarray, percent: int) -> np.ndarray:
@@ -116,9 +205,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int =
                     b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    pairs = saved(pairs, "pairs")
     n = pairs.groupBy("hub").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))
-    salted = saved(pairs.join(n, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt")), "pairs")
-    s = sets.withColumnRenamed("doc_id", "doc")
+    salted = saved(joined(pairs, n, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt")), "salted")
+    s = sets.withColumnRenamed("node", "doc")
     members = salted.join(s, "doc").select("hub", "salt", F.lit(1).alias("role"), "doc", "keys")
     hubs = salted.select("hub", "salt").distinct().withColumn("doc", F.col("hub")).join(s, "doc").select("hub", "salt", F.lit(0).alias("role"), "doc", "keys")
     rows = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
@@ -156,12 +246,40 @@ def block_links(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[
     return links
 
 
-def _rest(regions: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links in regions (h, doc, component) that hold several components: those outside the region's
+def _rest(open_classes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) among ``open_classes`` (node, component) that join components, by an exact join.
+
+    Shingles are ordered by how many of these classes have them. Of two sets that are similar enough, the rarest
+    n - ceil(percent n / 100) + 1 shingles of each have one in common, so classes meet at those only. Shingles
+    that one class alone has fill these places first, so classes that share no more than a template do not meet.
+    Shingles of the same classes are one group; a group is compared in blocks of about ``block`` sets.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(k.as_buffer(), "<i8") for k in batch.column("keys")]
+            if keys:
+                size = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(batch.column("node").to_numpy(), size), pa.int64())], names=["key", "node"])
+
+    tokens = saved(sets.join(open_classes.select("node"), "node", "left_semi").mapInArrow(exploded, "key long, node long"), "tokens")
+    counts = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    shared = joined(tokens, counts, "key").join(open_classes, "node").join(sizes, "node")
+    own = Window.partitionBy("node")
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.count("*").over(own))
+    prefix = saved(shared.withColumns({"places": first, "place": F.row_number().over(own.orderBy("f", "key"))}).where("place <= places").select("key", "node", "component"), "prefixes")
+    groups = prefix.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).where("c > 1 AND x != y")
+    groups = groups.groupBy("c", "x", "y", "p", "q").agg(F.min("key").alias("key"))
+    met = saved(joined(prefix, groups.select("key"), "key").select(F.col("key").alias("h"), F.col("node").alias("doc"), "component"), "groups")
+    return _compared(met, sets, percent, block)
+
+
+def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links in groups (h, doc, component) that hold several components: those outside the group's
     largest component against all members, in blocks of about ``block`` members."""
     per = regions.groupBy("h", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("h").agg(F.sum("n").alias("c"), F.max(F.struct("n", F.col("component").alias("top")))["top"].alias("top"))
-    rows = regions.join(top, "h").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    rows = joined(regions, top, "h").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
     members = rows.select("h", F.pmod(F.xxhash64("doc", "h"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "doc", "component")
     queries = rows.where("component != top").select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "component")
 
@@ -186,75 +304,72 @@ def _rest(regions: DataFrame, sets: DataFrame, percent: int, block: int) -> Data
         if queries:
             yield links()
 
-    both = members.unionByName(queries).join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    both = members.unionByName(queries).join(sets.withColumnRenamed("node", "doc"), "doc")
     rows = both.repartition("h", "part").sortWithinPartitions("h", "part", "role")
     return rows.select("h", "part", "role", "doc", "component", "keys").mapInArrow(run, "a long, b long")
 
 
-def _labelled(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """Regions (h, key, doc, c) with the component of each class, where a region has several."""
-    named = regions.join(parts, regions["doc"] == parts["node"], "left").select("h", "key", "doc", "c", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("h")
-    return named.join(mixed, "h", "left_semi")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth: int = 6, least_depth: int = 3, neighbours: int = 3, hot: int = 1024, block: int = 256, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth: int = 6, least_depth: int = 3, neighbours: int = 3, block: int = 256, rows_per_range: int = 300_000, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(quoted([key])[0]).cast("long").alias("doc_id"), F.col(quoted([text])[0]).alias("text"))
     rows = saved(_signatures(docs, trees, depth, shingle), "signatures")
     # Rows with no id or no shingles take no part in what follows.
-    classes = saved(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = rows.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
-    size = 4 * depth
-    tree_keys = F.array(*[F.substring("sig", t * size + 1, size) for t in range(trees)])
-    forest = reps.select("doc_id", F.posexplode(tree_keys).alias("tree", "key")).select(F.xxhash64("tree", F.substring("key", 1, 4 * least_depth)).alias("h"), "key", F.col("doc_id").alias("doc"))
-    several = forest.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("pivot")).where("c > 1")
-    regions = saved(forest.join(several, "h"), "regions")
-    sets = saved(_sets(docs, regions.select(F.col("doc").alias("doc_id")).distinct(), shingle), "sets")
-
-    stars = regions.where("doc != pivot").groupBy("doc").agg(F.min("pivot").alias("hub"))
-    links = saved(_confirmed(stars, sets, percent), "links")
+    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = saved(full.join(classes.select(F.col("rep").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).select("node", "sig"), "class-signatures")
+    n_classes = classes.count()
+    once = found.count() == n_classes  # no row repeats both id and text of a class
+    forest = saved(_forest(found if once else found.dropDuplicates(["node"]), n_classes, trees, depth, least_depth, neighbours, rows_per_range), "forest")
+    near = forest.select("node").distinct()
+    sets = _sets(docs, classes.select("node", "rep", "digest").join(near, "node", "left_semi"), shingle)
+    sets = saved(sets if once else sets.dropDuplicates(["node"]), "sets")
+
+    ups = forest.where("parent IS NOT NULL").groupBy("node").agg(F.max(F.struct("up", (-F.col("parent")).alias("less")))["less"].alias("less"))
+    links = saved(_confirmed(ups.select((-F.col("less")).alias("hub"), F.col("node").alias("doc")), sets, percent), "links")
     parts = components(links)
 
-    mixed = saved(_labelled(regions.drop("pivot"), parts), "mixed")
-    if mixed.isEmpty():
-        return _assigned(rows, classes, parts)
-    deeper = F.when(F.col("c") > hot, F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / hot)))).otherwise(F.lit(0))
-    order = Window.partitionBy("h", "deeper").orderBy("key", "doc")
-    ordered = mixed.withColumn("deeper", deeper)
-    ordered = ordered.withColumns({f"next{j}": F.lead(F.struct("doc", "component"), j).over(order) for j in range(1, neighbours + 1)})
-    nexts = F.filter(F.array(*[f"next{j}" for j in range(1, neighbours + 1)]), lambda x: x["component"] != F.col("component"))
-    near = ordered.select("doc", F.explode(nexts).alias("x")).select(F.least("doc", "x.doc").alias("hub"), F.greatest("doc", "x.doc").alias("doc")).distinct()
-    links = saved(links.unionByName(_confirmed(near, sets, percent)), "links")
+    def named(df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the component of the class in ``column``: itself if it has no link."""
+        return joined(df, parts.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+    pairs = forest.select("node", F.explode("next").alias("other"), F.col("along").alias("lcp"), "small").unionByName(forest.where("parent IS NOT NULL").select("node", F.col("parent").alias("other"), F.col("up").alias("lcp"), "small"))
+    pairs = saved(pairs.groupBy("node", "other").agg(F.max("lcp").alias("lcp"), F.max("small").alias("small")), "candidates")
+    apart = named(saved(named(pairs, "node", "own"), "candidates"), "other", "its").where("own != its")
+    apart = saved(apart, "apart")
+    best = apart.where("NOT small").groupBy("node").agg(F.max(F.struct("lcp", (-F.col("other")).alias("less")))["less"].alias("less")).select("node", (-F.col("less")).alias("other"))
+    chosen = apart.where("small").select("node", "other").unionByName(best).select(F.least("node", "other").alias("hub"), F.greatest("node", "other").alias("doc")).distinct()
+    links = saved(links.unionByName(_confirmed(chosen, sets, percent)), "links")
     parts = components(links)
 
-    mixed = saved(_labelled(mixed.drop("component"), parts), "mixed")
-    if mixed.isEmpty():
-        return _assigned(rows, classes, parts)
-    rest = saved(_rest(mixed.select("h", "doc", "component"), sets, percent, block).distinct(), "rest")
-    if rest.isEmpty():
-        return _assigned(rows, classes, parts)
-    return _assigned(rows, classes, components(links.unionByName(rest)))
+    # Regions that are not small and still hold several components.
+    members = saved(named(forest.where("NOT small").select("h", "node"), "node", "component"), "members")
+    mixed = members.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("h")
+    left = saved(joined(members, mixed, "h", "left_semi").select("node", "component").distinct(), "open")
+    if not left.isEmpty():
+        links = saved(links.unionByName(_rest(left, classes.select("node", "n_shingles"), sets, percent, block).distinct()), "links")
+        parts = components(links)
+    return _assigned(rows, classes, parts)
 
 
 def _assigned(rows: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Every row with the component of its class. Classes of over a thousandth of the rows are joined by
-    broadcast, so that no task holds a hot one."""
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    total = rows.count()
-    hot_classes = F.broadcast(named.where(F.col("n") * 1000 > total).drop("n"))  # a thousand rows at most
-    linked = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    cold = linked.join(hot_classes, "digest", "left_anti").join(named.where(F.col("n") * 1000 <= total).drop("n"), "digest", "left")
-    found = linked.join(hot_classes, "digest").unionByName(cold).select("doc_id", "n_shingles", "component_id")
-    found = found.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    """Every row with the least doc_id of its class's component."""
+    linked = saved(parts.join(classes.select("node", "rep"), "node").select("node", "component", "rep"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = joined(linked, least, "component").select("node", "component_id")
+    named = classes.join(ids, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    some = joined(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest"), named, "digest", "left").select("doc_id", "n_shingles", "component_id")
+    found = some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller id; of rows repeating an id, all stay or go."""
-    gone = near_duplicates(docs, text=text, key=key, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """``docs`` without the rows whose group has a smaller id. Rows that repeat an id stay if one of them does."""
+    found = near_duplicates(docs, text=text, key=key, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    own = "id" + "_" * max(map(len, docs.columns))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(quoted([key])[0]) == F.col(own), "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Words and shingles of many texts at once, as 64-bit keys in numpy arrays.
 
 Texts are translated byte by byte (UTF-8; A-Z to lower case, separators to a space), so that words are
-what ``bytes.split()`` gives. A word's key is a sum of byte values times powers of an odd number, mixed;
-a shingle's key combines the keys of its words. Keys depend on nothing but the words.
+what ``bytes.split()`` gives. A word's key is a sum of byte values times a pseudorandom factor of each place, mixed
+(multilinear hashing); a shingle's key combines the keys of its words. Keys depend on nothing but the words.
 """
 
 from __future__ import annotations
@@ -35,14 +35,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-_POWER = np.array([pow(_ODD, i, 2**64) for i in range(64)], np.uint64)
+_FACTOR = np.zeros(0, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    while len(_POWER) < n:
-        _POWER = np.concatenate([_POWER, _POWER * np.uint64(pow(_ODD, len(_POWER), 2**64))])
-    return _POWER
+def _factors(n: int) -> np.ndarray:
+    """An odd pseudorandom factor for each place in a word."""
+    global _FACTOR
+    if len(_FACTOR) < n:
+        _FACTOR = mix64(np.arange(1, max(n, 64) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return _FACTOR
 
 
 def word_spans(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ def word_keys(buf: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     place = np.arange(int(size.sum())) - np.repeat(first, size)
     data = np.frombuffer(buf, np.uint8)
     data = data[data != 32]
-    return mix64(np.add.reduceat(_BYTE[data] * _powers(int(size.max()))[place], first))
+    return mix64(np.add.reduceat(_BYTE[data] * _factors(int(size.max()))[place], first) + size.astype(np.uint64))
 
 
 def shingle_keys(words: np.ndarray, k: int) -> np.ndarray:

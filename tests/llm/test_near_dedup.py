@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from docquarry.llm.components import components
-from docquarry.llm.near_dedup import block_links, deduplicated, near_duplicates
+from docquarry.llm.near_dedup import block_links, deduplicated, near_duplicates, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,7 +58,7 @@ def corpus(seed, groups=12):
 
 
 def test_equals_brute_force(spark):
-    for seed, options in ((1, {}), (2, {"hot": 4, "block": 8, "neighbours": 1})):
+    for seed, options in ((1, {}), (2, {"block": 8, "neighbours": 1, "rows_per_range": 40})):
         rows = corpus(seed)
         d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, component long")
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(d, **options).collect())
@@ -89,3 +89,41 @@ def test_block_links_join_all_similar_members():
     links = block_links(sets[:10], sets[10:], 85)
     same = {(a, b) for a in range(10, 20) for b in range(10) if 100 * (100 - a) >= 85 * (100 + a)}
     assert all((a, b) in same for a, b in links) and {a for a, _ in links} == {a for a, _ in same}
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rng = random.Random(4)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    near_a, near_b, again = ([*w[:-1], "other"] for w in (a, b, a))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near_a)), (3, " ".join(near_b)), (4, " ".join(again)), (1, " ".join(a))]
+    d = spark.createDataFrame([(*r, 1, "x", True) for r in rows], "doc_id long, text string, `Node` int, `a.b` string, kept boolean")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(d).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 1, False)]
+    left = deduplicated(d)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 1, 1]
+
+
+def test_texts_that_share_a_template_do_not_meet(spark):
+    """0.7 similar to each other, linked with nothing, but for two pairs: no comparison of all with all."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+    texts = [" ".join(base + [f"u{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(1500)]
+    texts[1400], texts[77] = texts[3] + " more", texts[76] + " more"
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {d: c for d, c in got.items() if c != d} == {1400: 3, 77: 76}
+
+
+def test_word_keys_tell_long_words_apart():
+    word = "a"
+    while len(word) < 2048:  # sums of powers of one number do not tell these apart
+        word += word.translate({97: "b", 98: "a"})
+    x, y = shingle_sets([word, word.translate({97: "b", 98: "a"})])
+    assert len(x) == len(y) == 1 and x[0] != y[0]
+
+
+def test_texts_that_are_very_long_or_made_of_common_parts(spark):
+    rng = random.Random(6)
+    parts = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(6)]
+    texts = [" ".join(rng.sample(parts, 4)) for _ in range(150)] + ["w " * 300_000 + "x" * 3_000_000, "w " * 200_000 + "x" * 3_000_000]
+    rows = list(enumerate(texts))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
