@@ -1,29 +1,30 @@
 """License scan with DataFrame and SQL functions only.
 
-A text becomes the sequence of its 5-word shingle hashes. Overlapping windows, one beginning at each word
-and as long as a template, get MinHash bands of one row each: the least of their shingles' hashes under
-each of ``bands`` seeds. Bands are joined with the templates' bands, and each candidate is verified by the
-share of the template's shingles that the window holds. A window with a share of 0.8 or more has a
-similarity of 2/3 or more to its template, so it collides in some band with probability
-1 - (1/3)^bands > 0.9999 for 9 bands, and surely if it holds the whole template.
-
-Windows that hold too few shingles of the templates of their length for any share of 0.8 are not banded;
-this leaves out no match. Templates are a parameter of at most ``most_templates`` notices, which bounds
-what is broadcast. SPDX lines name licenses by identifier, as some are shorter than a shingle; those of the
-templates' licenses count, with "-only", "-or-later" and "+" left off.
+A text becomes the sequence of its 5-word shingle hashes. Its windows begin at each word and are as long as a
+template, so they overlap. MinHash bands of one row retrieve: band b of a template is its shingle with the least
+hash under seed b, and a window meets the template in that band if this shingle is also the window's least. So
+only the shingles that are some template's least are looked up in a text, and around each one found the run of
+windows in which nothing is less gives the windows that meet. Each is verified by the exact share of the
+template's shingles that it holds. A window with a share of 0.8 or more has a similarity of 2/3 or more to its
+template, so it meets in some band with probability 1 - (1/3)^bands > 0.999998 for 12 bands, and surely if it
+equals the template.
+
+Templates are a parameter of at most ``most_templates`` notices, which bounds what is looked up and broadcast.
+SPDX lines name licenses by identifier, as some are shorter than a shingle; those of the templates' licenses
+count, with "-only", "-or-later" and "+" left off.
 
 Defined results: a null or empty text, or one of fewer words than a shingle, has no license; rows that
-repeat a doc_id with other texts get the union; an empty table gives no rows.
+repeat a doc_id, or have none, with other texts are scanned each by itself; the query unites rows that repeat an
+id; an empty table gives no rows. Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.license_texts import TEXTS, WORDINGS
+from docquarry.llm.textkeys import quoted
 from docquarry.session import table
 
 # License notices by SPDX identifier.
@@ -72,44 +73,51 @@ def shingles_of(words: Column) -> Column:
     return _let(words, hashes)
 
 
-def _bands(shingles: Column, bands: int) -> Column:
-    def low(b: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b))))
+def _bands(templates: DataFrame, bands: int) -> DataFrame:
+    """license, own (shingles), n, and of each band the least hash and its shingle."""
+
+    def least(b: int) -> Column:
+        return F.array_min(F.transform("own", lambda x: F.struct(F.xxhash64(x, F.lit(b)).alias("low"), x.alias("key"))))
+
+    each = F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(bands)])
+    return templates.select("license", "own", "n", F.explode(each).alias("b")).select("license", "own", "n", "b.band", "b.least.low", "b.least.key")
+
 
-    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("value")) for b in range(bands)])
+def _met(hashed: DataFrame, bands: DataFrame, reach: int) -> DataFrame:
+    """The windows of ``hashed`` (doc_id, row, h) that meet a template in a band: with the template's columns,
+    the word where they begin, and their shingles."""
+    known = ", ".join(f"{r[0]}L" for r in bands.select("key").distinct().collect())  # a few for each template
+    found = F.expr(f"filter(transform(h, (x, i) -> struct(i as at, x as key)), e -> e.key in ({known}))")
+    # What lies within a window's length on both sides of a shingle that was found.
+    around = F.transform(found, lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), F.greatest(F.lit(0), e["at"] - (reach - 1)).alias("start"), F.slice("h", F.greatest(F.lit(1), e["at"] - (reach - 2)), F.lit(2 * reach - 1)).alias("near")))
+    hits = hashed.where(F.expr(f"exists(h, x -> x in ({known}))")).select("doc_id", "row", F.explode(around).alias("x")).select("doc_id", "row", "x.*")
+    met = hits.join(F.broadcast(bands), "key")
+    less = F.transform("near", lambda x, i: F.when(F.xxhash64(x, F.col("band")) < F.col("low"), i + F.col("start")))
+    met = met.withColumn("less", less)
+    before = F.array_max(F.filter("less", lambda i: i < F.col("at")))
+    behind = F.array_min(F.filter("less", lambda i: i > F.col("at")))
+    first = F.greatest(F.lit(0), F.col("at") - F.col("n") + 1, F.coalesce(before + 1, F.lit(0)))
+    last = F.least(F.col("at"), F.coalesce(behind - F.col("n"), F.col("at")))
+    runs = met.select("doc_id", "row", "license", "own", "n", "start", "near", first.alias("from"), last.alias("to")).where("from <= to")
+    windows = runs.select("doc_id", "row", "license", "own", "n", "start", "near", F.explode(F.sequence("from", "to")).alias("word"))
+    return windows.select("doc_id", "row", "license", "own", "word", F.slice("near", F.col("word") - F.col("start") + 1, F.col("n")).alias("window"))
 
 
-def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: float = 0.8, bands: int = 9, text: str = "text", key: str = "doc_id", most_templates: int = 200) -> DataFrame:
+def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: float = 0.8, bands: int = 12, text: str = "text", key: str = "doc_id", most_templates: int = 200) -> DataFrame:
     """doc_id, license, word (where the window begins), share: the windows that hold enough of a notice,
     without those whose notice overlaps in words with that of a better one that is kept."""
     notices = NOTICES if notices is None else notices
     if len(notices) > most_templates:
         raise ValueError(f"over {most_templates} templates")
     spark = docs.sparkSession
+    docs = docs.select(F.col(quoted([key])[0]).alias("doc_id"), F.col(quoted([text])[0]).alias("text"))
     templates = spark.createDataFrame(notices, "license string, text string").select("license", shingles_of(words_of(F.col("text"))).alias("own"))
     templates = templates.where(F.size("own") > 0).withColumn("n", F.size("own"))
-    rows = templates.collect()
-    if not rows:
-        return docs.select(F.col(key).alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("word"), F.lit(1.0).alias("share")).limit(0)
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(r["n"], []).append(set(r["own"]))
-
-    def among(values: set) -> str:
-        return ", ".join(f"{x}L" for x in sorted(values))
-
-    all_known = among({x for r in rows for x in r["own"]})
-    hashed = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row")).where(F.expr(f"exists(h, x -> x in ({all_known}))"))
-    # Places that hold a template's shingle; for each length of template, the windows with enough of them.
-    hits = F.expr(f"filter(transform(h, (x, i) -> struct(i as i, x as x)), e -> e.x in ({all_known}))")
-    spots = [F.struct(F.lit(n).alias("n"), F.lit(min(math.ceil(share * len(o) - 1e-9) for o in owns)).alias("need"), F.expr(f"transform(filter(hits, e -> e.x in ({among(set().union(*owns))})), e -> e.i)").alias("p")) for n, owns in sorted(by_size.items())]
-    starts = hashed.withColumn("hits", hits).select("doc_id", "row", "h", F.explode(F.array(*spots)).alias("s")).select("doc_id", "row", "h", "s.*").where("size(p) >= need")
-    begin = F.expr("array_distinct(flatten(transform(filter(sequence(1, size(p) - need + 1), i -> p[i + need - 2] - p[i - 1] < n), i -> sequence(greatest(0, p[i + need - 2] - n + 1), p[i - 1]))))")
-    windows = starts.select("doc_id", "row", "n", "h", F.explode(begin).alias("word")).select("doc_id", "row", "n", "word", F.slice("h", F.col("word") + 1, F.col("n")).alias("window"))
-    # A window that the text's end cuts short is banded as it is.
-    banded = windows.select("doc_id", "row", "n", "word", "window", F.explode(_bands(F.col("window"), bands)).alias("x")).select("doc_id", "row", "n", "word", "window", "x.*")
-    wanted = F.broadcast(templates.select("license", "own", "n", F.explode(_bands(F.col("own"), bands)).alias("x")).select("license", "own", "n", "x.*"))
-    met = banded.join(wanted, ["n", "band", "value"])
+    reach = templates.agg(F.max("n")).first()[0]
+    if reach is None:
+        return docs.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("word"), F.lit(1.0).alias("share")).limit(0)
+    hashed = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row"))
+    met = _met(hashed, _bands(templates, bands), reach)
     held = F.size(F.array_intersect("window", "own")) / F.size(F.array_distinct("own"))
     # The words of the notice that a window holds: from its first shingle found to its last.
     at = F.filter(F.transform("window", lambda x, i: F.when(F.array_contains("own", x), i)), lambda i: i.isNotNull())
@@ -126,12 +134,12 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: f
 
     kept = F.aggregate("m", F.slice("m", 1, 0), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     best = runs.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.license", "k.word", "k.share").distinct()
-    return best.select("doc_id", "license", "word", "share").unionByName(_spdx(docs, sorted({n for n, _ in notices}), text, key))
+    return best.select("doc_id", "license", "word", "share").unionByName(_spdx(docs, sorted({n for n, _ in notices})))
 
 
-def _spdx(docs: DataFrame, licenses: list[str], text: str, key: str) -> DataFrame:
+def _spdx(docs: DataFrame, licenses: list[str]) -> DataFrame:
     """The licenses that SPDX lines name, with the word at which the line begins."""
-    parts = docs.where(F.col(text).rlike(SPDX_TAG)).select(F.col(key).alias("doc_id"), F.split(text, SPDX_TAG).alias("parts"))
+    parts = docs.where(F.col("text").rlike(SPDX_TAG)).select("doc_id", F.split("text", SPDX_TAG).alias("parts"))
     sized = parts.withColumn("sizes", F.transform("parts", lambda p: F.size(words_of(p))))
     tags = sized.select("doc_id", "sizes", F.posexplode("parts").alias("k", "part")).where("k > 0")
     word = F.expr("aggregate(slice(sizes, 1, k), 0, (a, x) -> a + x) + 3 * (k - 1)")
@@ -149,20 +157,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_licenses", F.lit(0).cast("long")).alias("n_licenses"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"), F.coalesce("first_word", F.lit(-1)).alias("first_word"))
 
 
-_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+_IDS = ", ".join(f"('{i.lower()}', '{i}')" for i in sorted({n for n, _ in TEMPLATES}))
 SQL = {
     "op4_license_scan": rf"""
-WITH t(license, text) AS (VALUES {_VALUES}),
-tw AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
-own AS (SELECT license, len(w) - 4 AS n, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw WHERE len(w) >= 5)),
-size AS (SELECT license, n, count(DISTINCT g) AS own FROM own GROUP BY ALL),
+WITH t(t, license, text) AS (VALUES {_VALUES}),
+ids(id, license) AS (VALUES {_IDS}),
+tw AS (SELECT t, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
+own AS (SELECT t, license, len(w) - 4 AS n, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT t, license, w, unnest(range(1, len(w) - 3)) AS i FROM tw WHERE len(w) >= 5)),
+size AS (SELECT t, license, n, count(DISTINCT g) AS own FROM own GROUP BY ALL),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-m AS (SELECT doc_id, license, n, g, unnest(range(greatest(0, pos - n + 1), pos + 1)) AS word FROM g JOIN own USING (g)),
-x AS (SELECT doc_id, license, word, count(DISTINCT g) / any_value(size.own) AS share FROM m JOIN size USING (license) GROUP BY ALL HAVING count(DISTINCT g) / any_value(size.own) >= 0.8),
-f AS (SELECT *, coalesce(word - lag(word) OVER w >= (SELECT max(n) + 4 FROM size), true)::INT AS fresh FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY word, license)),
-p AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY word, license) AS place FROM f),
-k AS (SELECT * FROM p QUALIFY share = max(share) OVER (PARTITION BY doc_id, place)),
-r AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n_licenses, max(share) AS best_share, min(word) AS first_word FROM k GROUP BY 1)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0) AS n_licenses, coalesce(best_share, 0.0)::DOUBLE AS best_share, coalesce(first_word, -1) AS first_word FROM documents LEFT JOIN r USING (doc_id)"""
+m AS (SELECT doc_id, t, license, n, g, pos, unnest(range(greatest(0, pos - n + 1), pos + 1)) AS word FROM g JOIN own USING (g)),
+x AS (SELECT doc_id, license, word, count(DISTINCT g) / any_value(size.own) AS share, min(pos) AS first, max(pos) + 5 AS last FROM m JOIN size USING (t, license) GROUP BY doc_id, t, license, word HAVING count(DISTINCT g) / any_value(size.own) >= 0.8),
+o AS (SELECT doc_id, list_reduce(list_sort(list(DISTINCT {{'less': -share, 'word': word, 'license': license, 'first': first, 'last': last}})),
+  lambda found, e: CASE WHEN len(list_filter(found, lambda f: f.less < e.less AND f.first < e.last AND e.first < f.last)) > 0 THEN found ELSE list_append(found, e) END,
+  list(DISTINCT {{'less': -share, 'word': word, 'license': license, 'first': first, 'last': last}})[1:0]) AS kept FROM x GROUP BY 1),
+k AS (SELECT doc_id, k.license AS license, k.word AS word, -k.less AS share FROM (SELECT doc_id, unnest(kept) AS k FROM o)),
+sp AS (SELECT doc_id, regexp_split_to_array(text, '(?i)SPDX-License-Identifier:') AS parts FROM documents WHERE regexp_matches(text, '(?i)SPDX-License-Identifier:')),
+sq AS (SELECT doc_id, i, parts[i + 1] AS part, list_sum(list_transform(parts[1:i], lambda p: len(regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+')))) + 3 * (i - 1) AS word FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM sp)),
+si AS (SELECT doc_id, word, unnest(regexp_extract_all(regexp_extract(part, '{SPDX_EXPRESSION}', 1), '{SPDX_ID}')) AS id FROM sq),
+sn AS (SELECT doc_id, ids.license, CAST(word AS INT) AS word, 1.0 AS share FROM si JOIN ids ON ids.id = regexp_replace(lower(si.id), '(?:-only|-or-later|\+)?\.*$', '')),
+r AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n_licenses, max(share) AS best_share, min(word) AS first_word FROM (SELECT doc_id, license, word, share FROM k UNION ALL SELECT * FROM sn) GROUP BY 1)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0) AS n_licenses, coalesce(best_share, 0.0)::DOUBLE AS best_share, coalesce(first_word, -1)::INT AS first_word FROM documents LEFT JOIN r USING (doc_id)"""
 }
