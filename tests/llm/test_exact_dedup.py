@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from docquarry.llm.exact_dedup import DigestIndex, deduplicate, digested, winners
+from docquarry.llm.exact_dedup import DigestIndex, deduplicate, digested, length_bands, winners
 from docquarry.session import new_path
 
 SCHEMA = "doc_id long, text string, digest string, n int"
@@ -42,3 +42,27 @@ def test_index_persists_and_takes_only_new_digests(spark):
     assert again.table().count() == 3
     plan = again.unseen(winners(digested(more)))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") <= 2
+
+
+def test_bands_of_length_keep_the_longest_and_meet_the_index(spark):
+    rows = [(i, "a b c" + " " * (i % 50), "x", 0) for i in range(200)] + [(300 + i, f"t{i}" * (i + 1), "x", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bands in (1, 3, 7):
+        got = deduplicate(df, bands=bands).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    digests = digested(df)
+    index = DigestIndex(spark, new_path(spark, "index-test"), 4)
+    fresh = []
+    for band in length_bands(digests, 4):
+        unseen = index.unseen(winners(digests.where(band)))
+        fresh.append((winners(digests.where(band)).count(), unseen.count()))
+        index.append(unseen)
+    assert sum(n for _, n in fresh) == 51 and any(n < all_ for all_, n in fresh[1:])
+    index.close()
+    assert not spark.catalog.tableExists(index.name)
+    assert sum(df.count() for df in (digests.where(b) for b in length_bands(digests, 4))) == 250
+
+
+def test_any_other_columns(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "a ", 1, 2, 3)], "doc_id long, text string, `a.b` int, Keep_id int, __n int")
+    assert sorted((r.doc_id, r.keep_id) for r in deduplicate(df).collect()) == [(1, 2), (2, 2)]
