@@ -200,16 +200,19 @@ def is_image_media_type(c: Column) -> Column:
 
 # Names of secrets, how they are assigned, bearer tokens, and the mark that replaces them.
 SECRET_NAMES = "api[_-]?key|secret|token|authorization|cookie|password|credential"
-ASSIGNMENT = rf"(?i)({SECRET_NAMES})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;]+"
+ASSIGNMENT = rf"(?i)({SECRET_NAMES})(\s*[:=]\s*)(?:(Bearer )\s*[^\s,;]+|(?:Bearer\s+)?[^\s,;]+)"
 BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+"
 REDACTED = "[REDACTED]"
+_HERE = "\ue000"  # a private sign that marks what was just masked
 
 
 def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """Mask assignments to names of secrets, bearer tokens, and the given secrets, longest first."""
+    """Mask assignments to names of secrets (the word Bearer of one stays), bearer tokens, and the given secrets,
+    longest first."""
     for s in sorted((s for s in secrets if s), key=len, reverse=True):
         c = F.replace(c, F.lit(s), F.lit(REDACTED))
-    c = F.regexp_replace(c, ASSIGNMENT, f"$1$2{REDACTED}")
+    c = F.regexp_replace(c, ASSIGNMENT, f"$1$2$3{_HERE}{REDACTED}")
+    c = F.replace(F.regexp_replace(c, f"(?i)Bearer {_HERE}", "Bearer "), F.lit(_HERE), F.lit(""))
     return F.regexp_replace(c, BEARER, f"Bearer {REDACTED}")
 
 

@@ -59,7 +59,7 @@ def global_catalog(observations: DataFrame, examples: int = 3) -> DataFrame:
     distinct by (header, excerpt); first_seen is the least (document_ref, source_version)."""
     base = observations.groupBy("normalized_label").agg(
         F.sum("usage_count").alias("usage_count"),
-        F.min(F.struct(F.lower("canonical_label").alias("folded"), F.col("canonical_label").alias("value")))["value"].alias("canonical_label"),
+        F.min(F.struct(T.casefold(F.col("canonical_label")).alias("folded"), F.col("canonical_label").alias("value")))["value"].alias("canonical_label"),
         F.min(F.struct("document_ref", "source_version")).alias("first_seen"),
     )
     shown = observations.select("normalized_label", F.explode("examples").alias("e")).select("normalized_label", "e.header", "e.excerpt").distinct()

@@ -224,14 +224,16 @@ def rendered_roles(question: str, inventory: DataFrame) -> DataFrame:
 
 
 def rendered_evidence(rows: DataFrame, scope: list[str], order: str) -> DataFrame:
-    """scope, text: evidence records (evidence_id, kind, source, chunk, paragraph, page, url, text) for synthesis."""
-    part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), F.col(c).cast("string")))
+    """scope, text: evidence records (evidence_id, kind, source, chunk, paragraph, page, url, image_refs, text) for
+    synthesis. An empty chunk or paragraph is left out like a null."""
+    part = lambda name, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{name}="), F.col(c).cast("string")))
     inside = F.concat_ws(", ", part("chunk", "chunk"), part("paragraph", "paragraph"), part("page", "page"), part("url", "url"))
+    images = F.coalesce(F.col("image_refs"), F.expr("cast(array() as array<string>)"))
     n = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
     # The lines' wording is fixed.
     body = F.concat_ws(
         "\n", F.concat(F.lit("- evidence_id: "), F.col("evidence_id")), F.concat(F.lit("  citation_label: ["), F.col("__n").cast("string"), F.lit("]")), F.concat(F.lit("  source_type: "), F.col("kind")),
-        F.concat(F.lit("  source: "), F.coalesce("source", "url", F.lit("unknown source"))), F.concat(F.lit("  scope: "), F.when(inside != "", inside).otherwise(F.lit("unspecified"))), F.lit("  image_refs: none"), F.concat(F.lit("  text: "), F.col("text")),
+        F.concat(F.lit("  source: "), F.coalesce("source", "url", F.lit("unknown source"))), F.concat(F.lit("  scope: "), F.when(inside != "", inside).otherwise(F.lit("unspecified"))), F.concat(F.lit("  image_refs: "), F.when(F.size(images) > 0, F.array_join(images, ", ")).otherwise(F.lit("none"))), F.concat(F.lit("  text: "), F.col("text")),
     )
     x = rows.withColumn("__n", n).select(*scope, "__n", body.alias("b"))
     head = "Use the following evidence records as the complete source:"

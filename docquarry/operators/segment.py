@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as T
 from docquarry.functions.ids import chunk_id, paragraph_ref, sha256
 
+# Lines that mark a page, and headings (a heading of blanks alone is an empty one).
 PAGE = r"(?i)^##\s+Page\s+(\d+)\s*$"
-HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
 def exploded(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:

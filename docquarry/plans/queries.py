@@ -289,7 +289,7 @@ def candidate_ranking(spark, sf_dir):
     return concepts.ranked_candidates(_candidates(spark, sf_dir), F.lit(" RED  Widget"), 5, ["brand"]).select("brand", "place", "key", "exact", "shared")
 
 
-@query(f"""WITH {_FACTS}, s AS (SELECT lower(concept) AS selection, lower(concept) AS key, role, list_slice(list_sort(list(DISTINCT chunk_id)), 1, 50) AS parents FROM facts GROUP BY ALL)
+@query(f"""WITH {_FACTS}, s AS (SELECT lower(concept) AS selection, lower(concept) AS key, role, list(DISTINCT chunk_id) AS parents FROM facts GROUP BY ALL)
 SELECT s.selection || '/' || s.role AS selection, string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id) AS paragraph_refs FROM s JOIN facts f ON lower(f.concept) = s.key AND f.role = s.role AND list_contains(s.parents, f.chunk_id) GROUP BY 1""")
 def paragraph_traversal(spark, sf_dir):
     f = facts(spark, sf_dir)
@@ -632,11 +632,16 @@ def report_violations(spark, sf_dir):
     return metrics.report_violations(r).select("doc_id", F.array_join("violations", ";").alias("violations"))
 
 
-@query("SELECT doc_id, 'api_key=[REDACTED], Password : [REDACTED]; Bearer [REDACTED] by [REDACTED]! ' || lang AS redacted FROM documents")
+_SECRETS = "'Authorization: Bearer ' || lang || '.' || doc_id || '; COOKIE =bearer ' || doc_id || ', api_key=' || lang || doc_id || ', Password : bearer\tx; BEARER a.b-c by ' || source || '! ' || text"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, replace({_SECRETS}, source, '[REDACTED]') AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '{T.ASSIGNMENT}', '\1\2\3' || chr(57344) || '[REDACTED]', 'g') AS t FROM t),
+b AS (SELECT doc_id, replace(regexp_replace(t, '(?i)Bearer ' || chr(57344), 'Bearer ', 'g'), chr(57344), '') AS t FROM a)
+SELECT doc_id, regexp_replace(t, '{T.BEARER}', 'Bearer [REDACTED]', 'g') AS redacted FROM b""")
 def secret_redaction(spark, sf_dir):
-    t = F.concat(F.lit("api_key=abc"), F.col("doc_id").cast("string"), F.lit(", Password : hunter2; bearer a.b-c by "), F.col("source"), F.lit("! "), F.col("lang"))
     # Each row masks its own source: the only name it can hold.
-    own = F.replace(t, F.col("source"), F.lit(T.REDACTED))
+    own = F.replace(F.expr(_SECRETS), F.col("source"), F.lit(T.REDACTED))
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(own).alias("redacted"))
 
 
@@ -650,7 +655,7 @@ def safe_references(spark, sf_dir):
     return x.select("doc_id", "ref", T.is_safe_document_ref(c).alias("document_ok"), T.is_safe_image_ref(c).alias("image_ok"), T.is_safe_artifact_ref(c).alias("artifact_ok"))
 
 
-@query(r"SELECT doc_id, replace(lower(trim(regexp_replace('  ' || source || '  ' || text, '\s+', ' ', 'g'))), 'ß', 'ss')[1:60] AS key FROM documents")
+@query(r"SELECT doc_id, replace(lower(trim(regexp_replace('  ' || source || '  ' || text, '\s+', ' ', 'g'))), 'ß', 'ss') AS key FROM documents")
 def concept_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.concept_key(F.concat(F.lit("  "), "source", F.lit("  "), "text")).alias("key"))
 
@@ -874,11 +879,12 @@ def live_candidates(spark, sf_dir):
     return records.live_candidates(saved_sets, now).select("token")
 
 
-@query("""SELECT conv_id, md5('Use the following evidence records as the complete source:' || chr(10) || string_agg('- evidence_id: e' || turn || chr(10) || '  citation_label: [' || turn + 1 || ']' || chr(10) || '  source_type: document' || chr(10) || '  source: ' || role || chr(10) || '  scope: chunk=c' || conv_id || ', page=' || turn || chr(10) || '  image_refs: none' || chr(10) || '  text: ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, md5('Use the following evidence records as the complete source:' || chr(10) || string_agg('- evidence_id: e' || turn || chr(10) || '  citation_label: [' || turn + 1 || ']' || chr(10) || '  source_type: document' || chr(10) || '  source: ' || role || chr(10) || '  scope: chunk=c' || conv_id || ', page=' || turn || chr(10) || '  image_refs: ' || CASE turn % 3 WHEN 0 THEN 'none' WHEN 1 THEN role || '.png' ELSE role || '.png, img/' || turn || '.jpg' END || chr(10) || '  text: ' || text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1""")
 def rendered_evidence(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     null = F.lit(None).cast("string")
-    rows = c.select("conv_id", "turn", F.concat(F.lit("e"), F.col("turn").cast("string")).alias("evidence_id"), F.lit("document").alias("kind"), F.col("role").alias("source"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chunk"), null.alias("paragraph"), F.col("turn").alias("page"), null.alias("url"), "text")
+    images = F.slice(F.array(F.concat("role", F.lit(".png")), F.concat(F.lit("img/"), F.col("turn").cast("string"), F.lit(".jpg"))), F.lit(1), (F.col("turn") % 3).cast("int"))
+    rows = c.select("conv_id", "turn", F.concat(F.lit("e"), F.col("turn").cast("string")).alias("evidence_id"), F.lit("document").alias("kind"), F.col("role").alias("source"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chunk"), null.alias("paragraph"), F.col("turn").alias("page"), null.alias("url"), images.alias("image_refs"), "text")
     return records.rendered_evidence(rows, ["conv_id"], "turn").select("conv_id", F.md5("text").alias("text_md5"))
 
 

@@ -67,7 +67,9 @@ def test_safe_names(spark, fn, good, bad):
 def test_redaction(spark):
     texts = ["api_key=abc, rest", "Password : x;y", "Authorization: Bearer abc.def", "use Bearer a-b_c now", "my s3cret and s3cret2", "nothing"]
     got = values(spark, texts, lambda c: T.redact(c, ("s3cret", "s3cret2")))
-    assert got == ["api_key=[REDACTED], rest", "Password : [REDACTED];y", "Authorization: [REDACTED]", "use Bearer [REDACTED] now", "my [REDACTED] and [REDACTED]", "nothing"]
+    assert got == ["api_key=[REDACTED], rest", "Password : [REDACTED];y", "Authorization: Bearer [REDACTED]", "use Bearer [REDACTED] now", "my [REDACTED] and [REDACTED]", "nothing"]
+    odd = ["COOKIE=bearer  x, y", "token: Bearer", "token = BEARER\tx", "authorization:Bearer a;b"]
+    assert values(spark, odd, T.redact) == ["COOKIE=Bearer [REDACTED], y", "token: [REDACTED]", "token = [REDACTED]", "authorization:Bearer [REDACTED];b"]
 
 
 def test_identities(spark):
