@@ -8,7 +8,8 @@ are then joined by block index. All draws come from ``seed``, so reruns agree.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a source without
 words has target 0; documents without words take 0; an empty table gives no rows; rows repeating a
-doc_id are separate documents.
+doc_id, and those without one, are separate documents; columns other than id, text and source may have any names.
+``repeated`` gives rows that repeat an id, or have none, the same number of copies each.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from docquarry.llm.textkeys import quoted
 from docquarry.session import saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,11 +105,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 20, text: str = "text", key: str = "doc_id", source: str = "source", max_sources: int = 1_000_000) -> Mixture:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 20, text: str = "text", key: str = "doc_id", source: str = "source", max_sources: int = 100_000) -> Mixture:
     """The mix of ``docs``. The driver holds a few numbers for each source and shard; ``max_sources``
     bounds them (more sources are an error, not a sample)."""
     spark = docs.sparkSession
-    counted = saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    key, text, source = quoted([key, text, source])
+    # The text's hash orders and spreads rows that repeat an id or have none.
+    counted = saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("salt")), "mix-sizes")
     rows = counted.groupBy("source").agg(F.sum("size"), F.count("*")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"over {max_sources} sources")
@@ -123,9 +128,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, n_blocks long, n_slots long, whole_slots long, last_words long")
     counts = shard_draws(slots, n_shards, seed)
     first = np.cumsum(counts, 0) - counts
-    dealt = [(g, i, int(first[g, i]), int(counts[g, i])) for g in range(n_shards) for i in range(len(names)) if counts[g, i]]
+    g, i = np.nonzero(counts)
+    dealt = pa.table({"shard": g.astype(np.int32), "sid": i.astype(np.int32), "first": first[g, i], "n": counts[g, i]})
     step = 65536
-    dealt_rows = spark.createDataFrame(dealt, "shard int, sid int, first long, n long").repartition(n_shards, "shard")
+    dealt_rows = spark.createDataFrame(dealt).repartition(n_shards, "shard")
     runs = dealt_rows.select("shard", "sid", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("at"))
     slot_rows = runs.select("shard", "sid", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("n"), F.col("at") + step) - 1)).alias("slot"))
     s = F.broadcast(sources.select("sid", "n_blocks", "n_slots", "whole_slots", "last_words"))
@@ -140,10 +146,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # Place each document in its source: prefix sums inside small chunks, then over the chunks' totals.
     n_chunks = max(1, int(sum(r[2] for r in rows) ** 0.5))
     named = counted.join(F.broadcast(sources.select("sid", F.col("source").alias("__s"))), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    named = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    named = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n_chunks)).cast("int"))
     totals = named.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
     totals = totals.withColumn("chunk_at", F.sum("chunk_size").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("chunk_size"))
-    within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size")
+    within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "salt")
     run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = saved(named.withColumn("run", run).join(totals, ["sid", "chunk"]).select("doc_id", "sid", "size", (F.col("run") + F.col("chunk_at")).alias("at")), "mix-placed")
     full = placed.where("size > 0")
@@ -162,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 def mixed_texts(docs: DataFrame, mixture: Mixture, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The mix itself: shard, slot, source, and the slot's words joined by single spaces (doc_id must be unique)."""
-    words = docs.select(F.col(key).alias("doc_id"), F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")).alias("w"))
+    words = docs.select(F.col(quoted([key])[0]).alias("doc_id"), F.regexp_extract_all(F.col(quoted([text])[0]), F.lit(f"({WORD})")).alias("w"))
     parts = mixture.pieces.join(words, "doc_id").select("sid", "block", "offset", F.slice("w", (F.col("start") + 1).cast("int"), F.col("n").cast("int")).alias("w"))
     blocks = parts.groupBy("sid", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "w"))), lambda x: x["w"])).alias("w"))
     slots = mixture.slots.join(blocks, ["sid", "block"]).join(F.broadcast(mixture.sources.select("sid", "source")), "sid")
@@ -172,11 +178,12 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, text: str = "text", key: str
 def repeated(docs: DataFrame, seed: int = 20, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it: taken / size times, the fraction by a fixed draw.
     Rows without words stay once."""
-    taken = mix(docs, seed=seed, text=text, key=key, source=source).documents.groupBy("doc_id").agg(F.sum("taken").alias("__t"), F.sum("size").alias("__z"))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    n = F.when(F.col("__z") > 0, F.floor(F.col("__t") / F.col("__z") + draw)).otherwise(1)
-    joined = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col(key).eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("__n", n).where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    taken = mix(docs, seed=seed, text=text, key=key, source=source).documents.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("rec"), F.col(quoted([key])[0]).alias("id"))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    n = F.when(F.col("z") > 0, F.floor(F.col("t") / F.col("z") + draw)).otherwise(1)
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")), "left").withColumn("n", n).where("n > 0")
+    return joined.select("rec", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).select("rec.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,57 @@ def test_repeated_documents_and_empty_tables(spark):
     assert mix(df.limit(0)).documents.count() == 0 and repeated(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mix(df, max_sources=2)
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """Pour 150% of all sizes by weight in small steps, into sources that are not full."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: list(map(ord, s))) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    got, left = dict.fromkeys(order, 0.0), 1.5 * sum(sizes.values())
+    while left > 1e-9:
+        free = [s for s in order if got[s] < 2 * sizes[s] - 1e-9]
+        step = min([left / sum(weight[s] for s in free), *((2 * sizes[s] - got[s]) / weight[s] for s in free)])
+        for s in free:
+            got[s] += step * weight[s]
+        left -= step * sum(weight[s] for s in free)
+    return got
+
+
+def test_mix_equals_brute_force(spark):
+    """Targets by pouring; pieces tile documents and blocks; slots visit each block once a pass; what each
+    document gives is counted word by word."""
+    df = spark.createDataFrame([r for r in ROWS if r[0] is not None], SCHEMA)
+    m = mix(df, block=16, n_shards=7)
+    docs = {r.doc_id: r for r in m.documents.where("doc_id <> 5").collect()}
+    sizes = {r.source: r.source_size for r in docs.values()}
+    assert {s: pytest.approx(t) for s, t in brute_targets(sizes).items()} == {r.source: r.target for r in docs.values()}
+    name = {r.sid: r.source for r in m.sources.collect()}
+    words, owner = {}, {}
+    for p in m.pieces.collect():
+        for j in range(p.n):
+            place = (p.sid, p.block, p.offset + j)
+            assert place not in owner
+            owner[place] = p.doc_id
+            words.setdefault(p.doc_id, []).append(p.start + j)
+    assert all(sorted(words.get(d, [])) == list(range(r["size"])) for d, r in docs.items())
+    taken, visits = {}, {}
+    for s in m.slots.collect():
+        visits.setdefault(s.sid, {}).setdefault(s.slot, s.block)
+        for j in range(s.words):
+            if (s.sid, s.block, j) in owner:
+                d = owner[s.sid, s.block, j]
+                taken[d] = taken.get(d, 0) + 1
+    assert all(taken.get(d, 0) == r.taken for d, r in docs.items())
+    for sid, by_slot in visits.items():
+        n = -(-sizes[name[sid]] // 16)
+        order = [by_slot[i] for i in range(len(by_slot))]
+        for a in range(0, len(order), n):
+            part = order[a : a + n]
+            assert len(set(part)) == len(part) and (len(part) < n or sorted(part) == list(range(n)))
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4), (2, "c d e f", "t", 1, 2, 3, 4), (None, "g h", "t", 1, 2, 3, 4), (None, "i j", "t", 1, 2, 3, 4)], "doc_id long, text string, source string, `a.b` int, __n int, N int, Rec int")
+    out = repeated(df)
+    assert out.columns == df.columns and out.count() >= 4
+    assert sum(r["size"] for r in mix(df).documents.collect()) == 10
