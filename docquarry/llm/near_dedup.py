@@ -252,15 +252,15 @@ def _rest(open_classes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: i
     Shingles are ordered by how many of these classes have them. Of two sets that are similar enough, the rarest
     n - ceil(percent n / 100) + 1 shingles of each have one in common, so classes meet at those only. Shingles
     that one class alone has fill these places first, so classes that share no more than a template do not meet.
-    Shingles of the same classes are one group; a group is compared in blocks of about ``block`` sets.
+    Shingles of the same classes are one group. Groups that share classes are a cluster, compared as a whole if it
+    has up to 16 blocks of ``block`` sets, so that a set moves once; the groups of larger ones are compared each.
     """
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(k.as_buffer(), "<i8") for k in batch.column("keys")]
-            if keys:
-                size = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(batch.column("node").to_numpy(), size), pa.int64())], names=["key", "node"])
+            for node, keys in zip(batch.column("node").to_pylist(), batch.column("keys"), strict=True):
+                own = np.frombuffer(keys.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(len(own), node), pa.int64())], names=["key", "node"])
 
     tokens = saved(sets.join(open_classes.select("node"), "node", "left_semi").mapInArrow(exploded, "key long, node long"), "tokens")
     counts = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
@@ -271,7 +271,13 @@ def _rest(open_classes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: i
     groups = prefix.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).where("c > 1 AND x != y")
     groups = groups.groupBy("c", "x", "y", "p", "q").agg(F.min("key").alias("key"))
     met = saved(joined(prefix, groups.select("key"), "key").select(F.col("key").alias("h"), F.col("node").alias("doc"), "component"), "groups")
-    return _compared(met, sets, percent, block)
+    least = met.groupBy("h").agg(F.min("doc").alias("b"))
+    clusters = components(joined(met.select("h", F.col("doc").alias("a")), least, "h").select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > 16 * block).select("cluster")
+    named = saved(met.join(clusters, "doc"), "clusters")
+    apart = joined(named, large.withColumn("large", F.lit(True)), "cluster", "left")
+    whole = apart.where("large IS NULL").select(F.col("cluster").alias("h"), "doc", "component").distinct()
+    return _compared(saved(whole.unionByName(apart.where("large").select("h", "doc", "component")), "compared"), sets, percent, block)
 
 
 def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
