@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def quoted(names: list[str]) -> list[str]:
@@ -89,12 +91,20 @@ def keyed(texts: list[str | None], way: bytes) -> tuple[bytes, np.ndarray, np.nd
     return buf, begin, end, word_keys(buf, begin, end), np.searchsorted(begin, at)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+Column = str | int
+
+
+def column(batch: pa.RecordBatch, text: Column) -> pa.Array:
+    """The batch's column of that name; a number is the place of a field in its first column, a record."""
+    return batch.column(text) if isinstance(text, str) else batch.column(0).field(text)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: Column, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most_bytes`` of text, one row at least: memory follows the longest text."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.nan_to_num(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(float))
+        size = np.nan_to_num(pa.compute.binary_length(column(batch, text)).to_numpy(zero_copy_only=False).astype(float))
         part = np.floor(np.cumsum(size) / most_bytes)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -102,9 +112,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 <<
                 yield batch.slice(a, b - a)
 
 
-def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: Column) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             yield fn(part)
 
     return run
+
+
+def recorded(df: DataFrame, text: str, keep: tuple[str, ...] | None = None) -> tuple[DataFrame, Column]:
+    """``df`` with all its columns (or ``keep``) in one record ``rec``, so that no name of theirs meets another,
+    and where the text is: in the record, or beside it in a column ``text``."""
+    kept = list(df.columns if keep is None else keep)
+    rec = F.struct(*quoted(kept)).alias("rec")
+    if text in kept:
+        return df.select(rec), kept.index(text)
+    return df.select(rec, F.col(quoted([text])[0]).alias("text")), "text"

@@ -58,3 +58,13 @@ def test_empty_tables_and_clean(spark):
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
     assert sorted((r.doc_id, r.n_words) for r in none if r.doc_id is not None) == sorted((x[0], x[1]) for x in brute(docs, []) if x[0] is not None)
     assert sorted(map(str, clean(d, b).collect())) == sorted(f"Row(doc_id={x[0]!r}, text={t!r})" for x, t in ((next(y for y in brute([q], items)), q[1]) for q in docs) if not x[5])
+
+
+def test_columns_of_any_name_and_a_long_text(spark):
+    text = "word " * 400_000 + "seven again seven again " + "z" * 2_000_000
+    d = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, "clean", 1, 2, 3, 4)], "doc_id long, text string, `a.b` int, __hits int, Hits int, rec int")
+    b = spark.createDataFrame([(7, "Seven again; SEVEN! again", 1)], "item_id long, text string, `x.y` int")
+    got = clean(d, b)
+    assert got.columns == d.columns and [tuple(r) for r in got.collect()] == [(2, "clean", 1, 2, 3, 4)]
+    assert clean(d, b.limit(0)).columns == d.columns and clean(d, b.limit(0)).count() == 2
+    assert [(r.doc_id, r.n_words, r.n_hit) for r in summary(decontaminate(d, b)).orderBy("doc_id").collect()] == [(1, 400_005, 4), (2, 1, 0)]
