@@ -6,7 +6,8 @@ rest is compiled into one Spark column expression over the statistics, which are
 
 Only the rules are fitted on a sample (``most_good`` and ``most_bad`` training rows); scoring reads all
 rows and whole texts. Defined results: null and empty texts have all statistics 0 and are scored by them;
-without training rows of both classes every score is the smoothed share of good rows.
+without training rows of both classes every score is the smoothed share of good rows; rows that repeat an id, or
+have none, are scored each by its text; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,31 +20,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.labelled import fold, training_ids
+from docquarry.llm.textkeys import quoted
 from docquarry.session import table
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with a double column for each statistic of the text; null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns({"__w": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "__l": F.filter(F.split(t, "\n"), lambda x: x != ""), "__n": F.length(t), "__symbols": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\x20\x09-\x0D]+", ""))})
-    base = base.withColumns({"__upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), "__digit": F.length(F.regexp_replace(t, r"[^\p{N}]+", "")), "__words": F.size("__w"), "__lines": F.size("__l")})
+NAMES = ["log_words", "word_length", "symbols", "upper", "digits", "distinct_words", "distinct_lines", "words_per_line", "end_marks", "bars"]
 
-    def over(a: Column, b: str) -> Column:
-        return F.when(F.col(b) > 0, a.cast("double") / F.col(b)).otherwise(F.lit(0.0))
 
-    stats = {
-        "q_log_words": F.log1p(F.col("__words").cast("double")),
-        "q_word_length": over(F.col("__n"), "__words"),
-        "q_symbols": over(F.col("__symbols"), "__n"),
-        "q_upper": over(F.col("__upper"), "__n"),
-        "q_digits": over(F.col("__digit"), "__n"),
-        "q_distinct_words": over(F.size(F.array_distinct("__w")), "__words"),
-        "q_distinct_lines": over(F.size(F.array_distinct("__l")), "__lines"),
-        "q_words_per_line": over(F.col("__words"), "__lines"),
-        "q_end_marks": over(F.size(F.split(t, r"[.!?](?=\s|$)")) - 1, "__words"),
-        "q_bars": over(F.size(F.split(t, r"\|")) - 1, "__words"),
-    }
-    return base.withColumns(stats).drop("__w", "__l", "__n", "__symbols", "__upper", "__digit", "__words", "__lines"), list(stats)
+def statistics(t: Column) -> Column:
+    """A record of doubles, one for each statistic of the text; null counts as empty."""
+    t = F.coalesce(t, F.lit(""))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(t, F.lit(pattern)).cast("double")
+
+    parts = F.struct(
+        F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"),
+        F.filter(F.split(t, "\n"), lambda x: x != "").alias("l"),
+        F.length(t).cast("double").alias("n"),
+        count(r"[^\p{L}\p{N}\x20\x09-\x0D]").alias("symbols"),
+        count(r"\p{Lu}").alias("upper"),
+        count(r"\p{N}").alias("digits"),
+        count(r"[.!?](?=\s|$)").alias("ends"),
+        (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("double").alias("bars"),
+    )
+
+    def over(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+
+    def record(p: Column) -> Column:
+        words, lines = F.size(p["w"]), F.size(p["l"])
+        values = [
+            F.log1p(words.cast("double")), over(p["n"], words), over(p["symbols"], p["n"]), over(p["upper"], p["n"]), over(p["digits"], p["n"]), over(F.size(F.array_distinct(p["w"])), words),
+            over(F.size(F.array_distinct(p["l"])), lines), over(words, lines), over(p["ends"], words), over(p["bars"], words),
+        ]
+        return F.struct(*[v.alias(n) for v, n in zip(values, NAMES, strict=True)])
+
+    # A lambda's variable is bound once, so that the parts are found once.
+    return F.element_at(F.transform(F.array(parts), record), 1)
 
 
 #: A rule is a conjunction of (statistic, is_above, threshold).
@@ -120,11 +134,11 @@ class RuleEnsemble:
     constant: float
     rules: list[tuple[Rule, float]]
 
-    def column(self) -> Column:
-        """The score as a Spark column over the statistics."""
+    def column(self, stats: Column) -> Column:
+        """The score as a Spark column over the record of statistics."""
         z = F.lit(float(self.constant))
         for rule, weight in self.rules:
-            parts = [(F.col(self.names[j]) > cut) if above else (F.col(self.names[j]) <= cut) for j, above, cut in rule]
+            parts = [(stats[self.names[j]] > cut) if above else (stats[self.names[j]] <= cut) for j, above, cut in rule]
             z = z + F.when(reduce(lambda a, b: a & b, parts), F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
@@ -134,8 +148,9 @@ class RuleEnsemble:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_good: int = 6000, most_bad: int = 6000) -> RuleEnsemble:
     ids, total = training_ids(labels, label, {1: most_good, 0: most_bad})
-    stats, names = statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
-    rows = np.array([[float(v) for v in r] for r in stats.select("y", *names).orderBy("y", *names).collect()]).reshape(-1, 1 + len(names))
+    names = NAMES
+    stats = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", statistics(F.col("text")).alias("q")).select("y", "q.*")
+    rows = np.array(sorted([float(v) for v in r] for r in stats.collect())).reshape(-1, 1 + len(names))
     x, y = rows[:, 1:], rows[:, 0]
     share = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
     if len(set(y)) < 2:
@@ -147,13 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_good:
     return RuleEnsemble(names, constant, [(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-6])
 
 
-def score(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
-    """``docs`` with __score; the statistics' columns are dropped again."""
-    stats, names = statistics(docs, text)
-    return stats.withColumn("__score", model.column()).drop(*names)
+def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """rec (the columns of ``docs``, or ``keep``) and score of each row."""
+    rec = F.struct(*quoted(list(docs.columns if keep is None else keep))).alias("rec")
+    stats = docs.select(rec, statistics(F.col(quoted([text])[0])).alias("q"))
+    return stats.select("rec", model.column(F.col("q")).alias("score"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    found = score(docs, train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",)).select("rec.doc_id", "score")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

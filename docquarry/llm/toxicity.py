@@ -9,14 +9,20 @@ marginal. Tokens without any feature share one emission, so a run of n of them i
 and maximum give the document's score by a logistic fit on the same rows; spans are runs of tokens of
 marginal 0.5 or more, as code point offsets.
 
-Only the model is fitted on a sample (``most_toxic`` and ``most_clean`` training rows); scoring reads all
-rows and whole texts. Defined results: null and empty texts get the score of a text without features;
-without training rows of both classes every score is the smoothed share of toxic rows.
+Only the model is fitted on a sample: at most ``most_toxic`` and ``most_clean`` training rows, the first by hash of
+the id, and of each class no more than ``most_bytes`` of text. One task fits it, so that neither the driver holds
+texts nor a lost executor loses the fit. Rows of the sample that are copies of each other share one row's weight.
+Scoring reads all rows and whole texts.
+
+Defined results: null and empty texts get the score of a text without features; without training rows of both
+classes every score is the smoothed share of toxic rows; rows that repeat an id, or have none, are scored each by
+its text; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.labelled import fold, training_ids
-from docquarry.llm.textkeys import ALNUM, keyed, mix64, shingle_keys, slices
+from docquarry.llm.textkeys import ALNUM, column, keyed, mix64, recorded, shingle_keys, slices
 from docquarry.session import table
 
 PREFIXES = (4, 5, 6, 7)
@@ -104,10 +110,11 @@ class Crf:
         return out
 
 
-def _segments(docs: list[tuple[list[list[int]], list[bool]]], length: int = 256):
-    """Token features and labels cut into padded rows: feature ids and their (row, column), labels, lengths."""
-    fid, row, col, ys, lens = [], [], [], [], []
-    for feats, labels in docs:
+def _segments(docs: list[tuple[list[list[int]], list[bool], float]], length: int = 256):
+    """Token features and labels cut into padded rows: feature ids and their (row, column), labels, lengths and
+    weights."""
+    fid, row, col, ys, lens, weights = [], [], [], [], [], []
+    for feats, labels, weight in docs:
         for a in range(0, len(feats), length):
             r = len(lens)
             part = feats[a : a + length]
@@ -120,15 +127,16 @@ def _segments(docs: list[tuple[list[list[int]], list[bool]]], length: int = 256)
                 y[c] = labels[a + c]
             ys.append(y)
             lens.append(len(part))
-    return np.array(fid, np.int64), np.array(row, np.int64), np.array(col, np.int64), np.array(ys), np.array(lens)
+            weights.append(weight)
+    return np.array(fid, np.int64), np.array(row, np.int64), np.array(col, np.int64), np.array(ys).reshape(-1, length), np.array(lens, np.int64), np.array(weights)
 
 
-def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, int], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Crf:
-    """Adam on the mean log-likelihood of the token labels, forward-backward over all rows at once."""
-    fid, row, col, y, lens = _segments(docs)
+def fit_field(docs: list[tuple[list[list[int]], list[bool], float]], names: dict[str, int], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Crf:
+    """Adam on the weighted mean log-likelihood of the token labels, forward-backward over all rows at once."""
+    fid, row, col, y, lens, weight = _segments(docs)
     n, length = y.shape
     real = np.arange(length) < lens[:, None]
-    tokens = real.sum()
+    tokens = max(float((real * weight[:, None]).sum()), 1e-9)
     p = np.concatenate([np.zeros(len(names)), [-3.0], np.zeros(4)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     nf = len(names)
@@ -136,7 +144,7 @@ def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, i
     pair = real[:, 1:]
     for a in (0, 1):
         for b in (0, 1):
-            seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum()
+            seen[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & pair) * weight[:, None]).sum()
     for t in range(1, rounds + 1):
         u = np.bincount(row * length + col, p[fid], n * length).reshape(n, length) + p[nf]
         e = np.exp(np.clip(u, -30, 30)).astype(np.float32)
@@ -160,11 +168,11 @@ def fit_field(docs: list[tuple[list[list[int]], list[bool]]], names: dict[str, i
                 inner[:, 1] *= e[:, i]
                 joint = alpha[i - 1][:, :, None] * step[None] * inner[:, None, :]
                 joint /= joint.sum((1, 2), keepdims=True)
-                moved += joint[real[:, i]].sum(0)
+                moved += (joint * (weight * real[:, i])[:, None, None]).sum(0)
                 before = inner @ step.T
                 before /= before.sum(1, keepdims=True)
                 beta = np.where(real[:, i : i + 1], before, 1.0)
-        diff = np.where(real, y - marginal, 0.0)
+        diff = np.where(real, y - marginal, 0.0) * weight[:, None]
         grad = np.concatenate([np.bincount(fid, diff[row, col], nf), [diff.sum()], (seen - moved).ravel()]) / tokens * 100 - ridge * p
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         p = p + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6) * (0.5 if t > rounds // 2 else 1.0)
@@ -191,69 +199,77 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def candidates(toxic: list[list[bytes]], clean: list[list[bytes]], most: int, least_docs: int = 5) -> list[str]:
-    """Features that toxic documents show far more often, by the likelihood ratio of document counts."""
-    words = Counter(w for doc in toxic for w in set(doc))
+def candidates(toxic: list[tuple[list[bytes], float]], clean: list[tuple[list[bytes], float]], least: float = 24.0, times: float = 2.5) -> list[str]:
+    """Features that toxic documents (words, weight) show far more often: ``times`` as often, with a likelihood
+    ratio of the weighted document counts over ``least``."""
+    nt, nc = (sum(w for _, w in docs) for docs in (toxic, clean))
+    fewest = least / 2 / math.log((nt + nc) / nt)  # with less, even a feature of toxic documents alone stays below
+    words: Counter[bytes] = Counter()
+    for doc, weight in toxic:
+        for w in set(doc):
+            words[w] += weight
     bound: Counter[str] = Counter()  # from above: a feature's documents are no more than its words' documents
     for w, n in words.items():
         for f in word_features(w):
             bound[f] += n
-    a: Counter[str] = Counter()
-    some = {f for f, n in bound.items() if n >= least_docs}
+    some = {f for f, n in bound.items() if n >= fewest}
     del bound, words
-    for doc in toxic:
-        a.update({f for w in set(doc) for f in word_features(w)} & some)
-    a = Counter({f: n for f, n in a.items() if n >= least_docs})
+    a: Counter[str] = Counter()
+    for doc, weight in toxic:
+        for f in {f for w in set(doc) for f in word_features(w)} & some:
+            a[f] += weight
     b: Counter[str] = Counter()
-    for doc in clean:
-        b.update({f for w in set(doc) for f in word_features(w) if f in a})
-    nt, nc = len(toxic), len(clean)
+    for doc, weight in clean:
+        for f in {f for w in set(doc) for f in word_features(w) if f in a}:
+            b[f] += weight
     found = []
     for f, x in a.items():
         y = b[f]
         px, py, pq = x / nt, (y + 0.5) / (nc + 1), (x + y) / (nt + nc)
-        if px > 2.5 * py:
+        if px > times * py:
             g2 = 2 * sum(o * math.log(o / e) for o, e in ((x, nt * pq), (y, nc * pq), (nt - x, nt * (1 - pq)), (nc - y, nc * (1 - pq))) if o > 0 and e > 0)
-            if g2 > 24:
+            if g2 > least:
                 found.append((-g2, f))
-    return [f for _, f in sorted(found)[:most]]
+    return [f for _, f in sorted(found)]
 
 
-def without_copies(texts: list[str]) -> list[str]:
-    """The texts but those that look like copies of an earlier one (a pair of least 3-word shingle keys is
-    equal), so that one document with many copies is not taken for many. Only the training sample is cut."""
-    seen: set[tuple[int, ...]] = set()
-    out = []
-    for t in texts:
+def copy_weights(texts: list[str]) -> list[float]:
+    """A weight for each text: texts that look like copies of each other (a pair of least 3-word shingle keys is
+    equal) share 1, so that one document with many copies is not taken for many."""
+    group: dict[tuple[int, ...], int] = {}
+    own, size = [], Counter()
+    for i, t in enumerate(texts):
         _, _, _, words, _ = keyed([t], ALNUM)
         keys = shingle_keys(words, min(3, len(words))) if len(words) else words
-        if not len(keys):
-            continue
-        low = [int(mix64(keys + np.uint64(i)).min()) for i in range(6)]
-        own = {(i, low[i], low[i + 1]) for i in (0, 2, 4)}
-        if not own & seen:
-            out.append(t)
-        seen |= own
-    return out
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 1500, most_clean: int = 2000, most_features: int = 3000) -> Crf:
-    ids, total = training_ids(labels, label, {1: most_toxic, 0: most_clean})
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text")).orderBy("y", F.xxhash64("text")).collect()
-    texts = {c: without_copies([r["text"] for r in rows if r["y"] == c]) for c in (0, 1)}
+        if len(keys):
+            low = [int(mix64(keys + np.uint64(j)).min()) for j in range(6)]
+            marks = [(j, low[j], low[j + 1]) for j in (0, 2, 4)]
+            g = next((group[m] for m in marks if m in group), i)
+            for m in marks:
+                group.setdefault(m, g)
+        else:
+            g = -1
+        own.append(g)
+        size[g] += 1
+    return [1 / size[g] for g in own]
+
+
+def fit(texts: dict[int, list[str]], total: dict[int, int]) -> Crf:
+    """The model of a sample: texts and the number of training rows of class 1 (toxic) and 0."""
     share = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
-    if not texts[0] or not texts[1]:
+    if not texts.get(0) or not texts.get(1):
         out = Crf({}, np.zeros(0), 0.0, np.zeros((2, 2)), constant=share)
         out.prepare()
         return out
     own: dict[bytes, bytes] = {}
 
-    def tokens(t: str) -> list[bytes]:
-        return [own.setdefault(w, w) for w in t.encode().translate(ALNUM).split()]
+    def tokens(c: int) -> list[tuple[list[bytes], float]]:
+        some = texts[c]
+        return [([own.setdefault(w, w) for w in t.encode().translate(ALNUM).split()], v) for t, v in zip(some, copy_weights(some), strict=True)]
 
-    toxic, clean = [tokens(t) for t in texts.pop(1)], [tokens(t) for t in texts.pop(0)]
-    del rows, own
-    names = {f: i for i, f in enumerate(candidates(toxic, clean, most_features))}
+    words = {c: tokens(c) for c in (1, 0)}
+    texts.clear()
+    names = {f: i for i, f in enumerate(candidates(words[1], words[0]))}
     memo: dict[bytes, list[int]] = {}
     none: list[int] = []
 
@@ -263,21 +279,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic:
                 memo[w] = [names[f] for f in word_features(w) if f in names] or none
         return [memo[w] for w in doc]
 
-    toxic, clean = [coded(d) for d in toxic], [coded(d) for d in clean]
-    memo.clear()
-    model = fit_field([(d, [bool(fs) for fs in d]) for d in toxic] + [(d, [False] * len(d)) for d in clean], names)
+    docs = [(coded(d), c, v) for c in (1, 0) for d, v in words[c]]
+    del words, own
+    model = fit_field([(d, [c == 1 and bool(fs) for fs in d], v) for d, c, v in docs], names)
     model.prepare()
-    x, y = [], []
-    for c, group in ((1, toxic), (0, clean)):
-        for d in group:
-            places = [i for i, fs in enumerate(d) if fs]
-            x.append(_doc_features(model.marginals(places, [model.bias + float(model.weights[d[i]].sum()) for i in places], len(d)), len(d)))
-            y.append(c)
-    weight = np.where(np.array(y) == 1, total[1] / len(toxic), total[0] / len(clean))
-    model.calibration = _logistic(np.array(x), np.array(y, float), weight)
+    x = []
+    for d, _, _ in docs:
+        places = [i for i, fs in enumerate(d) if fs]
+        x.append(_doc_features(model.marginals(places, [model.bias + float(model.weights[d[i]].sum()) for i in places], len(d)), len(d)))
+    y, v = np.array([float(c) for _, c, _ in docs]), np.array([v for _, _, v in docs])
+    weight = v * np.where(y == 1, total[1] / v[y == 1].sum(), total[0] / v[y == 0].sum())
+    model.calibration = _logistic(np.array(x), y, weight)
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 1500, most_clean: int = 2000, most_bytes: int = 1 << 23) -> Crf:
+    ids, total = training_ids(labels, label, {1: most_toxic, 0: most_clean})
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list[str]] = {1: [], 0: []}
+        left = {1: most_bytes, 0: most_bytes}
+        for part in slices(batches, "text"):
+            for y, t in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
+                left[y] -= len(t.encode())
+                if left[y] >= 0 or not texts[y]:
+                    texts[y].append(t)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, total))], pa.binary())], names=["model"])
+
+    fitted = rows.repartition(1).sortWithinPartitions("y", "place", "text").mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted[0]) if fitted else fit({}, total)
+
+
 class Tagger:
     """Scores texts in one Python worker; remembers which words have features."""
 
@@ -331,28 +364,28 @@ class Tagger:
 
 
 def tag(docs: DataFrame, model: Crf, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` (its columns ``keep``) with __score and __spans (start, end, marginal)."""
-    kept = list(docs.columns if keep is None else keep)
+    """rec (the columns of ``docs``, or ``keep``), score and spans (start, end, marginal) of each row."""
+    own, place = recorded(docs, text, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-    schema = docs.select(*kept, F.lit(0.0).alias("__score"), F.expr("cast(null as array<struct<start:int,end:int,marginal:double>>)").alias("__spans")).schema
+    schema = own.selectExpr("rec", "0.0D AS score", "cast(null as array<struct<start:int,end:int,marginal:double>>) AS spans").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for part in slices(batches, text):
-            scores, spans = tagger(part.column(text).to_pylist())
+        for part in slices(batches, place):
+            scores, spans = tagger(column(part, place).to_pylist())
             rows = [[{"start": a, "end": b, "marginal": m} for a, b, m in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array(rows, kind)], names=[*kept, "__score", "__spans"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(rows, kind)], names=["rec", "score", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold."""
-    return tag(docs, train(docs, labels)).where(F.col("__score") < threshold).select(*docs.columns)
+    return tag(docs, train(docs, labels)).where(F.col("score") < threshold).select("rec.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = tag(docs, train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"), F.size("__spans").alias("n_spans"))
+    found = tag(docs, train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",)).select("rec.doc_id", "score", "spans")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
