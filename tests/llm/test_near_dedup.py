@@ -5,6 +5,7 @@ import numpy as np
 
 from docquarry.llm.components import components
 from docquarry.llm.near_dedup import block_links, deduplicated, near_duplicates, shingle_sets
+from docquarry.llm.skewed import hot_keys, joined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,4 +127,14 @@ def test_texts_that_are_very_long_or_made_of_common_parts(spark):
     parts = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(6)]
     texts = [" ".join(rng.sample(parts, 4)) for _ in range(150)] + ["w " * 300_000 + "x" * 3_000_000, "w " * 200_000 + "x" * 3_000_000]
     rows = list(enumerate(texts))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+    for options in ({}, {"block": 4}):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()) == brute(rows)
+
+
+def test_joins_of_hot_keys(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(6000)] + [(None, 1)], "k long, v int")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (9999, "c")], "k long, w string")
+    assert hot_keys(left, "k").collect()[0].k == 1
+    for how in ("inner", "left", "left_semi"):
+        for r in (right, right.where("k > 1")):
+            assert sorted(map(str, joined(left, r, "k", how).collect())) == sorted(map(str, left.join(r, "k", how).collect()))
