@@ -1,6 +1,11 @@
 """The corpus pipeline: documents in, sharded and mixed training documents out.
 
-Each stage works on all that its predecessor kept, written as Parquet and read again.
+Each stage works on all that its predecessor kept, written as Parquet and read again. All but the last return the
+columns of documents, whatever further ones there are; the last replaces those named like its results.
+
+Defined results: a document without text, or with an empty one, passes all stages once; one without doc_id is
+linked with nothing; repeated rows are near copies of each other by id, so they stay or go together; rows that
+repeat an id with other texts stay if one of them does; empty documents give no rows.
 """
 
 from __future__ import annotations
