@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components
@@ -246,36 +246,42 @@ def block_links(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[
     return links
 
 
-def _rest(open_classes: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) among ``open_classes`` (node, component) that join components, by an exact join.
+def _rest(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join components among the classes of open regions (h, node, component), by an exact join.
 
-    Shingles are ordered by how many of these classes have them. Of two sets that are similar enough, the rarest
-    n - ceil(percent n / 100) + 1 shingles of each have one in common, so classes meet at those only. Shingles
-    that one class alone has fill these places first, so classes that share no more than a template do not meet.
-    Shingles of the same classes are one group. Groups that share classes are a cluster, compared as a whole if it
-    has up to 16 blocks of ``block`` sets, so that a set moves once; the groups of larger ones are compared each.
+    In each region all but the largest component ask; so of every two classes of a region that are not connected
+    one asks at least. Shingles are ordered by how many of these classes have them. The rarest
+    n - ceil(percent n / 100) + 1 shingles of one that asks hold one of any set that is similar enough, so classes
+    meet at those only. Shingles that one class alone has fill these places first, so classes that share no more
+    than a template do not meet. Shingles of the same classes are one group. Groups that share classes are a
+    cluster, compared as a whole if it has up to 16 blocks of ``block`` sets, so that a set moves once; the groups
+    of larger ones are compared each.
     """
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, keys in zip(batch.column("node").to_pylist(), batch.column("keys"), strict=True):
+            for node, component, asks, keys in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "asks")), batch.column("keys"), strict=True):
                 own = np.frombuffer(keys.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(len(own), node), pa.int64())], names=["key", "node"])
-
-    tokens = saved(sets.join(open_classes.select("node"), "node", "left_semi").mapInArrow(exploded, "key long, node long"), "tokens")
-    counts = tokens.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    shared = joined(tokens, counts, "key").join(open_classes, "node").join(sizes, "node")
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(np.full(n, v)) for v in (node, component, asks))], names=["key", "node", "component", "asks"])
+
+    largest = members.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component"))["component"].alias("top"))
+    named = joined(members, largest, "h").groupBy("node", "component").agg(F.max(F.col("component") != F.col("top")).alias("asks"))
+    tokens = saved(sets.join(named, "node").mapInArrow(exploded, "key long, node long, component long, asks boolean"), "tokens")
+    counts = tokens.groupBy("key").agg(F.count("*").alias("f"), F.max("asks").alias("asked")).where("asked AND f > 1").select("key", "f")
+    shared = tokens.where("asks").join(counts, "key").join(sizes, "node")
     own = Window.partitionBy("node")
-    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.count("*").over(own))
-    prefix = saved(shared.withColumns({"places": first, "place": F.row_number().over(own.orderBy("f", "key"))}).where("place <= places").select("key", "node", "component"), "prefixes")
+    places = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.count("*").over(own))
+    prefix = saved(shared.withColumns({"places": places, "place": F.row_number().over(own.orderBy("f", "key"))}).where("place <= places").select("key", "node", "component"), "prefixes")
+    others = tokens.where("NOT asks").join(prefix.select("key").distinct(), "key").select("key", "node", "component")
+    prefix = saved(prefix.unionByName(others), "prefixes")
     groups = prefix.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).where("c > 1 AND x != y")
     groups = groups.groupBy("c", "x", "y", "p", "q").agg(F.min("key").alias("key"))
     met = saved(joined(prefix, groups.select("key"), "key").select(F.col("key").alias("h"), F.col("node").alias("doc"), "component"), "groups")
     least = met.groupBy("h").agg(F.min("doc").alias("b"))
     clusters = components(joined(met.select("h", F.col("doc").alias("a")), least, "h").select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     large = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > 16 * block).select("cluster")
-    named = saved(met.join(clusters, "doc"), "clusters")
-    apart = joined(named, large.withColumn("large", F.lit(True)), "cluster", "left")
+    apart = joined(saved(met.join(clusters, "doc"), "clusters"), large.withColumn("large", F.lit(True)), "cluster", "left")
     whole = apart.where("large IS NULL").select(F.col("cluster").alias("h"), "doc", "component").distinct()
     return _compared(saved(whole.unionByName(apart.where("large").select("h", "doc", "component")), "compared"), sets, percent, block)
 
@@ -284,10 +290,18 @@ def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) ->
     """Links in groups (h, doc, component) that hold several components: those outside the group's
     largest component against all members, in blocks of about ``block`` members."""
     per = regions.groupBy("h", "component").agg(F.count("*").alias("n"))
-    top = per.groupBy("h").agg(F.sum("n").alias("c"), F.max(F.struct("n", F.col("component").alias("top")))["top"].alias("top"))
-    rows = joined(regions, top, "h").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
-    members = rows.select("h", F.pmod(F.xxhash64("doc", "h"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "doc", "component")
-    queries = rows.where("component != top").select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "component")
+    top = per.groupBy("h").agg(F.sum("n").alias("c"), F.max(F.struct("n", F.col("component").alias("top"))).alias("x")).select("h", F.col("x.top").alias("top"), F.ceil(F.col("c") / block).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("x.n")) / (2 * block))).cast("int").alias("columns"))
+    named = joined(regions, top, "h")
+
+    def one(n: str) -> Column:
+        return F.pmod(F.xxhash64("doc", "h"), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # A grid: members by row, queries by column, and each meets all of the other.
+    members = named.select("h", one("rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("role"), "doc", "component")
+    queries = named.where("component != top").select("h", each("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "doc", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, queries = None, [], []
@@ -297,8 +311,8 @@ def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) ->
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for h, part, role, doc, component, keys in zip(*(batch.column(c) for c in ("h", "part", "role", "doc", "component", "keys")), strict=True):
-                now = (h.as_py(), part.as_py())
+            for h, i, j, role, doc, component, keys in zip(*(batch.column(c) for c in ("h", "i", "j", "role", "doc", "component", "keys")), strict=True):
+                now = (h.as_py(), i.as_py(), j.as_py())
                 if now != key:
                     if queries:
                         yield links()
@@ -311,8 +325,8 @@ def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) ->
             yield links()
 
     both = members.unionByName(queries).join(sets.withColumnRenamed("node", "doc"), "doc")
-    rows = both.repartition("h", "part").sortWithinPartitions("h", "part", "role")
-    return rows.select("h", "part", "role", "doc", "component", "keys").mapInArrow(run, "a long, b long")
+    rows = both.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "role")
+    return rows.select("h", "i", "j", "role", "doc", "component", "keys").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth: int = 6, least_depth: int = 3, neighbours: int = 3, block: int = 256, rows_per_range: int = 300_000, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -351,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     # Regions that are not small and still hold several components.
     members = saved(named(forest.where("NOT small").select("h", "node"), "node", "component"), "members")
     mixed = members.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("h")
-    left = saved(joined(members, mixed, "h", "left_semi").select("node", "component").distinct(), "open")
+    left = saved(joined(members, mixed, "h", "left_semi"), "open")
     if not left.isEmpty():
         links = saved(links.unionByName(_rest(left, classes.select("node", "n_shingles"), sets, percent, block).distinct()), "links")
         parts = components(links)

@@ -29,6 +29,9 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> D
     hot = hot_keys(left, key)
     if hot is None:
         return left.join(right, key, how)
-    few = right.join(F.broadcast(hot), key, "left_semi")
-    spread = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    if how == "left":
+        few = hot.join(right, key, "left")
+    else:
+        few = right.join(F.broadcast(hot), key, "left_semi")
+    spread = left.join(F.broadcast(few), key, "left_semi" if how == "left_semi" else "inner")
     return spread.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
