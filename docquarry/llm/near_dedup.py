@@ -260,21 +260,21 @@ def _rest(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, b
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, component, asks, keys in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "asks")), batch.column("keys"), strict=True):
+            for node, asks, keys in zip(batch.column("node").to_pylist(), batch.column("asks").to_pylist(), batch.column("keys"), strict=True):
                 own = np.frombuffer(keys.as_buffer(), "<i8")
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(np.full(n, v)) for v in (node, component, asks))], names=["key", "node", "component", "asks"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(len(own), node), pa.int64()), pa.array(np.full(len(own), asks), pa.bool_())], names=["key", "node", "asks"])
 
     largest = members.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component"))["component"].alias("top"))
-    named = joined(members, largest, "h").groupBy("node", "component").agg(F.max(F.col("component") != F.col("top")).alias("asks"))
-    tokens = saved(sets.join(named, "node").mapInArrow(exploded, "key long, node long, component long, asks boolean"), "tokens")
+    named = saved(joined(members, largest, "h").groupBy("node", "component").agg(F.max(F.col("component") != F.col("top")).alias("asks")), "named")
+    few = F.broadcast(named) if named.count() <= 500_000 else named  # 17 bytes each
+    tokens = saved(sets.join(few, "node").mapInArrow(exploded, "key long, node long, asks boolean"), "tokens")
     counts = tokens.groupBy("key").agg(F.count("*").alias("f"), F.max("asks").alias("asked")).where("asked AND f > 1").select("key", "f")
-    shared = tokens.where("asks").join(counts, "key").join(sizes, "node")
+    shared = tokens.where("asks").select("key", "node").join(counts.hint("merge"), "key").join(sizes, "node")
     own = Window.partitionBy("node")
     places = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.count("*").over(own))
-    prefix = saved(shared.withColumns({"places": places, "place": F.row_number().over(own.orderBy("f", "key"))}).where("place <= places").select("key", "node", "component"), "prefixes")
-    others = tokens.where("NOT asks").join(prefix.select("key").distinct(), "key").select("key", "node", "component")
-    prefix = saved(prefix.unionByName(others), "prefixes")
+    prefix = saved(shared.withColumns({"places": places, "place": F.row_number().over(own.orderBy("f", "key"))}).where("place <= places").select("key", "node"), "prefixes")
+    others = tokens.where("NOT asks").select("key", "node").join(prefix.select("key").distinct().hint("merge"), "key")
+    prefix = saved(prefix.unionByName(others).join(named.select("node", "component"), "node"), "prefixes")
     groups = prefix.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).where("c > 1 AND x != y")
     groups = groups.groupBy("c", "x", "y", "p", "q").agg(F.min("key").alias("key"))
     met = saved(joined(prefix, groups.select("key"), "key").select(F.col("key").alias("h"), F.col("node").alias("doc"), "component"), "groups")
@@ -346,8 +346,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     sets = saved(sets if once else sets.dropDuplicates(["node"]), "sets")
 
     ups = forest.where("parent IS NOT NULL").groupBy("node").agg(F.max(F.struct("up", (-F.col("parent")).alias("less")))["less"].alias("less"))
-    links = saved(_confirmed(ups.select((-F.col("less")).alias("hub"), F.col("node").alias("doc")), sets, percent), "links")
-    parts = components(links)
+    parts = components(saved(_confirmed(ups.select((-F.col("less")).alias("hub"), F.col("node").alias("doc")), sets, percent), "links"))
+
+    def more(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after further links; those before stand for the links that made them."""
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(saved(links, "links")))
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
         """``df`` with the component of the class in ``column``: itself if it has no link."""
@@ -359,16 +362,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, depth:
     apart = saved(apart, "apart")
     best = apart.where("NOT small").groupBy("node").agg(F.max(F.struct("lcp", (-F.col("other")).alias("less")))["less"].alias("less")).select("node", (-F.col("less")).alias("other"))
     chosen = apart.where("small").select("node", "other").unionByName(best).select(F.least("node", "other").alias("hub"), F.greatest("node", "other").alias("doc")).distinct()
-    links = saved(links.unionByName(_confirmed(chosen, sets, percent)), "links")
-    parts = components(links)
+    parts = more(parts, _confirmed(chosen, sets, percent))
 
     # Regions that are not small and still hold several components.
     members = saved(named(forest.where("NOT small").select("h", "node"), "node", "component"), "members")
     mixed = members.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("h")
     left = saved(joined(members, mixed, "h", "left_semi"), "open")
     if not left.isEmpty():
-        links = saved(links.unionByName(_rest(left, classes.select("node", "n_shingles"), sets, percent, block).distinct()), "links")
-        parts = components(links)
+        parts = more(parts, _rest(left, classes.select("node", "n_shingles"), sets, percent, block))
     return _assigned(rows, classes, parts)
 
 

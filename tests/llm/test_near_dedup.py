@@ -132,8 +132,8 @@ def test_texts_that_are_very_long_or_made_of_common_parts(spark):
 
 
 def test_joins_of_hot_keys(spark):
-    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(6000)] + [(None, 1)], "k long, v int")
-    right = spark.createDataFrame([(1, "a"), (3, "b"), (9999, "c")], "k long, w string")
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(60_000)] + [(None, 1)], "k long, v int")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (99999, "c")], "k long, w string")
     assert hot_keys(left, "k").collect()[0].k == 1
     for how in ("inner", "left", "left_semi"):
         for r in (right, right.where("k > 1")):
