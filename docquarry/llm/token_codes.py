@@ -11,7 +11,8 @@ its first id u64; then for each level: entries u64, chunks u8[entries], bitmap u
 (low bit first), directory u32[entries/512 + 1].
 
 Defined results: a null or empty text gives the end id alone; documents repeat if their rows do; rows
-with a null doc_id come first; an empty table gives no rows.
+with a null doc_id come first; an empty table gives no rows. Only the id and the text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.textkeys import slices
+from docquarry.llm.textkeys import quoted, slices
 from docquarry.session import new_path, table
 
 MAGIC, EVERY = b"DACT", 512
@@ -123,7 +124,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
-        probe = ["Word's", "ÉTÉ,", "a1b2...", "ß-Öl$$$", "it'S'LL!?", "x"]
+        probe = ["Word's", "ÉTÉ,", "a1b2...", "ß-Öl$$$", "it'S'LL!?", "x", "'Twas", "don't've", "3rd/4TH", "((x))", "e.g.,", "ñÑ'd", "100%", "a--b__c", "user@host.de", "Þórr#1", "``q''", "X'RE!'s", "÷×", "\\n{}[]~^|"]
         self.direct = all(self._direct(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def clear(self) -> None:
@@ -216,10 +217,11 @@ def _joined(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
-def write(docs: DataFrame, path: str, file: str, end_id: int = 1, text: str = "text", key: str = "doc_id", block_ids: int = 1 << 18, rows_per_file: int = 1 << 19) -> None:
+def write(docs: DataFrame, path: str, file: str, end_id: int = 1, text: str = "text", key: str = "doc_id", block_ids: int = 1 << 18, bytes_per_file: int = 1 << 26) -> None:
     """Encode every text and write blocks to ``path``, in ascending order of key over the files.
 
-    Texts are shuffled once, by ranges of the key; ids go straight to the files.
+    Texts are shuffled once, by ranges of the key, of about ``bytes_per_file`` of text each; ids go straight to the
+    files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +248,9 @@ def write(docs: DataFrame, path: str, file: str, end_id: int = 1, text: str = "t
         if held:
             yield block()
 
-    n = max(docs.sparkSession.sparkContext.defaultParallelism * 4, docs.select(key).count() // rows_per_file)
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(quoted([key])[0]).cast("long").alias("__key"), F.col(quoted([text])[0]).alias("__text"))
+    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    n = max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // bytes_per_file)
     blocks = rows.repartitionByRange(n, F.col("__key").asc_nulls_first()).sortWithinPartitions(F.col("__key").asc_nulls_first()).mapInArrow(run, "first long, doc_ids array<long>, n_ids long, image binary")
     blocks.withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(path)
 
