@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import terms
-from docquarry.functions.vectors import distances_to, dot, norm
+from docquarry.functions.vectors import distances_to
 
 MAX_QUERIES = 4096
+#: Rows that a task compares with all queries of a block at once: three arrays of 8 MB at most.
+SLICE = 256
 
 
 def matches(filters: dict[str, Any]) -> Column:
@@ -42,13 +44,17 @@ def browse(records: DataFrame, key: str, offset: int, limit: int, filters: dict[
     return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # one row
 
 
+def distances(index: DataFrame, query: list[float], vector: str = "embedding", metric: str = "cosine", filters: dict[str, Any] | None = None) -> DataFrame:
+    """The rows that match, with their distance to the query."""
+    return index.where(matches(filters or {})).withColumn("distance", distances_to(query, metric)(F.col(vector).cast("array<double>")))
+
+
 def vector_topk(index: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine", filters: dict[str, Any] | None = None) -> DataFrame:
     """The k nearest rows by (distance, key): a filtered scan, distances by batch, TakeOrderedAndProject.
 
     Vectors of another dimension than the query's are errors (see ``vectors.is_vector`` for checks).
     """
-    distance = distances_to(query, metric)(F.col(vector).cast("array<double>"))
-    return index.where(matches(filters or {})).withColumn("distance", distance).orderBy("distance", key).limit(max(0, k))
+    return distances(index, query, vector, metric, filters).orderBy("distance", key).limit(max(0, k))
 
 
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
@@ -73,10 +79,9 @@ def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
             ids, q = shared.value
             best_d = np.full((len(ids), k), np.inf)
             best_k = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
+            parts = (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE))
+            for batch in parts if k else ():
                 column = batch.column(1)
-                if not batch.num_rows or not k:
-                    continue
                 x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -84,10 +89,11 @@ def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
                 keys = np.asarray(batch.column(0))
                 if exclude_self:
                     d[np.array(ids)[:, None] == keys[None, :]] = np.inf
-                all_d = np.concatenate([best_d, d], 1)
-                all_k = np.concatenate([best_k, np.broadcast_to(keys, d.shape)], 1)
+                near = np.flatnonzero((d <= best_d[:, -1:]).any(1))  # queries for which this slice has something
+                all_d = np.concatenate([best_d[near], d[near]], 1)
+                all_k = np.concatenate([best_k[near], np.broadcast_to(keys, (len(near), len(keys)))], 1)
                 order = np.lexsort((all_k, all_d), axis=1)[:, :k]
-                best_d, best_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+                best_d[near], best_k[near] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
             i, j = np.nonzero(np.isfinite(best_d))
             yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], pa.int64()), pa.array(best_k[i, j]), pa.array(best_d[i, j])], names=[query_key, key, "distance"])
 
@@ -141,12 +147,3 @@ def fuse(semantic: DataFrame, lexical: DataFrame, k: int, constant: int = 60, ke
 def confidence(*scores: Column) -> Column:
     """The best of the hits' first known scores, within [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max(F.coalesce(*scores))))
-
-
-def unit_vectors(index: DataFrame, vector: str = "embedding") -> DataFrame:
-    """The index with vectors of length one, so that a cosine is a dot product."""
-    n = norm(F.col(vector))
-    return index.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(F.col(vector)))
-
-
-__all__ = ["batch_topk", "browse", "confidence", "dot", "fuse", "lexical_search", "matches", "metadata_text", "semantic_hits", "unit_vectors", "vector_topk"]

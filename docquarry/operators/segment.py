@@ -58,13 +58,15 @@ def with_chunk_ids(chunks: DataFrame, document_ref: Column, version: Column) ->
     return chunks.withColumn("chunk_id", chunk_id(document_ref, version, F.col("index"), F.col("heading"), F.col("content")))
 
 
-def heading_path(titles: Column) -> Column:
-    """The headings above a place, from (level, title) in order: each cuts the path to level - 1 and is added."""
+def heading_paths(titles: Column) -> Column:
+    """The path at each of the headings (level, title) in order: each cuts the path before it to level - 1 and is
+    added, so a path has six titles at most."""
 
-    def step(path: Column, h: Column) -> Column:
-        return F.concat(F.slice(path, F.lit(1), F.least(h["level"] - 1, F.size(path))), F.array(h["title"]))
+    def step(paths: Column, h: Column) -> Column:
+        path = F.coalesce(F.get(paths, F.size(paths) - 1), F.expr("cast(array() as array<string>)"))
+        return F.concat(paths, F.array(F.concat(F.slice(path, F.lit(1), F.least(h["level"] - 1, F.size(path))), F.array(h["title"]))))
 
-    return F.aggregate(titles, F.expr("cast(array() as array<string>)"), step)
+    return F.aggregate(titles, F.expr("cast(array() as array<array<string>>)"), step)
 
 
 def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") -> DataFrame:
@@ -89,8 +91,10 @@ def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") ->
     total = F.max("n").over(Window.partitionBy(*keys))
     # n counts paragraphs begun so far: an image line goes to n if that has ended, else to n + 1, at most the last.
     x = x.withColumn("owner", F.when(F.col("is_text"), F.col("n")).when(F.col("image_only") & (F.col("n") > 0) & F.col("closed"), F.col("n")).when(F.col("image_only"), F.least(F.col("n") + 1, total)))
-    heads = F.collect_list(F.when(F.col("head"), F.struct("level", "title"))).over(upto)
-    x = x.withColumn("heads", F.when(F.col("starts"), heads))
+    x = x.withColumn("heads", F.when(F.col("starts"), F.sum(F.col("head").cast("int")).over(upto)))
+    # A chunk's paths are found once, and each paragraph takes that of the last heading above it.
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))), lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title")))
+    paths = x.where("head").groupBy(*keys).agg(heading_paths(titles).alias("paths"))
     order = F.when(F.col("is_text") | ~F.col("closed") | (F.col("n") == 0), F.col("pos"))
     found = x.where(F.col("owner").isNotNull() & (F.col("owner") > 0)).groupBy(*keys, "owner").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_text"), F.struct("pos", "line")))), lambda p: p["line"]), "\n").alias("text"),
@@ -98,7 +102,8 @@ def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") ->
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "refs"))), lambda p: p["refs"]))).alias("image_refs"),
         F.min(order).alias("first_pos"),
     )
-    found = found.withColumns({"ordinal": F.col("owner") - 1, "heading_path": heading_path(F.col("heads"))})
+    path = F.when(F.col("heads") > 0, F.get("paths", F.col("heads") - 1)).otherwise(F.expr("cast(array() as array<string>)"))
+    found = found.join(paths, keys, "left").withColumns({"ordinal": F.col("owner") - 1, "heading_path": path})
     return found.select(*keys, "ordinal", "text", "heading_path", "image_refs")
 
 

@@ -23,12 +23,12 @@ def segmented(documents: DataFrame, heading_level: int = 2) -> tuple[DataFrame,
     return chunks, paras
 
 
-def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, model: str = "profile-1", index_version: str = "v1", run_id: str = "run") -> DataFrame:
+def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, model: str = "profile-1", index_version: str = "v1", run_id: str = "run", also: dict[str, DataFrame] | None = None) -> DataFrame:
     """Bring the store up to date with ``documents``: all rows of the documents named are replaced.
 
     Chunks, paragraphs, relations, the concept catalog, vector states and the vector index are committed
-    at once; only new and changed chunks are embedded. Without a tagger, chunks are indexed without tags.
-    Returns the changes (entity_key, change).
+    at once, with the tables of ``also``; only new and changed chunks are embedded. Without a tagger, chunks are
+    indexed without tags. Returns the changes (entity_key, change).
     """
     spark = documents.sparkSession
     known = set(store.tables())
@@ -67,11 +67,30 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
             "catalog": concepts.global_catalog(observations),
             "states": state.replaced(states, scope, desired, ["document_ref"]),
             "index": index.join(gone, "chunk_id", "left_anti").select(*vectors.columns).unionByName(vectors),
+            **(also or {}),
         }
     )
     return changes
 
 
+def ingest_checkpointed(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, groups: int = 8, run_id: str = "run", stop_after: int | None = None) -> list[int]:
+    """``ingest`` in groups of documents by hash, each durable before the next begins; a group's commit holds its
+    checkpoint (run_id, group), so a run that is started again goes on where it ended. Returns the groups done by
+    this call (``stop_after`` ends it early)."""
+    spark, done = documents.sparkSession, []
+    known = store.read("checkpoints") if "checkpoints" in store.tables() else spark.createDataFrame([], "run_id string, group int")
+    before = {r[0] for r in known.where(F.col("run_id") == run_id).select("group").collect()}  # at most ``groups``
+    for g in range(groups):
+        if g in before or (stop_after is not None and len(done) >= stop_after):
+            continue
+        own = documents.where(F.pmod(F.xxhash64("document_ref"), F.lit(groups)) == g)
+        known = known.unionByName(spark.createDataFrame([(run_id, g)], "run_id string, group int"))
+        ingest(store, own, embedder, tagger, run_id=run_id, also={"checkpoints": known.coalesce(1)})
+        known = store.read("checkpoints")
+        done.append(g)
+    return done
+
+
 def retrieve(store: Store, question: str, vector: list[float], hits: int = 10, paragraphs: int = 20, words: int = 4000) -> DataFrame:
     """The bounded context of a question: paragraphs of the fused top chunks, in order, with labels.
 

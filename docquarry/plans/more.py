@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import answers, concepts, ingest, records, search, segment
+from docquarry.plans import flows
 from docquarry.plans.queries import _FACTS, facts, query
 from docquarry.session import new_path, table
 from docquarry.sources import files
+from docquarry.sources.store import Store
 
 _NONE = F.lit(None).cast("string")
 
@@ -261,6 +263,16 @@ def tag_catalog_added(spark, sf_dir):
     return ingest.persisted(tagged.select("paragraph_id", "tags").limit(0), catalog, tagged)[1]
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT 'doc-' || doc_id AS document_ref, count(*) AS chunks, '0|1|' AS runs FROM l WHERE trim(line) <> '' GROUP BY 1""")
+def ingest_resumed(spark, sf_dir):
+    """Ingest in two groups, stopped after the first and resumed, then begun once more: chunks by document, and the
+    groups that each call did."""
+    store = Store(spark, new_path(spark, "resumed-store"))
+    docs = flows.corpus_markdown(table(spark, sf_dir, "documents"))
+    runs = [flows.ingest_checkpointed(store, docs, ports.FakeEmbedder(), None, groups=2, stop_after=n) for n in (1, None, None)]
+    return store.read("chunks").groupBy("document_ref").agg(F.count("*").alias("chunks")).withColumn("runs", F.lit("|".join(",".join(map(str, r)) for r in runs)))
+
+
 # ---- chunk parts and layouts
 
 

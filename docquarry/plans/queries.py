@@ -110,8 +110,8 @@ def collection_counts(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT label, {_DIST} AS d FROM embeddings e, embeddings q WHERE q.vec_id = 0) SELECT label, round(greatest(0, least(1, max(1 - d))), 6) AS confidence FROM (SELECT * FROM s) GROUP BY 1".replace("label, {", "e.label, {").replace("SELECT label, 1", "SELECT e.label AS label, 1"))
 def retrieval_confidence(spark, sf_dir):
-    top = search.vector_topk(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 2**31 - 1)
-    return top.groupBy("label").agg(F.round(search.confidence(1 - F.col("distance")), 6).alias("confidence"))
+    near = search.distances(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
+    return near.groupBy("label").agg(F.round(search.confidence(1 - F.col("distance")), 6).alias("confidence"))
 
 
 # ---- segmentation

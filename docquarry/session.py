@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.applicationId not in _LOCAL:
         _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="docquarry-")

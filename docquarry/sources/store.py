@@ -2,21 +2,35 @@
 
 A table is a folder of version folders; a commit writes new versions and then one manifest that names the
 current version of every table. Readers see the manifest's versions, so a commit over several tables shows
-whole or not at all. There is one writer at a time (the driver); a commit that lost a race is an error.
-All access is by Hadoop's file system, so the root can be in any store that Spark reads.
+whole or not at all. A table that is upserted by key lies in buckets of its key, each with a version of its own,
+so that a commit reads and writes only the buckets that its rows touch. There is one writer at a time (the
+driver); a commit that finds its number taken is an error, but two that begin at the same moment are told apart
+only where the file system's rename refuses an existing target. All access is by Hadoop's file system, so the
+root can be in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docquarry.operators.state import upserted
 
 
+BUCKETS = 64
+#: The rows of the touched buckets, and the new ones, to what these buckets hold then.
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _bucket(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,12 +63,40 @@ class Store:
         entry = self.manifest()["tables"].get(name)
         if entry is None:
             raise KeyError(name)
+        return self._parts(name, entry, entry["parts"].keys()) if "parts" in entry else self._folders(name, entry, [entry["version"]])
+
+    def _folders(self, name: str, entry: dict, folders: list[str]) -> DataFrame:
         schema = StructType.fromJson(entry["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{entry['version']}")
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+
+    def _parts(self, name: str, entry: dict, buckets) -> DataFrame:
+        return self._folders(name, entry, sorted(entry["parts"][b] for b in buckets if b in entry["parts"]))
+
+    def _merged(self, name: str, entry: dict | None, rows: DataFrame, key: list[str], merge: Merge) -> dict:
+        """The table's entry after ``rows`` were merged into the buckets that they touch."""
+        bucketed = entry is not None and entry.get("key") == key
+        if entry is not None:  # a key's bucket depends on its type
+            kinds = StructType.fromJson(entry["schema"])
+            rows = rows.withColumns({k: F.col(k).cast(kinds[k].dataType) for k in key})
+        touched = [str(r[0]) for r in rows.select(_bucket(key)).distinct().collect()]  # at most BUCKETS
+        if entry is None:
+            old = rows.limit(0)
+        else:
+            old = self._parts(name, entry, touched) if bucketed else self.read(name)
+        new, version = merge(old, rows), uuid.uuid4().hex
+        folder = f"{self.root}/{name}/{version}"
+        new.withColumn("_bucket", _bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        parts = {b: p for b, p in entry["parts"].items() if b not in touched} if bucketed else {}
+        for f in self._fs.listStatus(self._path(folder)):
+            if (leaf := f.getPath().getName()).startswith("_bucket="):
+                parts[leaf.split("=")[1]] = f"{version}/{leaf}"
+        return {"key": key, "parts": parts, "schema": json.loads(new.schema.json())}
 
-    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        """Replace the tables named; all others stay. The manifest is written last, by a rename that fails
-        if another commit took the number."""
+    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, merges: dict[str, tuple[DataFrame, list[str], Merge]] | None = None) -> int:
+        """Replace the tables of ``changes``, merge rows into those of ``merges`` (rows, key, merge); all others
+        stay. The manifest is written last, by a rename."""
         before = self.manifest()
         tables = dict(before["tables"])
         for name, df in changes.items():
@@ -64,6 +106,8 @@ class Store:
                 writer = writer.partitionBy(*cols)
             writer.parquet(f"{self.root}/{name}/{version}")
             tables[name] = {"version": version, "schema": json.loads(df.schema.json())}
+        for name, (rows, key, merge) in (merges or {}).items():
+            tables[name] = self._merged(name, tables.get(name), rows, key, merge)
         number = before["number"] + 1
         text = json.dumps({"number": number, "tables": tables})
         folder = f"{self.root}/_manifests"
@@ -81,17 +125,22 @@ class Store:
         """Rows win over the table's by key; keys must be unique in ``rows``."""
         if rows.groupBy(*key).count().where("count > 1").limit(1).count():
             raise ValueError(f"{name}: keys of an upsert must be unique")
-        return self.commit({name: upserted(self.read(name), rows, key) if name in self.tables() else rows})
+        return self.commit({}, merges={name: (rows, key, lambda old, new: upserted(old, new.select(*old.columns), key))})
 
     def delete(self, name: str, keys: DataFrame, on: list[str]) -> int:
-        return self.commit({name: self.read(name).join(keys.select(*on).distinct(), on, "left_anti")})
+        """The table without the rows of ``keys``; of a table in buckets of ``on``, only those touched are written."""
+        gone = keys.select(*on).distinct()
+        if self.manifest()["tables"][name].get("key") == on:
+            return self.commit({}, merges={name: (gone, on, lambda old, new: old.join(new, on, "left_anti"))})
+        return self.commit({name: self.read(name).join(gone, on, "left_anti")})
 
     def vacuum(self) -> int:
         """Delete versions that the current manifest does not name; returns how many."""
-        keep, n = self.manifest()["tables"], 0
-        for name in keep:
+        n = 0
+        for name, entry in self.manifest()["tables"].items():
+            keep = {p.split("/")[0] for p in entry["parts"].values()} if "parts" in entry else {entry["version"]}
             for f in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-                if f.getPath().getName() != keep[name]["version"]:
+                if f.getPath().getName() not in keep:
                     self._fs.delete(f.getPath(), True)
                     n += 1
         return n

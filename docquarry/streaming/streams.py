@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,15 +81,10 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day") -> Dat
 def _sequence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, closed = state.get if state.exists else (0, False)
     rows = pd.concat(list(batches)).sort_values("event_id")
-    keep = []
-    for _, r in rows.iterrows():
-        if closed:
-            continue
-        last += 1
-        closed = r["event_type"] == "error"
-        keep.append((key[0], int(r["event_id"]), last, bool(closed)))
-    state.update((last, closed))
-    yield pd.DataFrame(keep, columns=["user_id", "event_id", "sequence", "terminal"])
+    end = (rows["event_type"] == "error").to_numpy()
+    n = 0 if closed else int(end.argmax()) + 1 if end.any() else len(rows)
+    state.update((last + n, closed or bool(end[:n].any())))
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy()[:n], "sequence": np.arange(last + 1, last + n + 1), "terminal": end[:n]})
 
 
 def sequenced(events: DataFrame) -> DataFrame:
@@ -102,8 +98,8 @@ def sequenced(events: DataFrame) -> DataFrame:
 def drain_outbox(events: DataFrame, store: Store, table: str, key: str = "record_id") -> DataFrame:
     """Apply a stream of work items (record_id, operation, event_id and the table's columns) to a table.
 
-    A micro-batch is reduced to the last item of each record and committed at once. Batches are numbered
-    in the store, so a batch that is run again after a failure is passed over.
+    A micro-batch is reduced to the last item of each record and committed at once, into the buckets that it
+    touches. Batches are numbered in the store, so a batch that is run again after a failure is passed over.
     """
     spark = events.sparkSession
     marks = f"{table}_batches"
@@ -114,7 +110,7 @@ def drain_outbox(events: DataFrame, store: Store, table: str, key: str = "record
         done = spark.range(number, number + 1).select(F.col("id").alias("batch"))
         if marks in store.tables():
             done = store.read(marks).unionByName(done)
-        store.commit({table: drained(store.read(table), batch, [key], ["event_id"]), marks: done.coalesce(1)})
+        store.commit({marks: done.coalesce(1)}, merges={table: (batch, [key], lambda old, new: drained(old, new, [key], ["event_id"]))})
 
     q = events.writeStream.foreachBatch(apply).option("checkpointLocation", new_path(spark, "outbox-checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()

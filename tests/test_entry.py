@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from docquarry.plans.queries import QUERIES, SQL
+from docquarry.plans.queries import QUERIES, SQL  # the entry module has added those of ``more``
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
