@@ -13,7 +13,10 @@ from docquarry.session import new_path, table
 from docquarry.sources import files
 from docquarry.sources.store import Store
 
-_NONE = F.lit(None).cast("string")
+
+def _none():
+    return F.lit(None).cast("string")
+
 
 
 # ---- vector states
@@ -120,7 +123,7 @@ def _outbox_events(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.format_string("e%09d", "doc_id").alias("event_id"), F.col("source").alias("run_id"), F.when(F.col("doc_id") % 5 == 3, "other").otherwise("document_chunks").alias("collection"), F.when(F.col("doc_id") % 5 == 4, "delete").otherwise("upsert").alias("operation"),
-        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("record_id"), F.col("source").alias("document_ref"), F.expr(_PAYLOAD).alias("payload"), F.when(F.col("doc_id") % 4 == 0, "done").otherwise("pending").alias("status"), F.lit(0).alias("attempts"), _NONE.alias("last_error"),
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("record_id"), F.col("source").alias("document_ref"), F.expr(_PAYLOAD).alias("payload"), F.when(F.col("doc_id") % 4 == 0, "done").otherwise("pending").alias("status"), F.lit(0).alias("attempts"), _none().alias("last_error"),
     )
 
 
