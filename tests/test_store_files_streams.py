@@ -113,3 +113,15 @@ def test_stream_applies_a_batch_once(spark, tmp_path):
     last = spark.read.parquet(f"{SMALL}/events.parquet").groupBy("user_id").agg(F.max_by("value", "event_id").alias("v"))
     got = {r.record_id: r.value for r in store.read("t").collect()}
     assert all(got[r.user_id] == r.v for r in last.collect()) and number >= 2
+
+
+def test_scratch_is_deleted_and_results_stay(spark):
+    from docquarry.session import saved, scratch
+
+    path = new_path(spark, "kept")
+    with scratch(spark):
+        inner = saved(spark.range(5), "inner")
+        out = saved(inner.where("id > 1"), "out", path)
+    assert out.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|not found"):
+        inner.collect()
