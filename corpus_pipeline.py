@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import decontam, mixing, near_dedup, sharding, toxicity
-from docquarry.session import importable, saved, table
+from docquarry.session import importable, new_path, saved, scratch, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage saves on its way is deleted once its documents are written
+            docs = saved(stage(spark, docs, sf_dir), name, path)
     return docs
