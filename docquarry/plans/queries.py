@@ -168,11 +168,14 @@ def oversized_split(spark, sf_dir):
     return rows.select("doc_id", "part", "parts", T.word_count(F.col("content")).alias("words"), F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("SELECT doc_id, 'images/' || doc_id || '.png,' || source || '.jpg' AS refs, false AS image_only, doc_id || '' AS caption FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'images/' || doc_id || '.png,' || source || '.jpg' WHEN 1 THEN lang || '/a_b-c.' || doc_id WHEN 2 THEN 'x.y.png,' || lang || '.gif' ELSE '' END AS refs, doc_id % 4 IN (1, 2) AS image_only,
+CASE doc_id % 4 WHEN 0 THEN doc_id || '' WHEN 1 THEN 'a b c' WHEN 2 THEN 'x.y' END AS caption FROM documents""")
 def image_refs(spark, sf_dir):
-    line = F.format_string('![cap %s](images/%s.png "t") see <img src="%s.jpg" alt=x> ![again](images/%s.png)', "lang", "doc_id", "source", "doc_id")
-    d = table(spark, sf_dir, "documents").withColumn("line", line)
-    return d.select("doc_id", F.array_join(T.image_refs(F.col("line")), ",").alias("refs"), T.is_image_only(F.col("line")).alias("image_only"), T.caption_fallback(F.element_at(T.image_refs(F.col("line")), 1)).alias("caption"))
+    k = F.col("doc_id") % 4
+    both = F.format_string('![cap %s](images/%s.png "t") see <img src="%s.jpg" alt=x> ![again](images/%s.png)', "lang", "doc_id", "source", "doc_id")
+    line = F.when(k == 0, both).when(k == 1, F.format_string(" ![](%s/a_b-c.%s)\t", "lang", "doc_id")).when(k == 2, F.format_string("<IMG class=c src='%s.gif'>  ![t](x.y.png)", "lang")).otherwise(F.concat(F.lit("[no image](a.png) ! ["), "source", F.lit("](b.png) <img>")))
+    refs = T.image_refs(F.col("line"))
+    return table(spark, sf_dir, "documents").withColumn("line", line).select("doc_id", F.array_join(refs, ",").alias("refs"), T.is_image_only(F.col("line")).alias("image_only"), F.when(F.size(refs) > 0, T.caption_fallback(F.get(refs, F.lit(0)))).alias("caption"))
 
 
 # ---- identity and reuse
@@ -183,9 +186,11 @@ def content_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ids.fingerprint(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
-@query("SELECT sha256(text) AS sha256, count(DISTINCT md5(text) || strlen(text)) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT md5(text) || strlen(text)) > 1")
+@query("SELECT sha256(lang) AS sha256, count(DISTINCT md5(text) || strlen(text)) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT md5(text) || strlen(text)) > 1")
 def fingerprint_collisions(spark, sf_dir):
-    return state.collisions(content_fingerprint(spark, sf_dir))
+    """As if texts of one language had one digest: a true collision is not at hand."""
+    d = table(spark, sf_dir, "documents")
+    return state.collisions(d.select(F.sha2("lang", 256).alias("sha256"), F.md5("text").alias("md5"), F.octet_length("text").alias("byte_length")))
 
 
 @query(r"SELECT sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')) AS identity_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -312,11 +317,11 @@ def tagging_summary(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS chunk_id, l_linenumber AS ordinal, l_orderkey || '-' || l_linenumber AS paragraph_id FROM lineitem)
-SELECT chunk_id, count(*) AS n, md5(string_agg(paragraph_id, ',' ORDER BY ordinal, paragraph_id)) AS ids_md5 FROM l GROUP BY 1""")
+SELECT chunk_id, count(*) AS n, md5(string_agg(paragraph_id, ',' ORDER BY ordinal, paragraph_id)) AS ids_md5, md5(string_agg('line ' || paragraph_id, ',' ORDER BY ordinal, paragraph_id)) AS texts_md5 FROM l GROUP BY 1""")
 def chunk_payload(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ordinal"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("paragraph_id"), F.lit("").alias("text"))
-    c = concepts.chunk_payload(p)
-    return c.select("chunk_id", F.size("paragraphs").alias("n"), F.md5(F.array_join(F.transform("paragraphs", lambda x: x["paragraph_id"]), ",")).alias("ids_md5"))
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ordinal"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("paragraph_id"))
+    c = concepts.chunk_payload(p.withColumn("text", F.concat(F.lit("line "), "paragraph_id")))
+    return c.select("chunk_id", F.size("paragraphs").alias("n"), F.md5(F.array_join(F.transform("paragraphs", lambda x: x["paragraph_id"]), ",")).alias("ids_md5"), F.md5(F.array_join(F.transform("paragraphs", lambda x: x["text"]), ",")).alias("texts_md5"))
 
 
 @query(f"""WITH {_FACTS}, t AS (SELECT chunk_id, paragraph_id, concept, dense_rank() OVER (PARTITION BY chunk_id ORDER BY paragraph_id, concept) AS o FROM facts),
@@ -540,10 +545,14 @@ def citation_numbers(spark, sf_dir):
     return evidence.citation_numbers(uses, ["user_id"], "ref", "event_id").select("user_id", "ref", "number")
 
 
-@query("SELECT doc_id, 'As ' || lang || ' says [2], and ' || source || ' too [1][2]; see [3].' AS answer, true AS agree FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'As ' || lang || ' says [2], and ' || source || ' too [1][2]; see [3].' WHEN 1 THEN lang || ' [1] and ' || source ELSE 'nothing by ' || source END AS answer,
+doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 2 = 0) OR (doc_id % 3 = 2 AND doc_id % 2 = 1) AS agree FROM documents""")
 def inline_citations(spark, sf_dir):
-    answer = F.format_string("As %s says [7], and %s too [2][7]; see [1].", "lang", "source")
-    labels = F.array(F.lit("[2]"), F.lit("[7]"), F.lit("[1]"))
+    k, none = F.col("doc_id") % 3, F.expr("cast(array() as array<string>)")
+    answer = F.when(k == 0, F.format_string("As %s says [7], and %s too [2][7]; see [1].", "lang", "source")).when(k == 1, F.concat("lang", F.lit(" [4] and "), "source")).otherwise(F.concat(F.lit("nothing by "), "source"))
+    # Every other label is not the one that the answer shows.
+    odd = F.col("doc_id") % 2 == 1
+    labels = F.when(k == 0, F.array(F.lit("[2]"), F.lit("[7]"), F.lit("[1]"))).when(k == 1, F.when(odd, F.array(F.lit("[4]"), F.lit("[5]"))).otherwise(F.array(F.lit("[4]")))).otherwise(F.when(odd, none).otherwise(F.array(F.lit("[9]"))))
     return table(spark, sf_dir, "documents").select("doc_id", evidence.renumbered(answer, labels).alias("answer"), evidence.citations_agree(answer, labels).alias("agree"))
 
 
