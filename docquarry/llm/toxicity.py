@@ -146,32 +146,27 @@ def fit_field(docs: list[tuple[list[list[int]], list[bool], float]], names: dict
         for b in (0, 1):
             seen[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & pair) * weight[:, None]).sum()
     for t in range(1, rounds + 1):
-        u = np.bincount(row * length + col, p[fid], n * length).reshape(n, length) + p[nf]
-        e = np.exp(np.clip(u, -30, 30)).astype(np.float32)
+        u = np.bincount(col * n + row, p[fid], n * length).reshape(length, n) + p[nf]
+        e = np.exp(np.clip(u, -30, 30)).astype(np.float32)  # a row for each place
         del u
-        step = np.exp(p[nf + 1 :].reshape(2, 2))
-        alpha = np.empty((length, n, 2), np.float32)
-        alpha[0] = np.stack([np.ones(n), math.exp(-4.0) * e[:, 0]], 1)
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
+        m00, m01, m10, m11 = (float(x) for x in np.exp(p[nf + 1 :]))
+        # State 1 against state 0, forward; the same backward as ``b``.
+        odds = np.empty((length, n), np.float32)
+        odds[0] = math.exp(-4.0) * e[0]
         for i in range(1, length):
-            x = alpha[i - 1] @ step
-            x[:, 1] *= e[:, i]
-            alpha[i] = x / x.sum(1, keepdims=True)
-        beta = np.ones((n, 2))
+            before = odds[i - 1]
+            odds[i] = np.clip(e[i] * ((m01 + before * m11) / (m00 + before * m10)), 1e-30, 1e30)
+        b = np.ones(n)
         marginal = np.zeros((n, length), np.float32)
         moved = np.zeros((2, 2))
         for i in range(length - 1, -1, -1):
-            both = alpha[i] * beta
-            marginal[:, i] = both[:, 1] / both.sum(1)
+            both = odds[i] * b
+            marginal[:, i] = both / (1 + both)
             if i:
-                inner = beta.copy()
-                inner[:, 1] *= e[:, i]
-                joint = alpha[i - 1][:, :, None] * step[None] * inner[:, None, :]
-                joint /= joint.sum((1, 2), keepdims=True)
-                moved += (joint * (weight * real[:, i])[:, None, None]).sum(0)
-                before = inner @ step.T
-                before /= before.sum(1, keepdims=True)
-                beta = np.where(real[:, i : i + 1], before, 1.0)
+                ahead, behind = e[i] * b, odds[i - 1].astype(np.float64)
+                w = weight * real[:, i] / (m00 + m01 * ahead + behind * (m10 + m11 * ahead))
+                moved += [[m00 * w.sum(), m01 * (w @ ahead)], [m10 * (w @ behind), m11 * (w @ (behind * ahead))]]
+                b = np.where(real[:, i], (m10 + m11 * ahead) / (m00 + m01 * ahead), 1.0)
         diff = np.where(real, y - marginal, 0.0) * weight[:, None]
         grad = np.concatenate([np.bincount(fid, diff[row, col], nf), [diff.sum()], (seen - moved).ravel()]) / tokens * 100 - ridge * p
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
