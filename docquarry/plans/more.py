@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import answers, concepts, ingest, records, search, segment
+from docquarry.operators import answers, concepts, ingest, records, search
 from docquarry.plans import flows
 from docquarry.plans.queries import _FACTS, facts, query
 from docquarry.session import new_path, table
@@ -535,11 +535,9 @@ def metadata_violations(spark, sf_dir):
 
 @query()
 def token_slices(spark, sf_dir):
-    """Long texts in slices of 200 tokens, by a public tokenizer's file; without it, by words."""
+    """Texts in slices of 200 tokens, by a public tokenizer's file."""
+    import public_tokenizers
+
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    try:
-        import public_tokenizers
-    except ImportError:
-        return segment.split_oversized(d.select("doc_id", F.col("text").alias("content")), limit=200, target=200)
     cut = ingest.token_slices(public_tokenizers.path("byte_bpe_50k.json"), 200)
     return d.select("doc_id", F.posexplode(cut("source", "text")).alias("part", "content"))
