@@ -70,7 +70,7 @@ class MinHash:
 def _signatures(docs: DataFrame, trees: int, depth: int, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(trees * depth)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 19):
             sets = shingle_sets(part.column("text").to_pylist(), shingle)
             digest = [_digest(s) for s in sets]
             sig = [minhash(s).tobytes() if len(s) else None for s in sets]
@@ -188,6 +188,11 @@ def _keys(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), "<u8")
 
 
+def _parts(df: DataFrame, rows: int, rows_per_part: int = 2000) -> int:
+    """Partitions for ``rows`` rows that carry sets: some ten megabytes each, so that batches stay small."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_part + 1)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int = 250) -> DataFrame:
     """Of pairs (hub, doc), those whose sets are similar, as links (a, b). A hub's set is sent once for
     ``per_salt`` partners, which may go to different tasks."""
@@ -211,7 +216,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int =
     s = sets.withColumnRenamed("node", "doc")
     members = salted.join(s, "doc").select("hub", "salt", F.lit(1).alias("role"), "doc", "keys")
     hubs = salted.select("hub", "salt").distinct().withColumn("doc", F.col("hub")).join(s, "doc").select("hub", "salt", F.lit(0).alias("role"), "doc", "keys")
-    rows = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    rows = hubs.unionByName(members).repartition(_parts(pairs, pairs.count()), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
     return rows.select("hub", "role", "doc", "keys").mapInArrow(run, "a long, b long")
 
 
@@ -292,6 +297,7 @@ def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) ->
     per = regions.groupBy("h", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("h").agg(F.sum("n").alias("c"), F.max(F.struct("n", F.col("component").alias("top"))).alias("x")).select("h", F.col("x.top").alias("top"), F.ceil(F.col("c") / block).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("x.n")) / (2 * block))).cast("int").alias("columns"))
     named = joined(regions, top, "h")
+    total = named.agg(F.sum(F.col("columns") + F.when(F.col("component") != F.col("top"), F.col("rows")).otherwise(0))).first()[0] or 0
 
     def one(n: str) -> Column:
         return F.pmod(F.xxhash64("doc", "h"), F.col(n)).cast("int")
@@ -325,7 +331,7 @@ def _compared(regions: DataFrame, sets: DataFrame, percent: int, block: int) ->
             yield links()
 
     both = members.unionByName(queries).join(sets.withColumnRenamed("node", "doc"), "doc")
-    rows = both.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "role")
+    rows = both.repartition(_parts(regions, total), "h", "i", "j").sortWithinPartitions("h", "i", "j", "role")
     return rows.select("h", "i", "j", "role", "doc", "component", "keys").mapInArrow(run, "a long, b long")
 
 
