@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, sharding, token_codes, toxicity
+from docquarry.llm import alignment, decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, sharding, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_html_extraction": html_extract.op10_html_extraction,
+        "op11_token_alignment": alignment.op11_token_alignment,
     }
 
 
