@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import alignment, decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, sharding, token_codes, toxicity
+from docquarry.llm import alignment, decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, prefix_trie, quality, sharding, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op10_html_extraction": html_extract.op10_html_extraction,
         "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return near_dedup.SQL | licenses.SQL | decontam.SQL | exact_dedup.SQL
+    return near_dedup.SQL | licenses.SQL | decontam.SQL | exact_dedup.SQL | prefix_trie.SQL
