@@ -159,8 +159,8 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 k AS (
   SELECT c, count(*) AS n, c - c % 20 AS b,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), y -> ord(y)::BIGINT)),
-      (a, y) -> list_reduce(list_prepend(xor(a, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (e, z) -> xor(e >> 1, 3988292384 * (e & 1)))), 4294967295) % 4 AS h
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda y: ord(y)::BIGINT)),
+      lambda a, y: list_reduce(list_prepend(xor(a, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295) % 4 AS h
   FROM t GROUP BY c),
 m AS (
   SELECT k.c, t.pos AS p, t.r, t.x FROM k JOIN t ON t.c = k.b AND t.pos < k.h
