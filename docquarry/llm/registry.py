@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import alignment, decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, prefix_trie, quality, sharding, token_codes, toxicity
+from docquarry.llm import alignment, decontam, exact_dedup, html_extract, licenses, mixing, near_dedup, prefix_trie, quality, sharding, suffix_dedup, token_codes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": html_extract.op10_html_extraction,
         "op11_token_alignment": alignment.op11_token_alignment,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     }
 
 
