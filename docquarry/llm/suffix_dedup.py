@@ -154,6 +154,7 @@ def anchored(buf: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 TOP = np.uint64(16)  # shared anchors are told by 48 bits; a chance agreement only sends more text
+NEAR = np.uint64(28)  # texts around an anchor meet by 36 bits of it; a chance agreement only sorts more together
 
 
 class Pack:
@@ -198,8 +199,8 @@ class Pack:
 # ------------------------------------------------------------------------------------------------------ steps
 
 
-def _texts(texts: list[bytes]) -> bytes:
-    return parts(squeezed(np.array([len(t) for t in texts], np.int64)), zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))
+def _texts(texts: list[bytes], level: int = 3) -> bytes:
+    return parts(squeezed(np.array([len(t) for t in texts], np.int64)), zstandard.ZstdCompressor(level=level).compress(b"".join(texts)))
 
 
 def _untexts(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -208,6 +209,16 @@ def _untexts(blob: bytes) -> tuple[np.ndarray, bytes]:
     return size, zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, int(size.sum())))
 
 
+def _ids(ids: np.ndarray) -> bytes:
+    """Integers by how far they are above the least, which costs little for neighbours."""
+    low = int(ids.min())
+    return low.to_bytes(8, "little", signed=True) + squeezed(ids.astype(np.uint64) - np.uint64(low % 2**64))
+
+
+def _unids(blob: bytes) -> np.ndarray:
+    return (unsqueezed(blob[8:]) + np.uint64(int.from_bytes(blob[:8], "little", signed=True) % 2**64)).astype(np.int64)
+
+
 def _rows(names: tuple[str, ...], *columns: list) -> pa.RecordBatch:
     kinds = {"pack": pa.int64(), "part": pa.int64(), "blob": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, columns, strict=True)], names=list(names))
@@ -227,6 +238,15 @@ def _replied(bits: np.ndarray) -> bytes:
     return parts(len(bits).to_bytes(8, "little"), zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes()))
 
 
+def _slices(group: np.ndarray, size: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Slices of whole groups (ascending), of about ``most`` bytes."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    before = (np.cumsum(size) - size)[first] // most
+    cuts = [*first[np.flatnonzero(np.diff(before, prepend=-1))].tolist(), len(group)] if len(first) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield slice(a, b)
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -236,7 +256,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text", bytes_per_pack):
             texts = [(t or "").encode() for t in part.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("__key").to_pylist()], pa.list_(pa.int64())), pa.array([_texts(texts)], pa.binary())], names=["ids", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("__key").to_pylist()], pa.list_(pa.int64())), pa.array([_texts(texts, 6)], pa.binary())], names=["ids", "texts"])
 
     rows = docs.select(F.col(quoted([key])[0]).cast("long").alias("__key"), F.col(quoted([text])[0]).alias("__text"))
     packs = saved(rows.mapInArrow(packed, "ids array<long>, texts binary").withColumn("pack", F.monotonically_increasing_id()), "suffix-packs")
@@ -275,7 +295,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
             anchor, _ = own.asked()
             _, _, texts, whose, least = own.around(anchor[_bits(held[1:])])
             here, cut = dealt(whose >> TOP)
-            yield _rows(("part", "pack", "blob"), here.tolist(), [pack] * len(here), [parts(_texts(texts[cut[p] : cut[p + 1]]), squeezed(whose[cut[p] : cut[p + 1]], True), least[cut[p] : cut[p + 1]].astype("<i8").tobytes()) for p in here])
+            yield _rows(("part", "pack", "blob"), here.tolist(), [pack] * len(here), [parts(_texts(texts[cut[p] : cut[p + 1]]), squeezed(whose[cut[p] : cut[p + 1]] >> NEAR, True), _ids(least[cut[p] : cut[p + 1]])) for p in here])
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in grouped(batches, "part"):
@@ -286,7 +306,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
                 size, raw = _untexts(texts)
                 end = np.cumsum(size)
                 which.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip((end - size).tolist(), end.tolist(), strict=True)], np.int64))
-                least.append(np.frombuffer(ids, "<i8"))
+                least.append(_unids(ids))
                 anchor.append(unsqueezed(whose))
             flat = np.concatenate(which)
             owner, group = np.full(len(seen), np.iinfo(np.int64).max), np.zeros(len(seen), np.uint64)
@@ -298,8 +318,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
             best = np.repeat(owner, n)  # of each string: where all texts around an anchor are equal, it is the text's own
             _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
             differ = np.flatnonzero(count[inverse] > 1)
-            at = np.repeat(first[differ], n[differ]) + spread(n[differ])
-            best[at] = least_of_equals([texts[i] for i in differ], owner[differ], width)
+            differ = differ[np.argsort(group[differ], kind="stable")]
+            for some in _slices(group[differ], n[differ] + width):
+                own = differ[some]
+                at = np.repeat(first[own], n[own]) + spread(n[own])
+                best[at] = least_of_equals([texts[i] for i in own], owner[own], width)
             for r, own, ids in zip(held, which, least, strict=True):
                 place = np.repeat(first[own], n[own]) + spread(n[own])
                 yield _rows(("pack", "part", "blob"), [r["pack"]], [n_parts + part], [_replied(best[place] < np.repeat(ids, n[own]))])
