@@ -150,7 +150,7 @@ def anchored(buf: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
     doc = np.searchsorted(bounds, start, "right") - 1
     inside = start < last[doc]
     start, end, doc = start[inside], end[inside], doc[inside]
-    return start, end, anchor[start], doc
+    return start, end, mix64(anchor[start] + np.uint64(1)), doc  # least hashes are small: mixed again they spread over all ranges
 
 
 TOP = np.uint64(16)  # shared anchors are told by 48 bits; a chance agreement only sends more text
