@@ -126,7 +126,8 @@ def terms(c: Column) -> Column:
 
 
 def clean_heading(c: Column) -> Column:
-    return strip(F.regexp_replace(strip(c), r"#+$", ""))
+    """A heading without closing signs, which stand after white space: ``C#`` keeps its own."""
+    return strip(F.regexp_replace(c, r"(?U)\s+#+\s*$", ""))
 
 
 MARKDOWN_IMAGE = r"!\[[^\]]*\]\(([^)\s]+)(?:\s+[^)]*)?\)"

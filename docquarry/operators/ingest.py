@@ -10,15 +10,12 @@ from pyspark.sql.types import ArrayType, StringType
 from docquarry.functions import text as T
 from docquarry.functions.ids import chunk_id, vector_event_id
 from docquarry.operators import concepts, evidence, state
+from docquarry.operators.outbox import INVALID, MISMATCH, STATE, UNSUPPORTED, decoded, sync  # noqa: F401
 
-# What a state is known by, the order of stale states, the ends of a run, and the error texts.
+# What a state is known by, the order of stale states, and the ends of a run.
 IDENTITY = ["entity_type", "entity_key", "collection", "index_version"]
 STALE_ORDER = ["entity_type", "collection", "index_version", "record_id", "entity_key"]
 TERMINAL = ("run_completed", "run_failed")
-UNSUPPORTED = "unsupported vector collection"
-INVALID = "vector upsert payload is invalid"
-MISMATCH = "vector upsert payload identity does not match event"
-RECORD = "struct<record:struct<chunk_id:string,document_ref:string,source_version:string,search_text:string,embedding:array<double>,embedding_profile:string,access_scope:string,metadata:map<string,string>>>"
 
 
 # ---- vector states
@@ -51,9 +48,12 @@ def concept_states(records: DataFrame, index_version: str) -> tuple[DataFrame, D
 
 def mark_synced(states: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The states after ``done`` were synced, and those refused: their identity is known with another record or
-    document. Both have the same columns."""
+    document, or given twice with different contents. Both have the same columns."""
+    done = done.dropDuplicates()
+    twice = done.groupBy(*IDENTITY).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     known = states.select(*IDENTITY, F.struct("record_id", "document_ref").alias("known"))
-    met = done.join(known, IDENTITY, "left").withColumn("ok", F.col("known").isNull() | F.col("known").eqNullSafe(F.struct("record_id", "document_ref")))
+    met = done.join(known, IDENTITY, "left").join(twice.withColumn("twice", F.lit(True)), IDENTITY, "left")
+    met = met.withColumn("ok", F.col("twice").isNull() & (F.col("known").isNull() | F.col("known").eqNullSafe(F.struct("record_id", "document_ref"))))
     good = met.where("ok").select(*done.columns).withColumn("sync_status", F.lit("synced"))
     return state.upserted(states, good.select(*states.columns), IDENTITY), met.where("NOT ok").select(*done.columns)
 
@@ -78,31 +78,13 @@ def chunk_ids_of(index: DataFrame, document_ref: str) -> DataFrame:
 # ---- outbox
 
 
-def decoded(events: DataFrame) -> DataFrame:
-    """Events (event_id, collection, operation, record_id, document_ref, payload) with their record and error:
-    a collection that is not known, a payload that is not whole, a record that is not the event's."""
-    x = events.withColumn("record", F.from_json("payload", RECORD)["record"])
-    r = F.col("record")
-    whole = F.lit(True)
-    for c in ("chunk_id", "document_ref", "source_version", "search_text", "embedding", "embedding_profile", "access_scope", "metadata"):
-        whole = whole & r[c].isNotNull()
-    error = (
-        F.when(~F.col("collection").isin("document_chunks", "concept_catalog"), UNSUPPORTED)
-        .when((F.col("operation") == "delete") | (F.col("collection") == "concept_catalog"), F.lit(None))
-        .when(~F.coalesce(whole, F.lit(False)), INVALID)
-        .when((r["chunk_id"] != F.col("record_id")) | (r["document_ref"] != F.col("document_ref")), MISMATCH)
-    )
-    return x.withColumn("error", error)
-
-
 def sync_pending(outbox: DataFrame, index: DataFrame, limit: int, run_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The outbox, the index (record_id, document_ref, search_text, embedding) and the counts after the next
-    events were applied in order. An event that fails is marked, and stops no other."""
-    batch = decoded(state.next_batch(outbox, limit, run_id))
-    good = batch.where("error IS NULL").select("event_id", "record_id", "operation", "document_ref", F.col("record.search_text").alias("search_text"), F.col("record.embedding").alias("embedding"))
-    outcomes = batch.select("event_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("outcome"), "error")
-    counts = outcomes.agg(F.count_if(F.col("outcome") == "done").alias("succeeded"), F.count_if(F.col("outcome") == "failed").alias("failed"))
-    return state.transitioned(outbox, outcomes), state.drained(index, good, ["record_id"], ["event_id"]), counts
+    """The outbox, the chunk index (record_id, document_ref, search_text, embedding) and the counts after the next
+    events, where neither concepts nor states are kept. See ``outbox.sync``."""
+    spark = outbox.sparkSession
+    states = spark.createDataFrame([], ", ".join(f"{n} {'int' if n == 'dimensions' else 'string'}" for n in STATE))
+    done = sync(outbox, index, spark.createDataFrame([], "record_id string"), states, limit, run_id)
+    return done.outbox, done.chunks, done.counts
 
 
 def merged_events(provided: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,12 +20,13 @@ HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
 def exploded(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """keys, pos, line, page_no (of page markers), level and title (of headings; page markers are none)."""
+    """keys, pos, line, page_no (of page markers), level and title (of headings, closing signs included; page markers
+    are none)."""
     x = docs.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
     page = F.regexp_extract("line", PAGE, 1)
     x = x.withColumn("page_no", F.when(page != "", page.cast("int")))
     level = F.length(F.regexp_extract("line", HEADING, 1))
-    return x.withColumn("level", F.when(F.col("page_no").isNull() & (level > 0), level)).withColumn("title", F.when(F.col("level").isNotNull(), T.clean_heading(F.regexp_extract("line", HEADING, 2))))
+    return x.withColumn("level", F.when(F.col("page_no").isNull() & (level > 0), level)).withColumn("title", F.when(F.col("level").isNotNull(), T.strip(F.regexp_extract("line", HEADING, 2))))
 
 
 def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", heading_level: int = 2) -> DataFrame:
@@ -40,7 +41,7 @@ def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", head
     x = x.withColumn("page", F.last("page_no", ignorenulls=True).over(upto))
     x = x.withColumn("open_pos", F.max(F.when(F.col("level") <= heading_level, F.col("pos"))).over(upto))
     inside = Window.partitionBy(*keys, "open_pos").orderBy("pos")
-    x = x.withColumns({"open_level": F.first("level").over(inside), "heading": F.first("title").over(inside), "page_start": F.first("page").over(inside)})
+    x = x.withColumns({"open_level": F.first("level").over(inside), "heading": F.first(T.clean_heading(F.col("title"))).over(inside), "page_start": F.first("page").over(inside)})
     x = x.where((F.col("open_level") == heading_level) & (F.col("pos") > F.col("open_pos")))
     ends = x.groupBy(*keys, "open_pos").agg(F.max_by("page", "pos").alias("page_end"))
     body = x.where(F.col("page_no").isNull() & (T.strip(F.col("line")) != "---")).withColumn("blank", T.is_blank(F.col("line")))
@@ -73,7 +74,8 @@ def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") ->
     """keys, ordinal, text, heading_path, image_refs, paragraph_id parts: paragraphs of each chunk.
 
     Page markers, headings and blank lines end a paragraph; a line of images alone ends none: it belongs
-    to the paragraph before it if that has ended, else to the next one begun, else to the last.
+    to the paragraph before it if that has ended, else to the next one begun, else to the last. A path holds
+    titles as they are written.
     """
     by = Window.partitionBy(*keys).orderBy("pos")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)

@@ -70,12 +70,12 @@ def enqueue(outbox: DataFrame, events: DataFrame, payload: list[str]) -> tuple[D
     return fresh, conflicts
 
 
-def next_batch(outbox: DataFrame, limit: int, run_id: str | None = None) -> DataFrame:
-    """Pending and failed events by event_id."""
+def next_batch(outbox: DataFrame, limit: int | None, run_id: str | None = None) -> DataFrame:
+    """Pending and failed events by event_id; all of them, in no order, without a limit."""
     open_ = outbox.where(F.col("status").isin("pending", "failed"))
     if run_id is not None:
         open_ = open_.where(F.col("run_id") == run_id)
-    return open_.orderBy("event_id").limit(limit)
+    return open_ if limit is None else open_.orderBy("event_id").limit(limit)
 
 
 def transitioned(outbox: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     scope = documents.select("document_ref").distinct()
     labelled = ports.tag(paras, "text", tagger) if tagger else paras.withColumn("labels", F.expr("cast(array() as array<string>)"))
     tags = saved(labelled.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept")).withColumn("role", F.lit("mention")), "relations")
-    facts = tags.join(chunks.select("chunk_id", F.col("heading").alias("header")), "chunk_id").withColumn("excerpt", F.substring("text", 1, 160))
+    facts = tags.join(chunks.select("chunk_id", F.col("heading").alias("header")), "chunk_id").withColumnRenamed("text", "excerpt")
     observed = saved(concepts.document_catalog(facts, ["document_ref", "source_version"]), "observations")
 
     desired = chunks.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import answers, concepts, ingest, records, search
+from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment
 from docquarry.plans import flows
 from docquarry.plans.queries import _FACTS, facts, query
 from docquarry.session import new_path, table
@@ -541,3 +541,74 @@ def token_slices(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     cut = ingest.token_slices(public_tokenizers.path("byte_bpe_50k.json"), 200)
     return d.select("doc_id", F.posexplode(cut("source", "text")).alias("part", "content"))
+
+
+# ---- outbox with both collections, and headings
+
+_TYPED = """SELECT doc_id, format_string('e%09d', doc_id) AS event_id, 'run' AS run_id, 'pending' AS status, 0 AS attempts, CAST(NULL AS STRING) AS last_error, 's1' AS source_version, 'v1' AS index_version,
+CASE WHEN doc_id % 2 = 0 THEN 'document_chunks' ELSE 'concept_catalog' END AS collection, CASE WHEN doc_id % 10 IN (4, 9) THEN 'delete' ELSE 'upsert' END AS operation,
+CASE WHEN doc_id % 2 = 0 THEN concat('c', doc_id % 300) ELSE concat('concept::', sha2(concat('l', doc_id % 51), 256)) END AS record_id, concat('d', doc_id % 300) AS document_ref,
+CASE WHEN doc_id % 10 IN (2, 3) THEN '{"record":' WHEN doc_id % 2 = 0 THEN concat('{"record":{"chunk_id":"c', doc_id % 300, CASE WHEN doc_id % 10 = 6 THEN 'x' ELSE '' END, '","document_ref":"d', doc_id % 300, '","source_version":"s1","search_text":"', lang, doc_id, '","embedding":[0.5,', doc_id, '],"embedding_profile":"m1","access_scope":"public","metadata":{}}}')
+ELSE concat('{"record":{"record_id":"concept::', sha2(concat('l', doc_id % 51), 256), '","canonical_label":"L', doc_id % 51, '","normalized_label":"', CASE WHEN doc_id % 10 = 7 THEN 'other' ELSE concat('l', doc_id % 51) END, '","search_text":"', lang, doc_id, '","embedding":[0.25],"usage_count":', doc_id, ',"embedding_input_hash":"', sha2(lang, 256), '","embedding_model":"m1","embedding_dimensions":1,"index_version":"v1","metadata":{}}}') END AS payload FROM documents"""
+
+
+def _typed(spark, sf_dir):
+    """Chunk and concept events of all documents, applied: a chunk's state whose number is divisible by seven is held
+    by another document."""
+    docs = table(spark, sf_dir, "documents")
+    events = docs.sparkSession.sql(_TYPED.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=docs.select("doc_id", "lang"))
+    n = docs.select((F.col("doc_id") % 300).alias("n")).distinct()
+    text, none = F.lit("old"), F.lit(None).cast("string")
+    chunks = n.select(F.format_string("c%d", "n").alias("record_id"), F.format_string("d%d", "n").alias("document_ref"), text.alias("search_text"))
+    concepts_ = docs.select((F.col("doc_id") % 51).alias("n")).distinct().select(F.concat(F.lit("concept::"), F.sha2(F.format_string("l%d", "n"), 256)).alias("record_id"), text.alias("search_text"), F.lit(-1).cast("long").alias("usage_count"))
+    states = n.select(
+        F.lit("chunk").alias("entity_type"), F.format_string("c%d", "n").alias("entity_key"), F.lit("document_chunks").alias("collection"), F.format_string("c%d", "n").alias("record_id"), F.lit("h").alias("input_hash"), F.lit("m0").alias("model"), F.lit(2).alias("dimensions"),
+        F.lit("v1").alias("index_version"), F.lit("synced").alias("sync_status"), F.when(F.col("n") % 7 == 0, "other").otherwise(F.format_string("d%d", "n")).alias("document_ref"), F.lit("s0").alias("source_version"),
+    )
+    return outbox.sync(events.drop("doc_id"), chunks, concepts_, states, None)
+
+
+@query(f"""SELECT 'e' || lpad(doc_id::VARCHAR, 9, '0') AS event_id, CASE WHEN e IS NULL THEN 'done' ELSE 'failed' END AS status, (e IS NOT NULL)::INT AS attempts, e AS last_error FROM (SELECT doc_id,
+CASE WHEN doc_id % 10 = 2 THEN '{outbox.INVALID}' WHEN doc_id % 10 IN (3, 7) THEN '{outbox.INVALID_CONCEPT}' WHEN doc_id % 10 = 6 THEN '{outbox.MISMATCH}' WHEN doc_id % 10 IN (0, 8) AND doc_id % 300 % 7 = 0 THEN '{outbox.TAKEN}' END AS e FROM documents)""")
+def outbox_typed_events(spark, sf_dir):
+    return _typed(spark, sf_dir).outbox.select("event_id", "status", "attempts", "last_error")
+
+
+@query("""WITH l AS (SELECT doc_id % 300 AS n, max(doc_id) AS last, max_by(doc_id % 10 = 4, doc_id) AS gone, max_by(lang, doc_id) AS lang FROM documents WHERE doc_id % 10 IN (0, 4, 8) GROUP BY 1)
+SELECT 'c' || n AS record_id, 'd' || n AS document_ref, lang || last AS search_text FROM l WHERE NOT gone UNION ALL SELECT DISTINCT 'c' || doc_id % 300, 'd' || doc_id % 300, 'old' FROM documents WHERE doc_id % 300 NOT IN (SELECT n FROM l)""")
+def outbox_typed_chunks(spark, sf_dir):
+    return _typed(spark, sf_dir).chunks
+
+
+@query("""WITH l AS (SELECT doc_id % 51 AS n, max(doc_id) AS last, max_by(doc_id % 10 = 9, doc_id) AS gone, max_by(lang, doc_id) AS lang FROM documents WHERE doc_id % 10 IN (1, 5, 9) GROUP BY 1)
+SELECT 'concept::' || sha256('l' || n) AS record_id, lang || last AS search_text, last AS usage_count FROM l WHERE NOT gone UNION ALL SELECT DISTINCT 'concept::' || sha256('l' || doc_id % 51), 'old', -1 FROM documents WHERE doc_id % 51 NOT IN (SELECT n FROM l)""")
+def outbox_typed_concepts(spark, sf_dir):
+    return _typed(spark, sf_dir).concepts
+
+
+@query("""WITH m AS (SELECT doc_id % 300 AS n, max(doc_id) FILTER (doc_id % 10 <> 4) AS up, max(doc_id) FILTER (doc_id % 10 = 4) AS down FROM documents WHERE doc_id % 10 IN (0, 4, 8) AND doc_id % 300 % 7 > 0 GROUP BY 1),
+c AS (SELECT doc_id % 51 AS n, max(doc_id) FILTER (doc_id % 10 <> 9) AS up, max(doc_id) FILTER (doc_id % 10 = 9) AS down FROM documents WHERE doc_id % 10 IN (1, 5, 9) GROUP BY 1)
+SELECT 'chunk' AS entity_type, 'c' || d.n AS entity_key, CASE WHEN m.up IS NULL THEN 'm0' ELSE 'm1' END AS model, CASE WHEN d.n % 7 = 0 THEN 'other' ELSE 'd' || d.n END AS document_ref
+FROM (SELECT DISTINCT doc_id % 300 AS n FROM documents) d LEFT JOIN m USING (n) WHERE m.down IS NULL OR m.up > m.down
+UNION ALL SELECT 'concept', 'l' || n, 'm1', NULL FROM c WHERE up IS NOT NULL AND (down IS NULL OR up > down)""")
+def outbox_typed_states(spark, sf_dir):
+    return _typed(spark, sf_dir).states.select("entity_type", "entity_key", "model", "document_ref")
+
+
+_HEADED = r"""SELECT doc_id, concat('## ', source, '#\n\n', lang, '\n\n## Two ', source, ' ##\n\nfirst\n\n### Deep # \n\nlast ', lang) AS markdown FROM {documents}"""
+
+
+def _headed(spark, sf_dir):
+    return spark.sql(_HEADED, documents=table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, 0 AS index, source || '#' AS heading FROM documents UNION ALL SELECT doc_id, 1, 'Two ' || source FROM documents")
+def heading_titles(spark, sf_dir):
+    """Closing signs go only after white space."""
+    return segment.header_chunks(_headed(spark, sf_dir), ["doc_id"]).select("doc_id", "index", "heading")
+
+
+@query("""SELECT doc_id, 0 AS ordinal, source || '#' AS path FROM documents UNION ALL SELECT doc_id, 1, source || '#/Two ' || source || ' ##' FROM documents UNION ALL SELECT doc_id, 2, source || '#/Two ' || source || ' ##/Deep #' FROM documents""")
+def heading_paths(spark, sf_dir):
+    """A paragraph's path holds titles as they are written."""
+    return segment.paragraphs(_headed(spark, sf_dir), ["doc_id"], "markdown").select("doc_id", "ordinal", F.array_join("heading_path", "/").alias("path"))

@@ -1,11 +1,12 @@
 """Ingest operators on small cases whose outcomes are stated."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import ingest, segment
+from docquarry.operators import ingest, outbox, segment
 from docquarry.session import new_path
 from docquarry.sources.store import BUCKETS, Store
 
@@ -45,6 +46,41 @@ def test_an_event_that_fails_stops_no_other(spark):
     assert tuple(ingest.sync_pending(outbox.limit(0), index, 5)[2].first()) == (0, 0)
 
 
+def concept(**changes):
+    record = {"record_id": CONCEPT_ID, "canonical_label": "Jazz", "normalized_label": "jazz", "search_text": "t", "embedding": [1.0, 2.0], "usage_count": 3, "embedding_input_hash": "a" * 64, "embedding_model": "m", "embedding_dimensions": 2, "index_version": "v1", "metadata": {}}
+    return json.dumps({"record": {k: v for k, v in (record | changes).items() if v is not None}})
+
+
+CONCEPT_ID = "concept::" + hashlib.sha256(b"jazz").hexdigest()
+
+
+def test_concept_events_touch_the_concept_index_alone(spark):
+    bad = [concept(usage_count=-1), concept(usage_count=True), concept(embedding=[]), concept(embedding_dimensions=3), concept(embedding_input_hash="x"), concept(metadata=None), concept(canonical_label=" "), concept(normalized_label="other"), concept(embedding=["x"]), "not json", "[]"]
+    given = [("e00", "concept_catalog", "upsert", CONCEPT_ID, concept()), ("e01", "concept_catalog", "upsert", "concept::else", concept()), ("e02", "concept_catalog", "delete", "c9", "{}"), ("e03", "document_chunks", "upsert", "c1", payload())]
+    given += [(f"f{i:02}", "concept_catalog", "upsert", CONCEPT_ID, p) for i, p in enumerate(bad)]
+    outbox_ = spark.createDataFrame([(e, "run", c, o, r, "d1", "s", "v1", p, "pending", 0, None) for e, c, o, r, p in given], "event_id string, run_id string, collection string, operation string, record_id string, document_ref string, source_version string, index_version string, payload string, status string, attempts int, last_error string")
+    chunks = spark.createDataFrame([("c9", "stays")], "record_id string, search_text string")
+    concepts = spark.createDataFrame([("c9", "goes", 1)], "record_id string, search_text string, usage_count long")
+    states = spark.createDataFrame([("concept", "old", "concept_catalog", "c9", "h", "m", 2, "v1", "synced", None, "s"), ("chunk", "c9", "document_chunks", "c9", "h", "m", 2, "v1", "synced", "d1", "s")], ", ".join(f"{n} {'int' if n == 'dimensions' else 'string'}" for n in outbox.STATE))
+    done = outbox.sync(outbox_, chunks, concepts, states)
+    assert rows(done.chunks, "record_id", "search_text") == [("c1", "t"), ("c9", "stays")]
+    assert rows(done.concepts, "record_id", "search_text", "usage_count") == [(CONCEPT_ID, "t", 3)]
+    assert rows(done.states, "entity_type", "entity_key", "document_ref", "input_hash") == sorted([("chunk", "c1", "d1", hashlib.sha256(b"t").hexdigest()), ("chunk", "c9", "d1", "h"), ("concept", "jazz", None, "a" * 64)], key=str)
+    assert {r.last_error for r in done.outbox.where("event_id LIKE 'f%'").collect()} == {outbox.INVALID_CONCEPT} and rows(done.outbox.where("event_id = 'e01'"), "last_error") == [(outbox.MISMATCH,)]
+    assert tuple(done.counts.first()) == (3, 1 + len(bad))
+
+
+def test_the_last_of_a_record_decides_and_taken_states_fail(spark):
+    given = [("e1", "upsert", "c1", payload()), ("e2", "delete", "c1", ""), ("e3", "upsert", "c2", payload(chunk_id="c2")), ("e4", "upsert", "c1", payload(search_text="again")), ("e5", "delete", "c3", ""), ("e6", "upsert", "c4", payload(chunk_id="c4"))]
+    outbox_ = spark.createDataFrame([(e, "run", "document_chunks", o, r, "d1", "s", "v1", p, "pending", 0, None) for e, o, r, p in given], "event_id string, run_id string, collection string, operation string, record_id string, document_ref string, source_version string, index_version string, payload string, status string, attempts int, last_error string")
+    known = [("c3", "d1", "v1"), ("c3", "d1", "v2"), ("c4", "elsewhere", "v1")]
+    states = spark.createDataFrame([("chunk", k if v == "v1" else k + v, "document_chunks", k, "h", "m", 2, v, "synced", d, "s") for k, d, v in known], ", ".join(f"{n} {'int' if n == 'dimensions' else 'string'}" for n in outbox.STATE))
+    done = outbox.sync(outbox_, spark.createDataFrame([], "record_id string, search_text string"), spark.createDataFrame([], "record_id string"), states, None)
+    assert rows(done.chunks, "record_id", "search_text") == [("c1", "again"), ("c2", "t"), ("c4", "t")]
+    assert rows(done.states, "entity_key", "document_ref", "index_version") == [("c1", "d1", "v1"), ("c2", "d1", "v1"), ("c3v2", "d1", "v2"), ("c4", "elsewhere", "v1")]
+    assert rows(done.outbox.where("status = 'failed'"), "event_id", "last_error") == [("e6", outbox.TAKEN)]
+
+
 def test_only_the_owner_closes_a_reservation(spark):
     ledger = spark.createDataFrame([("a", "processing", "t1", None), ("b", "processing", "t2", None), ("c", "ready", None, "done"), ("d", "processing", "t4", None)], "k string, status string, token string, result string")
     claims = spark.createDataFrame([("a", "t1", "ready", "r"), ("b", "other", "ready", "r"), ("c", "t3", "failed", "r"), ("d", "t4", "failed", "r"), ("z", "t", "ready", "r")], "k string, token string, outcome string, result string")
