@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment
-from docquarry.plans import flows
+from docquarry.plans import flows, incremental
 from docquarry.plans.queries import _FACTS, facts, query
 from docquarry.session import new_path, table
 from docquarry.sources import files
@@ -612,3 +612,19 @@ def heading_titles(spark, sf_dir):
 def heading_paths(spark, sf_dir):
     """A paragraph's path holds titles as they are written."""
     return segment.paragraphs(_headed(spark, sf_dir), ["doc_id"], "markdown").select("doc_id", "ordinal", F.array_join("heading_path", "/").alias("path"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1)
+SELECT 'doc-' || doc_id AS document_ref, n + (doc_id % 100 = 0)::INT AS chunks, n + (doc_id % 100 = 0)::INT AS indexed FROM k WHERE doc_id % 100 <> 50""")
+def ingest_incremental(spark, sf_dir):
+    """Ingest all documents; then every hundredth gains a section and another hundredth loses all: chunks stored and
+    indexed by document."""
+    store, docs = Store(spark, new_path(spark, "incremental-store")), flows.corpus_markdown(table(spark, sf_dir, "documents"))
+    incremental.ingest(store, docs, ports.FakeEmbedder(), None, "first", batches=2)
+    incremental.apply_pending(store)
+    n = F.regexp_extract("document_ref", r"(\d+)$", 1).cast("long") % 100
+    changed = docs.where(n.isin(0, 50)).withColumn("markdown", F.when(n == 0, F.concat("markdown", F.lit("\n\n## Added\n\nmore words"))).otherwise(""))
+    incremental.ingest(store, changed, ports.FakeEmbedder(), None, "second", batches=2)
+    incremental.apply_pending(store)
+    chunks = store.read("chunks").groupBy("document_ref").agg(F.count("*").alias("chunks"))
+    return chunks.join(store.read("index").groupBy("document_ref").agg(F.count("*").alias("indexed")), "document_ref", "left")

@@ -3,7 +3,9 @@
 A table is a folder of version folders; a commit writes new versions and then one manifest that names the
 current version of every table. Readers see the manifest's versions, so a commit over several tables shows
 whole or not at all. A table that is upserted by key lies in buckets of its key, each with a version of its own,
-so that a commit reads and writes only the buckets that its rows touch. There is one writer at a time (the
+so that a commit reads and writes only the buckets that its rows touch. A table in layers takes a commit's new rows
+and the keys whose older rows go as one more layer, so that a commit writes what changed and nothing else; once the
+later layers outweigh the first, all become one. There is one writer at a time (the
 driver); a commit that finds its number taken is an error, but two that begin at the same moment are told apart
 only where the file system's rename refuses an existing target. All access is by Hadoop's file system, so the
 root can be in any store that Spark reads.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from docquarry.operators.state import upserted
 
 
 BUCKETS = 64
+#: As many layers at most, however light the later ones are.
+LAYERS = 24
 #: The rows of the touched buckets, and the new ones, to what these buckets hold then.
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -63,6 +68,8 @@ class Store:
         entry = self.manifest()["tables"].get(name)
         if entry is None:
             raise KeyError(name)
+        if "layers" in entry:
+            return self._stacked(name, entry)
         return self._parts(name, entry, entry["parts"].keys()) if "parts" in entry else self._folders(name, entry, [entry["version"]])
 
     def _folders(self, name: str, entry: dict, folders: list[str]) -> DataFrame:
@@ -94,9 +101,45 @@ class Store:
                 parts[leaf.split("=")[1]] = f"{version}/{leaf}"
         return {"key": key, "parts": parts, "schema": json.loads(new.schema.json())}
 
-    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, merges: dict[str, tuple[DataFrame, list[str], Merge]] | None = None) -> int:
-        """Replace the tables of ``changes``, merge rows into those of ``merges`` (rows, key, merge); all others
-        stay. The manifest is written last, by a rename."""
+    def _stacked(self, name: str, entry: dict) -> DataFrame:
+        """The rows of all layers, without those whose key a later layer took away."""
+        schema, layers = StructType.fromJson(entry["schema"]), entry["layers"]
+        reads = [self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{x['rows']}").withColumn("__layer", F.lit(i)) for i, x in enumerate(layers)]
+        keys = StructType([schema[k] for k in entry["key"]])
+        gone = [self.spark.read.schema(keys).parquet(f"{self.root}/{name}/{x['gone']}").withColumn("__upto", F.lit(i)) for i, x in enumerate(layers) if x["gone"]]
+        rows = reduce(DataFrame.unionByName, reads)
+        if not gone:
+            return rows.drop("__layer")
+        last = reduce(DataFrame.unionByName, gone).groupBy(*entry["key"]).agg(F.max("__upto").alias("__upto"))
+        kept = rows.join(last, entry["key"], "left").where(F.col("__upto").isNull() | (F.col("__layer") >= F.col("__upto")))
+        return kept.select(*schema.names)
+
+    def _bytes(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def _layered(self, name: str, entry: dict | None, rows: DataFrame, gone: DataFrame | None, key: list[str]) -> dict:
+        """The table's entry with one more layer, or with one layer in all."""
+        layer: dict = {"rows": uuid.uuid4().hex, "gone": None}
+        if entry is not None:
+            schema = StructType.fromJson(entry["schema"])
+            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+        rows.write.parquet(f"{self.root}/{name}/{layer['rows']}")
+        layer["bytes"] = self._bytes(f"{self.root}/{name}/{layer['rows']}")
+        if entry is not None and gone is not None:
+            layer["gone"] = uuid.uuid4().hex
+            gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}")
+            layer["bytes"] += self._bytes(f"{self.root}/{name}/{layer['gone']}")
+        out = {"key": key, "layers": [*(entry["layers"] if entry else []), layer], "schema": entry["schema"] if entry else json.loads(rows.schema.json())}
+        if len(out["layers"]) > LAYERS or sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]:
+            whole = uuid.uuid4().hex
+            self._stacked(name, out).write.parquet(f"{self.root}/{name}/{whole}")
+            out["layers"] = [{"rows": whole, "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{whole}")}]
+        return out
+
+    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, merges: dict[str, tuple[DataFrame, list[str], Merge]] | None = None, layers: dict[str, tuple[DataFrame, DataFrame | None, list[str]]] | None = None) -> int:
+        """Replace the tables of ``changes``, merge rows into those of ``merges`` (rows, key, merge), add layers to
+        those of ``layers`` (rows, keys whose older rows go, key; keys are not null); all others stay. The manifest is
+        written last, by a rename."""
         before = self.manifest()
         tables = dict(before["tables"])
         for name, df in changes.items():
@@ -108,6 +151,8 @@ class Store:
             tables[name] = {"version": version, "schema": json.loads(df.schema.json())}
         for name, (rows, key, merge) in (merges or {}).items():
             tables[name] = self._merged(name, tables.get(name), rows, key, merge)
+        for name, (rows, gone, key) in (layers or {}).items():
+            tables[name] = self._layered(name, tables.get(name), rows, gone, key)
         number = before["number"] + 1
         text = json.dumps({"number": number, "tables": tables})
         folder = f"{self.root}/_manifests"
@@ -138,7 +183,10 @@ class Store:
         """Delete versions that the current manifest does not name; returns how many."""
         n = 0
         for name, entry in self.manifest()["tables"].items():
-            keep = {p.split("/")[0] for p in entry["parts"].values()} if "parts" in entry else {entry["version"]}
+            if "layers" in entry:
+                keep = {x[part] for x in entry["layers"] for part in ("rows", "gone") if x[part]}
+            else:
+                keep = {p.split("/")[0] for p in entry["parts"].values()} if "parts" in entry else {entry["version"]}
             for f in self._fs.listStatus(self._path(f"{self.root}/{name}")):
                 if f.getPath().getName() not in keep:
                     self._fs.delete(f.getPath(), True)
