@@ -41,7 +41,8 @@ DISTANCES = {"cosine": cosine_distance, "l2sq": squared_l2}
 def distances_to(query: list[float], metric: str = "cosine"):
     """A function of an array<double> column: the distance of each vector to ``query``, a batch at a time.
 
-    A null vector has a null distance; one of another dimension than the query's is an error.
+    A null vector has a null distance; one of another dimension than the query's is an error. Equal vectors have equal
+    distances, whatever batch they are in.
     """
     if metric not in DISTANCES:
         raise ValueError(f"metric must be one of {sorted(DISTANCES)}")
@@ -58,7 +59,7 @@ def distances_to(query: list[float], metric: str = "cosine"):
             d = ((x - q) ** 2).sum(1)
         else:
             n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
-            d = 1 - np.clip(np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0), -1, 1)
+            d = 1 - np.clip(np.divide((x * q).sum(1), n, out=np.zeros(len(x)), where=n > 0), -1, 1)
         out = np.full(len(v), np.nan)
         out[~np.asarray(v.is_null())] = d
         return pa.array(out, pa.float64(), mask=np.asarray(v.is_null()))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -13,8 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import terms
 from docquarry.functions.vectors import distances_to
 
-MAX_QUERIES = 4096
-#: Rows that a task compares with all queries of a block at once: three arrays of 8 MB at most.
+#: Rows that a task compares with all queries of its block at once: three arrays of 4 MB at most.
 SLICE = 256
 
 
@@ -57,57 +55,48 @@ def vector_topk(index: DataFrame, query: list[float], k: int, key: str = "vec_id
     return distances(index, query, vector, metric, filters).orderBy("distance", key).limit(max(0, k))
 
 
-def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """query_id, key, distance, rank: the k nearest rows of each query by cosine distance.
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of an array column as vectors of length one; a zero vector stays."""
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    Up to ``MAX_QUERIES`` queries are sent to all tasks; more are worked off in blocks of that size. A task
-    multiplies its batches with the queries and keeps k rows for each, so that only k rows for each query
-    and task are shuffled.
+
+def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", exclude_self: bool = False, query_rows: int = 2048, index_rows: int = 16384) -> DataFrame:
+    """query_id, key, distance, rank: the k nearest rows of each query by cosine distance, ties by key.
+
+    Queries and index form a grid of blocks of about ``query_rows`` and ``index_rows`` rows. A task multiplies one block
+    of each and keeps k rows for each query; these meet by query. No row passes through the driver.
     """
-    out = None
-    rows = queries.select(query_key, vector).orderBy(query_key)
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids = [r[0] for r in block]
-        q = np.array([r[1] for r in block], np.float64)
-        size = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
-        shared = index.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_d = np.full((len(ids), k), np.inf)
-            best_k = np.full((len(ids), k), np.iinfo(np.int64).max)
-            parts = (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE))
-            for batch in parts if k else ():
-                column = batch.column(1)
-                x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-                d = 1 - np.clip(q @ x.T, -1, 1)
-                keys = np.asarray(batch.column(0))
+    n_q, n_x = (max(1, -(-df.count() // n)) for df, n in ((queries, query_rows), (index, index_rows)))
+
+    def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        salted = df.select(F.col(df.columns[0]).cast("long").alias("__id"), F.col(df.columns[1]).cast("array<double>").alias("__v")).where("__id IS NOT NULL AND __v IS NOT NULL")
+        salted = salted.withColumn(own, F.pmod(F.xxhash64("__id", "__v"), F.lit(n_own)).cast("int"))
+        return salted.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def cell(q: pa.Table, x: pa.Table) -> pa.Table:
+        out_q, out_k, out_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if q.num_rows and x.num_rows and k:
+            ids, a = q.column("__id").to_numpy(), _unit(q.column("__v").combine_chunks())
+            keys, rest = x.column("__id").to_numpy(), _unit(x.column("__v").combine_chunks())
+            best_d, best_k = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for i in range(0, len(keys), SLICE):
+                some = keys[i : i + SLICE]
+                d = np.round(1 - np.clip(a @ rest[i : i + SLICE].T, -1, 1), 12)  # equal vectors tie, whatever block they are in
                 if exclude_self:
-                    d[np.array(ids)[:, None] == keys[None, :]] = np.inf
+                    d[ids[:, None] == some[None, :]] = np.inf
                 near = np.flatnonzero((d <= best_d[:, -1:]).any(1))  # queries for which this slice has something
-                all_d = np.concatenate([best_d[near], d[near]], 1)
-                all_k = np.concatenate([best_k[near], np.broadcast_to(keys, (len(near), len(keys)))], 1)
+                all_d, all_k = np.concatenate([best_d[near], d[near]], 1), np.concatenate([best_k[near], np.broadcast_to(some, (len(near), len(some)))], 1)
                 order = np.lexsort((all_k, all_d), axis=1)[:, :k]
                 best_d[near], best_k[near] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
             i, j = np.nonzero(np.isfinite(best_d))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], pa.int64()), pa.array(best_k[i, j]), pa.array(best_d[i, j])], names=[query_key, key, "distance"])
-
-        return index.select(F.col(key).cast("long"), vector).mapInArrow(run, f"{query_key} long, {key} long, distance double")
-
-    for r in rows.toLocalIterator():
-        block.append(r)
-        if len(block) == MAX_QUERIES:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block = []
-    if block:
-        out = search(block) if out is None else out.unionByName(search(block))
-    if out is None:
-        out = index.sparkSession.createDataFrame([], f"{query_key} long, {key} long, distance double")
+            out_q, out_k, out_d = ids[i], best_k[i, j], best_d[i, j]
+        return pa.table({query_key: out_q, key: out_k, "distance": out_d})
+
+    left = blocks(queries.select(query_key, vector), "__q", n_q, "__x", n_x).groupBy("__q", "__x")
+    right = blocks(index.select(key, vector), "__x", n_x, "__q", n_q).groupBy("__q", "__x")
+    out = left.cogroup(right).applyInArrow(cell, f"{query_key} long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment
+from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
-from docquarry.plans.queries import _FACTS, facts, query
+from docquarry.plans.queries import _DIST, _FACTS, _query_vector, facts, query
 from docquarry.session import new_path, table
 from docquarry.sources import files
 from docquarry.sources.store import Store
@@ -628,3 +629,24 @@ def ingest_incremental(spark, sf_dir):
     incremental.apply_pending(store)
     chunks = store.read("chunks").groupBy("document_ref").agg(F.count("*").alias("chunks"))
     return chunks.join(store.read("index").groupBy("document_ref").agg(F.count("*").alias("indexed")), "document_ref", "left")
+
+
+# ---- vector search by lists, and every row as a query
+
+
+@query(f"SELECT e.vec_id, e.label, round({_DIST}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DIST}, e.vec_id LIMIT 20")
+def vector_lists_topk(spark, sf_dir):
+    """As a scan's top-k, by lists around centroids of which most are skipped."""
+    index = table(spark, sf_dir, "embeddings")
+    found = VectorLists.build(index, new_path(spark, "vector-lists"), 32).topk(_query_vector(spark, sf_dir), 20)
+    return found.rows.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS d FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM d)
+SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 3""")
+def all_topk(spark, sf_dir):
+    """The neighbours of every row."""
+    index = table(spark, sf_dir, "embeddings")
+    found = search.batch_topk(index, index.select(F.col("vec_id").alias("query_id"), "embedding"), 3, exclude_self=True)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")

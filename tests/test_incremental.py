@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.plans import flows, incremental
 from docquarry.session import new_path
-from docquarry.sources.store import LAYERS, Store
+from docquarry.sources import store as store_module
+from docquarry.sources.store import Store
 
 WORDS = ["jazz", "blues", "swing"]
 
@@ -80,18 +81,19 @@ def test_a_hundredth_of_the_documents_writes_about_a_hundredth(spark):
     assert store.read("chunks").count() == 400 * 6 + 4 == store.read("index").count()
 
 
-def test_layers(spark):
+def test_layers(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "LAYERS", 4)
     store = Store(spark, new_path(spark, "layers"))
     add = lambda pairs, gone=None: store.commit({}, layers={"t": (spark.createDataFrame(pairs, "k int, v string"), None if gone is None else spark.createDataFrame([(g,) for g in gone], "k int"), ["k"])})
     want = {}
-    for i in range(LAYERS + 10):
+    for i in range(9):
         pairs, gone = [(i % 7, f"v{i}")], [i % 7, (i + 3) % 7]
         add(pairs, gone)
         for g in gone:
             want.pop(g, None)
         want |= dict(pairs)
         assert {r.k: r.v for r in store.read("t").collect()} == want
-        assert len(store.manifest()["tables"]["t"]["layers"]) <= LAYERS
+        assert len(store.manifest()["tables"]["t"]["layers"]) <= 4
     add([], list(range(7)))
     assert store.read("t").count() == 0 and store.vacuum() > 0 and store.read("t").count() == 0
     add([(1, "a"), (1, "b")])
