@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment
+from docquarry.operators.trigrams import TrigramIndex
 from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
 from docquarry.plans.queries import _DIST, _FACTS, _query_vector, facts, query
@@ -650,3 +651,19 @@ def all_topk(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings")
     found = search.batch_topk(index, index.select(F.col("vec_id").alias("query_id"), "embedding"), 3, exclude_self=True)
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+# ---- substring search by an index, for many questions at once
+
+
+@query(r"""WITH q AS (SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS query FROM documents WHERE doc_id % 50 = 0),
+t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_-]+')) AS term FROM q), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+h AS (SELECT t.query_id, d.doc_id AS key, count(*) AS held FROM t JOIN documents d ON contains(lower(d.text), t.term) GROUP BY ALL),
+r AS (SELECT query_id, key, held / n::DOUBLE AS s, row_number() OVER (PARTITION BY query_id ORDER BY held / n::DOUBLE DESC, key) AS rank FROM h JOIN n USING (query_id))
+SELECT query_id, key, round(s, 6) AS keyword_score, rank FROM r WHERE rank <= 5""")
+def lexical_many(spark, sf_dir):
+    """Words of every fiftieth document as a question, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    index = TrigramIndex.build(docs, F.col("text"), "doc_id", new_path(spark, "trigram-index"))
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("query"))
+    return index.search(asked, 5).select("query_id", "key", F.round("keyword_score", 6).alias("keyword_score"), "rank")
