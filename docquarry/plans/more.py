@@ -223,7 +223,7 @@ def hits_limited(spark, sf_dir):
 
 
 def _tags(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     p = F.col("l_orderkey").alias("paragraph_id")
     tag = F.concat(F.lit("t"), (F.col("l_partkey") % 40).cast("string"))
     generated = li.groupBy(p, tag.alias("tag")).agg(F.min("l_linenumber").alias("pos"))
@@ -235,7 +235,7 @@ def _tags(spark, sf_dir):
     return generated, resolutions, existing
 
 
-_TAGS = """WITH li AS (SELECT l_orderkey AS p, l_linenumber AS n, 't' || l_partkey % 40 AS tag, l_returnflag AS f, l_quantity AS q, l_linestatus AS m FROM lineitem WHERE l_orderkey % 4 = 0),
+_TAGS = """WITH li AS (SELECT l_orderkey AS p, l_linenumber AS n, 't' || l_partkey % 40 AS tag, l_returnflag AS f, l_quantity AS q, l_linestatus AS m FROM lineitem),
 g AS (SELECT p, tag, min(n) AS pos FROM li GROUP BY ALL), e AS (SELECT DISTINCT p FROM li WHERE m = 'O'),
 r AS (SELECT p, tag, n + (q > 45)::INT AS place, CASE f WHEN 'N' THEN tag ELSE 'old' END AS resolved, CASE f WHEN 'N' THEN 'keep_new' WHEN 'R' THEN 'reuse_existing' ELSE 'guess' END AS action FROM li WHERE n < 6)"""
 
@@ -300,8 +300,8 @@ def raster_spaces(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    q = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("query_id"))
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 40 AND o_orderstatus <> 'P'")
+    q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     hits = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").alias("rank"))
     f = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("paragraph_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linestatus").alias("concept"), F.col("l_returnflag").alias("role"), F.col("l_linenumber").alias("ordinal"))
     selected = q.where("query_id % 3 > 0").select("query_id", F.lit("o").alias("concept"), F.lit("N").alias("role")).union(q.where("query_id % 2 = 0").select("query_id", F.lit(" F "), F.lit("R")))
@@ -313,12 +313,12 @@ def _texts(f):
     return f.select("paragraph_id", "ordinal").distinct().withColumn("text", F.concat("paragraph_id", F.lit(" is one line")))
 
 
-_ASKED = """WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_custkey <= 40 AND o_orderstatus <> 'P'),
-s AS (SELECT c_custkey AS query_id, 'O' AS c, 'N' AS r FROM customer WHERE c_custkey <= 40 AND c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'F', 'R' FROM customer WHERE c_custkey <= 40 AND c_custkey % 2 = 0),
+_ASKED = """WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_orderstatus <> 'P'),
+s AS (SELECT c_custkey AS query_id, 'O' AS c, 'N' AS r FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'F', 'R' FROM customer WHERE c_custkey % 2 = 0),
 m AS (SELECT DISTINCT query_id, chunk_id, l_linenumber AS n FROM h JOIN lineitem ON l_orderkey = chunk_id JOIN s USING (query_id) WHERE l_linestatus = c AND l_returnflag = r)"""
 
 
-@query(_ASKED + """ SELECT c_custkey AS query_id, CASE WHEN c_custkey NOT IN (SELECT query_id FROM h) THEN 'no_retrieval_context' WHEN c_custkey NOT IN (SELECT query_id FROM m) THEN 'no_relevant_concept_role' ELSE 'ready' END AS status FROM customer WHERE c_custkey <= 40""")
+@query(_ASKED + """ SELECT c_custkey AS query_id, CASE WHEN c_custkey NOT IN (SELECT query_id FROM h) THEN 'no_retrieval_context' WHEN c_custkey NOT IN (SELECT query_id FROM m) THEN 'no_relevant_concept_role' ELSE 'ready' END AS status FROM customer""")
 def question_status(spark, sf_dir):
     q, hits, f, selected = _questions(spark, sf_dir)
     return ingest.question_bundles(q, hits, f, selected, _texts(f), 5, 12)[0]
