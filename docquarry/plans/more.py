@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment
+from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment, state
 from docquarry.operators.trigrams import TrigramIndex
 from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
-from docquarry.plans.queries import _DIST, _FACTS, _query_vector, facts, query
-from docquarry.session import new_path, table
+from docquarry.plans.queries import _DIST, _FACTS, _query_vector, _states as _vector_states, facts, query
+from docquarry.session import new_path, saved, table
 from docquarry.sources import files
 from docquarry.sources.store import Store
 
@@ -667,3 +667,16 @@ def lexical_many(spark, sf_dir):
     index = TrigramIndex.build(docs, F.col("text"), "doc_id", new_path(spark, "trigram-index"))
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("query"))
     return index.search(asked, 5).select("query_id", "key", F.round("keyword_score", 6).alias("keyword_score"), "rank")
+
+
+@query("""SELECT 'd' || doc_id AS entity_key, CASE WHEN doc_id % 89 = 0 THEN 'new' ELSE 'changed' END AS change, sha256(text) AS input_hash FROM documents WHERE doc_id % 89 = 0 OR doc_id % 97 = 0
+UNION ALL SELECT 'p' || page_id, 'stale', md5(url) FROM pages WHERE page_id % 61 = 0""")
+def vector_state_changes(spark, sf_dir):
+    """What differs between states and documents, by digests of buckets: only buckets that differ are joined."""
+    old, desired = _vector_states(spark, sf_dir)
+    number = F.substring("entity_key", 2, 20).cast("long")
+    pages = old.where("entity_key LIKE 'p%'").where(number % 61 == 0)
+    kept = desired.where(number % 89 != 0).withColumn("input_hash", F.when(number % 97 == 0, F.md5("entity_key")).otherwise(F.col("input_hash"))).withColumn("sync_status", F.lit("synced"))
+    existing = saved(kept.unionByName(pages.select(*kept.columns)), "states")
+    changes, _ = state.changes_by_digest(existing, desired, state.bucket_digests(existing))
+    return changes.select("entity_key", "change", "input_hash")
