@@ -4,8 +4,8 @@ A text becomes the sequence of its 5-word shingle hashes. Its windows begin at e
 template, so they overlap. MinHash bands of one row retrieve: band b of a template is its shingle with the least
 hash under seed b, and a window meets the template in that band if this shingle is also the window's least. So
 only the shingles that are some template's least are looked up in a text, and around each one found the run of
-windows in which nothing is less gives the windows that meet. Each is verified by the exact share of the
-template's shingles that it holds. A window with a share of 0.8 or more has a similarity of 2/3 or more to its
+windows in which nothing is less gives the windows that meet. They are verified by the exact share of the
+template's shingles that each holds, which running sums give for all windows at once. A window with a share of 0.8 or more has a similarity of 2/3 or more to its
 template, so it meets in some band with probability 1 - (1/3)^bands > 0.999998 for 12 bands, and surely if it
 equals the template.
 
@@ -73,61 +73,123 @@ def shingles_of(words: Column) -> Column:
     return _let(words, hashes)
 
 
-def _bands(templates: DataFrame, bands: int) -> DataFrame:
-    """license, own (shingles), n, and of each band the least hash and its shingle."""
+def _known(templates: DataFrame, bands: int) -> DataFrame:
+    """key, t, license, n, size, bands: each template's distinct shingles, with the bands (and the hash) of which
+    the shingle is its template's least."""
 
     def least(b: int) -> Column:
         return F.array_min(F.transform("own", lambda x: F.struct(F.xxhash64(x, F.lit(b)).alias("low"), x.alias("key"))))
 
     each = F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(bands)])
-    return templates.select("license", "own", "n", F.explode(each).alias("b")).select("license", "own", "n", "b.band", "b.least.low", "b.least.key")
-
-
-def _met(hashed: DataFrame, bands: DataFrame, reach: int) -> DataFrame:
-    """The windows of ``hashed`` (doc_id, row, h) that meet a template in a band: with the template's columns,
-    the word where they begin, and their shingles."""
-    known = ", ".join(f"{r[0]}L" for r in bands.select("key").distinct().collect())  # a few for each template
-    found = F.expr(f"filter(transform(h, (x, i) -> struct(i as at, x as key)), e -> e.key in ({known}))")
-    # What lies within a window's length on both sides of a shingle that was found.
-    around = F.transform(found, lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), F.greatest(F.lit(0), e["at"] - (reach - 1)).alias("start"), F.slice("h", F.greatest(F.lit(1), e["at"] - (reach - 2)), F.lit(2 * reach - 1)).alias("near")))
-    hits = hashed.where(F.expr(f"exists(h, x -> x in ({known}))")).select("doc_id", "row", F.explode(around).alias("x")).select("doc_id", "row", "x.*")
-    met = hits.join(F.broadcast(bands), "key")
-    less = F.transform("near", lambda x, i: F.when(F.xxhash64(x, F.col("band")) < F.col("low"), i + F.col("start")))
-    met = met.withColumn("less", less)
-    before = F.array_max(F.filter("less", lambda i: i < F.col("at")))
-    behind = F.array_min(F.filter("less", lambda i: i > F.col("at")))
-    first = F.greatest(F.lit(0), F.col("at") - F.col("n") + 1, F.coalesce(before + 1, F.lit(0)))
-    last = F.least(F.col("at"), F.coalesce(behind - F.col("n"), F.col("at")))
-    runs = met.select("doc_id", "row", "license", "own", "n", "start", "near", first.alias("from"), last.alias("to")).where("from <= to")
-    windows = runs.select("doc_id", "row", "license", "own", "n", "start", "near", F.explode(F.sequence("from", "to")).alias("word"))
-    return windows.select("doc_id", "row", "license", "own", "word", F.slice("near", F.col("word") - F.col("start") + 1, F.col("n")).alias("window"))
-
-
-def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: float = 0.8, bands: int = 12, text: str = "text", key: str = "doc_id", most_templates: int = 200) -> DataFrame:
+    keys = templates.select("t", "license", F.size("own").alias("n"), F.array_distinct("own").alias("own"), each.alias("each"))
+    keys = keys.select("t", "license", "n", F.size("own").alias("size"), "each", F.explode("own").alias("key"))
+    own = F.transform(F.filter("each", lambda e: e["least"]["key"] == F.col("key")), lambda e: F.struct(e["band"].alias("band"), e["least"]["low"].alias("low")))
+    return keys.select("key", "t", "license", "n", "size", own.alias("bands"))
+
+
+def _met(near: str, at: str, n: str, band: Column) -> Column:
+    """from, to: the run of windows of n shingles that hold the shingle at ``at`` and nothing less in the band. ``near`` is
+    a record of the shingles around and the place of the first of them."""
+    less = F.transform(f"{near}.h", lambda x, i: F.when(F.xxhash64(x, band["band"]) < band["low"], i + F.col(f"{near}.start")))
+
+    def run(less: Column) -> Column:
+        before = F.array_max(F.filter(less, lambda i: i < F.col(at)))
+        behind = F.array_min(F.filter(less, lambda i: i > F.col(at)))
+        first = F.greatest(F.lit(0), F.col(at) - F.col(n) + 1, F.coalesce(before + 1, F.lit(0)))
+        return F.struct(first.alias("from"), F.least(F.col(at), F.coalesce(behind - F.col(n), F.col(at))).alias("to"))
+
+    return _let(less, run)
+
+
+def _matches(hashed: DataFrame, known: DataFrame, reach: int, share: float) -> DataFrame:
+    """doc_id, row, license, word, share, first, end of the windows of ``hashed`` (doc_id, row, h) that meet a template in a
+    band and hold enough of it; first and end are the words from the first shingle found to the last.
+
+    A shingle at p whose like was last seen at q adds one to the windows from max(p - n, q) + 1 to p, and each run that
+    a band retrieves adds one to its windows. So the steps of two running sums tell which windows were retrieved and
+    what each holds: a window is verified once, whatever the bands that it meets, and at no cost of its length.
+    """
+    own = known.groupBy("key").agg(F.max(F.size("bands") > 0).alias("least")).collect()  # the templates' shingles
+    any_key, least = (", ".join(f"{r[0]}L" for r in own if r[1] or every) for every in (True, False))
+    found = F.expr(f"filter(transform(h, (x, i) -> struct(i as at, x as key)), e -> e.key in ({any_key}))")
+    # What lies within a window's length on both sides of a band's shingle.
+    near = lambda at: F.struct(F.greatest(F.lit(0), at - (reach - 1)).alias("start"), F.slice("h", F.greatest(F.lit(1), at - (reach - 2)), F.lit(2 * reach - 1)).alias("h"))
+    is_least = F.expr(f"transform(found, e -> e.key in ({least}))")
+    hits = hashed.where(F.expr(f"exists(h, x -> x in ({least}))")).select("doc_id", "row", "h", found.alias("found")).withColumn("is_least", is_least)
+    hits = hits.select("doc_id", "row", F.explode(F.zip_with("found", "is_least", lambda e, yes: F.struct(e["at"].alias("at"), e["key"].alias("key"), F.when(yes, near(e["at"])).alias("near")))).alias("x")).select("doc_id", "row", "x.*")
+    runs = F.filter(F.transform("bands", lambda b: _met("near", "at", "n", b)), lambda r: r["from"] <= r["to"])
+    held = hits.join(F.broadcast(known), "key").select("doc_id", "row", "t", "license", "n", "size", "at", "key", runs.alias("runs")).distinct()
+    held = held.repartition("doc_id", "row")
+    seen = F.lag("at").over(Window.partitionBy("doc_id", "row", "t", "key").orderBy("at"))
+    begin = F.greatest(F.lit(0), F.col("at") - F.col("n") + 1)
+
+    def event(pos: Column, held: int = 0, met: int = 0, last: Column | None = None, first: Column | None = None) -> Column:
+        none = F.lit(None).cast("int")
+        return F.struct(pos.cast("int").alias("pos"), F.lit(held).alias("held"), F.lit(met).alias("met"), (none if last is None else last).alias("last"), (none if first is None else first).alias("first"))
+
+    here = F.col("at")
+    events = F.concat(
+        F.array(event(begin, last=here), event(F.greatest(begin, F.coalesce(F.col("seen") + 1, F.lit(0))), held=1), event(here + 1, held=-1, first=here)),
+        F.transform("runs", lambda r: event(r["from"], met=1)),
+        F.transform("runs", lambda r: event(r["to"] + 1, met=-1)),
+    )
+    steps = held.withColumn("seen", seen).select("doc_id", "row", "t", "license", "size", F.explode(events).alias("e")).select("doc_id", "row", "t", "license", "size", "e.*")
+    order = Window.partitionBy("doc_id", "row", "t").orderBy("pos")
+    steps = steps.withColumns({
+        "n_held": F.sum("held").over(order),
+        "n_met": F.sum("met").over(order),
+        "to_last": F.max("last").over(order),
+        "next": F.lead("pos").over(order),
+        "from_first": F.expr("lead(first) IGNORE NULLS OVER (PARTITION BY doc_id, row, t ORDER BY pos)"),
+    })
+    part = F.col("n_held") / F.col("size")
+    enough = steps.where((F.col("next") > F.col("pos")) & (F.col("n_met") > 0) & (part >= share))
+    return enough.select("doc_id", "row", "license", F.explode(F.sequence("pos", F.col("next") - 1)).alias("word"), part.alias("share"), F.col("from_first").alias("first"), (F.col("to_last") + SHINGLE).alias("end")).distinct()
+
+
+def _local_best(matches: DataFrame, reach: int, rounds: int) -> DataFrame:
+    """``matches`` with ``kept``: true, or null if it is still open; those that a better kept one overlaps are gone.
+
+    In each round the best of their surroundings stay. A match is shorter than ``reach`` words, and surroundings go
+    twice as far, so those that stay and overlap one match have one share: it goes if theirs is better.
+    """
+    cell = max(1, reach // 2)
+    out = matches.withColumns({"kept": F.lit(None).cast("boolean"), "cell": F.floor(F.col("first") / cell)}).repartition("doc_id", "row")
+    order = Window.partitionBy("doc_id", "row").orderBy("first")
+    around = Window.partitionBy("doc_id", "row").orderBy("cell").rangeBetween(-6, 6)
+    for _ in range(rounds):
+        open_share = F.when(F.col("kept").isNull(), F.col("share"))
+        out = out.withColumn("top", F.max(open_share).over(around)).withColumn("now", F.col("kept").isNull() & (F.col("share") >= F.col("top")))
+        out = out.withColumns({"a": F.when(F.col("now"), F.struct("end", "share")), "b": F.when(F.col("now"), F.struct("first", "share"))})
+        out = out.withColumns({"a": F.max("a").over(order), "b": F.expr("lead(b) IGNORE NULLS OVER (PARTITION BY doc_id, row ORDER BY first)")})
+        beaten = ((F.col("a.end") > F.col("first")) & (F.col("a.share") > F.col("share"))) | ((F.col("b.first") < F.col("end")) & (F.col("b.share") > F.col("share")))
+        out = out.where(F.col("kept").isNotNull() | F.col("now") | ~F.coalesce(beaten, F.lit(False)))
+        out = out.withColumn("kept", F.when(F.col("now"), True).otherwise(F.col("kept"))).drop("top", "now", "a", "b")
+    return out.drop("cell")
+
+
+def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, share: float = 0.8, bands: int = 12, text: str = "text", key: str = "doc_id", most_templates: int = 200, rounds: int = 3) -> DataFrame:
     """doc_id, license, word (where the window begins), share: the windows that hold enough of a notice,
-    without those whose notice overlaps in words with that of a better one that is kept."""
+    without those whose notice overlaps in words with that of a better one that is kept. Most are settled in
+    ``rounds`` of local comparison, the others in arrays of what overlaps."""
     notices = NOTICES if notices is None else notices
     if len(notices) > most_templates:
         raise ValueError(f"over {most_templates} templates")
     spark = docs.sparkSession
     docs = docs.select(F.col(quoted([key])[0]).alias("doc_id"), F.col(quoted([text])[0]).alias("text"))
-    templates = spark.createDataFrame(notices, "license string, text string").select("license", shingles_of(words_of(F.col("text"))).alias("own"))
-    templates = templates.where(F.size("own") > 0).withColumn("n", F.size("own"))
-    reach = templates.agg(F.max("n")).first()[0]
+    templates = spark.createDataFrame([(i, *x) for i, x in enumerate(notices)], "t int, license string, text string").select("t", "license", shingles_of(words_of(F.col("text"))).alias("own"))
+    templates = templates.where(F.size("own") > 0)
+    reach = templates.agg(F.max(F.size("own"))).first()[0]
     if reach is None:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("word"), F.lit(1.0).alias("share")).limit(0)
     hashed = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingles_of(F.col("w")).alias("h"), F.xxhash64("w").alias("row"))
-    met = _met(hashed, _bands(templates, bands), reach)
-    held = F.size(F.array_intersect("window", "own")) / F.size(F.array_distinct("own"))
-    # The words of the notice that a window holds: from its first shingle found to its last.
-    at = F.filter(F.transform("window", lambda x, i: F.when(F.array_contains("own", x), i)), lambda i: i.isNotNull())
-    enough = met.withColumn("share", held).where(F.col("share") >= share).withColumn("at", at)
-    matches = enough.select("doc_id", "row", "license", "word", "share", (F.col("word") + F.array_min("at")).alias("first"), (F.col("word") + F.array_max("at") + SHINGLE).alias("end")).distinct()
-    # Runs of overlapping matches; in each, from the best down, what overlaps a better kept one is left out.
-    order = Window.partitionBy("doc_id", "row").orderBy("first", "end", "word", "license", "share")
+    matches = _local_best(_matches(hashed, _known(templates, bands), reach, share), reach + SHINGLE, rounds)
+    # Runs of overlapping matches that are open; in each, from the best down, what overlaps a better kept one is left out.
+    order = Window.partitionBy("doc_id", "row", "kept").orderBy("first", "end", "word", "license", "share")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = matches.withColumn("fresh", F.coalesce((F.col("first") >= before).cast("int"), F.lit(1))).withColumn("place", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = placed.groupBy("doc_id", "row", "place").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("less"), "word", "license", "first", "end", "share"))).alias("m"))
+    fresh = F.col("kept").isNotNull() | F.coalesce(F.col("first") >= before, F.lit(True))
+    placed = matches.withColumn("fresh", fresh.cast("int")).withColumn("place", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = placed.groupBy("doc_id", "row", "kept", "place").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("less"), "word", "license", "first", "end", "share"))).alias("m"))
 
     def beaten(kept: Column, x: Column) -> Column:
         return F.exists(kept, lambda k: (k["share"] > x["share"]) & (k["first"] < x["end"]) & (x["first"] < k["end"]))
