@@ -50,6 +50,7 @@ NOTICES = [
 TEMPLATES = NOTICES + TEXTS + WORDINGS
 
 SHINGLE = 5
+NARROW = 16  # shingles of a short template
 SPDX_TAG, SPDX_ID = r"(?i)SPDX-License-Identifier:", r"[A-Za-z0-9][A-Za-z0-9.+-]*"
 SPDX_EXPRESSION = rf"^\s*(\(*{SPDX_ID}\)*(?:\s+(?:OR|AND|WITH)\s+\(*{SPDX_ID}\)*)*)"
 
@@ -89,8 +90,10 @@ def _known(templates: DataFrame, bands: int) -> DataFrame:
 
 def _met(near: str, at: str, n: str, band: Column) -> Column:
     """from, to: the run of windows of n shingles that hold the shingle at ``at`` and nothing less in the band. ``near`` is
-    a record of the shingles around and the place of the first of them."""
-    less = F.transform(f"{near}.h", lambda x, i: F.when(F.xxhash64(x, band["band"]) < band["low"], i + F.col(f"{near}.start")))
+    a record of the shingles around and the place of the first of them; a window's length to both sides is read."""
+    start = F.greatest(F.col(f"{near}.start"), F.col(at) - F.col(n) + 1)
+    window = F.slice(f"{near}.h", start - F.col(f"{near}.start") + 1, F.col(at) - start + F.col(n))
+    less = F.transform(window, lambda x, i: F.when(F.xxhash64(x, band["band"]) < band["low"], i + start))
 
     def run(less: Column) -> Column:
         before = F.array_max(F.filter(less, lambda i: i < F.col(at)))
@@ -109,14 +112,14 @@ def _matches(hashed: DataFrame, known: DataFrame, reach: int, share: float) -> D
     a band retrieves adds one to its windows. So the steps of two running sums tell which windows were retrieved and
     what each holds: a window is verified once, whatever the bands that it meets, and at no cost of its length.
     """
-    own = known.groupBy("key").agg(F.max(F.size("bands") > 0).alias("least")).collect()  # the templates' shingles
-    any_key, least = (", ".join(f"{r[0]}L" for r in own if r[1] or every) for every in (True, False))
+    own = known.groupBy("key").agg(F.max(F.when(F.size("bands") > 0, F.col("n"))).alias("reach")).collect()  # the templates' shingles
+    any_key, least, wide = (", ".join(f"{r[0]}L" for r in own if (r[1] or 0) > most) or "null" for most in (-1, 0, NARROW))
     found = F.expr(f"filter(transform(h, (x, i) -> struct(i as at, x as key)), e -> e.key in ({any_key}))")
-    # What lies within a window's length on both sides of a band's shingle.
-    near = lambda at: F.struct(F.greatest(F.lit(0), at - (reach - 1)).alias("start"), F.slice("h", F.greatest(F.lit(1), at - (reach - 2)), F.lit(2 * reach - 1)).alias("h"))
-    is_least = F.expr(f"transform(found, e -> e.key in ({least}))")
-    hits = hashed.where(F.expr(f"exists(h, x -> x in ({least}))")).select("doc_id", "row", "h", found.alias("found")).withColumn("is_least", is_least)
-    hits = hits.select("doc_id", "row", F.explode(F.zip_with("found", "is_least", lambda e, yes: F.struct(e["at"].alias("at"), e["key"].alias("key"), F.when(yes, near(e["at"])).alias("near")))).alias("x")).select("doc_id", "row", "x.*")
+    # What lies within a window's length on both sides of a band's shingle; most templates are short.
+    side = F.expr(f"transform(found, e -> CASE WHEN e.key in ({wide}) THEN {reach} WHEN e.key in ({least}) THEN {min(NARROW, reach)} END)")
+    near = lambda at, n: F.when(n.isNotNull(), F.struct(F.greatest(F.lit(0), at - n + 1).alias("start"), F.slice("h", F.greatest(F.lit(1), at - n + 2), F.coalesce(2 * n, F.lit(0))).alias("h")))
+    hits = hashed.where(F.expr(f"exists(h, x -> x in ({least}))")).select("doc_id", "row", "h", found.alias("found")).withColumn("side", side)
+    hits = hits.select("doc_id", "row", F.explode(F.zip_with("found", "side", lambda e, n: F.struct(e["at"].alias("at"), e["key"].alias("key"), near(e["at"], n).alias("near")))).alias("x")).select("doc_id", "row", "x.*")
     runs = F.filter(F.transform("bands", lambda b: _met("near", "at", "n", b)), lambda r: r["from"] <= r["to"])
     held = hits.join(F.broadcast(known), "key").select("doc_id", "row", "t", "license", "n", "size", "at", "key", runs.alias("runs")).distinct()
     held = held.repartition("doc_id", "row")

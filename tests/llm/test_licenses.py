@@ -64,6 +64,27 @@ def test_recall_of_the_bands_on_production_templates(spark):
     assert len({d for d, *_ in want}) == len({d for d, *_ in got})
 
 
+def test_texts_made_of_licenses(spark):
+    """Windows that reach into the next copy, ties, and better matches beside worse ones: as brute force, whatever the rounds."""
+    rng = random.Random(5)
+
+    def many(size):
+        out = []
+        while sum(map(len, out)) < size:
+            w = rng.choice(TEMPLATES)[1].split()
+            for _ in range(rng.randrange(2) * (1 + len(w) // 60)):
+                w[rng.randrange(len(w))] = "altered"
+            out += ["copyright"] * rng.randrange(3) + w
+        return " ".join(out)
+
+    rows = [(1, many(500)), (2, " ".join([NOTICES[0][1]] * 40)), (3, TEMPLATES[15][1] + " " + TEMPLATES[15][1]), (None, many(300)), (5, " ".join([NOTICES[3][1], NOTICES[2][1]] * 20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, TEMPLATES)
+    for rounds in (0, 3):
+        got = {(r.doc_id, r.license, r.word, round(r.share, 9)) for r in scan(d, TEMPLATES, rounds=rounds).collect()}
+        assert got == want
+
+
 def test_bands_alone_retrieve(spark):
     """One band of one template: a window meets it if the template's least shingle is the window's least."""
     text = "one two three four five six seven eight nine ten"
