@@ -12,7 +12,7 @@ from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
 from docquarry.plans.queries import _DIST, _FACTS, _query_vector, _states as _vector_states, facts, query
 from docquarry.session import new_path, saved, table
-from docquarry.sources import files
+from docquarry.sources import artifacts, files
 from docquarry.sources.store import Store
 
 
@@ -680,3 +680,20 @@ def vector_state_changes(spark, sf_dir):
     existing = saved(kept.unionByName(pages.select(*kept.columns)), "states")
     changes, _ = state.changes_by_digest(existing, desired, state.bucket_digests(existing))
     return changes.select("entity_key", "change", "input_hash")
+
+
+# ---- artifacts by content
+
+
+@query("""SELECT 'pages/' || page_id AS path, sha256(c) AS sha256, strlen(c) AS length, true AS intact
+FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN coalesce(url, '') ELSE coalesce(html, '') END AS c FROM pages WHERE page_id % 7 <> 0)""")
+def artifact_store(spark, sf_dir):
+    """Every page stored as an artifact; a second commit replaces a third of them and deletes a seventh."""
+    root = new_path(spark, "artifact-store")
+    pages = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path")
+    html, url = (F.encode(F.coalesce(c, F.lit("")), "UTF-8") for c in ("html", "url"))
+    artifacts.put(pages.select(path, html.alias("content"), F.sha2(html, 256).alias("sha256")), root)
+    changed = pages.where("page_id % 3 = 0 OR page_id % 7 = 0").select(path, F.when(F.col("page_id") % 7 != 0, url).alias("content"), F.lit(None).cast("string").alias("sha256"))
+    artifacts.put(changed, root)
+    return artifacts.contents(artifacts.listed(spark, root), root).select("path", F.sha2("content", 256).alias("sha256"), "length", "intact")
