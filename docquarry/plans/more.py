@@ -697,3 +697,53 @@ def artifact_store(spark, sf_dir):
     changed = pages.where("page_id % 3 = 0 OR page_id % 7 = 0").select(path, F.when(F.col("page_id") % 7 != 0, url).alias("content"), F.lit(None).cast("string").alias("sha256"))
     artifacts.put(changed, root)
     return artifacts.contents(artifacts.listed(spark, root), root).select("path", F.sha2("content", 256).alias("sha256"), "length", "intact")
+
+
+# ---- results of tagging, and choices of roles
+
+
+def _order_labels(spark, sf_dir):
+    """Orders as paragraphs, and two labels of each: the second resolves to the first for even keys. Pending orders have
+    no result, and the result of every seventh order is of no paragraph."""
+    key, first, second = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    o = table(spark, sf_dir, "orders").select(key, first, second)
+    both = F.inline(F.array(F.struct(F.lit(0).alias("pos"), first.alias("generated"), first.alias("resolved")), F.struct(F.lit(1).alias("pos"), second.alias("generated"), F.when(key % 2 == 0, first).otherwise(second).alias("resolved"))))
+    name = F.when(key % 7 == 0, F.concat(key.cast("string"), F.lit("-gone"))).otherwise(key.cast("string")).alias("paragraph_id")
+    return o.select(key.cast("string").alias("paragraph_id")), o.where("o_orderstatus <> 'P'").select(name, both)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS paragraph_id, o_orderpriority || '|' || o_orderstatus AS generated, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderpriority || '|' || o_orderstatus END AS tags
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 7 <> 0""")
+def paragraphs_tagged(spark, sf_dir):
+    """Generated labels and distinct resolved tags of each order, in order."""
+    tagged, _ = records.tagged_paragraphs(*_order_labels(spark, sf_dir))
+    return tagged.select("paragraph_id", F.array_join("generated", "|").alias("generated"), F.array_join("tags", "|").alias("tags"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS paragraph_id, 'no result' AS rule FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey || '-gone', 'unknown paragraph' FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 7 = 0""")
+def tagging_coverage(spark, sf_dir):
+    """Orders without a result, and results without an order."""
+    return records.tagged_paragraphs(*_order_labels(spark, sf_dir))[1]
+
+
+@query(f"""WITH {_FACTS}, f AS (SELECT DISTINCT lower(concept) AS key, role FROM facts),
+s AS (SELECT p_partkey AS selection, CASE WHEN p_partkey % 10 = 3 THEN 'no ' || lower(p_type) ELSE lower(p_type) END AS key, CASE WHEN p_partkey % 3 = 0 THEN 'Z' ELSE 'A' END AS role, CASE WHEN p_partkey % 20 = 1 THEN p_partkey - 1 ELSE p_partkey END AS rank FROM part)
+SELECT selection, 'unknown concept' AS rule FROM s WHERE key NOT IN (SELECT key FROM f)
+UNION ALL SELECT selection, 'unknown role' FROM s WHERE key IN (SELECT key FROM f) AND NOT EXISTS (SELECT 1 FROM f WHERE f.key = s.key AND f.role = s.role)
+UNION ALL SELECT selection, 'rank given twice' FROM s WHERE rank IN (SELECT rank FROM s GROUP BY 1 HAVING count(*) > 1)""")
+def role_selection_violations(spark, sf_dir):
+    """A choice of concept and role for each part, against the concepts and roles of all lines."""
+    key = F.col("p_partkey")
+    chosen = table(spark, sf_dir, "part").select(key.alias("selection"), F.when(key % 10 == 3, F.concat(F.lit("no "), "p_type")).otherwise(F.col("p_type")).alias("concept"), F.when(key % 3 == 0, "Z").otherwise("A").alias("role"), F.when(key % 20 == 1, key - 1).otherwise(key).alias("rank"))
+    return answers.role_violations(chosen, facts(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS paragraph_id, CASE WHEN l_linenumber <= 3 THEN p_brand || '/' || l_linenumber END AS label FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def labels_remapped(spark, sf_dir):
+    """Labels kept for three places of each part's text, given to the lines of that text by place."""
+    sha = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("content_sha")
+    cached = table(spark, sf_dir, "part").select(sha("p_partkey"), "p_brand", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ordinal"))
+    cached = cached.select("content_sha", "ordinal", F.concat_ws("/", "p_brand", "ordinal").alias("label"))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("paragraph_id"), sha("l_partkey"), F.col("l_linenumber").alias("ordinal"))
+    return records.remapped(cached, lines).select("paragraph_id", "label")
