@@ -50,8 +50,8 @@ def role_violations(selected: DataFrame, facts: DataFrame) -> DataFrame:
     return no_concept.unionByName(no_role).unionByName(twice)
 
 
-def answer_context(question: str, paras: DataFrame, roles: DataFrame | None = None, scope: str = "query_id") -> DataFrame:
-    """scope, markdown: the prompt's context. paras: scope, place, source, header, nested, pages, labels,
+def answer_context(question: str | DataFrame, paras: DataFrame, roles: DataFrame | None = None, scope: str = "query_id") -> DataFrame:
+    """scope, markdown: the prompt's context. question: one for all, or a table (scope, question). paras: scope, place, source, header, nested, pages, labels,
     image_refs, text (bounded by ``evidence.limited``); roles: scope, n, concept, role, places, parents."""
 
     def line(name: str, values: Column, joint: str, always: str | None = None) -> Column:
@@ -65,15 +65,19 @@ def answer_context(question: str, paras: DataFrame, roles: DataFrame | None = No
         line("Concepts and roles", F.col("labels"), "; ", ""), line("Images", F.col("image_refs"), ", ", "none"), F.lit(""), F.col("text"), F.lit(""),
     )
     body = paras.withColumn("__n", number).groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", block.alias("b")))), lambda v: v["b"]), "\n").alias("paragraphs"))
-    head = "\n".join(["# Retrieval Context", "", "## User question", "", question, "", "## Concept-role map", "", ""])
+    if isinstance(question, str):
+        asked = F.lit(question)
+    else:
+        body, asked = body.join(question.select(scope, F.col("question").alias("__asked")), scope), F.coalesce("__asked", F.lit(""))
+    head = F.concat(F.lit("# Retrieval Context\n\n## User question\n\n"), asked, F.lit("\n\n## Concept-role map\n\n"))
     if roles is None:
-        return body.select(scope, F.concat(F.lit(head + "## Source paragraphs\n\n"), "paragraphs").alias("markdown"))
+        return body.select(scope, F.concat(head, F.lit("## Source paragraphs\n\n"), "paragraphs").alias("markdown"))
     parents = F.array_join(F.transform("parents", lambda p: F.concat(p["chunk_id"].cast("string"), F.lit(" (rank "), p["rank"].cast("string"), F.lit(")"))), ", ")
     cited = F.array_join(F.transform("places", lambda p: F.concat(F.lit("["), p.cast("string"), F.lit("]"))), ", ")
     entry = F.concat_ws("\n", F.concat(F.lit("### Concept: "), "concept"), F.lit(""), F.concat(F.lit("- Selected role: "), "role"), F.concat(F.lit("- Paragraphs: "), cited), F.concat(F.lit("- Parent chunks: "), parents), F.lit(""))
     mapped = roles.groupBy(scope).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("b")))), lambda v: v["b"]), "\n"), F.lit("\n")).alias("roles"))
     x = body.join(mapped, scope, "left")
-    return x.select(scope, F.concat(F.lit(head), F.coalesce("roles", F.lit("")), F.lit("## Source paragraphs\n\n"), "paragraphs").alias("markdown"))
+    return x.select(scope, F.concat(head, F.coalesce("roles", F.lit("")), F.lit("## Source paragraphs\n\n"), "paragraphs").alias("markdown"))
 
 
 def used_refs(answers: DataFrame, context: DataFrame, scope: str = "query_id") -> tuple[DataFrame, DataFrame]:
