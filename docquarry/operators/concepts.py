@@ -70,6 +70,14 @@ def global_catalog(observations: DataFrame, examples: int = 3) -> DataFrame:
     return base.join(first, "normalized_label", "left")
 
 
+def rebuilt_catalog(observations: DataFrame, previous: DataFrame, now: Column, examples: int = 3) -> DataFrame:
+    """``global_catalog`` with first_seen_source, created_at and updated_at: a label that ``previous`` (normalized_label,
+    created_at) holds keeps the least created_at of it, others are created ``now``; labels without observations go."""
+    before = previous.groupBy("normalized_label").agg(F.min("created_at").alias("created_at"))
+    x = global_catalog(observations, examples).join(before, "normalized_label", "left")
+    return x.select("normalized_label", "canonical_label", "usage_count", "examples", F.col("first_seen.document_ref").alias("first_seen_source"), F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"))
+
+
 def catalog_version(catalog: DataFrame) -> DataFrame:
     """sha256 of the catalog's entries as JSON, in order of label. The whole catalog is one text by contract."""
     rows = catalog.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("normalized_label", F.to_json(F.struct("canonical_label", "normalized_label", "usage_count")).alias("j")))), lambda x: x["j"]).alias("j"))
@@ -117,6 +125,18 @@ def traversal(selected: DataFrame, facts: DataFrame) -> DataFrame:
     return selected.select("selection").join(met.groupBy("selection").agg(F.array_sort(F.collect_set("paragraph_id")).alias("paragraph_refs")), "selection", "left")
 
 
+def traversal_violations(selected: DataFrame, facts: DataFrame, paras: DataFrame) -> DataFrame:
+    """key, rule: what makes a traversal an error. selected: selection, concept, role, chunk_id (a row for each parent
+    chunk); facts: paragraph_id, chunk_id, concept, role; paras: paragraph_id."""
+    f = T.with_key(facts, "concept", "key", T.concept_key)
+    relation = F.concat_ws("/", "paragraph_id", "key", "role")
+    twice = f.groupBy("paragraph_id", "key", "role").count().where("count > 1").select(relation.alias("key"), F.lit("relation given twice").alias("rule"))
+    lost = facts.select("paragraph_id").distinct().join(paras, "paragraph_id", "left_anti").select(F.col("paragraph_id").alias("key"), F.lit("relation of a missing paragraph").alias("rule"))
+    met = traversal_rows(selected, facts).select("selection").distinct()
+    empty = selected.select("selection").distinct().join(met, "selection", "left_anti").select(F.col("selection").alias("key"), F.lit("pair without paragraph").alias("rule"))
+    return twice.unionByName(lost).unionByName(empty)
+
+
 def index_tags(paras: DataFrame, facts: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     """Per chunk: its distinct tags in order of paragraph_id and first label, and the tagged paragraphs."""
     per = facts.groupBy(chunk, "paragraph_id").agg(F.array_sort(F.collect_set("concept")).alias("tags"))

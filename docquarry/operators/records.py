@@ -95,6 +95,12 @@ def safe_images(rows: DataFrame, refs: str, known: DataFrame | None = None) -> D
     return x.withColumn("image_errors", errors).withColumn(refs, F.col("__safe")).drop("__safe", "__found")
 
 
+def unsafe_images(rows: DataFrame, key: str, refs: str) -> DataFrame:
+    """key, ref: the references that a strict gate refuses, once each; a null one is refused, a null list has none."""
+    x = rows.select(key, F.explode(refs).alias("ref"))
+    return x.where(~F.coalesce(T.is_safe_image_ref(F.col("ref")), F.lit(False))).distinct()
+
+
 def wants_web(question: Column) -> Column:
     """The question asks for a web search, in English or Vietnamese."""
     return T.casefold(question).rlike(WEB_REQUEST)

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import answers, concepts, ingest, outbox, records, search, segment, state
+from docquarry.operators import answers, concepts, ingest, outbox, records, scan, search, segment, state
 from docquarry.operators.trigrams import TrigramIndex
 from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
-from docquarry.plans.queries import _DIST, _FACTS, _query_vector, _states as _vector_states, facts, query
+from docquarry.plans.queries import _CATALOG, _DIST, _FACTS, _observations, _query_vector, _states as _vector_states, facts, query
 from docquarry.session import new_path, saved, table
 from docquarry.sources import artifacts, files
 from docquarry.sources.store import Store
@@ -99,10 +99,7 @@ def states_listing(spark, sf_dir):
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type, user_id::VARCHAR, event_id::VARCHAR) AS place FROM events")
 def stale_order(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("entity_type"), F.lit("c").alias("collection"), F.lit("v1").alias("index_version"), F.col("user_id").cast("string").alias("record_id"), F.col("event_id").cast("string").alias("entity_key"))
-    from pyspark.sql import Window
-
-    # The query shows the order as a number, for which all rows meet; the operator's orderBy does not.
-    return e.select("event_id", F.row_number().over(Window.orderBy(*ingest.STALE_ORDER)).cast("long").alias("place"))
+    return scan.numbered(e, [F.col(c) for c in ingest.STALE_ORDER], "place").select("event_id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {_FACTS} SELECT paragraph_id, concept, role FROM facts WHERE document_ref = 'doc-1'")
@@ -747,3 +744,34 @@ def labels_remapped(spark, sf_dir):
     cached = cached.select("content_sha", "ordinal", F.concat_ws("/", "p_brand", "ordinal").alias("label"))
     lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("paragraph_id"), sha("l_partkey"), F.col("l_linenumber").alias("ordinal"))
     return records.remapped(cached, lines).select("paragraph_id", "label")
+
+
+# ---- catalog times, errors of traversal and of the image gate
+
+
+@query(_CATALOG + """ SELECT normalized_label, sum(usage_count)::BIGINT AS usage_count, min(document_ref) AS first_seen_source, CASE WHEN length(normalized_label) % 2 = 0 THEN '2024-01-01' ELSE '2024-02-01' END AS created, '2024-02-01' AS updated FROM catalog GROUP BY 1""")
+def catalog_rebuilt(spark, sf_dir):
+    before = facts(spark, sf_dir).select(F.lower("concept").alias("normalized_label")).distinct().where("length(normalized_label) % 2 = 0")
+    gone = before.limit(1).select(F.lit("gone").alias("normalized_label"))
+    previous = before.union(gone).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    x = concepts.rebuilt_catalog(_observations(spark, sf_dir), previous, F.lit("2024-02-01").cast("timestamp"))
+    return x.select("normalized_label", "usage_count", "first_seen_source", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query(f"""WITH {_FACTS} SELECT paragraph_id || '/' || lower(concept) || '/' || role AS key, 'relation given twice' AS rule FROM facts GROUP BY paragraph_id, lower(concept), role HAVING count(*) > 1
+UNION ALL SELECT DISTINCT paragraph_id, 'relation of a missing paragraph' FROM facts WHERE ordinal > 6
+UNION ALL SELECT DISTINCT lower(concept) || '/X', 'pair without paragraph' FROM facts""")
+def traversal_errors(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    key = F.lower("concept")
+    own = f.select(F.concat_ws("/", key, "role").alias("selection"), key.alias("concept"), "role", "chunk_id").distinct()
+    other = f.select(F.concat(key, F.lit("/X")).alias("selection"), key.alias("concept"), F.lit("X").alias("role"), "chunk_id").distinct()
+    return concepts.traversal_violations(own.union(other), f, f.where("ordinal <= 6").select("paragraph_id").distinct())
+
+
+@query("SELECT doc_id, '../up.png' AS ref FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'http://x/' || doc_id FROM documents WHERE doc_id % 3 = 0")
+def unsafe_images(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    bad = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("../up.png"), F.lit("../up.png"))).otherwise(F.array(F.lit("b.png")))
+    more = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(None).cast("string"), F.concat(F.lit("http://x/"), key))).otherwise(F.array(F.concat(F.lit("images/"), key)))
+    return records.unsafe_images(table(spark, sf_dir, "documents").select("doc_id", F.concat(bad, more).alias("refs")), "doc_id", "refs")
