@@ -93,6 +93,20 @@ def used_refs(answers: DataFrame, context: DataFrame, scope: str = "query_id") -
     return found.select(scope, "place", "paragraph_ref").distinct(), unknown.unionByName(twice)
 
 
+def synthesis_violations(results: DataFrame, evidence: DataFrame, scope: str = "run_id") -> DataFrame:
+    """scope, evidence_id, rule: what makes synthesised answers wrong. results: scope, answer, used, cited, images (arrays
+    of evidence ids; null ones are empty); evidence: scope, evidence_id, image_refs. A row without evidence_id is about
+    the answer itself."""
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.coalesce(c, F.expr(NO_STRINGS)).alias("ids")) for c in ("used", "cited", "images")])).alias("l")
+    refs = results.select(scope, lists).select(scope, "l.list", F.explode("l.ids").alias("evidence_id"))
+    blank = results.where(T.is_blank(F.coalesce("answer", F.lit("")))).select(scope, F.lit(None).cast("string").alias("evidence_id"), F.lit("answer is empty").alias("rule"))
+    twice = refs.where("list <> 'cited'").groupBy(scope, "list", "evidence_id").count().where("count > 1").select(scope, "evidence_id", F.concat("list", F.lit(" twice")).alias("rule"))
+    known = evidence.select(scope, "evidence_id", F.lit(True).alias("known"), (F.coalesce(F.size("image_refs"), F.lit(0)) > 0).alias("pictured"))
+    rule = F.when(F.col("known").isNull(), F.concat("list", F.lit(" unknown"))).when((F.col("list") == "images") & ~F.col("pictured"), "images without a picture")
+    met = refs.distinct().join(known, [scope, "evidence_id"], "left").select(scope, "evidence_id", rule.alias("rule")).where("rule IS NOT NULL")
+    return blank.unionByName(twice).unionByName(met)
+
+
 def source_pages(pages: Column) -> tuple[Column, Column]:
     """The first and the last label that is a number."""
     n = F.filter(F.transform(pages, lambda p: F.trim(p).try_cast("int")), lambda x: x.isNotNull())

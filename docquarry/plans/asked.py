@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docquarry.operators import questions
-from docquarry.plans.queries import query
+from docquarry.operators import answers, concepts, questions, records
+from docquarry.plans.queries import _FACTS, facts, query
 from docquarry.session import table
 
 _ASKED = """WITH h AS (SELECT o_custkey AS q, o_orderkey AS chunk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderstatus <> 'P'),
@@ -84,3 +84,56 @@ SELECT q AS query_id, doc_id AS chunk_ref, list || '/' || lang AS source_ref, li
 def hybrid_questions(spark, sf_dir):
     x = questions.fused(*_lists(spark, sf_dir), 50)
     return x.select("query_id", "chunk_ref", "source_ref", "metadata.list", "metadata.n_chars", "semantic_score", "keyword_score", F.round("fused_score", 9).alias("fused_score"))
+
+
+# ---- answers: an order is an answer, its lines are the context
+
+
+def _used(spark, sf_dir):
+    """Each order's answer names its first line by number and its second by reference; every fifth also a line that is not
+    there, every third the first line again by reference."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("place"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("paragraph_ref")).distinct()
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
+    ref = lambda n: F.concat(F.col("query_id").cast("string"), F.lit(f"-{n}"))
+    values = F.array_compact(F.array(F.lit("1"), ref(2), F.when(F.col("query_id") % 5 == 0, F.lit("99")), F.when(F.col("query_id") % 3 == 0, ref(1))))
+    return answers.used_refs(o.select("query_id", F.posexplode(values).alias("pos", "value")), lines)
+
+
+_USED = """WITH l AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS n FROM lineitem),
+v AS (SELECT o_orderkey AS q, unnest([1, 2]) AS n, false AS by_key FROM orders UNION ALL SELECT o_orderkey, 99, true FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 1, false FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+@query(_USED + " SELECT DISTINCT q AS query_id, n AS place, q || '-' || n AS paragraph_ref FROM v JOIN l USING (q, n)")
+def grounded_refs(spark, sf_dir):
+    return _used(spark, sf_dir)[0]
+
+
+@query(_USED + """, w AS (SELECT q, n, row_number() OVER (PARTITION BY q, n) AS k FROM v)
+SELECT w.q AS query_id, CASE WHEN w.n = 99 THEN '99' WHEN w.n = 1 AND w.k = 1 THEN '1' ELSE w.q || '-' || w.n END AS value, 'not in the context' AS rule FROM w LEFT JOIN l USING (q, n) WHERE l.n IS NULL
+UNION ALL SELECT q, q || '-' || n, 'used twice' FROM v JOIN l USING (q, n) GROUP BY ALL HAVING count(*) > 1""")
+def grounded_errors(spark, sf_dir):
+    return _used(spark, sf_dir)[1]
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS n FROM lineitem), o AS (SELECT o_orderkey AS q FROM orders),
+r AS (SELECT q, 'used' AS list, unnest([1, 2, 1]) AS n FROM o UNION ALL SELECT q, 'cited', unnest([1, 9]) FROM o UNION ALL SELECT q, 'images', unnest([2, 4]) FROM o WHERE q % 2 = 0)
+SELECT q AS run_id, NULL AS evidence_id, 'answer is empty' AS rule FROM o WHERE q % 7 = 0
+UNION ALL SELECT q, q || '-' || n, list || ' twice' FROM r GROUP BY q, n, list HAVING count(*) > 1
+UNION ALL SELECT DISTINCT q, q || '-' || r.n, CASE WHEN l.n IS NULL THEN list || ' unknown' ELSE 'images without a picture' END FROM r LEFT JOIN l USING (q, n) WHERE l.n IS NULL OR list = 'images' AND r.n % 4 > 0""")
+def synthesis_errors(spark, sf_dir):
+    key = F.col("run_id")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber").distinct()
+    evidence = lines.select("run_id", F.concat_ws("-", "run_id", "l_linenumber").alias("evidence_id"), F.when(F.col("l_linenumber") % 4 == 0, F.array(F.lit("images/x.png"))).alias("image_refs"))
+    ids = lambda *n: F.array(*[F.concat(key.cast("string"), F.lit(f"-{i}")) for i in n])
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id")).select("run_id", F.when(key % 7 == 0, "  ").otherwise("Yes.").alias("answer"), ids(1, 2, 1).alias("used"), ids(1, 9).alias("cited"), F.when(key % 2 == 0, ids(2, 4)).alias("images"))
+    return answers.synthesis_violations(results, evidence)
+
+
+@query(f"""WITH {_FACTS}, t AS (SELECT chunk_id, paragraph_id, concept, dense_rank() OVER (PARTITION BY chunk_id ORDER BY paragraph_id, concept) AS o FROM facts WHERE ordinal <> 2),
+m AS (SELECT chunk_id, concept, min(o) AS o FROM t GROUP BY ALL), g AS (SELECT chunk_id, string_agg(concept, ',' ORDER BY o) AS tags FROM m GROUP BY 1), p AS (SELECT chunk_id, string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id) AS tagged FROM t GROUP BY 1)
+SELECT o_orderkey AS chunk_id, coalesce(tags, '') AS tags, coalesce(tagged, '') AS tagged_paragraphs, 'm1' AS embedding_profile, 'v1' AS index_version FROM orders LEFT JOIN g ON g.chunk_id = o_orderkey LEFT JOIN p ON p.chunk_id = o_orderkey""")
+def index_inputs(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    tags = concepts.index_tags(f.select("chunk_id", "paragraph_id").distinct(), f.where("ordinal <> 2"))
+    x = records.index_inputs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id")), tags, "m1", "v1")
+    return x.select("chunk_id", F.array_join("tags", ",").alias("tags"), F.array_join("tagged_paragraphs", ",").alias("tagged_paragraphs"), "embedding_profile", "index_version")

@@ -501,7 +501,10 @@ def first_too_long(spark, sf_dir):
     return evidence.first_too_long(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], 200)
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) - 1 AS i FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '\S+')) AS n FROM conversations)),
+s AS (SELECT DISTINCT conv_id, -1::BIGINT AS i, 0::BIGINT AS used, '' AS fits FROM t UNION ALL
+SELECT t.conv_id, t.i, used + CASE WHEN used + n <= 150 THEN n ELSE 0 END, CASE WHEN used + n <= 150 THEN concat_ws(',', nullif(fits, ''), t.i) ELSE fits END FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1)
+SELECT conv_id, arg_max(fits, i) AS fits FROM s GROUP BY 1""")
 def greedy_budget(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).alias("n"))
     turns = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n"))), lambda x: F.struct(x["n"].alias("n"))).alias("items"))
@@ -979,7 +982,11 @@ def run_cancel(spark, sf_dir):
     return answers.cancelled(log, log).select("run_id", "sequence", "type")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT user_id, event_id, event_type AS tool, (props->>'$.k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0::BIGINT AS used, 0 AS views, 0 AS clicks, false AS ok FROM t UNION ALL
+SELECT user_id, event_id, i, used + CASE WHEN free THEN k ELSE 0 END, views + (free AND tool = 'view')::INT, clicks + (free AND tool = 'click')::INT, free
+FROM (SELECT t.*, s.used, s.views, s.clicks, s.used + t.k <= 300 AND (t.tool <> 'view' OR s.views < 3) AND (t.tool <> 'click' OR s.clicks < 2) AS free FROM s JOIN t ON t.user_id = s.user_id AND t.i = s.i + 1))
+SELECT user_id, event_id, ok AS admitted FROM s WHERE i > 0""")
 def budget_fold(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
     return answers.admitted_calls(calls, "user_id", "event_id", {"view": 3, "click": 2}, 300)

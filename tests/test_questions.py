@@ -2,7 +2,7 @@
 
 import pytest
 
-from docquarry.operators import questions
+from docquarry.operators import answers, questions, records
 
 PARAS = "paragraph_id string, chunk_id string, ordinal int, source string, header string, nested array<string>, pages array<string>, image_refs array<string>, text string"
 
@@ -76,3 +76,16 @@ def test_fused_keeps_the_first_lists_metadata(spark):
     b = spark.createDataFrame([(1, "y", "lex", 1, 0.5, (3,)), (1, "z", "lex", 2, 0.4, (4,)), (2, "z", "lex", 1, 0.4, (5,))], schema)
     got = [(r.query_id, r.chunk_ref, r.source_ref, r.metadata.n, r.semantic_score, r.keyword_score, r["rank"]) for r in questions.fused(a, b, 2).orderBy("query_id", "rank").collect()]
     assert got == [(1, "y", "sem", 2, None, 0.5, 1), (1, "x", "sem", 1, 0.9, None, 2), (2, "z", "lex", 5, None, 0.4, 1)]
+
+
+def test_synthesis_is_held_against_the_evidence(spark):
+    evidence = spark.createDataFrame([(1, "a", ["x.png"]), (1, "b", None), (2, "c", [])], "run_id int, evidence_id string, image_refs array<string>")
+    results = spark.createDataFrame([(1, "Yes", ["a", "b"], ["a", "a"], ["a"]), (2, " ", ["a", "a"], None, ["c", "d"]), (3, None, [], [], [])], "run_id int, answer string, used array<string>, cited array<string>, images array<string>")
+    got = sorted((r.run_id, r.evidence_id or "", r.rule) for r in answers.synthesis_violations(results, evidence).collect())
+    assert got == [(2, "", "answer is empty"), (2, "a", "used twice"), (2, "a", "used unknown"), (2, "c", "images without a picture"), (2, "d", "images unknown"), (3, "", "answer is empty")]
+
+
+def test_index_inputs_without_tags(spark):
+    tags = spark.createDataFrame([("c1", ["t"], ["p"])], "chunk_id string, tags array<string>, tagged_paragraphs array<string>")
+    got = records.index_inputs(spark.createDataFrame([("c1",), ("c2",)], "chunk_id string"), tags, "m", "v")
+    assert {r.chunk_id: (r.tags, r.tagged_paragraphs, r.embedding_profile) for r in got.collect()} == {"c1": (["t"], ["p"], "m"), "c2": ([], [], "m")}
