@@ -3,14 +3,26 @@
 A text can hold a term only if it holds all of the term's pieces, so the texts that a term is looked for in are those
 in the posting lists of its rarest pieces; the term is then confirmed on the text. Terms of fewer than three characters
 have no piece and are looked for in every text, in one pass for all of them.
+
+Texts lie in packs; a list names the texts of one pack that hold a piece. Pairs of a query and a text exist inside a
+pack's task alone: what leaves it is each query's k best texts of the pack.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import terms
+from docquarry.session import saved
+
+#: Texts of a pack at most.
+PACK = 4096
 
 
 def pieces(text: Column) -> Column:
@@ -24,53 +36,145 @@ def pieces(text: Column) -> Column:
     return F.transform(F.array(chars), of)[0]  # the characters are a variable of the lambda, so found once
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pack, piece, n, docs of texts (pack, at, low): where in the pack the texts are that hold the piece, as a bitmap or,
+    if that is shorter, as numbers. A pack that comes in parts has a row for each of them."""
+    for b in batches:
+        packs, at, low = b["pack"].to_numpy(zero_copy_only=False), b["at"].to_numpy(zero_copy_only=False), b["low"]
+        starts = [0, *(np.flatnonzero(np.diff(packs)) + 1), len(packs)] if len(packs) else [0]
+        for i, j in zip(starts, starts[1:], strict=False):
+            codes, docs = [], []
+            for place, text in zip(at[i:j], low[i:j], strict=True):
+                c = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32).astype(np.int64)
+                codes.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0])
+                docs.append(np.full(len(codes[-1]), place, np.uint16))
+            code, doc = np.concatenate(codes), np.concatenate(docs)
+            order = np.argsort(code, kind="stable")
+            code, doc = code[order], doc[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            ends = np.append(first, len(code))[1:]
+            pieces_ = ["".join(chr(x >> n & 0x1FFFFF) for n in (42, 21, 0)) for x in code[first].tolist()]
+            yield pa.RecordBatch.from_pydict({"pack": np.full(len(first), packs[i]), "piece": pieces_, "n": ends - first, "docs": [_packed(doc[x:y]) for x, y in zip(first, ends, strict=True)]}, schema=_LIST)
+
+
+_LIST = pa.schema([("pack", pa.int64()), ("piece", pa.string()), ("n", pa.int64()), ("docs", pa.binary())])
+
+
+def _packed(docs: np.ndarray) -> bytes:
+    if 2 * len(docs) < PACK // 8:
+        return docs.tobytes()
+    held = np.zeros(PACK, bool)
+    held[docs] = True
+    return np.packbits(held).tobytes()
+
+
+def _met(lists: pa.Table) -> dict[str, np.ndarray]:
+    """For each word of a pack's lists (word, piece, need, n, docs) the texts that are in those of all its pieces."""
+    parts: dict[tuple[str, str], np.ndarray] = {}
+    need: dict[str, int] = {}
+    for word, piece, most, docs in zip(*(lists[c].to_pylist() for c in ("word", "piece", "need", "docs")), strict=True):
+        held = parts.setdefault((word, piece), np.zeros(PACK, bool))
+        if len(docs) < PACK // 8:
+            held[np.frombuffer(docs, np.uint16)] = True
+        else:
+            held |= np.unpackbits(np.frombuffer(docs, np.uint8)).astype(bool)
+        need[word] = most
+    every: dict[str, list[np.ndarray]] = {}
+    for (word, _), held in parts.items():
+        every.setdefault(word, []).append(held)
+    return {w: np.flatnonzero(np.logical_and.reduce(x)) for w, x in every.items() if len(x) == need[w]}
+
+
 class TrigramIndex:
-    """Posting lists (piece, key) in folders by hash of the piece, sorted by it, and how long each list is.
+    """Posting lists (pack, piece) in folders by hash of the piece, sorted by it, and how many texts hold each piece.
 
     A null text is empty. Keys are unique and of one type; texts are kept in lower case beside the lists.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.texts, self.sizes = (spark.read.parquet(f"{path}/{n}") for n in ("texts", "sizes"))
-        kind = self.texts.schema["key"].dataType.simpleString()
-        self.lists = spark.read.schema(f"piece string, key {kind}, bucket int").parquet(f"{path}/lists")  # an empty index has no files
+        self.kind = self.texts.schema["key"].dataType.simpleString()
+        self.lists = spark.read.schema("pack long, piece string, n long, docs binary, bucket int").parquet(f"{path}/lists")  # an empty index has no files
         self.buckets = int(spark.read.parquet(f"{path}/shape").first()["buckets"])
 
     @classmethod
     def build(cls, records: DataFrame, text: Column, key: str, path: str, buckets: int = 16) -> TrigramIndex:
         spark = records.sparkSession
-        records.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low")).write.parquet(f"{path}/texts")
-        posted = spark.read.parquet(f"{path}/texts").select(F.explode(pieces(F.col("low"))).alias("piece"), "key")
-        placed = posted.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
-        # A frequent piece's list is split over several tasks by key.
-        placed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("bucket", "piece", "key").write.partitionBy("bucket").parquet(f"{path}/lists")
-        posted.groupBy("piece").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
+        row = F.monotonically_increasing_id()
+        placed = records.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low"), row.alias("row"))
+        placed.select(F.floor(F.col("row") / PACK).alias("pack"), (F.col("row") % PACK).cast("int").alias("at"), "key", "low").write.parquet(f"{path}/texts")
+        posted = spark.read.parquet(f"{path}/texts").select("pack", "at", "low").mapInArrow(_listed, "pack long, piece string, n long, docs binary")
+        # Each task writes its own packs' lists: nothing is shuffled.
+        posted.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "piece", "pack").write.partitionBy("bucket").parquet(f"{path}/lists")
+        lists = spark.read.schema("piece string, n long, bucket int").parquet(f"{path}/lists")
+        lists.groupBy("piece").agg(F.sum("n").alias("n")).write.parquet(f"{path}/sizes")
         spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/shape")
         return cls(spark, path)
 
-    def candidates(self, words: DataFrame, most_pieces: int = 3) -> DataFrame:
-        """word, key: the texts that hold the ``most_pieces`` rarest pieces of each word (of three characters at least)."""
+    def _postings(self, words: DataFrame, most_pieces: int) -> DataFrame:
+        """pack, word, piece, need (how many pieces), docs of the ``most_pieces`` rarest pieces of each word."""
         held = words.where(F.length("word") >= 3).select("word", F.explode(pieces(F.col("word"))).alias("piece")).join(self.sizes, "piece", "left")
         # A piece that no text holds has no list: its word is nowhere.
         held = held.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
         place = F.row_number().over(Window.partitionBy("word").orderBy("n", "piece"))
         rare = held.withColumn("place", place).where(F.col("place") <= most_pieces)
         need = rare.groupBy("word").agg(F.count("*").alias("need"))
-        rare = rare.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(self.buckets)).cast("int"))
-        met = rare.select("word", "piece", "bucket").join(self.lists, ["bucket", "piece"]).groupBy("word", "key").agg(F.count("*").alias("met"))
-        return met.join(need, "word").where("met = need").select("word", "key")
+        rare = rare.join(need, "word").withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(self.buckets)).cast("int"))
+        # Written first, so that its size is known and lists need not move where it is small.
+        return saved(rare.select("word", "piece", "bucket", "need"), "rare-pieces").join(self.lists, ["bucket", "piece"]).select("pack", "word", "piece", "need", "docs")
+
+    def candidates(self, words: DataFrame, most_pieces: int = 3) -> DataFrame:
+        """word, key: the texts that hold the ``most_pieces`` rarest pieces of each word (of three characters at least)."""
+
+        def found(lists: pa.Table, texts: pa.Table) -> pa.Table:
+            met = _met(lists)
+            keys = dict(zip(texts["at"].to_pylist(), texts["key"].to_pylist(), strict=True))
+            pairs = [(w, keys[i]) for w, at in met.items() for i in at.tolist()]
+            return pa.table({"word": pa.array([w for w, _ in pairs], pa.string()), "key": pa.array([k for _, k in pairs], texts["key"].type)})
+
+        return self._postings(words, most_pieces).groupBy("pack").cogroup(self.texts.select("pack", "at", "key").groupBy("pack")).applyInArrow(found, f"word string, key {self.kind}")
 
     def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query") -> DataFrame:
         """query_key, key, keyword_score (share of the query's terms held), rank: the k best texts of each query that
         hold any of its terms, ties by key."""
-        asked = queries.select(query_key, F.explode(terms(F.col(query))).alias("word"))
-        size = asked.groupBy(query_key).agg(F.count("*").alias("n_terms"))
-        words = asked.select("word").distinct()
-        by_text = self.candidates(words).groupBy("key").agg(F.collect_list("word").alias("words"))
-        found = by_text.join(self.texts, "key").select("key", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("word"))
-        short = words.where(F.length("word") < 3).agg(F.collect_list("word").alias("words"))  # one row
-        everywhere = self.texts.crossJoin(F.broadcast(short)).select("key", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("word"))
-        hits = found.unionByName(everywhere).join(asked, "word").groupBy(query_key, "key").agg(F.count("*").alias("held"))
-        scored = hits.join(size, query_key).select(query_key, "key", (F.col("held") / F.col("n_terms")).alias("keyword_score"))
+        asked = queries.select(F.col(query_key).alias("query_key"), terms(F.col(query)).alias("words")).where(F.size("words") > 0)
+        kind = asked.schema["query_key"].dataType.simpleString()
+        words = asked.select(F.explode("words").alias("word")).distinct()
+        lists = self._postings(words, 3).withColumns({"query_key": F.lit(None).cast(kind), "words": F.lit(None).cast("array<string>")})
+        packs = F.broadcast(self.texts.select("pack").distinct())  # a row for each pack
+        none = {c: F.lit(None).cast(t) for c, t in (("word", "string"), ("piece", "string"), ("need", "long"), ("docs", "binary"))}
+        both = lists.unionByName(asked.crossJoin(packs).withColumns(none))
+
+        def best(given: pa.Table, texts: pa.Table) -> pa.Table:
+            """The k best texts of this pack for each query."""
+            texts = texts.take(pc.sort_indices(texts["key"]))
+            at, low = texts["at"].to_numpy(), texts["low"].to_pylist()
+            place = np.zeros(PACK, np.int64)
+            place[at] = np.arange(len(at))
+            is_list = pc.is_valid(given["word"])
+            held = {w: np.array([i for i in np.sort(place[x]).tolist() if w in low[i]], np.int64) for w, x in _met(given.filter(is_list)).items()}
+            asks = given.filter(pc.invert(is_list))
+            tops: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+            which, rows, counts, sizes = [], [], [], []
+            for i, ws in enumerate(asks["words"].to_pylist()):
+                if (key := tuple(sorted(ws))) not in tops:
+                    count = np.zeros(len(low), np.int32)
+                    for w in key:
+                        if w not in held:
+                            held[w] = np.array([j for j, t in enumerate(low) if w in t] if len(w) < 3 else [], np.int64)
+                        count[held[w]] += 1
+                    some = np.flatnonzero(count)
+                    if len(some) > k:
+                        least = -np.partition(-count[some], k - 1)[k - 1] if k else len(key) + 1
+                        above = some[count[some] > least]
+                        some = np.concatenate([above, some[count[some] == least][: k - len(above)]])
+                    tops[key] = some[:k], count[some[:k]]
+                r, c = tops[key]
+                which.append(np.full(len(r), i)), rows.append(r), counts.append(c), sizes.append(np.full(len(r), len(ws)))
+            whole = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (which, rows, counts, sizes)]
+            return pa.table({query_key: asks["query_key"].take(whole[0]), "key": texts["key"].take(whole[1]), "held": whole[2].astype(np.int64), "n_terms": whole[3].astype(np.int64)})
+
+        few = both.groupBy("pack").cogroup(self.texts.groupBy("pack")).applyInArrow(best, f"{query_key} {kind}, key {self.kind}, held long, n_terms long")
+        scored = few.select(query_key, "key", (F.col("held") / F.col("n_terms")).alias("keyword_score"))
         rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("keyword_score"), "key"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)

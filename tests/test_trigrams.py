@@ -38,3 +38,15 @@ def test_an_empty_index_finds_nothing(spark):
     df = spark.createDataFrame([(1, "")], "id long, text string")
     index = TrigramIndex.build(df, F.col("text"), "id", new_path(spark, "trigrams-empty"))
     assert index.search(spark.createDataFrame([(1, "some words a")], "query_id int, query string"), 5).count() == 0
+
+
+def test_pairs_of_queries_and_texts_stay_in_their_pack(spark, tmp_path):
+    """Twice the texts and queries send twice the rows, not four times: what a pack sends is k rows for each query."""
+    data = [(i, f"the 𝒜bc same words for all {i % 7}") for i in range(600)]
+    df = spark.createDataFrame(data, "id long, text string").coalesce(1)
+    index = TrigramIndex.build(df, F.col("text"), "id", new_path(spark, "trigrams-packs"))
+    asked = spark.createDataFrame([(f"q{i}", "the 𝒜bc same 3") for i in range(200)], "query_id string, query string")
+    found = index.search(asked, 2)
+    assert {(r.query_id, r["rank"], r.key) for r in found.collect()} == {(f"q{i}", n + 1, 3 + 7 * n) for i in range(200) for n in range(2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and plan.count("Join") == 2  # pieces to lists, queries to packs; none of queries with texts
