@@ -43,14 +43,16 @@ def document_catalog(facts: DataFrame, scope: list[str], examples: int = 3, orde
     Usage counts distinct paragraphs, however many roles they have. The canonical label is the least by
     (folded, value). Examples are the first ``examples`` paragraphs in order.
     """
-    keyed = T.with_key(T.with_key(facts, "concept", "normalized_label", T.concept_key), "concept", "__folded", T.casefold).where(F.col("normalized_label").isNotNull())
-    names = keyed.groupBy(*scope, "normalized_label").agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"))
-    distinct = keyed.groupBy(*scope, "normalized_label", *order).agg(F.min("header").alias("header"), F.min("excerpt").alias("excerpt"))
-    rank = F.row_number().over(Window.partitionBy(*scope, "normalized_label").orderBy(*order))
-    usage = keyed.groupBy(*scope, "normalized_label").agg(F.countDistinct("paragraph_id").alias("usage_count"))
-    first = distinct.withColumn("r", rank).where(F.col("r") <= examples)  # limited before the shuffle
-    shown = first.groupBy(*scope, "normalized_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "header", "excerpt"))), lambda x: F.struct(x["header"].alias("header"), x["excerpt"].alias("excerpt"))).alias("examples"))
-    return names.join(usage, [*scope, "normalized_label"]).join(shown, [*scope, "normalized_label"])
+    by = [*scope, "normalized_label"]
+    rules = facts.select("concept").distinct().select(F.col("concept").alias("__value"), T.concept_key(F.col("concept")).alias("normalized_label"), T.casefold(F.col("concept")).alias("__folded"))
+    keyed = facts.join(rules.where(F.col("normalized_label").isNotNull()), F.col("concept") == F.col("__value")).drop("__value")
+    usage = keyed.groupBy(*by).agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"), F.countDistinct("paragraph_id").alias("usage_count"))
+    # The rank stands before the headers and excerpts are brought together, so that its limit holds before the shuffle.
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
+    first = keyed.select(*by, *order, "header", "excerpt").withColumn("r", place).where(F.col("r") <= examples)
+    first = first.groupBy(*by, "r").agg(F.min("header").alias("header"), F.min("excerpt").alias("excerpt"))
+    shown = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "header", "excerpt"))), lambda x: F.struct(x["header"].alias("header"), x["excerpt"].alias("excerpt"))).alias("examples"))
+    return usage.join(shown, by).select(*by, "canonical_label", "usage_count", "examples")
 
 
 def global_catalog(observations: DataFrame, examples: int = 3) -> DataFrame:
