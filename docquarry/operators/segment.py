@@ -43,16 +43,19 @@ def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", head
     inside = Window.partitionBy(*keys, "open_pos").orderBy("pos")
     x = x.withColumns({"open_level": F.first("level").over(inside), "heading": F.first(T.clean_heading(F.col("title"))).over(inside), "page_start": F.first("page").over(inside)})
     x = x.where((F.col("open_level") == heading_level) & (F.col("pos") > F.col("open_pos")))
-    ends = x.groupBy(*keys, "open_pos").agg(F.max_by("page", "pos").alias("page_end"))
-    body = x.where(F.col("page_no").isNull() & (T.strip(F.col("line")) != "---")).withColumn("blank", T.is_blank(F.col("line")))
+    # Dropped lines stay in the group, as the last of them tells the page that the chunk ends on.
+    shown = F.col("page_no").isNull() & (T.strip(F.col("line")) != "---")
+    x = x.withColumn("blank", F.when(shown, T.is_blank(F.col("line"))))
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumns({"after_blank": F.lag("blank", 1, False).over(inside), "seen": F.coalesce(F.max(~F.col("blank")).over(past), F.lit(False))})
-    kept = body.where(~F.col("blank")).withColumn("piece", F.concat(F.when(F.col("after_blank") & F.col("seen"), "\n").otherwise(""), T.rstrip(F.col("line"))))
-    chunks = kept.groupBy(*keys, "open_pos").agg(
-        T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), "\n")).alias("content"), F.first("heading").alias("heading"), F.first("page_start").alias("page_start")
-    )
+    x = x.withColumns({"after_blank": F.coalesce(F.last("blank", ignorenulls=True).over(past), F.lit(False)), "seen": F.coalesce(F.max(~F.col("blank")).over(past), F.lit(False))})
+    piece = F.concat(F.when(F.col("after_blank") & F.col("seen"), "\n").otherwise(""), T.rstrip(F.col("line")))
+    chunks = x.groupBy(*keys, "open_pos").agg(
+        T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("blank"), F.struct("pos", piece.alias("piece"))))), lambda p: p["piece"]), "\n")).alias("content"),
+        F.first("heading").alias("heading"), F.first("page_start").alias("page_start"), F.max_by("page", "pos").alias("page_end"), F.max(F.coalesce(~F.col("blank"), F.lit(False))).alias("text"),
+    )
+    chunks = chunks.where("text")
     index = F.row_number().over(Window.partitionBy(*keys).orderBy("open_pos")) - 1
-    return chunks.join(ends, [*keys, "open_pos"]).withColumn("index", index).select(*keys, "index", "heading", "content", "page_start", "page_end")
+    return chunks.withColumn("index", index).select(*keys, "index", "heading", "content", "page_start", "page_end")
 
 
 def with_chunk_ids(chunks: DataFrame, document_ref: Column, version: Column) -> DataFrame:
@@ -109,10 +112,11 @@ def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") ->
     return found.select(*keys, "ordinal", "text", "heading_path", "image_refs")
 
 
-def with_paragraph_ids(paras: DataFrame, chunk: str = "chunk_id", ordinal: str = "ordinal", text: str = "text") -> DataFrame:
-    """occurrence (of equal identity texts in a chunk), paragraph_id and both hashes."""
+def with_paragraph_ids(paras: DataFrame, chunk: str = "chunk_id", ordinal: str = "ordinal", text: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """occurrence (of equal identity texts in a chunk), paragraph_id and both hashes. ``keys``: what ``paragraphs`` dealt
+    its rows by, if the chunk tells all of it; they are then not dealt again."""
     keyed = paras.withColumn("identity", T.identity_text(F.col(text)))
-    same = Window.partitionBy(chunk, "identity").orderBy(ordinal)
+    same = Window.partitionBy(*(keys or [chunk]), "identity").orderBy(ordinal)
     keyed = keyed.withColumn("occurrence", F.row_number().over(same))
     return keyed.withColumns(
         {"paragraph_id": paragraph_ref(F.col(chunk), F.col(text), F.col("occurrence")), "exact_content_hash": sha256(F.col(text)), "normalized_identity_hash": sha256(F.col("identity"))}

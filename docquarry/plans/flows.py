@@ -14,35 +14,40 @@ from docquarry.sources.store import Store
 STATE = ("entity_type", "entity_key", "collection", "record_id", "input_hash", "model", "dimensions", "index_version", "sync_status", "document_ref", "source_version")
 
 
-def segmented(documents: DataFrame, heading_level: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Chunks and paragraphs of documents (document_ref, source_version, markdown)."""
-    keys = ["document_ref", "source_version"]
-    chunks = segment.with_chunk_ids(segment.header_chunks(documents, keys, "markdown", heading_level), F.col("document_ref"), F.col("source_version"))
-    chunks = chunks.withColumn("search_text", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"))
-    paras = segment.with_paragraph_ids(segment.paragraphs(chunks.select(*keys, "chunk_id", "search_text"), [*keys, "chunk_id"]))
-    return chunks, paras
+def chunked(documents: DataFrame, heading_level: int = 2) -> DataFrame:
+    """Chunks of documents (document_ref, source_version, markdown)."""
+    chunks = segment.with_chunk_ids(segment.header_chunks(documents, ["document_ref", "source_version"], "markdown", heading_level), F.col("document_ref"), F.col("source_version"))
+    return chunks.withColumn("search_text", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"))
+
+
+def paragraphs_of(chunks: DataFrame) -> DataFrame:
+    """Paragraphs of ``chunked`` (best written first, else it is done again), with their chunk's heading as ``header``."""
+    own = ["document_ref", "source_version", "chunk_id", "header"]
+    return segment.with_paragraph_ids(segment.paragraphs(chunks.withColumn("header", F.coalesce("heading", F.lit(""))).select(*own, "search_text"), own), keys=own)
 
 
 def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, model: str = "profile-1", index_version: str = "v1", run_id: str = "run", also: dict[str, DataFrame] | None = None) -> DataFrame:
     """Bring the store up to date with ``documents``: all rows of the documents named are replaced.
 
-    Chunks, paragraphs, relations, the concept catalog, vector states and the vector index are committed
+    Chunks, paragraphs, relations, the concept catalog, vector states and the vector index are committed (as layers)
     at once, with the tables of ``also``; only new and changed chunks are embedded. Without a tagger, chunks are
     indexed without tags. Returns the changes (entity_key, change).
     """
-    spark = documents.sparkSession
     known = set(store.tables())
 
     def current(name: str, like: DataFrame) -> DataFrame:
         return store.read(name) if name in known else like.limit(0)
 
-    chunks, paras = segmented(documents)
-    chunks, paras = saved(chunks, "chunks"), saved(paras, "paragraphs")
+    # What a table gains is written once, where the store keeps it; headers are in the files for the catalog alone.
+    chunks = store.staged("chunks", chunked(documents))
+    paras = store.staged("paragraphs", paragraphs_of(chunks), ["header"])
     scope = documents.select("document_ref").distinct()
-    labelled = ports.tag(paras, "text", tagger) if tagger else paras.withColumn("labels", F.expr("cast(array() as array<string>)"))
-    tags = saved(labelled.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept")).withColumn("role", F.lit("mention")), "relations")
-    facts = tags.join(chunks.select("chunk_id", F.col("heading").alias("header")), "chunk_id").withColumnRenamed("text", "excerpt")
-    observed = saved(concepts.document_catalog(facts, ["document_ref", "source_version"]), "observations")
+    asked = paras.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", "header")
+    labelled = ports.tag(asked, "text", tagger) if tagger else asked.withColumn("labels", F.expr("cast(array() as array<string>)"))
+    found = labelled.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept"), F.lit("mention").alias("role"), "header")
+    tags = store.staged("relations", found, ["header"])
+    facts = tags.withColumnRenamed("text", "excerpt")
+    observed = store.staged("observations", concepts.document_catalog(facts, ["document_ref", "source_version"]))
 
     desired = chunks.select(
         F.lit("chunk").alias("entity_type"), F.col("chunk_id").alias("entity_key"), F.lit("document_chunks").alias("collection"), F.col("chunk_id").alias("record_id"), F.sha2("search_text", 256).alias("input_hash"),
@@ -53,23 +58,18 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     changes = saved(state.reconcile(own, desired).select("entity_key", "change"), "changes")
     todo = changes.where(F.col("change").isin("new", "changed")).select(F.col("entity_key").alias("chunk_id"))
     vectors = ports.embed(chunks.join(todo, "chunk_id", "left_semi").select("document_ref", "chunk_id", "search_text"), "search_text", embedder).select("document_ref", "chunk_id", "embedding")
-    vectors = saved(vectors, "vectors")
-    index = current("index", vectors)
+    vectors = store.staged("index", vectors)
     gone = changes.where(F.col("change") != "unchanged").select(F.col("entity_key").alias("chunk_id"))
 
     observations = state.replaced(current("observations", observed), scope, observed, ["document_ref"])
+    own = ["document_ref"]
     store.commit(
-        {
-            "chunks": state.replaced(current("chunks", chunks), scope, chunks, ["document_ref"]),
-            "paragraphs": state.replaced(current("paragraphs", paras), scope, paras, ["document_ref"]),
-            "relations": state.replaced(current("relations", tags), scope, tags, ["document_ref"]),
-            "observations": observations,
-            "catalog": concepts.global_catalog(observations),
-            "states": state.replaced(states, scope, desired, ["document_ref"]),
-            "index": index.join(gone, "chunk_id", "left_anti").select(*vectors.columns).unionByName(vectors),
-            **(also or {}),
-        }
-    )
+        {"catalog": concepts.global_catalog(observations), **(also or {})},
+        layers={
+            "chunks": (chunks, scope, own), "paragraphs": (paras, scope, own), "relations": (tags, scope, own), "observations": (observed, scope, own), "states": (desired, scope, own),
+            "index": (vectors, gone, ["chunk_id"]),
+        },
+    )
     return changes
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions.ids import joined_hash
 from docquarry.operators import concepts, outbox
-from docquarry.plans.flows import segmented
+from docquarry.plans.flows import chunked, paragraphs_of
 from docquarry.session import saved
 from docquarry.sources.store import Store
 
@@ -47,12 +47,12 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
 
     Returns how many batches were committed and whether the run was completed; ``stop_after`` ends it early.
     """
-    chunks, paras = segmented(documents)
-    chunks, paras = saved(chunks, "chunks"), saved(paras, "paragraphs")
+    chunks = saved(chunked(documents), "chunks", codec="zstd")
+    paras = saved(paragraphs_of(chunks).drop("header"), "paragraphs", codec="zstd")
     named = documents.select("document_ref").distinct()
-    stored = saved(_current(store, "chunks", chunks.schema).join(named, DOCUMENT, "left_semi"), "stored-chunks")
+    stored = saved(_current(store, "chunks", chunks.schema).join(named, DOCUMENT, "left_semi"), "stored-chunks", codec="zstd")
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("chunk_id", "search_text", "page_start", "page_end", "source_version")]
-    todo = saved(chunks.alias("n").join(stored.alias("o"), same, "left_anti"), "changed-chunks")
+    todo = saved(chunks.alias("n").join(stored.alias("o"), same, "left_anti"), "changed-chunks", codec="zstd")
     done = 0
     for b in range(batches):
         part = todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == b)
@@ -98,7 +98,7 @@ def apply_pending(store: Store, run_id: str | None = None, limit: int | None = N
     events = _current(store, "outbox", _EVENT).where("status IN ('pending', 'failed')")
     if run_id is not None:
         events = events.where(F.col("run_id") == run_id)
-    events = saved(events if limit is None else events.orderBy("event_id").limit(limit), "open-events")
+    events = saved(events if limit is None else events.orderBy("event_id").limit(limit), "open-events", codec="zstd")
     if events.isEmpty():
         return 0, 0
     records = events.select("record_id").distinct()

@@ -72,10 +72,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return "/".join([_own_dir(spark), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"])
 
 
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

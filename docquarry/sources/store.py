@@ -28,6 +28,8 @@ from docquarry.operators.state import upserted
 BUCKETS = 64
 #: As many layers at most, however light the later ones are.
 LAYERS = 24
+#: Of the files of layers, which hold texts.
+CODEC = "zstd"
 #: The rows of the touched buckets, and the new ones, to what these buckets hold then.
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -39,6 +41,7 @@ def _bucket(key: list[str]) -> Column:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._staged: list[tuple[DataFrame, str, str, list[str]]] = []
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -117,22 +120,48 @@ class Store:
     def _bytes(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength()
 
+    def staged(self, name: str, rows: DataFrame, beside: list[str] | None = None) -> DataFrame:
+        """``rows`` written where a layer of ``name`` lies: a commit that gets the result as a layer's rows takes the
+        files as they are. Until then they are no part of the table. The columns ``beside`` are read by nobody later."""
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
+        out = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/{version}")
+        self._staged.append((out, name, version, [c for c in rows.columns if c not in (beside or [])]))
+        return out
+
+    def _written(self, name: str, rows: DataFrame, schema: StructType | None) -> tuple[str, StructType]:
+        """The folder with a layer's rows, and their schema."""
+        kinds = lambda x: {f.name: f.dataType for f in x}
+        for i, (df, table, version, columns) in enumerate(self._staged):
+            if df is rows and table == name:
+                own = StructType([df.schema[c] for c in columns])
+                if schema is None or kinds(own) == kinds(schema):
+                    del self._staged[i]
+                    return version, own
+        if schema is not None:
+            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
+        return version, rows.schema
+
     def _layered(self, name: str, entry: dict | None, rows: DataFrame, gone: DataFrame | None, key: list[str]) -> dict:
         """The table's entry with one more layer, or with one layer in all."""
-        layer: dict = {"rows": uuid.uuid4().hex, "gone": None}
-        if entry is not None:
-            schema = StructType.fromJson(entry["schema"])
-            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-        rows.write.parquet(f"{self.root}/{name}/{layer['rows']}")
+        if entry is not None and "layers" not in entry:
+            if "parts" in entry:
+                raise ValueError(f"{name}: a table in buckets takes no layers")
+            entry = {"schema": entry["schema"], "layers": [{"rows": entry["version"], "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{entry['version']}")}]}
+        schema = StructType.fromJson(entry["schema"]) if entry else None
+        version, shape = self._written(name, rows, schema)
+        layer: dict = {"rows": version, "gone": None}
         layer["bytes"] = self._bytes(f"{self.root}/{name}/{layer['rows']}")
         if entry is not None and gone is not None:
             layer["gone"] = uuid.uuid4().hex
-            gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}")
+            gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}", compression=CODEC)
             layer["bytes"] += self._bytes(f"{self.root}/{name}/{layer['gone']}")
-        out = {"key": key, "layers": [*(entry["layers"] if entry else []), layer], "schema": entry["schema"] if entry else json.loads(rows.schema.json())}
+        out = {"key": key, "layers": [*(entry["layers"] if entry else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json())}
         if len(out["layers"]) > LAYERS or sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]:
             whole = uuid.uuid4().hex
-            self._stacked(name, out).write.parquet(f"{self.root}/{name}/{whole}")
+            self._stacked(name, out).write.parquet(f"{self.root}/{name}/{whole}", compression=CODEC)
             out["layers"] = [{"rows": whole, "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{whole}")}]
         return out
 

@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from docquarry import ports
 from docquarry.operators import concepts
+from docquarry.plans import flows
+from docquarry.session import new_path
+from docquarry.sources.store import Store
 
 
 def test_examples_are_limited_before_headers_and_excerpts_move(spark):
@@ -15,3 +19,33 @@ def test_examples_are_limited_before_headers_and_excerpts_move(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # The headers are grouped above the window that limits, so only limited rows carry them on.
     assert plan.index("min(header") < plan.index("dense_rank(")
+
+
+def test_staged_rows_become_a_layer_as_they_lie(spark):
+    store = Store(spark, new_path(spark, "staged-store"))
+    rows = spark.createDataFrame([("a", 1, "h"), ("b", 2, "h")], "k string, v int, beside string")
+    first = store.staged("t", rows, ["beside"])
+    assert "t" not in store.tables() and first.columns == ["k", "v", "beside"]
+    store.commit({}, layers={"t": (first, None, ["k"])})
+    second = store.staged("t", spark.createDataFrame([("b", 3, "x")], "k string, v int, beside string"), ["beside"])
+    store.commit({}, layers={"t": (second, spark.createDataFrame([("b",)], "k string"), ["k"])})
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [("a", 1), ("b", 3)]
+    folders = {x["rows"] for x in store.manifest()["tables"]["t"]["layers"]}
+    assert len(folders) == 1 or any(f in folders for f in (first.inputFiles()[0].split("/")[-2], second.inputFiles()[0].split("/")[-2]))
+    store.commit({"old": rows})
+    store.commit({}, layers={"old": (rows.where("k = 'a'"), rows.select("k"), ["k"])})  # a whole table takes layers, too
+    assert [r.k for r in store.read("old").collect()] == ["a"]
+
+
+def test_ingest_writes_its_texts_once(spark):
+    store = Store(spark, new_path(spark, "once-store"))
+    docs = spark.createDataFrame([("d1", "s1", "## A\n\nmusic one\n\n---\n## B\n\nmusic two\n\ntwo"), ("d2", "s1", "## C\n\nnone")], "document_ref string, source_version string, markdown string")
+    flows.ingest(store, docs, ports.FakeEmbedder(), ports.FakeTagger(["music"]))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(store.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in ("chunks", "paragraphs", "relations", "observations", "index"):
+        assert len(fs.listStatus(jvm.Path(f"{store.root}/{name}"))) == 1, name
+    assert store.read("paragraphs").count() == 4 and "header" not in store.read("relations").columns
+    assert [(e.header, e.excerpt) for e in store.read("catalog").first().examples] == [("A", "music one"), ("B", "music two")]
+    flows.ingest(store, docs.where("document_ref = 'd1'").withColumn("markdown", F.lit("## A\n\nmusic three")), ports.FakeEmbedder(), ports.FakeTagger(["music"]))
+    assert sorted(r.text for r in store.read("paragraphs").collect()) == ["music three", "none"] and store.read("index").count() == 2 and store.read("states").count() == 2
