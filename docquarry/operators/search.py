@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import terms
 from docquarry.functions.vectors import distances_to
 
-#: Rows that a task compares with all queries of its block at once: three arrays of 4 MB at most.
+#: Rows that a task compares with all queries of its block at once: three arrays of 16 MB at most.
 SLICE = 256
 
 
@@ -62,16 +62,20 @@ def _unit(column: pa.Array) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", exclude_self: bool = False, query_rows: int = 2048, index_rows: int = 16384) -> DataFrame:
+def batch_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", exclude_self: bool = False, query_rows: int = 8192, index_rows: int = 16384) -> DataFrame:
     """query_id, key, distance, rank: the k nearest rows of each query by cosine distance, ties by key.
 
     Queries and index form a grid of blocks of about ``query_rows`` and ``index_rows`` rows. A task multiplies one block
-    of each and keeps k rows for each query; these meet by query. No row passes through the driver.
+    of each and keeps k rows for each query; these meet by query. No row passes through the driver. The index is sent
+    once for each block of queries, so few queries are cut finer, but into eight blocks at most.
     """
-    n_q, n_x = (max(1, -(-df.count() // n)) for df, n in ((queries, query_rows), (index, index_rows)))
+    n_q, n_x = queries.count(), max(1, -(-index.count() // index_rows))
+    n_q = max(1, -(-n_q // query_rows), min(8, -(-n_q // 2048)))
 
     def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        salted = df.select(F.col(df.columns[0]).cast("long").alias("__id"), F.col(df.columns[1]).cast("array<double>").alias("__v")).where("__id IS NOT NULL AND __v IS NOT NULL")
+        floats = df.schema[df.columns[1]].dataType.simpleString() == "array<float>"  # sent as they are
+        v = F.col(df.columns[1]) if floats else F.col(df.columns[1]).cast("array<double>")
+        salted = df.select(F.col(df.columns[0]).cast("long").alias("__id"), v.alias("__v")).where("__id IS NOT NULL AND __v IS NOT NULL")
         salted = salted.withColumn(own, F.pmod(F.xxhash64("__id", "__v"), F.lit(n_own)).cast("int"))
         return salted.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docquarry import ports
-from docquarry.operators import concepts
+from docquarry.operators import concepts, search
 from docquarry.plans import flows
 from docquarry.session import new_path
 from docquarry.sources.store import Store
@@ -49,3 +49,11 @@ def test_ingest_writes_its_texts_once(spark):
     assert [(e.header, e.excerpt) for e in store.read("catalog").first().examples] == [("A", "music one"), ("B", "music two")]
     flows.ingest(store, docs.where("document_ref = 'd1'").withColumn("markdown", F.lit("## A\n\nmusic three")), ports.FakeEmbedder(), ports.FakeTagger(["music"]))
     assert sorted(r.text for r in store.read("paragraphs").collect()) == ["music three", "none"] and store.read("index").count() == 2 and store.read("states").count() == 2
+
+
+def test_topk_sends_vectors_as_they_are_to_few_blocks_of_queries(spark):
+    index = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1).cast("float"), (F.col("id") % 7).cast("float")).alias("embedding"))
+    out = search.batch_topk(index, index.select(F.col("vec_id").alias("query_id"), "embedding"), 2, exclude_self=True)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "array<double>" not in plan and "sequence(0, 7" in plan  # eight blocks of 20,000 queries, not ten
+    assert {r.vec_id for r in out.where("query_id = 0").collect()} == {7, 14}
