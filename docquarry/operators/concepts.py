@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.session import saved
 
 
 def relations(tagged: DataFrame, chunk: str = "chunk_id") -> DataFrame:
@@ -121,6 +122,17 @@ def traversal_rows(selected: DataFrame, facts: DataFrame) -> DataFrame:
     return f.join(s, ["key", "role", "chunk_id"]).select("selection", "paragraph_id").distinct()
 
 
+def joined_refs(met: DataFrame, sep: str = ",", most: int = 500_000) -> DataFrame:
+    """selection, paragraph_refs: the paragraphs of ``traversal_rows`` sorted and joined. Ranges of about ``most`` rows are
+    joined by themselves, so that only a selection's pieces of text meet in one task."""
+    met = saved(met, "traversal-rows")
+    n = max(1, -(-met.count() // most))
+    ranged = met.repartitionByRange(n, "selection", "paragraph_id").withColumn("part", F.spark_partition_id())
+    pieces = ranged.groupBy("selection", "part").agg(F.array_join(F.array_sort(F.collect_list("paragraph_id")), sep).alias("refs"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "refs"))), lambda x: x["refs"])
+    return pieces.groupBy("selection").agg(F.array_join(whole, sep).alias("paragraph_refs"))
+
+
 def traversal(selected: DataFrame, facts: DataFrame) -> DataFrame:
     """For each selected (selection, concept, role, parents: array of chunks): its paragraphs, sorted."""
     met = traversal_rows(selected.select("selection", "concept", "role", F.explode("parents").alias("chunk_id")), facts)

@@ -299,8 +299,7 @@ SELECT s.selection || '/' || s.role AS selection, string_agg(DISTINCT paragraph_
 def paragraph_traversal(spark, sf_dir):
     f = facts(spark, sf_dir)
     parents = f.select(F.concat_ws("/", F.lower("concept"), "role").alias("selection"), F.lower("concept").alias("concept"), "role", "chunk_id").distinct()
-    met = concepts.traversal_rows(parents, f).groupBy("selection").agg(F.array_sort(F.collect_list("paragraph_id")).alias("paragraph_refs"))
-    return met.select("selection", F.array_join("paragraph_refs", ",").alias("paragraph_refs"))
+    return concepts.joined_refs(concepts.traversal_rows(parents, f))
 
 
 @query(f"WITH {_FACTS} SELECT DISTINCT concept, lower(concept) AS folded FROM facts")

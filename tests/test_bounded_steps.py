@@ -57,3 +57,10 @@ def test_topk_sends_vectors_as_they_are_to_few_blocks_of_queries(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "array<double>" not in plan and "sequence(0, 7" in plan  # eight blocks of 20,000 queries, not ten
     assert {r.vec_id for r in out.where("query_id = 0").collect()} == {7, 14}
+
+
+def test_refs_are_joined_in_order_over_ranges(spark):
+    met = spark.createDataFrame([(s, f"{i}-{j}") for s in ("a/x", "b/y") for i in range(300) for j in range(3)] + [("c", "only")], "selection string, paragraph_id string").repartition(5)
+    got = {r.selection: r.paragraph_refs for r in concepts.joined_refs(met, most=100).collect()}
+    want = ",".join(sorted(f"{i}-{j}" for i in range(300) for j in range(3)))
+    assert got == {"a/x": want, "b/y": want, "c": "only"}
