@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -103,11 +104,17 @@ def concept_key(c: Column) -> Column:
     return F.when(F.length(key) > 0, key)
 
 
-def with_key(df: DataFrame, column: str, key: str, rule) -> DataFrame:
-    """df with ``key`` = rule(column), computed once for each distinct value and joined back: labels repeat,
-    and their rules run in Python."""
-    known = df.select(F.col(column).alias("__value")).distinct().select("__value", rule(F.col("__value")).alias(key))
-    return df.join(known, F.col(column) == F.col("__value"), "left").drop("__value")
+@F.arrow_udf(StringType())
+def _label_key(labels: pa.Array) -> pa.Array:
+    d = labels.dictionary_encode()
+    keys = [x and " ".join(unicodedata.normalize("NFC", x).split()).casefold() for x in d.dictionary.to_pylist()]
+    return pa.array([k or None for k in keys], pa.string()).take(d.indices)
+
+
+def with_key(df: DataFrame, column: str, key: str) -> DataFrame:
+    """df with ``key``, the concept key of ``column``: found once for each distinct label of a batch, where the row lies.
+    Rows are not dealt by label, as few labels stand in very many rows."""
+    return df.withColumn(key, _label_key(F.col(column)))
 
 
 def identity_text(c: Column) -> Column:

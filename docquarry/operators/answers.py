@@ -42,8 +42,8 @@ def document_searches(hits: DataFrame, paras: DataFrame, queries: DataFrame, sco
 
 def role_violations(selected: DataFrame, facts: DataFrame) -> DataFrame:
     """selection, rule: concepts or roles that the inventory lacks, and ranks given twice."""
-    keyed = T.with_key(selected, "concept", "key", T.concept_key)
-    known = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role").distinct()
+    keyed = T.with_key(selected, "concept", "key")
+    known = T.with_key(facts, "concept", "key").select("key", "role").distinct()
     no_concept = keyed.join(known.select("key").distinct(), "key", "left_anti").select("selection", F.lit("unknown concept").alias("rule"))
     no_role = keyed.join(known.select("key").distinct(), "key", "left_semi").join(known, ["key", "role"], "left_anti").select("selection", F.lit("unknown role").alias("rule"))
     twice = keyed.groupBy("rank").agg(F.collect_list("selection").alias("s")).where(F.size("s") > 1).select(F.explode("s").alias("selection"), F.lit("rank given twice").alias("rule"))

@@ -100,7 +100,7 @@ def inventory(facts: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 def deduplicated_candidates(candidates: DataFrame, scope: list[str]) -> DataFrame:
     """Of candidates (scope, label, rank, score) with equal keys the best by (rank, -score)."""
-    keyed = T.with_key(candidates, "label", "key", T.concept_key).where(F.col("key").isNotNull())
+    keyed = T.with_key(candidates, "label", "key").where(F.col("key").isNotNull())
     best = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "label"))
     return keyed.groupBy(*scope, "key").agg(best.alias("b")).select(*scope, "key", "b.rank", (-F.col("b.minus")).alias("score"), "b.label")
 
@@ -117,8 +117,8 @@ def ranked_candidates(candidates: DataFrame, query: Column, limit: int, scope: l
 
 def traversal_rows(selected: DataFrame, facts: DataFrame) -> DataFrame:
     """For each selected (selection, concept, role, chunk_id: a row for each parent chunk): its paragraphs, once each."""
-    s = T.with_key(selected, "concept", "key", T.concept_key).select("selection", "key", "role", "chunk_id").distinct()
-    f = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role", "paragraph_id", "chunk_id")
+    s = T.with_key(selected, "concept", "key").select("selection", "key", "role", "chunk_id").distinct()
+    f = T.with_key(facts, "concept", "key").select("key", "role", "paragraph_id", "chunk_id")
     return f.join(s, ["key", "role", "chunk_id"]).select("selection", "paragraph_id").distinct()
 
 
@@ -142,7 +142,7 @@ def traversal(selected: DataFrame, facts: DataFrame) -> DataFrame:
 def traversal_violations(selected: DataFrame, facts: DataFrame, paras: DataFrame) -> DataFrame:
     """key, rule: what makes a traversal an error. selected: selection, concept, role, chunk_id (a row for each parent
     chunk); facts: paragraph_id, chunk_id, concept, role; paras: paragraph_id."""
-    f = T.with_key(facts, "concept", "key", T.concept_key)
+    f = T.with_key(facts, "concept", "key")
     relation = F.concat_ws("/", "paragraph_id", "key", "role")
     twice = f.groupBy("paragraph_id", "key", "role").count().where("count > 1").select(relation.alias("key"), F.lit("relation given twice").alias("rule"))
     lost = facts.select("paragraph_id").distinct().join(paras, "paragraph_id", "left_anti").select(F.col("paragraph_id").alias("key"), F.lit("relation of a missing paragraph").alias("rule"))

@@ -236,8 +236,8 @@ def token_slices(tokenizer_file: str, target: int):
 def concept_roles(selected: DataFrame, facts: DataFrame, hits: DataFrame, scope: str = "query_id") -> DataFrame:
     """scope, paragraph_id, chunk_id: the paragraphs of the selected (scope, concept, role), among relations of the
     scope's hit chunks (hits: scope, chunk_id, rank); facts: paragraph_id, chunk_id, concept, role."""
-    s = T.with_key(selected, "concept", "key", T.concept_key).select(scope, "key", "role").distinct()
-    f = T.with_key(facts, "concept", "key", T.concept_key).select("key", "role", "chunk_id", "paragraph_id").distinct()
+    s = T.with_key(selected, "concept", "key").select(scope, "key", "role").distinct()
+    f = T.with_key(facts, "concept", "key").select("key", "role", "chunk_id", "paragraph_id").distinct()
     return hits.select(scope, "chunk_id").distinct().join(f, "chunk_id").join(s, [scope, "key", "role"]).select(scope, "paragraph_id", "chunk_id").distinct()
 
 

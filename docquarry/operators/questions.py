@@ -69,7 +69,7 @@ def bundles(questions: DataFrame, hits: DataFrame, relations: DataFrame, paras:
     hits = hits.join(questions.select(Q), Q, "left_semi").groupBy(Q, "chunk_id").agg(F.min("rank").alias("rank"))
     narrow = paras.select("paragraph_id", "chunk_id", "ordinal", (F.coalesce(F.size("image_refs"), F.lit(0)) > 0).alias("pictured"), F.coalesce(T.word_count(F.col("text")), F.lit(0)).alias("words"))
     candidates = saved(narrow.join(hits, "chunk_id"), "question-candidates")
-    keyed = T.with_key(relations.withColumn("concept", F.trim("concept")), "concept", "key", T.concept_key)
+    keyed = T.with_key(relations.withColumn("concept", F.trim("concept")), "concept", "key")
     facts = saved(candidates.select(Q, "paragraph_id", "chunk_id", "rank").join(keyed.select("paragraph_id", "concept", "key", "role"), "paragraph_id"), "question-facts")
 
     asked = selections.join(questions.select(Q), Q, "left_semi").join(facts.select(Q).distinct(), Q, "left_semi")
@@ -77,7 +77,7 @@ def bundles(questions: DataFrame, hits: DataFrame, relations: DataFrame, paras:
     wrong = saved(selection_violations(asked, facts.select(Q, "concept", "role").distinct()).unionByName(repeated.join(asked.select(Q).distinct(), Q, "left_semi")).distinct(), "question-rules")
 
     sound = asked.join(wrong.select(Q).distinct(), Q, "left_anti").withColumn("concept", F.trim("concept"))
-    pairs = T.with_key(sound, "concept", "key", T.concept_key).select(Q, "pos", "concept", "key", F.posexplode("roles").alias("at", "role"))
+    pairs = T.with_key(sound, "concept", "key").select(Q, "pos", "concept", "key", F.posexplode("roles").alias("at", "role"))
     parents = facts.select(Q, "concept", "chunk_id", "rank").distinct()
     inside = pairs.join(parents.drop("rank"), [Q, "concept"])
     met = saved(facts.select(Q, "key", "role", "chunk_id", "paragraph_id").join(inside, [Q, "key", "role", "chunk_id"]).select(Q, "pos", "at", "concept", "role", "paragraph_id").distinct(), "question-pairs")

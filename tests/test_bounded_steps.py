@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docquarry import ports
+from docquarry.functions import text as T
 from docquarry.operators import concepts, search
 from docquarry.plans import flows
 from docquarry.session import new_path
@@ -64,3 +65,12 @@ def test_refs_are_joined_in_order_over_ranges(spark):
     got = {r.selection: r.paragraph_refs for r in concepts.joined_refs(met, most=100).collect()}
     want = ",".join(sorted(f"{i}-{j}" for i in range(300) for j in range(3)))
     assert got == {"a/x": want, "b/y": want, "c": "only"}
+
+
+def test_label_keys_are_found_where_the_rows_lie(spark):
+    labels = ["Jazz", " jazz  Ｘ ", "STRASSE\x1c b", "Straße", "été", "  ", "", None]
+    rows = spark.createDataFrame([(i, labels[i % 8]) for i in range(80)], "n int, label string")
+    keyed = T.with_key(rows, "label", "key")
+    assert "Join" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.n: r.key for r in rows.select("n", T.concept_key(F.col("label")).alias("key")).collect()}
+    assert {r.n: r.key for r in keyed.collect()} == want and len(set(want.values())) == 6
