@@ -147,22 +147,23 @@ def packed(blocks: Column, sizes: Column, target: int, joint: str = "\n\n") -> C
 
 
 def word_slices(block: Column, size: int) -> Column:
-    """A block's words in slices of ``size``."""
-    words = F.split(T.collapse(block), " ")
-    return F.transform(F.sequence(F.lit(1), F.size(words), F.lit(size)), lambda i: F.array_join(F.slice(words, i, size), " "))
+    """A block's words in slices of ``size``; an array of one binds the words, so that they are split once."""
+    sliced = lambda words: F.transform(F.sequence(F.lit(1), F.size(words), F.lit(size)), lambda i: F.array_join(F.slice(words, i, size), " "))
+    return F.get(F.transform(F.array(F.split(T.collapse(block), " ")), sliced), F.lit(0))
 
 
 def split_oversized(rows: DataFrame, content: str = "content", limit: int = 8000, target: int = 7600) -> DataFrame:
     """Rows over ``limit`` words as parts of at most ``target``: part, parts and the part's content.
 
-    Blocks between blank lines are packed greedily; a block over the target is cut by words first.
+    Blocks between blank lines are packed greedily; a block over the target is cut by words first. A row has one part at
+    least, so the outer form gives the same rows, without a filter that would pack all of them once more.
     """
     body = F.col(content)
     blocks = F.filter(F.split(body, r"\n\s*\n"), lambda b: ~T.is_blank(b))
     small = F.flatten(F.transform(blocks, lambda b: F.when(T.word_count(b) > target, word_slices(b, target)).otherwise(F.array(T.strip(b)))))
     x = rows.withColumn("__small", F.when(T.word_count(body) > limit, small))
     x = x.withColumn("__parts", F.when(F.col("__small").isNull(), F.array(body)).otherwise(packed(F.col("__small"), F.transform("__small", T.word_count), target)))
-    x = x.withColumn("parts", F.size("__parts")).select("*", F.posexplode("__parts").alias("__i", "__c"))
+    x = x.withColumn("parts", F.size("__parts")).select("*", F.posexplode_outer("__parts").alias("__i", "__c"))
     return x.withColumns({"part": F.col("__i") + 1, content: F.col("__c")}).drop("__small", "__parts", "__i", "__c")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docquarry import ports
 from docquarry.functions import text as T
-from docquarry.operators import concepts, search
+from docquarry.operators import concepts, records, search, segment
 from docquarry.plans import flows
 from docquarry.session import new_path
 from docquarry.sources.store import Store
@@ -74,3 +74,18 @@ def test_label_keys_are_found_where_the_rows_lie(spark):
     assert "Join" not in keyed._jdf.queryExecution().optimizedPlan().toString()
     want = {r.n: r.key for r in rows.select("n", T.concept_key(F.col("label")).alias("key")).collect()}
     assert {r.n: r.key for r in keyed.collect()} == want and len(set(want.values())) == 6
+
+
+def test_oversized_rows_are_packed_once(spark):
+    rows = spark.createDataFrame([("a", "one two three four five\n\nsix"), ("b", "one two"), ("c", ""), ("d", None)], "k string, content string")
+    out = segment.split_oversized(rows, limit=3, target=2)
+    got = [(r.k, r.part, r.parts, r.content) for r in out.orderBy("k", "part").collect()]
+    assert got == [("a", 1, 3, "one two"), ("a", 2, 3, "three four"), ("a", 3, 3, "five\n\nsix"), ("b", 1, 1, "one two"), ("c", 1, 1, ""), ("d", 1, 1, None)]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_label_cache_is_not_sent_to_all_tasks(spark):
+    paras = spark.createDataFrame([("p1", "x", 1), ("p2", "x", 2), ("p3", "y", 1)], "paragraph_id string, content_sha string, ordinal int")
+    out = records.remapped(spark.createDataFrame([("x", 1, "l")], "content_sha string, ordinal int, label string"), paras)
+    assert {r.paragraph_id: r.label for r in out.collect()} == {"p1": "l", "p2": None, "p3": None}
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
