@@ -185,8 +185,9 @@ def relation_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def remapped(cached: DataFrame, paras: DataFrame) -> DataFrame:
-    """Cached labels by position given to a new document's paragraphs: content_sha, pos join by place."""
-    return paras.join(cached, ["content_sha", "ordinal"], "left")
+    """Cached labels by position given to a new document's paragraphs: content_sha, pos join by place. The cache grows with
+    the texts, so it is not sent to all tasks."""
+    return paras.join(cached.hint("merge"), ["content_sha", "ordinal"], "left")
 
 
 def started(requests: DataFrame, runs: DataFrame) -> DataFrame:
