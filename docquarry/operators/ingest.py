@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,20 +214,25 @@ def token_slices(tokenizer_file: str, target: int):
     header. The tokenizer's file is the caller's."""
 
     @F.pandas_udf(ArrayType(StringType()))
-    def cut(header: pd.Series, block: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer_file)
-        ids = lambda t: model.encode(t, add_special_tokens=False).ids
+        model = Tokenizer.from_file(tokenizer_file)  # once a task
+        ids = lambda t: model.encode_batch_fast([t], add_special_tokens=False)[0].ids
+        budgets: dict[str, int] = {}
 
         def one(h: str, b: str) -> list[str]:
-            budget = target - len(ids(f"## {h}\n\n"))
-            if budget < 1:
+            if h not in budgets:
+                if len(budgets) >= 10_000:
+                    budgets.clear()
+                budgets[h] = target - len(ids(f"## {h}\n\n"))
+            if (budget := budgets[h]) < 1:
                 raise ValueError("chunk header leaves no token budget")
             own = ids(b)
             return [model.decode(own[i : i + budget], skip_special_tokens=False).strip() for i in range(0, len(own), budget)]
 
-        return pd.Series([one(h, b) for h, b in zip(header, block, strict=True)])
+        for header, block in batches:
+            yield pd.Series([one(h, b) for h, b in zip(header, block, strict=True)])
 
     return cut
 
