@@ -122,6 +122,16 @@ def identity_text(c: Column) -> Column:
     return F.coalesce(_identity_text(F.when(~c.rlike(_ASCII), c)), _plain_key(c))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _identity_texts(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [" ".join(unicodedata.normalize("NFKC", x).split()).casefold() for x in xs], na_action="ignore")
+
+
+def identity_texts(c: Column) -> Column:
+    """``identity_text`` of each text of an array."""
+    return F.coalesce(_identity_texts(F.when(F.exists(c, lambda x: ~x.rlike(_ASCII)), c)), F.transform(c, _plain_key))
+
+
 def choice_key(c: Column) -> Column:
     """Key of an answer choice: white space collapsed, case folded, no normal form."""
     return casefold(collapse(c))

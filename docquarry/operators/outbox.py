@@ -6,6 +6,7 @@ marked and stops no other; of one record's events the last by event_id decides w
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,15 @@ def marks(batch: DataFrame) -> DataFrame:
     return chunk.unionByName(concept)
 
 
+def _transitioned(outbox: DataFrame, batch: DataFrame, taken: DataFrame) -> DataFrame:
+    """``state.transitioned`` of an outbox whose open events are all in the batch: each row tells its own outcome."""
+    x = batch.join(taken, "event_id", "left").withColumn("__error", F.coalesce("error", "taken"))
+    failed = F.col("__error").isNotNull()
+    own = {"status": F.when(failed, "failed").otherwise("done"), "attempts": F.col("attempts") + F.when(failed, 1).otherwise(0), "last_error": F.col("__error")}
+    closed = outbox.where(~F.coalesce(F.col("status").isin("pending", "failed"), F.lit(False)))
+    return closed.unionByName(x.withColumns(own).select(*outbox.columns))
+
+
 @dataclass
 class Synced:
     outbox: DataFrame
@@ -85,19 +95,28 @@ class Synced:
     counts: DataFrame  # succeeded, failed
 
 
-def sync(outbox: DataFrame, chunks: DataFrame, concepts: DataFrame, states: DataFrame, limit: int | None = 100, run_id: str | None = None) -> Synced:
+def sync(outbox: DataFrame, chunks: DataFrame, concepts: DataFrame, states: DataFrame, limit: int | None = 100, run_id: str | None = None, kept: Callable[[DataFrame], DataFrame] | None = None) -> Synced:
     """All tables after the next events (all open ones without a limit).
 
     chunks: record_id and any of document_ref, search_text, embedding; concepts: record_id and any of canonical_label,
     normalized_label, search_text, embedding, usage_count, index_version. An upsert whose state's identity is known
     with another record or document fails, as its state cannot be marked, but its index keeps the record. A delete
     takes away the record's states of its document (a concept's has none) and index version, where it names one.
+
+    With ``kept`` (which writes rows and reads them back) and without a limit, records are read where they lie: what
+    is joined to them is the exceptions alone (events that are refused or followed by another of their record), which
+    are few as a rule and are then broadcast by their size. Event ids are unique.
     """
     missing = {n: F.lit(None).cast("string") for n in ("source_version", "index_version") if n not in outbox.columns}
-    batch = decoded(state.next_batch(outbox, limit, run_id).withColumns(missing))
+    opened = state.next_batch(outbox, limit, run_id).withColumns(missing)
+    batch, narrow = decoded(opened), kept is not None and limit is None
+    if narrow:  # decoded once, and once more where the outbox is written
+        batch = kept(batch.drop("payload"))
     known = states.select(*IDENTITY, F.struct("record_id", "document_ref").alias("known"))
     marked = marks(batch)
     taken = marked.join(known, IDENTITY).where(~F.col("known").eqNullSafe(F.struct("record_id", "document_ref"))).select("event_id", F.lit(TAKEN).alias("taken"))
+    if narrow:
+        taken = kept(taken)
     outcomes = batch.join(taken, "event_id", "left").select("event_id", F.coalesce("error", "taken").alias("error"))
     outcomes = outcomes.select("event_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("outcome"), "error")
     counts = outcomes.agg(F.count_if(F.col("outcome") == "done").alias("succeeded"), F.count_if(F.col("outcome") == "failed").alias("failed"))
@@ -105,6 +124,12 @@ def sync(outbox: DataFrame, chunks: DataFrame, concepts: DataFrame, states: Data
     def index(table: DataFrame, collection: str, record: Column) -> DataFrame:
         good = batch.where(F.col("error").isNull() & (F.col("collection") == collection))
         fields = [record[n].alias(n) for n in table.columns if n != "record_id"]
+        if narrow:
+            several = good.groupBy("record_id").agg(F.max("event_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+            followed = kept(good.select("record_id", "event_id").join(several, "record_id").where("event_id < last").select("event_id"))
+            good = good.join(followed, "event_id", "left_anti")
+            rows = good.where("operation = 'upsert'").select("record_id", *fields).select(*table.columns)
+            return table.join(good.select("record_id"), "record_id", "left_anti").unionByName(rows)
         return state.drained(table, good.select("event_id", "operation", "record_id", *fields), ["record_id"], ["event_id"])
 
     # The last mark of an identity stands, unless a later delete takes it away.
@@ -115,6 +140,9 @@ def sync(outbox: DataFrame, chunks: DataFrame, concepts: DataFrame, states: Data
         F.col("collection").alias("__c"), F.col("record_id").alias("__r"), F.when(F.col("collection") == CHUNKS, F.col("document_ref")).alias("__d"), F.col("index_version").alias("__v"), F.col("event_id").alias("__e")
     )
     gone = gone.groupBy("__c", "__r", "__d", "__v").agg(F.max("__e").alias("__e"))
+    if narrow:
+        gone = kept(gone)
     hit = (F.col("collection") == F.col("__c")) & (F.col("record_id") == F.col("__r")) & (F.col("__e") > F.col("event_id")) & (F.col("__d").isNull() | F.col("__d").eqNullSafe(F.col("document_ref"))) & (F.col("__v").isNull() | (F.col("__v") == F.col("index_version")))
     after = last.join(gone, hit, "left_anti").select(*STATE)
-    return Synced(state.transitioned(outbox, outcomes), index(chunks, CHUNKS, F.col("record")), index(concepts, CONCEPTS, F.col("concept")), after, counts)
+    after_events = _transitioned(outbox, decoded(opened), taken) if narrow and run_id is None and not missing else state.transitioned(outbox, outcomes)
+    return Synced(after_events, index(chunks, CHUNKS, F.col("record")), index(concepts, CONCEPTS, F.col("concept")), after, counts)

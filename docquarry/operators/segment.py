@@ -1,7 +1,8 @@
-"""Markdown to chunks and paragraphs, as windows over lines.
+"""Markdown to chunks and paragraphs, as arrays of lines.
 
-A text's lines are exploded with their positions; running windows find the page, the open chunk, the open
-paragraph and the headings above it. All windows are partitioned by document (or chunk).
+A text's lines are one array of its row; slices between page markers, headings and the first lines of paragraphs give
+the page, the chunk, the paragraph and the headings above it. Nothing is dealt or sorted by line: chunks and paragraphs
+are found where their text lies, in time linear in its lines (heading paths apart, which are a fold).
 """
 
 from __future__ import annotations
@@ -19,14 +20,61 @@ PAGE = r"(?i)^##\s+Page\s+(\d+)\s*$"
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
-def exploded(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """keys, pos, line, page_no (of page markers), level and title (of headings, closing signs included; page markers
-    are none)."""
-    x = docs.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
-    page = F.regexp_extract("line", PAGE, 1)
-    x = x.withColumn("page_no", F.when(page != "", page.cast("int")))
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    return x.withColumn("level", F.when(F.col("page_no").isNull() & (level > 0), level)).withColumn("title", F.when(F.col("level").isNotNull(), T.strip(F.regexp_extract("line", HEADING, 2))))
+def _bound(value: Column, use) -> Column:
+    """use(value), the value found once for a row: an expression may be put where its name stands, inside lambdas too,
+    but not where a lambda's own argument stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _places(items: Column, holds) -> Column:
+    """The positions (from 0) of the items that hold."""
+    return F.filter(F.transform(items, lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull())
+
+
+def _cut(items: Column, at: Column) -> Column:
+    """Slices of an array: each begins at its position (from 0, rising) and ends where the next begins. Both are bound."""
+    return F.transform(at, lambda a, i: F.slice(items, a + 1, F.coalesce(F.get(at, i + 1), F.size(items)) - a))
+
+
+def _runs(items: Column, holds) -> Column:
+    """The slice before the first item that holds (may be empty), then one that begins at each item that holds."""
+    return _bound(F.concat(F.array(F.lit(0)), _places(items, holds)), lambda at: _cut(items, at))
+
+
+def _page_no(line: Column) -> Column:
+    page = F.regexp_extract(line, PAGE, 1)
+    return F.when(line.startswith("#") & (page != ""), page.cast("int"))
+
+
+def _level(line: Column) -> Column:
+    """Of headings; page markers are none."""
+    return F.when(line.startswith("#") & line.rlike(HEADING) & _page_no(line).isNull(), F.length(F.regexp_extract(line, HEADING, 1)))
+
+
+def _title(line: Column) -> Column:
+    """Of a heading, closing signs included."""
+    return T.strip(F.regexp_extract(line, HEADING, 2))
+
+
+def _section(piece: Column) -> Column:
+    """The chunk of a heading and the lines below it."""
+    head = F.get(piece, F.lit(0))
+    shown = F.filter(F.slice(piece, F.lit(2), F.size(piece) - 1), lambda x: ~x["mark"] & (T.strip(x["line"]) != "---"))
+    body = F.regexp_replace(F.array_join(F.transform(shown, lambda x: T.rstrip(x["line"])), "\n"), "\n{3,}", "\n\n")
+    return F.struct(T.clean_heading(_title(head["line"])).alias("heading"), T.strip(body).alias("content"), head["page"].alias("page_start"), F.element_at(piece, -1)["page"].alias("page_end"))
+
+
+def _sections(text: Column, heading_level: int) -> Column:
+    marked = F.transform(T.lines(text), lambda line: F.struct(line.alias("line"), _page_no(line).alias("page_no"), _level(line).alias("level")))
+
+    def paged(piece: Column) -> Column:
+        page = F.get(piece, F.lit(0))["page_no"]
+        return F.transform(piece, lambda x: F.struct(x["line"].alias("line"), x["level"].alias("level"), x["page_no"].isNotNull().alias("mark"), page.alias("page")))
+
+    lines = _bound(marked, lambda own: F.flatten(F.transform(_runs(own, lambda x, i: x["page_no"].isNotNull()), paged)))
+    pieces = _bound(lines, lambda own: _runs(own, lambda x, i: F.coalesce(x["level"] <= heading_level, F.lit(False))))
+    opened = F.filter(pieces, lambda p: F.coalesce(F.get(p, F.lit(0))["level"] == heading_level, F.lit(False)))
+    return F.filter(F.transform(opened, _section), lambda c: F.length(c["content"]) > 0)
 
 
 def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", heading_level: int = 2) -> DataFrame:
@@ -35,27 +83,8 @@ def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", head
     A heading of the level opens a chunk, one above it closes without opening; deeper headings are text.
     Page markers set the page and are dropped, ``---`` lines too; runs of blank lines become one.
     """
-    by = Window.partitionBy(*keys).orderBy("pos")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    x = exploded(docs, text, keys)
-    x = x.withColumn("page", F.last("page_no", ignorenulls=True).over(upto))
-    x = x.withColumn("open_pos", F.max(F.when(F.col("level") <= heading_level, F.col("pos"))).over(upto))
-    inside = Window.partitionBy(*keys, "open_pos").orderBy("pos")
-    x = x.withColumns({"open_level": F.first("level").over(inside), "heading": F.first(T.clean_heading(F.col("title"))).over(inside), "page_start": F.first("page").over(inside)})
-    x = x.where((F.col("open_level") == heading_level) & (F.col("pos") > F.col("open_pos")))
-    # Dropped lines stay in the group, as the last of them tells the page that the chunk ends on.
-    shown = F.col("page_no").isNull() & (T.strip(F.col("line")) != "---")
-    x = x.withColumn("blank", F.when(shown, T.is_blank(F.col("line"))))
-    past = inside.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"after_blank": F.coalesce(F.last("blank", ignorenulls=True).over(past), F.lit(False)), "seen": F.coalesce(F.max(~F.col("blank")).over(past), F.lit(False))})
-    piece = F.concat(F.when(F.col("after_blank") & F.col("seen"), "\n").otherwise(""), T.rstrip(F.col("line")))
-    chunks = x.groupBy(*keys, "open_pos").agg(
-        T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("blank"), F.struct("pos", piece.alias("piece"))))), lambda p: p["piece"]), "\n")).alias("content"),
-        F.first("heading").alias("heading"), F.first("page_start").alias("page_start"), F.max_by("page", "pos").alias("page_end"), F.max(F.coalesce(~F.col("blank"), F.lit(False))).alias("text"),
-    )
-    chunks = chunks.where("text")
-    index = F.row_number().over(Window.partitionBy(*keys).orderBy("open_pos")) - 1
-    return chunks.withColumn("index", index).select(*keys, "index", "heading", "content", "page_start", "page_end")
+    found = docs.select(*keys, F.posexplode(_sections(F.col(text), heading_level)).alias("index", "__c"))
+    return found.select(*keys, "index", "__c.heading", "__c.content", "__c.page_start", "__c.page_end")
 
 
 def with_chunk_ids(chunks: DataFrame, document_ref: Column, version: Column) -> DataFrame:
@@ -73,43 +102,102 @@ def heading_paths(titles: Column) -> Column:
     return F.aggregate(titles, F.expr("cast(array() as array<array<string>>)"), step)
 
 
+#: Kinds of lines: text, what ends a paragraph, images alone, a heading (which ends one too).
+_TEXT, _BREAK, _IMAGE, _HEAD = range(4)
+
+
+def _kinds(text: Column) -> Column:
+    """line, refs, kind of each line."""
+
+    def refs(line: Column) -> Column:
+        return F.when(line.contains("![") | line.rlike("(?i)<img"), T.image_refs(line)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def kind(x: Column) -> Column:
+        line = x["line"]
+        image = (F.size(x["refs"]) > 0) & T.is_image_only(line)
+        return F.when(_level(line).isNotNull(), _HEAD).when(_page_no(line).isNotNull(), _BREAK).when(image, _IMAGE).when(T.is_blank(line), _BREAK).otherwise(_TEXT)
+
+    lines = F.transform(T.lines(text), lambda line: F.struct(line.alias("line"), refs(line).alias("refs")))
+    return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["refs"].alias("refs"), kind(x).alias("kind")))
+
+
+def _starts(lines: Column) -> Column:
+    """at, heads: where paragraphs begin, and how many headings are above. A line of images alone is looked through."""
+    solid = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["kind"].alias("kind"))), lambda x: x["kind"] != _IMAGE)
+
+    def below(run: Column, heads: Column) -> Column:
+        begins = lambda x, k: (x["kind"] == _TEXT) & ((k == 0) | (F.get(run, k - 1)["kind"] != _TEXT))
+        return F.filter(F.transform(run, lambda x, k: F.when(begins(x, k), F.struct(x["at"].alias("at"), heads.alias("heads")))), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(_bound(solid, lambda own: _runs(own, lambda x, i: x["kind"] == _HEAD)), below))
+
+
+def _refs(lines: Column) -> Column:
+    return F.flatten(F.transform(lines, lambda x: x["refs"]))
+
+
+def _pieces(lines: Column, starts: Column) -> Column:
+    """text, own, next of each paragraph begun: its references, and those of images inside, which are the next one's."""
+
+    def piece(p: Column, last: Column) -> Column:
+        ended = F.array_position(F.transform(p, lambda x: x["kind"].isin(_BREAK, _HEAD)), F.lit(True))
+        end = F.when(ended > 0, ended - 1).otherwise(F.size(p))
+        return _bound(end, lambda e: F.struct(
+            F.array_join(F.transform(F.filter(p, lambda x: x["kind"] == _TEXT), lambda x: x["line"]), "\n").alias("text"),
+            _refs(F.filter(p, lambda x, i: (x["kind"] == _TEXT) | ((x["kind"] == _IMAGE) & (last | (i >= e))))).alias("own"),
+            _refs(F.filter(p, lambda x, i: (x["kind"] == _IMAGE) & (i < e))).alias("next"),
+        ))
+
+    at = F.transform(starts, lambda s: s["at"])
+    return F.transform(_bound(at, lambda a: _cut(lines, a)), lambda p, j: piece(p, j == F.size(starts) - 1))
+
+
+def _paragraphs(text: Column) -> Column:
+    """text, heading_path, image_refs of a chunk's paragraphs, in order."""
+    heads = lambda lines: F.transform(F.filter(lines, lambda x: x["kind"] == _HEAD), lambda x: F.struct(_level(x["line"]).alias("level"), _title(x["line"]).alias("title")))
+
+    def whole(lines: Column, starts: Column, pieces: Column, paths: Column) -> Column:
+        first = _refs(F.filter(F.slice(lines, F.lit(1), F.coalesce(F.get(starts, F.lit(0))["at"], F.lit(0))), lambda x: x["kind"] == _IMAGE))
+
+        def one(p: Column, j: Column, before: Column) -> Column:
+            n = F.get(starts, j)["heads"]
+            path = F.when(n > 0, F.get(paths, n - 1)).otherwise(F.expr("cast(array() as array<string>)"))
+            return F.struct(p["text"].alias("text"), path.alias("heading_path"), F.array_distinct(F.concat(F.coalesce(F.get(pieces, j - 1)["next"], before), p["own"])).alias("image_refs"))
+
+        return _bound(first, lambda before: F.transform(pieces, lambda p, j: one(p, j, before)))
+
+    # A chunk's paths are found once, and each paragraph takes that of the last heading above it.
+    return _bound(_kinds(text), lambda x: _bound(_starts(x), lambda s: _bound(_pieces(x, s), lambda p: _bound(heading_paths(heads(x)), lambda paths: whole(x, s, p, paths)))))
+
+
 def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") -> DataFrame:
-    """keys, ordinal, text, heading_path, image_refs, paragraph_id parts: paragraphs of each chunk.
+    """keys, ordinal, text, heading_path, image_refs: paragraphs of each chunk.
 
     Page markers, headings and blank lines end a paragraph; a line of images alone ends none: it belongs
     to the paragraph before it if that has ended, else to the next one begun, else to the last. A path holds
     titles as they are written.
     """
-    by = Window.partitionBy(*keys).orderBy("pos")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    x = exploded(chunks, text, keys)
-    x = x.withColumns({"refs": T.image_refs(F.col("line")), "head": F.col("level").isNotNull(), "mark": F.col("page_no").isNotNull()})
-    x = x.withColumn("image_only", ~F.col("head") & ~F.col("mark") & (F.size("refs") > 0) & T.is_image_only(F.col("line")))
-    x = x.withColumn("breaks", ~F.col("image_only") & (F.col("head") | F.col("mark") | T.is_blank(F.col("line"))))
-    # An image-only line is looked through when asking whether a paragraph is open.
-    solid = F.when(~F.col("image_only"), F.struct(F.col("breaks").alias("b")))
-    before = F.last(solid, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    is_text = ~F.col("image_only") & ~F.col("breaks")
-    starts = is_text & F.coalesce(before["b"], F.lit(True))
-    x = x.withColumns({"is_text": is_text, "starts": starts, "closed": F.coalesce(before["b"], F.lit(True))})
-    x = x.withColumn("n", F.sum(F.col("starts").cast("int")).over(upto))
-    total = F.max("n").over(Window.partitionBy(*keys))
-    # n counts paragraphs begun so far: an image line goes to n if that has ended, else to n + 1, at most the last.
-    x = x.withColumn("owner", F.when(F.col("is_text"), F.col("n")).when(F.col("image_only") & (F.col("n") > 0) & F.col("closed"), F.col("n")).when(F.col("image_only"), F.least(F.col("n") + 1, total)))
-    x = x.withColumn("heads", F.when(F.col("starts"), F.sum(F.col("head").cast("int")).over(upto)))
-    # A chunk's paths are found once, and each paragraph takes that of the last heading above it.
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))), lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title")))
-    paths = x.where("head").groupBy(*keys).agg(heading_paths(titles).alias("paths"))
-    order = F.when(F.col("is_text") | ~F.col("closed") | (F.col("n") == 0), F.col("pos"))
-    found = x.where(F.col("owner").isNotNull() & (F.col("owner") > 0)).groupBy(*keys, "owner").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_text"), F.struct("pos", "line")))), lambda p: p["line"]), "\n").alias("text"),
-        F.max("heads").alias("heads"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "refs"))), lambda p: p["refs"]))).alias("image_refs"),
-        F.min(order).alias("first_pos"),
-    )
-    path = F.when(F.col("heads") > 0, F.get("paths", F.col("heads") - 1)).otherwise(F.expr("cast(array() as array<string>)"))
-    found = found.join(paths, keys, "left").withColumns({"ordinal": F.col("owner") - 1, "heading_path": path})
-    return found.select(*keys, "ordinal", "text", "heading_path", "image_refs")
+    found = chunks.select(*keys, F.posexplode(_paragraphs(F.col(text))).alias("__i", "__p"))
+    return found.select(*keys, F.col("__i").cast("long").alias("ordinal"), "__p.text", "__p.heading_path", "__p.image_refs")
+
+
+def _occurrences(identities: Column) -> Column:
+    """For each text of an array its number among the equal ones: sorted, cut into equal ones, counted, sorted back."""
+    placed = F.array_sort(F.transform(identities, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
+    groups = _bound(placed, lambda own: _runs(own, lambda x, k: (k > 0) & (x["d"] != F.get(own, k - 1)["d"])))
+    counted = F.flatten(F.transform(groups, lambda g: F.transform(g, lambda x, m: F.struct(x["i"].alias("i"), (m + 1).alias("n")))))
+    return F.when(F.size(identities) == 1, F.array(F.lit(1))).otherwise(F.transform(F.array_sort(counted), lambda x: x["n"]))
+
+
+def identified_paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text", chunk: str = "chunk_id") -> DataFrame:
+    """``paragraphs`` with what ``with_paragraph_ids`` adds, found inside each chunk's row: one row is one chunk."""
+    x = chunks.select(*keys, _paragraphs(F.col(text)).alias("__p"))
+    x = x.withColumn("__d", T.identity_texts(F.col("__p.text")))
+    x = x.withColumn("__n", _occurrences(F.col("__d")))
+    x = x.select(*keys, F.posexplode(F.arrays_zip("__p", "__d", "__n")).alias("__i", "__x"))
+    x = x.select(*keys, F.col("__i").cast("long").alias("ordinal"), "__x.__p.text", "__x.__p.heading_path", "__x.__p.image_refs", F.col("__x.__n").alias("occurrence"), sha256(F.col("__x.__d")).alias("__h"))
+    reference = F.concat_ws(":", F.col(chunk), F.substring("__h", 1, 12), F.col("occurrence").cast("string"))
+    return x.select("*", reference.alias("paragraph_id"), sha256(F.col("text")).alias("exact_content_hash"), F.col("__h").alias("normalized_identity_hash")).drop("__h")
 
 
 def with_paragraph_ids(paras: DataFrame, chunk: str = "chunk_id", ordinal: str = "ordinal", text: str = "text", keys: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ STATE = ("entity_type", "entity_key", "collection", "record_id", "input_hash", "
 
 
 def chunked(documents: DataFrame, heading_level: int = 2) -> DataFrame:
-    """Chunks of documents (document_ref, source_version, markdown)."""
+    """Chunks of documents (document_ref, source_version, markdown); texts are dealt once, as files may be few."""
+    documents = documents.repartition("document_ref")
     chunks = segment.with_chunk_ids(segment.header_chunks(documents, ["document_ref", "source_version"], "markdown", heading_level), F.col("document_ref"), F.col("source_version"))
     return chunks.withColumn("search_text", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"))
 
@@ -23,7 +24,7 @@ def chunked(documents: DataFrame, heading_level: int = 2) -> DataFrame:
 def paragraphs_of(chunks: DataFrame) -> DataFrame:
     """Paragraphs of ``chunked`` (best written first, else it is done again), with their chunk's heading as ``header``."""
     own = ["document_ref", "source_version", "chunk_id", "header"]
-    return segment.with_paragraph_ids(segment.paragraphs(chunks.withColumn("header", F.coalesce("heading", F.lit(""))).select(*own, "search_text"), own), keys=own)
+    return segment.identified_paragraphs(chunks.withColumn("header", F.coalesce("heading", F.lit(""))), own)
 
 
 def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger: ports.Tagger | None, model: str = "profile-1", index_version: str = "v1", run_id: str = "run", also: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -56,17 +57,22 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     states = current("states", desired)
     own = states.join(scope, "document_ref", "left_semi")
     changes = saved(state.reconcile(own, desired).select("entity_key", "change"), "changes")
-    todo = changes.where(F.col("change").isin("new", "changed")).select(F.col("entity_key").alias("chunk_id"))
-    vectors = ports.embed(chunks.join(todo, "chunk_id", "left_semi").select("document_ref", "chunk_id", "search_text"), "search_text", embedder).select("document_ref", "chunk_id", "embedding")
+    # Unchanged chunks are few at a first ingest, changed ones later: what is joined is read from files, by its size.
+    same = saved(changes.where(F.col("change") == "unchanged").select(F.col("entity_key").alias("chunk_id")), "same-chunks")
+    todo = chunks.select("document_ref", "chunk_id", "search_text").join(same, "chunk_id", "left_anti")
+    vectors = ports.embed(todo, "search_text", embedder).select("document_ref", "chunk_id", "embedding")
     vectors = store.staged("index", vectors)
-    gone = changes.where(F.col("change") != "unchanged").select(F.col("entity_key").alias("chunk_id"))
+    gone = changes.where(F.col("change").isin("changed", "stale")).select(F.col("entity_key").alias("chunk_id"))
+    # A layer names only documents that are stored as taken away, so that reading new ones needs no join.
+    held = saved(own.select("document_ref").distinct(), "held-documents")
+    none_held = held.isEmpty()
 
     observations = state.replaced(current("observations", observed), scope, observed, ["document_ref"])
-    own = ["document_ref"]
+    own, held, gone = ["document_ref"], None if none_held else held, None if none_held else gone
     store.commit(
         {"catalog": concepts.global_catalog(observations), **(also or {})},
         layers={
-            "chunks": (chunks, scope, own), "paragraphs": (paras, scope, own), "relations": (tags, scope, own), "observations": (observed, scope, own), "states": (desired, scope, own),
+            "chunks": (chunks, held, own), "paragraphs": (paras, held, own), "relations": (tags, held, own), "observations": (observed, held, own), "states": (desired, held, own),
             "index": (vectors, gone, ["chunk_id"]),
         },
     )

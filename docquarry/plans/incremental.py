@@ -48,11 +48,17 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     Returns how many batches were committed and whether the run was completed; ``stop_after`` ends it early.
     """
     chunks = saved(chunked(documents), "chunks", codec="zstd")
-    paras = saved(paragraphs_of(chunks).drop("header"), "paragraphs", codec="zstd")
-    named = documents.select("document_ref").distinct()
-    stored = saved(_current(store, "chunks", chunks.schema).join(named, DOCUMENT, "left_semi"), "stored-chunks", codec="zstd")
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("chunk_id", "search_text", "page_start", "page_end", "source_version")]
-    todo = saved(chunks.alias("n").join(stored.alias("o"), same, "left_anti"), "changed-chunks", codec="zstd")
+    # What is stored is compared by digests; texts are joined only where some chunks are stored as they are.
+    first = "chunks" not in store.tables()
+    old, digest = _current(store, "chunks", chunks.schema), F.sha2("search_text", 256).alias("digest")
+    stored = old.select("document_ref", "source_version", "chunk_id", "page_start", "page_end", digest)
+    if not first:
+        stored = saved(stored.join(documents.select("document_ref").distinct(), DOCUMENT, "left_semi"), "stored-chunks")
+    known, todo = not (first or stored.isEmpty()), chunks
+    if known:
+        n, o = chunks.select("source_version", "chunk_id", "page_start", "page_end", digest).alias("n"), stored.alias("o")
+        same = saved(n.join(o, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("chunk_id", "digest", "page_start", "page_end", "source_version")], "left_semi").select("chunk_id"), "same-chunks")
+        todo = chunks if same.isEmpty() else saved(chunks.join(same, CHUNK, "left_anti"), "changed-chunks", codec="zstd")
     done = 0
     for b in range(batches):
         part = todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == b)
@@ -60,8 +66,9 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
             continue
         if stop_after is not None and done >= stop_after:
             return {"batches": done, "completed": 0}
-        keys = part.select("chunk_id")
-        own = paras.join(keys, CHUNK, "left_semi")
+        # Only keys that are stored are named as taken away: a table without such keys is read without a join.
+        keys = saved(part.select("chunk_id").join(stored.select("chunk_id"), CHUNK, "left_semi"), "taken-chunks") if known else None
+        own = store.staged("paragraphs", paragraphs_of(part).drop("header"))
         labelled = ports.tag(own, "text", tagger) if tagger else own.withColumn("labels", F.expr("cast(array() as array<string>)"))
         relations = labelled.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", F.explode("labels").alias("concept")).withColumn("role", F.lit("mention"))
         events = _events(ports.embed(part, "search_text", embedder), store, run_id, "upsert", _payload(model, scope), index_version)
@@ -95,17 +102,22 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
 def apply_pending(store: Store, run_id: str | None = None, limit: int | None = None) -> tuple[int, int]:
     """Apply open events to index and states, with the outbox, in one commit: how many succeeded and failed. Only the
     records that the events name are read into the step and written."""
-    events = _current(store, "outbox", _EVENT).where("status IN ('pending', 'failed')")
+    every = _current(store, "outbox", _EVENT)
+    events = every.where("status IN ('pending', 'failed')")
     if run_id is not None:
         events = events.where(F.col("run_id") == run_id)
-    events = saved(events if limit is None else events.orderBy("event_id").limit(limit), "open-events", codec="zstd")
+    if limit is not None:
+        events = saved(events.orderBy("event_id").limit(limit), "open-events", codec="zstd")
     if events.isEmpty():
         return 0, 0
-    records = events.select("record_id").distinct()
+    records = saved(events.select("record_id").distinct(), "open-records")
     index = _current(store, "index", "record_id string, document_ref string, search_text string, embedding array<double>").join(records, RECORD, "left_semi")
     known = _current(store, "states", _STATE).join(records, RECORD, "left_semi")
-    out = outbox.sync(events, index, store.spark.createDataFrame([], "record_id string"), known, None)
-    states = saved(out.states, "synced-states")
-    store.commit({}, layers={"outbox": (out.outbox, events.select("event_id"), EVENT), "index": (out.chunks, records, RECORD), "states": (states, records, RECORD)})
-    counts = out.counts.first()
+    out = outbox.sync(events, index, store.spark.createDataFrame([], "record_id string"), known, None, kept=lambda rows: saved(rows, "sync", codec="zstd"))
+    states, after = store.staged("states", out.states), store.staged("outbox", out.outbox)
+    counts = after.agg(F.count_if(F.col("status") == "done").alias("succeeded"), F.count_if(F.col("status") != "done").alias("failed")).first()
+    layers = {"outbox": (after, events.select("event_id"), EVENT), "index": (out.chunks, records, RECORD), "states": (states, records, RECORD)}
+    # Where all events of the table were open, what they are now is the table.
+    whole = [n for n in ("outbox",) if counts["succeeded"] + counts["failed"] == every.count()]
+    store.commit({}, layers=layers, afresh=whole)
     return counts["succeeded"], counts["failed"]

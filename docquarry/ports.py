@@ -1,7 +1,6 @@
 """Ports to external models, with deterministic fakes.
 
-A port gets each distinct input once: keys are made distinct, sent through ``mapInPandas`` in batches, and
-joined back. Ports must be idempotent, as Spark runs a task again when it is lost.
+A port gets each distinct input once, in batches: keys are counted, and only texts that repeat are moved. Ports must be idempotent, as Spark runs a task again when it is lost.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.session import saved
+
 #: Texts of a batch to vectors, in order.
 Embedder = Callable[[list[str]], list[list[float]]]
 #: Texts of a batch to labels of each, in order.
@@ -46,17 +47,35 @@ class FakeTagger:
 
 
 def _called(rows: DataFrame, text: str, fn: Callable, column: str, kind: str) -> DataFrame:
+    """Texts that stand once are sent where they lie; those that repeat are made distinct and joined."""
+
+    def checked(texts: list) -> list:
+        got = fn(texts)
+        if len(got) != len(texts):
+            raise ValueError("a port must answer each input")
+        return got
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = fn(b["__text"].tolist())
-            if len(got) != len(b):
-                raise ValueError("a port must answer each input")
-            yield pd.DataFrame({"__key": b["__key"], column: got})
+            yield pd.DataFrame({"__key": b["__key"], column: checked(b["__text"].tolist())})
 
+    answer = F.pandas_udf(_one_by_one(checked), kind).asNondeterministic()  # so that no plan asks twice
     keyed = rows.withColumn("__key", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("__key").agg(F.first(text).alias("__text"))
+    repeated = saved(keyed.where("__key IS NOT NULL").groupBy("__key").count().where("count > 1").select("__key"), "repeated-texts")
+    alone, others = keyed.where("__key IS NOT NULL"), keyed.where("__key IS NULL")
+    if not repeated.isEmpty():
+        alone, others = alone.join(repeated, "__key", "left_anti"), others.unionByName(keyed.join(repeated, "__key", "left_semi").select(*keyed.columns))
+    distinct = others.groupBy("__key").agg(F.first(text).alias("__text"))
     answers = distinct.mapInPandas(run, f"__key string, {column} {kind}")
-    return keyed.join(answers, "__key", "left").drop("__key")
+    asked = alone.withColumn(column, answer(F.col(text))).select(*rows.columns, column)
+    return asked.unionByName(others.join(answers, "__key", "left").select(*rows.columns, column))
+
+
+def _one_by_one(checked: Callable[[list], list]) -> Callable[[pd.Series], pd.Series]:
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(checked(texts.tolist()), dtype=object)
+
+    return run
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder, column: str = "embedding") -> DataFrame:

@@ -5,7 +5,7 @@ current version of every table. Readers see the manifest's versions, so a commit
 whole or not at all. A table that is upserted by key lies in buckets of its key, each with a version of its own,
 so that a commit reads and writes only the buckets that its rows touch. A table in layers takes a commit's new rows
 and the keys whose older rows go as one more layer, so that a commit writes what changed and nothing else; once the
-later layers outweigh the first, all become one. There is one writer at a time (the
+later layers outweigh the first and take keys away, all become one. There is one writer at a time (the
 driver); a commit that finds its number taken is an error, but two that begin at the same moment are told apart
 only where the file system's rename refuses an existing target. All access is by Hadoop's file system, so the
 root can be in any store that Spark reads.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,7 +144,7 @@ class Store:
         rows.write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
         return version, rows.schema
 
-    def _layered(self, name: str, entry: dict | None, rows: DataFrame, gone: DataFrame | None, key: list[str]) -> dict:
+    def _layered(self, name: str, entry: dict | None, rows: DataFrame, gone: DataFrame | None, key: list[str], afresh: bool = False) -> dict:
         """The table's entry with one more layer, or with one layer in all."""
         if entry is not None and "layers" not in entry:
             if "parts" in entry:
@@ -154,21 +154,22 @@ class Store:
         version, shape = self._written(name, rows, schema)
         layer: dict = {"rows": version, "gone": None}
         layer["bytes"] = self._bytes(f"{self.root}/{name}/{layer['rows']}")
-        if entry is not None and gone is not None:
+        if entry is not None and gone is not None and not afresh:
             layer["gone"] = uuid.uuid4().hex
             gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}", compression=CODEC)
             layer["bytes"] += self._bytes(f"{self.root}/{name}/{layer['gone']}")
-        out = {"key": key, "layers": [*(entry["layers"] if entry else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json())}
-        if len(out["layers"]) > LAYERS or sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]:
+        out = {"key": key, "layers": [*(entry["layers"] if entry and not afresh else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json())}
+        heavy = any(x["gone"] for x in out["layers"]) and sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]
+        if len(out["layers"]) > LAYERS or heavy:
             whole = uuid.uuid4().hex
             self._stacked(name, out).write.parquet(f"{self.root}/{name}/{whole}", compression=CODEC)
             out["layers"] = [{"rows": whole, "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{whole}")}]
         return out
 
-    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, merges: dict[str, tuple[DataFrame, list[str], Merge]] | None = None, layers: dict[str, tuple[DataFrame, DataFrame | None, list[str]]] | None = None) -> int:
+    def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, merges: dict[str, tuple[DataFrame, list[str], Merge]] | None = None, layers: dict[str, tuple[DataFrame, DataFrame | None, list[str]]] | None = None, afresh: Collection[str] = ()) -> int:
         """Replace the tables of ``changes``, merge rows into those of ``merges`` (rows, key, merge), add layers to
-        those of ``layers`` (rows, keys whose older rows go, key; keys are not null); all others stay. The manifest is
-        written last, by a rename."""
+        those of ``layers`` (rows, keys whose older rows go, key; keys are not null), which are the first ones of the
+        tables in ``afresh`` (all older rows go); all others stay. The manifest is written last, by a rename."""
         before = self.manifest()
         tables = dict(before["tables"])
         for name, df in changes.items():
@@ -181,7 +182,7 @@ class Store:
         for name, (rows, key, merge) in (merges or {}).items():
             tables[name] = self._merged(name, tables.get(name), rows, key, merge)
         for name, (rows, gone, key) in (layers or {}).items():
-            tables[name] = self._layered(name, tables.get(name), rows, gone, key)
+            tables[name] = self._layered(name, tables.get(name), rows, gone, key, name in afresh)
         number = before["number"] + 1
         text = json.dumps({"number": number, "tables": tables})
         folder = f"{self.root}/_manifests"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import concepts, records, search, segment
-from docquarry.plans import flows
+from docquarry.plans import flows, incremental
 from docquarry.session import new_path
 from docquarry.sources.store import Store
 
@@ -89,3 +89,26 @@ def test_a_label_cache_is_not_sent_to_all_tasks(spark):
     out = records.remapped(spark.createDataFrame([("x", 1, "l")], "content_sha string, ordinal int, label string"), paras)
     assert {r.paragraph_id: r.label for r in out.collect()} == {"p1": "l", "p2": None, "p3": None}
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segmenting_deals_no_lines(spark):
+    """Chunks and paragraphs are found inside the row of their text: no shuffle, window or sort over lines."""
+    docs = spark.createDataFrame([(1, "## A\n\nx\n\nx ![i](i.png)\n\n![j](j.png)")], "doc int, markdown string")
+    chunks = segment.header_chunks(docs, ["doc"])
+    named = chunks.select("doc", F.concat(F.col("doc").cast("string"), F.lit("c")).alias("chunk_id"), "content")
+    found = segment.identified_paragraphs(named, ["chunk_id"], "content")
+    for df in (chunks, found, segment.paragraphs(chunks, ["doc"], "content")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(w in plan for w in ("Exchange", "Window", "Sort "))
+    assert [(r.ordinal, r.text, r.occurrence, r.image_refs) for r in found.orderBy("ordinal").collect()] == [(0, "x", 1, []), (1, "x ![i](i.png)", 1, ["i.png", "j.png"])]
+
+
+def test_a_first_ingest_takes_no_keys_away(spark):
+    """Layers of a first ingest and of its applied events name no keys, so that reading them joins nothing."""
+    store = Store(spark, new_path(spark, "no-keys"))
+    docs = spark.createDataFrame([(f"d{i}", "s1", f"## S\n\nsame\n\n## T\n\nown {i}") for i in range(6)], "document_ref string, source_version string, markdown string")
+    incremental.ingest(store, docs, ports.FakeEmbedder(), None, "r", batches=2)
+    assert incremental.apply_pending(store) == (12, 0)
+    tables = store.manifest()["tables"]
+    assert {n: any(x["gone"] for x in tables[n]["layers"]) for n in ("chunks", "paragraphs", "outbox", "index")} == dict.fromkeys(("chunks", "paragraphs", "outbox", "index"), False)
+    assert store.read("outbox").where("status = 'done'").count() == store.read("outbox").count() == store.read("index").count() == 12
