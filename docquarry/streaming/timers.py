@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTCOME = "key string, request_id long, holder long, ts timestamp, outcome string, seconds double"
-_STATE = "opened long, holder long, ready boolean, pending string"
+_STATE = "held string, pending string"
 
 
 class _Holder:
@@ -52,7 +54,15 @@ class _Holder:
             self.ready = self.final and kind == "done"
 
 
-def timed(requests: DataFrame, timeout_seconds: int, late: str = "0 seconds", final: bool = True) -> DataFrame:
+def _packed(value: object) -> str:
+    return base64.b64encode(zlib.compress(json.dumps(value, separators=(",", ":")).encode(), 1)).decode()
+
+
+def _unpacked(text: str):
+    return json.loads(zlib.decompress(base64.b64decode(text)))
+
+
+def timed(requests: DataFrame, timeout_seconds: int, late: str = "0 seconds", final: bool = True, buckets: int = 1024) -> DataFrame:
     """What a stream of requests (key string, request_id long, ts, kind, token long) gives: rows of ``OUTCOME``.
 
     ``start`` asks for a key: reserved if it is free, busy while another request holds it, ready once it was done
@@ -64,34 +74,41 @@ def timed(requests: DataFrame, timeout_seconds: int, late: str = "0 seconds", fi
     Rows wait until the watermark (``late`` behind the newest ts) has passed them and are then taken in order of ts
     and request_id, so order within ``late`` does not matter; rows that come later than that are Spark's late rows.
     What the watermark has not passed is not told yet. Rows with a null key, request_id, ts or another kind give
-    nothing. State holds a key's waiting rows: those of one batch and of ``late``, in one task.
+    nothing. State is kept by bucket of keys, as a call for each key costs far more than its rows: the waiting rows of
+    its keys (one batch's, and those of ``late``) and who holds them. A bucket is in one task, and each of its batches
+    writes all of its state.
     """
     timeout = timeout_seconds * 1_000_000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, holder, ready, waiting = state.get if state.exists else (None, None, False, "[]")
-        pending = json.loads(waiting)
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, waiting = (_unpacked(x) for x in state.get) if state.exists else ({}, [])
         if not state.hasTimedOut:
             for b in batches:
                 tokens = (None if pd.isna(t) else int(t) for t in b["token"])
-                pending += [list(r) for r in zip(b["at"].tolist(), b["request_id"].tolist(), b["kind"].tolist(), tokens, strict=True)]
-        pending.sort(key=lambda r: (r[0], r[1], r[2]))
+                waiting += zip(b["key"].tolist(), b["at"].tolist(), b["request_id"].tolist(), b["kind"].tolist(), tokens, strict=True)
         passed = state.getCurrentWatermarkMs() * 1000
-        n = sum(r[0] < passed for r in pending)
-        h = _Holder(key[0], timeout, final, opened, holder, ready)
-        for r in pending[:n]:
-            h.row(*r)
-        h.passed(passed, False)
-        pending = pending[n:]
-        state.update((h.opened, h.holder, h.ready, json.dumps(pending)))
-        due = [pending[0][0]] if pending else []
-        due += [h.opened + timeout] if h.opened is not None else []
-        if due:
-            state.setTimeoutTimestamp(max(min(due), passed + 1000) // 1000)
-        out = pd.DataFrame(h.out, columns=["key", "request_id", "holder", "ts", "outcome", "seconds"])
-        out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
-        yield out.astype({"request_id": "Int64", "holder": "Int64", "seconds": "float64"})
+        ripe = sorted((r for r in waiting if r[1] < passed), key=lambda r: (r[0], r[1], r[2], r[3]))
+        waiting = [r for r in waiting if r[1] >= passed]
+        holders = {k: _Holder(k, timeout, final, *x) for k, x in held.items()}
+        for key, *rest in ripe:
+            if key not in holders:
+                holders[key] = _Holder(key, timeout, final, None, None, False)
+            holders[key].row(*rest)
+        out = []
+        for h in holders.values():
+            h.passed(passed, False)
+            out += h.out
+        # A key that is free and not ready is as one never seen.
+        held = {k: (h.opened, h.holder, h.ready) for k, h in holders.items() if h.opened is not None or h.ready}
+        state.update((_packed(held), _packed(waiting)))
+        due = min((r[1] for r in waiting), default=None)
+        ends = min((h.opened + timeout for h in holders.values() if h.opened is not None), default=None)
+        if dues := [x for x in (due, ends) if x is not None]:
+            state.setTimeoutTimestamp(max(min(dues), passed + 1000) // 1000)
+        told = pd.DataFrame(out, columns=["key", "request_id", "holder", "ts", "outcome", "seconds"])
+        told["ts"] = pd.to_datetime(told["ts"].astype("int64"), unit="us")
+        yield told.astype({"request_id": "Int64", "holder": "Int64", "seconds": "float64"})
 
     known = F.col("kind").isin("start", "done", "failed") & F.col("key").isNotNull() & F.col("request_id").isNotNull() & F.col("ts").isNotNull()
-    rows = requests.where(known).withWatermark("ts", late).select("key", "ts", "request_id", "kind", "token", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = requests.where(known).withWatermark("ts", late).select("key", "ts", "request_id", "kind", "token", F.unix_micros("ts").alias("at"), F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
