@@ -61,13 +61,21 @@ def drained(table: DataFrame, events: DataFrame, key: list[str], order: list[str
 
 
 def enqueue(outbox: DataFrame, events: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
-    """New events (by event_id, one each), and the conflicts: ids whose payload differs from a known one."""
-    known = outbox.select("event_id", F.struct(*payload).alias("known"))
-    given = events.select("*", F.struct(*payload).alias("given"))
-    first = given.groupBy("event_id").agg(F.count_distinct("given").alias("n"))
-    conflicts = given.join(known, "event_id").where(F.col("known") != F.col("given")).select("event_id").unionByName(first.where("n > 1").select("event_id")).distinct()
-    fresh = events.join(known, "event_id", "left_anti").join(conflicts, "event_id", "left_anti").dropDuplicates(["event_id"])
-    return fresh, conflicts
+    """New events (by event_id, one each), and the conflicts: ids whose payload differs from a known one.
+
+    Rows are dealt by id before they are counted: ids hardly repeat, so a count where they lie would hold all of a
+    file's part. Payloads differ where the least and the most of a column do, or some are null and some are not.
+    """
+    given = events.withColumn("__known", F.lit(False))
+    known = outbox.where("event_id IS NOT NULL").select("event_id", *payload).withColumn("__known", F.lit(True))
+    rows = given.unionByName(known, allowMissingColumns=True).repartition("event_id")
+    differ = F.lit(False)
+    for c in payload:
+        differ |= F.coalesce(F.min(c) != F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+    others = [c for c in events.columns if c != "event_id"]
+    each = rows.groupBy("event_id").agg(*[F.first(c).alias(c) for c in others], F.max("__known").alias("__known"), F.min("__known").alias("__alone"), differ.alias("__differ"))
+    fresh = each.where(~F.col("__known") & (~F.col("__differ") | F.col("event_id").isNull())).select(*events.columns)
+    return fresh, each.where(F.col("__differ") & ~F.col("__alone")).select("event_id")
 
 
 def next_batch(outbox: DataFrame, limit: int | None, run_id: str | None = None) -> DataFrame:

@@ -112,3 +112,26 @@ def test_a_first_ingest_takes_no_keys_away(spark):
     tables = store.manifest()["tables"]
     assert {n: any(x["gone"] for x in tables[n]["layers"]) for n in ("chunks", "paragraphs", "outbox", "index")} == dict.fromkeys(("chunks", "paragraphs", "outbox", "index"), False)
     assert store.read("outbox").where("status = 'done'").count() == store.read("outbox").count() == store.read("index").count() == 12
+
+
+def test_new_events_take_one_aggregate(spark):
+    """One shuffle by id before anything is counted, and no join; nulls and known ids as before."""
+    from docquarry.operators import state
+
+    known = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 9.0)], "event_id long, value double")
+    given = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 4.0), (3, 4.0), (4, 1.0), (4, None), (5, None), (None, 1.0), (None, 2.0)], "event_id long, value double")
+    fresh, conflicts = state.enqueue(known, given, ["value"])
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(r.event_id or 0 for r in fresh.collect()) == [0, 3, 5]
+    assert sorted(r.event_id or 0 for r in conflicts.collect()) == [0, 2, 4]
+
+
+def test_timers_are_kept_by_bucket(spark):
+    """Keys of a bucket share one call and one state, which holds no key that is free."""
+    from docquarry.streaming import timers
+
+    requests = spark.createDataFrame([("a", 1, "start"), ("b", 2, "start")], "key string, request_id long, kind string").selectExpr("*", "timestamp'2026-01-01' AS ts", "cast(null AS long) AS token")
+    plan = timers.timed(requests, 60, buckets=1)._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan.split("FlatMapGroupsInPandasWithState", 1)[1].split("\n", 1)[0]
+    assert timers._unpacked(timers._packed({"a": [1, 2, True]})) == {"a": [1, 2, True]}
