@@ -8,19 +8,24 @@ over batches, and only where a text has a character outside ASCII (the rest stay
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: Unicode white space, with the separators U+001C to U+001F.
+#: Unicode white space, with the separators U+001C to U+001F: as a class, and as the characters to trim by.
 WS = r"(?U)[\s\x1c-\x1f]"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Line ends: \r\n counts once.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 TERM = r"[\p{L}\p{N}_-]+"
-_ASCII = r"^[\x00-\x7f]*$"
+#: The characters that end a line, but \n.
+_RARE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 @F.pandas_udf(StringType())
@@ -38,13 +43,24 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), the value found once for a row: an expression may be put where its name stands, inside lambdas too,
+    but not where a lambda's own argument stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_ascii(c: Column) -> Column:
+    """As many bytes as characters: no regular expression over the text."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def _outside_ascii(c: Column, udf) -> Column:
     """udf(c) where c has other characters than ASCII; the UDF gets nulls for all others."""
-    return F.coalesce(udf(F.when(~c.rlike(_ASCII), c)), c)
+    return F.coalesce(udf(F.when(~is_ascii(c), c)), c)
 
 
 def casefold(c: Column) -> Column:
-    return F.coalesce(_folded(F.when(~c.rlike(_ASCII), c)), F.lower(c))
+    return F.coalesce(_folded(F.when(~is_ascii(c), c)), F.lower(c))
 
 
 def nfc(c: Column) -> Column:
@@ -56,20 +72,20 @@ def nfkc(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def is_blank(c: Column) -> Column:
-    return F.length(strip(c)) == 0
+    return F.ltrim(c, F.lit(WS_CHARS)) == ""
 
 
 def word_count(c: Column) -> Column:
@@ -77,10 +93,22 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
+def plain_ends(c: Column) -> Column:
+    """A text whose lines all end in \\n. Hardly any has another line end: looking for each is cheaper than one
+    expression for all."""
+    rare = reduce(Column.__or__, [c.contains(x) for x in _RARE_ENDS])
+    return F.when(rare, F.regexp_replace(c, LINE_END, "\n")).otherwise(c)
+
+
+def plain_lines(c: Column) -> Column:
+    """The lines of a text with plain ends."""
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(c, "\n"), whole)
+
+
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at the end makes no line of its own."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.length(c) == 0, F.expr("cast(array() as array<string>)")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return plain_lines(plain_ends(c))
 
 
 @F.pandas_udf(StringType())
@@ -100,7 +128,7 @@ def _plain_key(c: Column) -> Column:
 
 def concept_key(c: Column) -> Column:
     """Key of a concept label: NFC, white space collapsed, case folded; null for a blank label."""
-    key = F.coalesce(_concept_key(F.when(~c.rlike(_ASCII), c)), _plain_key(c))
+    key = F.coalesce(_concept_key(F.when(~is_ascii(c), c)), _plain_key(c))
     return F.when(F.length(key) > 0, key)
 
 
@@ -119,17 +147,19 @@ def with_key(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def identity_text(c: Column) -> Column:
     """Key of a paragraph: NFKC, white space collapsed, case folded."""
-    return F.coalesce(_identity_text(F.when(~c.rlike(_ASCII), c)), _plain_key(c))
+    return F.coalesce(_identity_text(F.when(~is_ascii(c), c)), _plain_key(c))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _identity_texts(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: [" ".join(unicodedata.normalize("NFKC", x).split()).casefold() for x in xs], na_action="ignore")
+@F.arrow_udf(ArrayType(StringType()))
+def _identity_texts(texts: pa.Array) -> pa.Array:
+    keys = [None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold() for x in texts.flatten().to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), mask=texts.is_null())
 
 
 def identity_texts(c: Column) -> Column:
-    """``identity_text`` of each text of an array."""
-    return F.coalesce(_identity_texts(F.when(F.exists(c, lambda x: ~x.rlike(_ASCII)), c)), F.transform(c, _plain_key))
+    """``identity_text`` of each text of an array, for a whole batch's texts at once."""
+    return _identity_texts(c)
 
 
 def choice_key(c: Column) -> Column:

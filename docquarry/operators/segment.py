@@ -18,12 +18,9 @@ from docquarry.functions.ids import chunk_id, paragraph_ref, sha256
 # Lines that mark a page, and headings (a heading of blanks alone is an empty one).
 PAGE = r"(?i)^##\s+Page\s+(\d+)\s*$"
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
-
-
-def _bound(value: Column, use) -> Column:
-    """use(value), the value found once for a row: an expression may be put where its name stands, inside lambdas too,
-    but not where a lambda's own argument stands."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: No text whose lines end in \\n holds it: what stands where a text is cut, as one character is found far faster than
+#: a regular expression.
+CUT = "\x0b"
 
 
 def _places(items: Column, holds) -> Column:
@@ -38,7 +35,7 @@ def _cut(items: Column, at: Column) -> Column:
 
 def _runs(items: Column, holds) -> Column:
     """The slice before the first item that holds (may be empty), then one that begins at each item that holds."""
-    return _bound(F.concat(F.array(F.lit(0)), _places(items, holds)), lambda at: _cut(items, at))
+    return T.bound(F.concat(F.array(F.lit(0)), _places(items, holds)), lambda at: _cut(items, at))
 
 
 def _page_no(line: Column) -> Column:
@@ -56,25 +53,60 @@ def _title(line: Column) -> Column:
     return T.strip(F.regexp_extract(line, HEADING, 2))
 
 
+def _content(lines: Column) -> Column:
+    """Of a chunk's lines below its heading."""
+    shown = F.filter(lines, lambda x: ~(x.contains("---") & (T.strip(x) == "---")))
+    joined = F.array_join(F.transform(shown, T.rstrip), "\n")
+    return T.bound(joined, lambda x: T.strip(F.when(x.contains("\n\n\n"), F.regexp_replace(x, "\n{3,}", "\n\n")).otherwise(x)))
+
+
 def _section(piece: Column) -> Column:
     """The chunk of a heading and the lines below it."""
     head = F.get(piece, F.lit(0))
-    shown = F.filter(F.slice(piece, F.lit(2), F.size(piece) - 1), lambda x: ~x["mark"] & (T.strip(x["line"]) != "---"))
-    body = F.regexp_replace(F.array_join(F.transform(shown, lambda x: T.rstrip(x["line"])), "\n"), "\n{3,}", "\n\n")
-    return F.struct(T.clean_heading(_title(head["line"])).alias("heading"), T.strip(body).alias("content"), head["page"].alias("page_start"), F.element_at(piece, -1)["page"].alias("page_end"))
+    shown = F.transform(F.filter(F.slice(piece, F.lit(2), F.size(piece) - 1), lambda x: ~x["mark"]), lambda x: x["line"])
+    return F.struct(T.clean_heading(_title(head["line"])).alias("heading"), _content(shown).alias("content"), head["page"].alias("page_start"), F.element_at(piece, -1)["page"].alias("page_end"))
 
 
-def _sections(text: Column, heading_level: int) -> Column:
-    marked = F.transform(T.lines(text), lambda line: F.struct(line.alias("line"), _page_no(line).alias("page_no"), _level(line).alias("level")))
+def _paged_sections(text: Column, heading_level: int) -> Column:
+    marked = F.transform(T.plain_lines(text), lambda line: F.struct(line.alias("line"), _page_no(line).alias("page_no"), _level(line).alias("level")))
 
     def paged(piece: Column) -> Column:
         page = F.get(piece, F.lit(0))["page_no"]
         return F.transform(piece, lambda x: F.struct(x["line"].alias("line"), x["level"].alias("level"), x["page_no"].isNotNull().alias("mark"), page.alias("page")))
 
-    lines = _bound(marked, lambda own: F.flatten(F.transform(_runs(own, lambda x, i: x["page_no"].isNotNull()), paged)))
-    pieces = _bound(lines, lambda own: _runs(own, lambda x, i: F.coalesce(x["level"] <= heading_level, F.lit(False))))
+    lines = T.bound(marked, lambda own: F.flatten(F.transform(_runs(own, lambda x, i: x["page_no"].isNotNull()), paged)))
+    pieces = T.bound(lines, lambda own: _runs(own, lambda x, i: F.coalesce(x["level"] <= heading_level, F.lit(False))))
     opened = F.filter(pieces, lambda p: F.coalesce(F.get(p, F.lit(0))["level"] == heading_level, F.lit(False)))
-    return F.filter(F.transform(opened, _section), lambda c: F.length(c["content"]) > 0)
+    return F.transform(opened, _section)
+
+
+def _unpaged_sections(pieces: Column, heading_level: int) -> Column:
+    """As ``_paged_sections``, of a text without page markers that is cut before headings."""
+    no_page = F.lit(None).cast("int")
+
+    def section(piece: Column) -> Column:
+        below = F.coalesce(F.get(F.split(piece, "\n", 2), F.lit(1)), F.lit(""))
+        heading = T.clean_heading(_title(F.substring_index(piece, "\n", 1)))
+        return F.struct(heading.alias("heading"), _content(F.split(below, "\n")).alias("content"), no_page.alias("page_start"), no_page.alias("page_end"))
+
+    return F.transform(F.filter(pieces, lambda p: p.rlike(rf"^#{{{heading_level}}}[ \t]")), section)
+
+
+def _sections(text: Column, heading_level: int) -> Column:
+    """Texts are cut before their headings at once; only those with page markers, or where what looks like a heading is
+    none, are read line by line."""
+    level = max(2, heading_level)  # page markers are of level 2
+
+    def found(x: Column) -> Column:
+        if heading_level < level:
+            return _paged_sections(x, heading_level)
+        marked = F.concat(F.lit("\n"), x)
+        for signs in ("#" * n + blank for n in range(1, level + 1) for blank in " \t"):
+            marked = F.replace(marked, F.lit(f"\n{signs}"), F.lit(f"{CUT}{signs}"))
+        odd = rf"^(?:##[ \t]+(?i:page)[ \t]|#{{1,{level}}}[ \t](?:\n|$))"
+        return T.bound(F.split(marked, CUT), lambda own: F.when(F.exists(own, lambda p: p.rlike(odd)), _paged_sections(x, heading_level)).otherwise(_unpaged_sections(own, heading_level)))
+
+    return F.filter(T.bound(T.plain_ends(text), found), lambda c: F.length(c["content"]) > 0)
 
 
 def header_chunks(docs: DataFrame, keys: list[str], text: str = "markdown", heading_level: int = 2) -> DataFrame:
@@ -102,6 +134,15 @@ def heading_paths(titles: Column) -> Column:
     return F.aggregate(titles, F.expr("cast(array() as array<array<string>>)"), step)
 
 
+def _none() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
+def _may_show(text: Column) -> Column:
+    """Whether there may be references of images."""
+    return text.contains("![") | (text.contains("<") & text.rlike("(?i)<img"))
+
+
 #: Kinds of lines: text, what ends a paragraph, images alone, a heading (which ends one too).
 _TEXT, _BREAK, _IMAGE, _HEAD = range(4)
 
@@ -110,14 +151,14 @@ def _kinds(text: Column) -> Column:
     """line, refs, kind of each line."""
 
     def refs(line: Column) -> Column:
-        return F.when(line.contains("![") | line.rlike("(?i)<img"), T.image_refs(line)).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.when(_may_show(line), T.image_refs(line)).otherwise(_none())
 
     def kind(x: Column) -> Column:
         line = x["line"]
         image = (F.size(x["refs"]) > 0) & T.is_image_only(line)
         return F.when(_level(line).isNotNull(), _HEAD).when(_page_no(line).isNotNull(), _BREAK).when(image, _IMAGE).when(T.is_blank(line), _BREAK).otherwise(_TEXT)
 
-    lines = F.transform(T.lines(text), lambda line: F.struct(line.alias("line"), refs(line).alias("refs")))
+    lines = F.transform(T.plain_lines(text), lambda line: F.struct(line.alias("line"), refs(line).alias("refs")))
     return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["refs"].alias("refs"), kind(x).alias("kind")))
 
 
@@ -129,7 +170,7 @@ def _starts(lines: Column) -> Column:
         begins = lambda x, k: (x["kind"] == _TEXT) & ((k == 0) | (F.get(run, k - 1)["kind"] != _TEXT))
         return F.filter(F.transform(run, lambda x, k: F.when(begins(x, k), F.struct(x["at"].alias("at"), heads.alias("heads")))), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(_bound(solid, lambda own: _runs(own, lambda x, i: x["kind"] == _HEAD)), below))
+    return F.flatten(F.transform(T.bound(solid, lambda own: _runs(own, lambda x, i: x["kind"] == _HEAD)), below))
 
 
 def _refs(lines: Column) -> Column:
@@ -142,18 +183,17 @@ def _pieces(lines: Column, starts: Column) -> Column:
     def piece(p: Column, last: Column) -> Column:
         ended = F.array_position(F.transform(p, lambda x: x["kind"].isin(_BREAK, _HEAD)), F.lit(True))
         end = F.when(ended > 0, ended - 1).otherwise(F.size(p))
-        return _bound(end, lambda e: F.struct(
+        return T.bound(end, lambda e: F.struct(
             F.array_join(F.transform(F.filter(p, lambda x: x["kind"] == _TEXT), lambda x: x["line"]), "\n").alias("text"),
             _refs(F.filter(p, lambda x, i: (x["kind"] == _TEXT) | ((x["kind"] == _IMAGE) & (last | (i >= e))))).alias("own"),
             _refs(F.filter(p, lambda x, i: (x["kind"] == _IMAGE) & (i < e))).alias("next"),
         ))
 
     at = F.transform(starts, lambda s: s["at"])
-    return F.transform(_bound(at, lambda a: _cut(lines, a)), lambda p, j: piece(p, j == F.size(starts) - 1))
+    return F.transform(T.bound(at, lambda a: _cut(lines, a)), lambda p, j: piece(p, j == F.size(starts) - 1))
 
 
-def _paragraphs(text: Column) -> Column:
-    """text, heading_path, image_refs of a chunk's paragraphs, in order."""
+def _lined_paragraphs(text: Column) -> Column:
     heads = lambda lines: F.transform(F.filter(lines, lambda x: x["kind"] == _HEAD), lambda x: F.struct(_level(x["line"]).alias("level"), _title(x["line"]).alias("title")))
 
     def whole(lines: Column, starts: Column, pieces: Column, paths: Column) -> Column:
@@ -164,10 +204,31 @@ def _paragraphs(text: Column) -> Column:
             path = F.when(n > 0, F.get(paths, n - 1)).otherwise(F.expr("cast(array() as array<string>)"))
             return F.struct(p["text"].alias("text"), path.alias("heading_path"), F.array_distinct(F.concat(F.coalesce(F.get(pieces, j - 1)["next"], before), p["own"])).alias("image_refs"))
 
-        return _bound(first, lambda before: F.transform(pieces, lambda p, j: one(p, j, before)))
+        return T.bound(first, lambda before: F.transform(pieces, lambda p, j: one(p, j, before)))
 
     # A chunk's paths are found once, and each paragraph takes that of the last heading above it.
-    return _bound(_kinds(text), lambda x: _bound(_starts(x), lambda s: _bound(_pieces(x, s), lambda p: _bound(heading_paths(heads(x)), lambda paths: whole(x, s, p, paths)))))
+    return T.bound(_kinds(text), lambda x: T.bound(_starts(x), lambda s: T.bound(_pieces(x, s), lambda p: T.bound(heading_paths(heads(x)), lambda paths: whole(x, s, p, paths)))))
+
+
+def _bare_paragraphs(text: Column) -> Column:
+    """As ``_lined_paragraphs``, of a text without images and lines of blanks, whose first line alone may be a heading."""
+    first = F.substring_index(text, "\n", 1)
+    level = _level(first)
+    path = F.when(level.isNotNull(), F.array(_title(first))).otherwise(_none())
+    body = F.when(level.isNotNull() | _page_no(first).isNotNull(), F.coalesce(F.get(F.split(text, "\n", 2), F.lit(1)), F.lit(""))).otherwise(text)
+    pieces = F.transform(F.split(F.replace(body, F.lit("\n\n"), F.lit(CUT)), CUT), lambda p: F.btrim(p, F.lit("\n")))
+    return T.bound(path, lambda own: F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(p.alias("text"), own.alias("heading_path"), _none().alias("image_refs"))))
+
+
+def _paragraphs(text: Column) -> Column:
+    """text, heading_path, image_refs of a chunk's paragraphs, in order. Texts are cut at empty lines at once; only those
+    with more headings, images or lines of blanks are read line by line."""
+
+    def found(x: Column) -> Column:
+        blanks = F.exists(F.split(x, "\n"), lambda line: (line != "") & T.is_blank(line))
+        return F.when(x.contains("\n#") | _may_show(x) | blanks, _lined_paragraphs(x)).otherwise(_bare_paragraphs(x))
+
+    return T.bound(T.plain_ends(text), found)
 
 
 def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") -> DataFrame:
@@ -184,7 +245,7 @@ def paragraphs(chunks: DataFrame, keys: list[str], text: str = "search_text") ->
 def _occurrences(identities: Column) -> Column:
     """For each text of an array its number among the equal ones: sorted, cut into equal ones, counted, sorted back."""
     placed = F.array_sort(F.transform(identities, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
-    groups = _bound(placed, lambda own: _runs(own, lambda x, k: (k > 0) & (x["d"] != F.get(own, k - 1)["d"])))
+    groups = T.bound(placed, lambda own: _runs(own, lambda x, k: (k > 0) & (x["d"] != F.get(own, k - 1)["d"])))
     counted = F.flatten(F.transform(groups, lambda g: F.transform(g, lambda x, m: F.struct(x["i"].alias("i"), (m + 1).alias("n")))))
     return F.when(F.size(identities) == 1, F.array(F.lit(1))).otherwise(F.transform(F.array_sort(counted), lambda x: x["n"]))
 

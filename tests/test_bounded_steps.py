@@ -135,3 +135,23 @@ def test_timers_are_kept_by_bucket(spark):
     plan = timers.timed(requests, 60, buckets=1)._jdf.queryExecution().analyzed().toString()
     assert "bucket" in plan.split("FlatMapGroupsInPandasWithState", 1)[1].split("\n", 1)[0]
     assert timers._unpacked(timers._packed({"a": [1, 2, True]})) == {"a": [1, 2, True]}
+
+
+def test_texts_are_cut_at_once_as_line_by_line(spark):
+    """White space is trimmed without patterns, and what is cut at once is what is read line by line."""
+    row = spark.createDataFrame([("x",)], "t string")
+    for c in (T.strip(F.col("t")), T.rstrip(F.col("t")), T.is_blank(F.col("t"))):
+        assert "regexp" not in row.select(c)._jdf.queryExecution().executedPlan().toString()
+    bits = ["## A\n", "\n## B ##\r\n", "\n# T\n", "\n## Page 3\n", "\n##  \n", "\n## \n", "\n#tag\n", "\n### deep\n", "a b", "\n\n", " \n", "\n\xa0\n", "---\n", "\n --- \n", "ß x", "  in", "![i](p.png)", "\n\n\n\n", "<b", "\x0b"]
+    texts = ["".join(bits[(i * k + i // 7 + k * k) % len(bits)] for k in range(1, 3 + i % 9)) for i in range(600)] + ["", "## A", "\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    both = df.select(segment._sections(F.col("t"), 2).alias("a"), F.filter(segment._paged_sections(T.plain_ends(F.col("t")), 2), lambda c: F.length(c["content"]) > 0).alias("b"), segment._paragraphs(F.col("t")).alias("c"), segment._lined_paragraphs(T.plain_ends(F.col("t"))).alias("d")).collect()
+    assert len(both) == 603 and all(r.a == r.b and r.c == r.d for r in both)
+    assert sum(len(r.a) for r in both) > 100 and sum(len(r.c) for r in both) > 600
+
+
+def test_an_identity_ends_before_any_white_space(spark):
+    rows = spark.createDataFrame([("Abc  d\x85",), ("Abc ",), ("Ünï\x85",), (None,)], "t string")
+    got = rows.select(T.identity_text(F.col("t")).alias("one"), T.identity_texts(F.array("t", F.lit("X  y"))).alias("all")).collect()
+    assert [r.one for r in got] == ["abc d", "abc", "ünï", None] and [r.all for r in got] == [[r.one, "x y"] for r in got]
+    assert spark.createDataFrame([(1, None), (2, []), (3, ["A"])], "i int, t array<string>").select(T.identity_texts(F.col("t"))).collect() == [(None,), ([],), (["a"],)]
