@@ -1,11 +1,8 @@
-"""Substring search over an inverted index of three-character pieces, for many queries at once.
+"""Substring search over an inverted index of three-character pieces.
 
-A text can hold a term only if it holds all of the term's pieces, so the texts that a term is looked for in are those
-in the posting lists of its rarest pieces; the term is then confirmed on the text. Terms of fewer than three characters
-have no piece and are looked for in every text, in one pass for all of them.
-
-Texts lie in packs; a list names the texts of one pack that hold a piece. Pairs of a query and a text exist inside a
-pack's task alone: what leaves it is each query's k best texts of the pack.
+A text can hold a word only if it holds all of the word's pieces, so the texts that a word is looked for in are those
+in the posting lists of its rarest pieces (``candidates``). Texts lie in packs; a list names the texts of one pack that
+hold a piece. Queries are answered by ``term_index`` over the same texts, as their terms hold no blanks.
 """
 
 from __future__ import annotations
@@ -14,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import terms
+from docquarry.operators.term_index import TermIndex
 from docquarry.session import saved
 
 #: Texts of a pack at most.
@@ -95,6 +91,7 @@ class TrigramIndex:
         self.texts, self.sizes = (spark.read.parquet(f"{path}/{n}") for n in ("texts", "sizes"))
         self.kind = self.texts.schema["key"].dataType.simpleString()
         self.lists = spark.read.schema("pack long, piece string, n long, docs binary, bucket int").parquet(f"{path}/lists")  # an empty index has no files
+        self.terms = f"{path}/terms"
         self.buckets = int(spark.read.parquet(f"{path}/shape").first()["buckets"])
 
     @classmethod
@@ -108,6 +105,7 @@ class TrigramIndex:
         posted.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "piece", "pack").write.partitionBy("bucket").parquet(f"{path}/lists")
         lists = spark.read.schema("piece string, n long, bucket int").parquet(f"{path}/lists")
         lists.groupBy("piece").agg(F.sum("n").alias("n")).write.parquet(f"{path}/sizes")
+        TermIndex.build(spark.read.parquet(f"{path}/texts"), F.col("low"), "key", f"{path}/terms")
         spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/shape")
         return cls(spark, path)
 
@@ -137,44 +135,4 @@ class TrigramIndex:
     def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query") -> DataFrame:
         """query_key, key, keyword_score (share of the query's terms held), rank: the k best texts of each query that
         hold any of its terms, ties by key."""
-        asked = queries.select(F.col(query_key).alias("query_key"), terms(F.col(query)).alias("words")).where(F.size("words") > 0)
-        kind = asked.schema["query_key"].dataType.simpleString()
-        words = asked.select(F.explode("words").alias("word")).distinct()
-        lists = self._postings(words, 3).withColumns({"query_key": F.lit(None).cast(kind), "words": F.lit(None).cast("array<string>")})
-        packs = F.broadcast(self.texts.select("pack").distinct())  # a row for each pack
-        none = {c: F.lit(None).cast(t) for c, t in (("word", "string"), ("piece", "string"), ("need", "long"), ("docs", "binary"))}
-        both = lists.unionByName(asked.crossJoin(packs).withColumns(none))
-
-        def best(given: pa.Table, texts: pa.Table) -> pa.Table:
-            """The k best texts of this pack for each query."""
-            texts = texts.take(pc.sort_indices(texts["key"]))
-            at, low = texts["at"].to_numpy(), texts["low"].to_pylist()
-            place = np.zeros(PACK, np.int64)
-            place[at] = np.arange(len(at))
-            is_list = pc.is_valid(given["word"])
-            held = {w: np.array([i for i in np.sort(place[x]).tolist() if w in low[i]], np.int64) for w, x in _met(given.filter(is_list)).items()}
-            asks = given.filter(pc.invert(is_list))
-            tops: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-            which, rows, counts, sizes = [], [], [], []
-            for i, ws in enumerate(asks["words"].to_pylist()):
-                if (key := tuple(sorted(ws))) not in tops:
-                    count = np.zeros(len(low), np.int32)
-                    for w in key:
-                        if w not in held:
-                            held[w] = np.array([j for j, t in enumerate(low) if w in t] if len(w) < 3 else [], np.int64)
-                        count[held[w]] += 1
-                    some = np.flatnonzero(count)
-                    if len(some) > k:
-                        least = -np.partition(-count[some], k - 1)[k - 1] if k else len(key) + 1
-                        above = some[count[some] > least]
-                        some = np.concatenate([above, some[count[some] == least][: k - len(above)]])
-                    tops[key] = some[:k], count[some[:k]]
-                r, c = tops[key]
-                which.append(np.full(len(r), i)), rows.append(r), counts.append(c), sizes.append(np.full(len(r), len(ws)))
-            whole = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (which, rows, counts, sizes)]
-            return pa.table({query_key: asks["query_key"].take(whole[0]), "key": texts["key"].take(whole[1]), "held": whole[2].astype(np.int64), "n_terms": whole[3].astype(np.int64)})
-
-        few = both.groupBy("pack").cogroup(self.texts.groupBy("pack")).applyInArrow(best, f"{query_key} {kind}, key {self.kind}, held long, n_terms long")
-        scored = few.select(query_key, "key", (F.col("held") / F.col("n_terms")).alias("keyword_score"))
-        rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("keyword_score"), "key"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        return TermIndex(self.texts.sparkSession, self.terms).search(queries, k, query_key, query)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions import text as T
 from docquarry.operators import answers, concepts, ingest, outbox, records, scan, search, segment, state
-from docquarry.operators.trigrams import TrigramIndex
+from docquarry.operators.term_index import TermIndex
 from docquarry.operators.vector_lists import VectorLists
 from docquarry.plans import flows, incremental
 from docquarry.plans.queries import _CATALOG, _DIST, _FACTS, _observations, _query_vector, _states as _vector_states, facts, query
@@ -661,7 +661,7 @@ SELECT query_id, key, round(s, 6) AS keyword_score, rank FROM r WHERE rank <= 5"
 def lexical_many(spark, sf_dir):
     """Words of every fiftieth document as a question, against all documents."""
     docs = table(spark, sf_dir, "documents")
-    index = TrigramIndex.build(docs, F.col("text"), "doc_id", new_path(spark, "trigram-index"))
+    index = TermIndex.build(docs, F.col("text"), "doc_id", new_path(spark, "term-index"))
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("query"))
     return index.search(asked, 5).select("query_id", "key", F.round("keyword_score", 6).alias("keyword_score"), "rank")
 
