@@ -139,6 +139,17 @@ def _label_key(labels: pa.Array) -> pa.Array:
     return pa.array([k or None for k in keys], pa.string()).take(d.indices)
 
 
+@F.arrow_udf(StringType())
+def _label_fold(labels: pa.Array) -> pa.Array:
+    d = labels.dictionary_encode()
+    return pa.array([x.casefold() for x in d.dictionary.to_pylist()], pa.string()).take(d.indices)
+
+
+def folded_label(label: Column) -> Column:
+    """``casefold`` of labels, found once for each distinct one of a batch."""
+    return _label_fold(label)
+
+
 def with_key(df: DataFrame, column: str, key: str) -> DataFrame:
     """df with ``key``, the concept key of ``column``: found once for each distinct label of a batch, where the row lies.
     Rows are not dealt by label, as few labels stand in very many rows."""

@@ -45,9 +45,8 @@ def document_catalog(facts: DataFrame, scope: list[str], examples: int = 3, orde
     (folded, value). Examples are the first ``examples`` paragraphs in order.
     """
     by = [*scope, "normalized_label"]
-    rules = facts.select("concept").distinct().select(F.col("concept").alias("__value"), T.concept_key(F.col("concept")).alias("normalized_label"), T.casefold(F.col("concept")).alias("__folded"))
-    keyed = facts.join(rules.where(F.col("normalized_label").isNotNull()), F.col("concept") == F.col("__value")).drop("__value")
-    usage = keyed.groupBy(*by).agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"), F.countDistinct("paragraph_id").alias("usage_count"))
+    keyed = T.with_key(facts, "concept", "normalized_label").where(F.col("normalized_label").isNotNull())
+    usage = keyed.withColumn("__folded", T.folded_label(F.col("concept"))).groupBy(*by).agg(F.min(F.struct(F.col("__folded").alias("folded"), F.col("concept").alias("value")))["value"].alias("canonical_label"), F.countDistinct("paragraph_id").alias("usage_count"))
     # The rank stands before the headers and excerpts are brought together, so that its limit holds before the shuffle.
     place = F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
     first = keyed.select(*by, *order, "header", "excerpt").withColumn("r", place).where(F.col("r") <= examples)

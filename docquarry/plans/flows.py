@@ -15,8 +15,10 @@ STATE = ("entity_type", "entity_key", "collection", "record_id", "input_hash", "
 
 
 def chunked(documents: DataFrame, heading_level: int = 2) -> DataFrame:
-    """Chunks of documents (document_ref, source_version, markdown); texts are dealt once, as files may be few."""
-    documents = documents.repartition("document_ref")
+    """Chunks of documents (document_ref, source_version, markdown), found where texts lie; texts are dealt only where
+    their files are fewer than the cores."""
+    if len(documents.inputFiles()) < documents.sparkSession.sparkContext.defaultParallelism:
+        documents = documents.repartition("document_ref")
     chunks = segment.with_chunk_ids(segment.header_chunks(documents, ["document_ref", "source_version"], "markdown", heading_level), F.col("document_ref"), F.col("source_version"))
     return chunks.withColumn("search_text", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"))
 
@@ -32,7 +34,7 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
 
     Chunks, paragraphs, relations, the concept catalog, vector states and the vector index are committed (as layers)
     at once, with the tables of ``also``; only new and changed chunks are embedded. Without a tagger, chunks are
-    indexed without tags. Returns the changes (entity_key, change).
+    indexed without tags. Returns the changes (entity_key, change, document_ref).
     """
     known = set(store.tables())
 
@@ -56,7 +58,7 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
     )
     states = current("states", desired)
     own = states.join(scope, "document_ref", "left_semi")
-    changes = saved(state.reconcile(own, desired).select("entity_key", "change"), "changes")
+    changes = saved(state.reconcile(own, desired).select("entity_key", "change", "document_ref"), "changes")
     # Unchanged chunks are few at a first ingest, changed ones later: what is joined is read from files, by its size.
     same = saved(changes.where(F.col("change") == "unchanged").select(F.col("entity_key").alias("chunk_id")), "same-chunks")
     todo = chunks.select("document_ref", "chunk_id", "search_text").join(same, "chunk_id", "left_anti")

@@ -1,6 +1,6 @@
 """Ports to external models, with deterministic fakes.
 
-A port gets each distinct input once, in batches: keys are counted, and only texts that repeat are moved. Ports must be idempotent, as Spark runs a task again when it is lost.
+A port gets each distinct input once, in batches: hashes are counted, and only texts that repeat are moved. Ports must be idempotent, as Spark runs a task again when it is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from docquarry.session import saved
 Embedder = Callable[[list[str]], list[list[float]]]
 #: Texts of a batch to labels of each, in order.
 Tagger = Callable[[list[str]], list[list[str]]]
+#: Hashes of repeated texts that are sent to all tasks at most; over it the rows are dealt by hash.
+MOST = 4_000_000
 
 
 class FakeEmbedder:
@@ -60,11 +62,14 @@ def _called(rows: DataFrame, text: str, fn: Callable, column: str, kind: str) ->
             yield pd.DataFrame({"__key": b["__key"], column: checked(b["__text"].tolist())})
 
     answer = F.pandas_udf(_one_by_one(checked), kind).asNondeterministic()  # so that no plan asks twice
-    keyed = rows.withColumn("__key", F.sha2(F.col(text), 256))
-    repeated = saved(keyed.where("__key IS NOT NULL").groupBy("__key").count().where("count > 1").select("__key"), "repeated-texts")
-    alone, others = keyed.where("__key IS NOT NULL"), keyed.where("__key IS NULL")
-    if not repeated.isEmpty():
-        alone, others = alone.join(repeated, "__key", "left_anti"), others.unionByName(keyed.join(repeated, "__key", "left_semi").select(*keyed.columns))
+    # Different texts with one hash are taken for repeated ones, which are told apart by their digests.
+    coded = rows.withColumn("__code", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
+    repeated = saved(coded.where("__code IS NOT NULL").groupBy("__code").count().where("count > 1").select("__code"), "repeated-texts")
+    alone, others = coded.where("__code IS NOT NULL"), coded.where("__code IS NULL")
+    if n := repeated.count():
+        codes = F.broadcast(repeated) if n <= MOST else repeated
+        alone, others = alone.join(codes, "__code", "left_anti"), others.unionByName(coded.join(codes, "__code", "left_semi").select(*coded.columns))
+    others = others.drop("__code").withColumn("__key", F.sha2(F.col(text), 256))
     distinct = others.groupBy("__key").agg(F.first(text).alias("__text"))
     answers = distinct.mapInPandas(run, f"__key string, {column} {kind}")
     asked = alone.withColumn(column, answer(F.col(text))).select(*rows.columns, column)
