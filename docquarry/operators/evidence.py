@@ -16,6 +16,8 @@ def hydrate(hits: DataFrame, paras: DataFrame, chunks: DataFrame, keys: list[str
     """
     few = hits.limit(most_broadcast + 1).count() <= most_broadcast
     h = F.broadcast(hits) if few else hits
+    if few:  # so that the other chunks are not dealt
+        chunks = chunks.join(F.broadcast(hits.select(*keys).distinct()), keys, "left_semi")
     x = paras.join(h, keys).join(chunks, keys)
     order = Window.partitionBy("query_id").orderBy("rank", "ordinal", "paragraph_id")
     return x.withColumn("place", F.row_number().over(order))

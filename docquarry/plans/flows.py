@@ -107,10 +107,12 @@ def retrieve(store: Store, question: str, vector: list[float], hits: int = 10, p
     chunks = store.read("chunks")
     semantic = search.semantic_hits(search.vector_topk(store.read("index"), vector, hits, "chunk_id"), "chunk_id", F.col("chunk_id"))
     lexical = search.lexical_search(chunks.withColumnRenamed("chunk_id", "chunk_ref"), question, search.metadata_text(F.col("heading"), F.col("content")), hits)
-    fused = search.fuse(semantic, lexical, hits).select(F.col("chunk_ref").alias("chunk_id"), "rank", "fused_score").withColumn("query_id", F.lit(0))
+    fused = saved(search.fuse(semantic, lexical, hits).select(F.col("chunk_ref").alias("chunk_id"), "rank", "fused_score").withColumn("query_id", F.lit(0)), "hits")
     found = evidence.hydrate(fused, store.read("paragraphs"), chunks.select("chunk_id", F.col("heading").alias("header")), ["chunk_id"])
-    bounded = evidence.limited(found, ["query_id"], ["rank", "ordinal", "paragraph_id"], paragraphs, words)
-    labelled = evidence.with_labels(bounded, store.read("relations").select("paragraph_id", "concept", "role"))
+    bounded = saved(evidence.limited(found, ["query_id"], ["rank", "ordinal", "paragraph_id"], paragraphs, words), "context")
+    # Few paragraphs are left: the others' labels are not brought together.
+    facts = store.read("relations").select("paragraph_id", "concept", "role").join(F.broadcast(bounded.select("paragraph_id").distinct()), "paragraph_id", "left_semi")
+    labelled = evidence.with_labels(bounded, facts)
     from docquarry.functions.ids import evidence_id
 
     none = F.lit(None).cast("string")
