@@ -11,6 +11,8 @@ from docquarry.operators import answers, concepts, evidence, search, segment, st
 from docquarry.session import saved
 from docquarry.sources.store import Store
 
+#: Columns of chunks that are made from others wherever chunks are read.
+MADE = {"search_text": "concat('## ', heading, char(10), char(10), content)"}
 STATE = ("entity_type", "entity_key", "collection", "record_id", "input_hash", "model", "dimensions", "index_version", "sync_status", "document_ref", "source_version")
 
 
@@ -20,7 +22,7 @@ def chunked(documents: DataFrame, heading_level: int = 2) -> DataFrame:
     if len(documents.inputFiles()) < documents.sparkSession.sparkContext.defaultParallelism:
         documents = documents.repartition("document_ref")
     chunks = segment.with_chunk_ids(segment.header_chunks(documents, ["document_ref", "source_version"], "markdown", heading_level), F.col("document_ref"), F.col("source_version"))
-    return chunks.withColumn("search_text", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"))
+    return chunks.withColumns({c: F.expr(x) for c, x in MADE.items()})
 
 
 def paragraphs_of(chunks: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
         return store.read(name) if name in known else like.limit(0)
 
     # What a table gains is written once, where the store keeps it; headers are in the files for the catalog alone.
-    chunks = store.staged("chunks", chunked(documents))
+    chunks = store.staged("chunks", chunked(documents), made=MADE)
     paras = store.staged("paragraphs", paragraphs_of(chunks), ["header"])
     scope = documents.select("document_ref").distinct()
     asked = paras.select("document_ref", "source_version", "chunk_id", "ordinal", "paragraph_id", "text", "header")

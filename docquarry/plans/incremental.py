@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry import ports
 from docquarry.functions.ids import joined_hash
 from docquarry.operators import concepts, outbox
-from docquarry.plans.flows import chunked, paragraphs_of
+from docquarry.plans.flows import MADE, chunked, paragraphs_of
 from docquarry.session import saved
 from docquarry.sources.store import Store
 
@@ -23,7 +23,8 @@ _STATE = ", ".join(f"{n} {'int' if n == 'dimensions' else 'string'}" for n in ou
 
 
 def _current(store: Store, name: str, schema) -> DataFrame:
-    return store.read(name) if name in store.tables() else store.spark.createDataFrame([], schema)
+    # Without a limit no plan would know that there are no rows.
+    return store.read(name) if name in store.tables() else store.spark.createDataFrame([], schema).limit(0)
 
 
 def _events(rows: DataFrame, store: Store, run_id: str, operation: str, payload: Column, index_version: str) -> DataFrame:
@@ -47,22 +48,26 @@ def ingest(store: Store, documents: DataFrame, embedder: ports.Embedder, tagger:
 
     Returns how many batches were committed and whether the run was completed; ``stop_after`` ends it early.
     """
-    chunks = saved(chunked(documents), "chunks", codec="zstd")
     # What is stored is compared by digests; texts are joined only where some chunks are stored as they are.
-    first = "chunks" not in store.tables()
+    first, batch = "chunks" not in store.tables(), F.pmod(F.xxhash64("chunk_id"), F.lit(batches)).cast("int")
+    if first:  # all are new, and are written once, where their batches' commits take them
+        chunks, parts = store.staged_parts("chunks", chunked(documents), batch, batches, MADE)
+    else:
+        chunks = saved(chunked(documents).drop(*MADE), "chunks", codec="zstd").withColumns({c: F.expr(x) for c, x in MADE.items()})
     old, digest = _current(store, "chunks", chunks.schema), F.sha2("search_text", 256).alias("digest")
     stored = old.select("document_ref", "source_version", "chunk_id", "page_start", "page_end", digest)
     if not first:
         stored = saved(stored.join(documents.select("document_ref").distinct(), DOCUMENT, "left_semi"), "stored-chunks")
-    known, todo = not (first or stored.isEmpty()), chunks
+    known = not (first or stored.isEmpty())
+    if not first and not known:
+        parts = store.staged_parts("chunks", chunks, batch, batches, MADE)[1]
     if known:
         n, o = chunks.select("source_version", "chunk_id", "page_start", "page_end", digest).alias("n"), stored.alias("o")
         same = saved(n.join(o, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("chunk_id", "digest", "page_start", "page_end", "source_version")], "left_semi").select("chunk_id"), "same-chunks")
-        todo = chunks if same.isEmpty() else saved(chunks.join(same, CHUNK, "left_anti"), "changed-chunks", codec="zstd")
+        parts = store.staged_parts("chunks", chunks if same.isEmpty() else chunks.join(same, CHUNK, "left_anti").select(*chunks.columns), batch, batches, MADE)[1]
     done = 0
-    for b in range(batches):
-        part = todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == b)
-        if part.isEmpty():
+    for part in parts:
+        if part is None:
             continue
         if stop_after is not None and done >= stop_after:
             return {"batches": done, "completed": 0}
@@ -110,9 +115,11 @@ def apply_pending(store: Store, run_id: str | None = None, limit: int | None = N
         events = saved(events.orderBy("event_id").limit(limit), "open-events", codec="zstd")
     if events.isEmpty():
         return 0, 0
-    records = saved(events.select("record_id").distinct(), "open-records")
-    index = _current(store, "index", "record_id string, document_ref string, search_text string, embedding array<double>").join(records, RECORD, "left_semi")
-    known = _current(store, "states", _STATE).join(records, RECORD, "left_semi")
+    index = _current(store, "index", "record_id string, document_ref string, search_text string, embedding array<double>")
+    known, records = _current(store, "states", _STATE), None
+    if {"index", "states"} & set(store.tables()):  # a first time nothing is stored that they could name
+        records = saved(events.select("record_id").distinct(), "open-records")
+        index, known = (x.join(records, RECORD, "left_semi") for x in (index, known))
     out = outbox.sync(events, index, store.spark.createDataFrame([], "record_id string"), known, None, kept=lambda rows: saved(rows, "sync", codec="zstd"))
     states, after = store.staged("states", out.states), store.staged("outbox", out.outbox)
     counts = after.agg(F.count_if(F.col("status") == "done").alias("succeeded"), F.count_if(F.col("status") != "done").alias("failed")).first()

@@ -41,7 +41,7 @@ def _bucket(key: list[str]) -> Column:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._staged: list[tuple[DataFrame, str, str, list[str]]] = []
+        self._staged: list[tuple[DataFrame, str, str, list[str], dict[str, str]]] = []
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -107,7 +107,7 @@ class Store:
     def _stacked(self, name: str, entry: dict) -> DataFrame:
         """The rows of all layers, without those whose key a later layer took away."""
         schema, layers = StructType.fromJson(entry["schema"]), entry["layers"]
-        reads = [self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{x['rows']}").withColumn("__layer", F.lit(i)) for i, x in enumerate(layers)]
+        reads = [self._read(name, x["rows"], schema, entry.get("made", {})).withColumn("__layer", F.lit(i)) for i, x in enumerate(layers)]
         keys = StructType([schema[k] for k in entry["key"]])
         gone = [self.spark.read.schema(keys).parquet(f"{self.root}/{name}/{x['gone']}").withColumn("__upto", F.lit(i)) for i, x in enumerate(layers) if x["gone"]]
         rows = reduce(DataFrame.unionByName, reads)
@@ -117,32 +117,55 @@ class Store:
         kept = rows.join(last, entry["key"], "left").where(F.col("__upto").isNull() | (F.col("__layer") >= F.col("__upto")))
         return kept.select(*schema.names)
 
+    def _read(self, name: str, folder: str, schema: StructType, made: dict[str, str]) -> DataFrame:
+        """A folder's rows; columns that are not in its files are made from the others."""
+        rows = self.spark.read.schema(StructType([f for f in schema if f.name not in made])).parquet(f"{self.root}/{name}/{folder}")
+        return rows.select(*(F.expr(made[f.name]).cast(f.dataType).alias(f.name) if f.name in made else f.name for f in schema))
+
     def _bytes(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength()
 
-    def staged(self, name: str, rows: DataFrame, beside: list[str] | None = None) -> DataFrame:
+    def _made(self, name: str, made: dict[str, str] | None) -> dict[str, str]:
+        """What a layer of the table leaves out: as its other layers do."""
+        entry = self.manifest()["tables"].get(name)
+        return (made or {}) if entry is None else {c: x for c, x in (made or {}).items() if entry.get("made", {}).get(c) == x}
+
+    def staged(self, name: str, rows: DataFrame, beside: list[str] | None = None, made: dict[str, str] | None = None) -> DataFrame:
         """``rows`` written where a layer of ``name`` lies: a commit that gets the result as a layer's rows takes the
-        files as they are. Until then they are no part of the table. The columns ``beside`` are read by nobody later."""
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
-        out = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/{version}")
-        self._staged.append((out, name, version, [c for c in rows.columns if c not in (beside or [])]))
+        files as they are. Until then they are no part of the table. The columns ``beside`` are read by nobody later;
+        those of ``made`` (column to its SQL over the others) are not written, but made whenever rows are read."""
+        version, made = uuid.uuid4().hex, self._made(name, made)
+        rows.drop(*made).write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
+        return self._noted(name, version, rows, beside, made)
+
+    def staged_parts(self, name: str, rows: DataFrame, part: Column, n: int, made: dict[str, str] | None = None) -> tuple[DataFrame, list[DataFrame | None]]:
+        """As ``staged``, in ``n`` parts (numbers from 0) that are layers of their own: all rows, and each part's, or
+        None for a part without rows."""
+        version, made = uuid.uuid4().hex, self._made(name, made)
+        rows.drop(*made).withColumn("__part", part).write.partitionBy("__part").parquet(f"{self.root}/{name}/{version}", compression=CODEC)
+        folders = [f"{version}/__part={i}" for i in range(n)]
+        parts = [self._noted(name, f, rows, None, made) if self._fs.exists(self._path(f"{self.root}/{name}/{f}")) else None for f in folders]
+        return self._read(name, version, rows.schema, made), parts
+
+    def _noted(self, name: str, version: str, rows: DataFrame, beside: list[str] | None, made: dict[str, str]) -> DataFrame:
+        out = self._read(name, version, rows.schema, made)
+        self._staged.append((out, name, version, [c for c in rows.columns if c not in (beside or [])], made))
         return out
 
-    def _written(self, name: str, rows: DataFrame, schema: StructType | None) -> tuple[str, StructType]:
-        """The folder with a layer's rows, and their schema."""
+    def _written(self, name: str, rows: DataFrame, schema: StructType | None, made: dict[str, str]) -> tuple[str, StructType, dict[str, str]]:
+        """The folder with a layer's rows, their schema, and the columns that are made (those of the table, if there is one)."""
         kinds = lambda x: {f.name: f.dataType for f in x}
-        for i, (df, table, version, columns) in enumerate(self._staged):
+        for i, (df, table, version, columns, own_made) in enumerate(self._staged):
             if df is rows and table == name:
                 own = StructType([df.schema[c] for c in columns])
-                if schema is None or kinds(own) == kinds(schema):
+                if schema is None or (kinds(own) == kinds(schema) and own_made == made):
                     del self._staged[i]
-                    return version, own
+                    return version, own, own_made
         if schema is not None:
             rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
-        return version, rows.schema
+        rows.drop(*made).write.parquet(f"{self.root}/{name}/{version}", compression=CODEC)
+        return version, rows.schema, made
 
     def _layered(self, name: str, entry: dict | None, rows: DataFrame, gone: DataFrame | None, key: list[str], afresh: bool = False) -> dict:
         """The table's entry with one more layer, or with one layer in all."""
@@ -151,18 +174,18 @@ class Store:
                 raise ValueError(f"{name}: a table in buckets takes no layers")
             entry = {"schema": entry["schema"], "layers": [{"rows": entry["version"], "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{entry['version']}")}]}
         schema = StructType.fromJson(entry["schema"]) if entry else None
-        version, shape = self._written(name, rows, schema)
+        version, shape, made = self._written(name, rows, schema, entry.get("made", {}) if entry else {})
         layer: dict = {"rows": version, "gone": None}
         layer["bytes"] = self._bytes(f"{self.root}/{name}/{layer['rows']}")
         if entry is not None and gone is not None and not afresh:
             layer["gone"] = uuid.uuid4().hex
             gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}", compression=CODEC)
             layer["bytes"] += self._bytes(f"{self.root}/{name}/{layer['gone']}")
-        out = {"key": key, "layers": [*(entry["layers"] if entry and not afresh else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json())}
+        out = {"key": key, "layers": [*(entry["layers"] if entry and not afresh else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json()), **({"made": made} if made else {})}
         heavy = any(x["gone"] for x in out["layers"]) and sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]
         if len(out["layers"]) > LAYERS or heavy:
             whole = uuid.uuid4().hex
-            self._stacked(name, out).write.parquet(f"{self.root}/{name}/{whole}", compression=CODEC)
+            self._stacked(name, out).drop(*made).write.parquet(f"{self.root}/{name}/{whole}", compression=CODEC)
             out["layers"] = [{"rows": whole, "gone": None, "bytes": self._bytes(f"{self.root}/{name}/{whole}")}]
         return out
 
@@ -214,7 +237,7 @@ class Store:
         n = 0
         for name, entry in self.manifest()["tables"].items():
             if "layers" in entry:
-                keep = {x[part] for x in entry["layers"] for part in ("rows", "gone") if x[part]}
+                keep = {x[part].split("/")[0] for x in entry["layers"] for part in ("rows", "gone") if x[part]}
             else:
                 keep = {p.split("/")[0] for p in entry["parts"].values()} if "parts" in entry else {entry["version"]}
             for f in self._fs.listStatus(self._path(f"{self.root}/{name}")):
