@@ -5,7 +5,7 @@ current version of every table. Readers see the manifest's versions, so a commit
 whole or not at all. A table that is upserted by key lies in buckets of its key, each with a version of its own,
 so that a commit reads and writes only the buckets that its rows touch. A table in layers takes a commit's new rows
 and the keys whose older rows go as one more layer, so that a commit writes what changed and nothing else; once the
-later layers outweigh the first and take keys away, all become one. There is one writer at a time (the
+layers from the first that takes keys away outweigh those before it, all become one. There is one writer at a time (the
 driver); a commit that finds its number taken is an error, but two that begin at the same moment are told apart
 only where the file system's rename refuses an existing target. All access is by Hadoop's file system, so the
 root can be in any store that Spark reads.
@@ -182,7 +182,8 @@ class Store:
             gone.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in key)).distinct().write.parquet(f"{self.root}/{name}/{layer['gone']}", compression=CODEC)
             layer["bytes"] += self._bytes(f"{self.root}/{name}/{layer['gone']}")
         out = {"key": key, "layers": [*(entry["layers"] if entry and not afresh else []), layer], "schema": entry["schema"] if entry else json.loads(shape.json()), **({"made": made} if made else {})}
-        heavy = any(x["gone"] for x in out["layers"]) and sum(x["bytes"] for x in out["layers"][1:]) > out["layers"][0]["bytes"]
+        first = next((i for i, x in enumerate(out["layers"]) if x["gone"]), len(out["layers"]))  # those before it hold nothing that went
+        heavy = sum(x["bytes"] for x in out["layers"][first:]) > sum(x["bytes"] for x in out["layers"][:first])
         if len(out["layers"]) > LAYERS or heavy:
             whole = uuid.uuid4().hex
             self._stacked(name, out).drop(*made).write.parquet(f"{self.root}/{name}/{whole}", compression=CODEC)

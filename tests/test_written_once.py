@@ -62,3 +62,13 @@ def test_sync_with_kept_rows_equals_sync_without(spark):
         a, b = (sorted(map(str, getattr(x, name).select(*getattr(plain, name).columns).collect())) for x in (plain, narrow))
         assert a == b, name
     assert not any({"payload", "record", "concept"} & x for x in kept) and plain.counts.first()["failed"] == 2
+
+
+def test_batches_of_a_first_ingest_are_not_written_again(spark):
+    """Layers that take nothing away are no reason to write all as one, however they compare."""
+    store = Store(spark, new_path(spark, "batches"))
+    for n in (1, 60, 60):
+        store.commit({}, layers={"t": (spark.range(n * 50).select((F.col("id") * 200 + n).alias("id"), F.md5(F.col("id").cast("string")).alias("x")), None, ["id"])})
+    few = spark.createDataFrame([(1, "new")], "id long, x string")
+    store.commit({}, layers={"t": (few, few.select("id"), ["id"])})
+    assert len(store.manifest()["tables"]["t"]["layers"]) == 4 and store.read("t").where("id = 1").first().x == "new"
